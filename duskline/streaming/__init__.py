@@ -1,0 +1 @@
+"""Nothing to build: every job in scope is a batch job over bounded tables."""
