@@ -89,36 +89,47 @@ def ranked(df: DataFrame, order, by=(), out: str = "position") -> DataFrame:
     return df.withColumn(out, F.row_number().over(w))
 
 
-def interpolate(df: DataFrame, by, ts: str, value: str, step_minutes: int = 5, limit: int = 3, chunk: str = "day") -> DataFrame:
+def interpolate(df: DataFrame, by, ts: str, value: str, step_minutes: int = 5, limit: int = 3) -> DataFrame:
     """Linear interpolation in time onto a regular grid, filling at most `limit` points after a reading.
 
-    Grid and readings are merged; each point looks back and forward for the
-    nearest reading. Series are cut into day chunks that carry one neighbouring
-    day of readings on each side, so a long series never sits in one task.
-    Fills reach across at most `limit` grid or reading times, and readings
-    count as fresh starts.
+    Readings and grid times are merged; a missing point is filled only if fewer
+    than `limit` missing points lie between it and the last reading, and past
+    the final reading the last value is held. A series is worked on one day at
+    a time: each day carries the last reading before it and the first one after
+    it, so a long series never sits in one task.
     """
     by = _list(by)
-    obs = df.where(F.col(value).isNotNull()).select(*by, F.col(ts).alias("ts"), F.col(value).alias("v"))
-    obs = obs.groupBy(*by, "ts").agg(F.avg("v").alias("v"))
-    day = F.to_date("ts")
-    near = obs.withColumn(chunk, F.explode(F.array(F.date_sub(day, 1), day, F.date_add(day, 1))))
-    days = obs.select(*by, day.alias(chunk)).distinct()
-    base = F.col(chunk).cast("timestamp_ntz")
-    offsets = F.sequence(F.lit(0), F.lit(24 * 60 - step_minutes), F.lit(step_minutes))
-    grid = days.select(*by, chunk, F.explode(offsets).alias("__m")).select(
-        *by, chunk, F.timestamp_add("MINUTE", F.col("__m"), base).alias("ts"), F.lit(True).alias("__grid"))
-    both = near.join(grid, [*by, chunk, "ts"], "full")
-    w = W.partitionBy(*by, chunk).orderBy("ts")
-    back = w.rowsBetween(W.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, W.unboundedFollowing)
-    seen = F.when(F.col("v").isNotNull(), F.struct("ts", "v"))
+    per_day = 24 * 60 // step_minutes
+    obs = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(ts).alias("ts")).agg(F.avg(value).alias("v"))
+    obs = obs.withColumn("day", F.to_date("ts"))
+    point = F.struct("ts", "v")
+    held = obs.groupBy(*by, "day").agg(F.min_by(point, "ts").alias("first"), F.max_by(point, "ts").alias("last"))
+    span = held.groupBy(*by).agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
+    days = span.select(*by, F.explode(F.sequence("d0", "d1")).alias("day")).join(held, [*by, "day"], "left")
+    w = W.partitionBy(*by).orderBy("day")
+    days = days.select(
+        *by, "day",
+        F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("prev"),
+        F.first("first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("next"))
+    base = F.col("day").cast("timestamp_ntz")
+    minutes = F.sequence(F.lit(0), F.lit(24 * 60 - step_minutes), F.lit(step_minutes))
+    grid = days.withColumn("__m", F.explode(minutes)).select(
+        *by, "day", F.timestamp_add("MINUTE", F.col("__m"), base).alias("ts"), F.lit(True).alias("__grid"))
+    both = obs.join(grid, [*by, "day", "ts"], "full").join(days, [*by, "day"])
+    w = W.partitionBy(*by, "day").orderBy("ts")
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    seen = F.when(F.col("v").isNotNull(), point)
     both = both.withColumns({
-        "__a": F.last(seen, ignorenulls=True).over(back), "__b": F.first(seen, ignorenulls=True).over(ahead),
+        "__a": F.coalesce(F.last(seen, ignorenulls=True).over(back), F.col("prev")),
+        "__b": F.coalesce(F.first(seen, ignorenulls=True).over(ahead), F.col("next")),
         "__block": F.count("v").over(back)})
-    gap = F.row_number().over(W.partitionBy(*by, chunk, "__block").orderBy("ts")) - 1
+    prev_day = F.to_date("prev.ts")
+    into_day = F.floor(tp.hours_since("prev.ts", prev_day.cast("timestamp_ntz")) * 60 / step_minutes)
+    before = per_day - 1 - into_day + per_day * (F.datediff("day", prev_day) - 1)
+    inside = F.row_number().over(W.partitionBy(*by, "day", "__block").orderBy("ts"))
+    gap = F.when(F.col("__block") > 0, inside - 1).otherwise(before + inside)
     both = both.withColumn("__gap", gap)
-    part = safe_div(tp.hours_since("ts", F.col("__a.ts")), tp.hours_since(F.col("__b.ts"), F.col("__a.ts")))
+    part = safe_div(tp.hours_since("ts", "__a.ts"), tp.hours_since("__b.ts", "__a.ts"))
     filled = (
         F.when(F.col("v").isNotNull(), F.col("v"))
         .when(F.col("__a").isNull() | (F.col("__gap") > limit), F.lit(None).cast("double"))

@@ -40,3 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+
+
+def settled(df):
+    """Checkpoint a pre-aggregated table, so later steps do not re-scan the raw readings.
+
+    Reliable checkpointing: the files live in shared storage and survive the
+    loss of executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
