@@ -175,3 +175,30 @@ def with_calendar(df: DataFrame, spine: DataFrame, on) -> DataFrame:
     """Left join onto the spine: missing days stay, with NULLs."""
     on = [on] if isinstance(on, str) else list(on)
     return spine.join(df.drop(*[c for c in df.columns if c in spine.columns and c not in on]), on, "left")
+
+
+def window_layers(df: DataFrame, windows: dict[str, tuple[int, int, int]], min_stations: int, months=(6, 7, 8)) -> DataFrame:
+    """City-night dispersion for several night windows from one scan.
+
+    windows maps a name to (start hour, end hour, minimum readings); a reading
+    becomes one row per window it belongs to, and windows are told apart by id.
+    """
+    hits = [
+        F.when(tp.in_hours("loc_ts", a, b), F.struct(F.lit(name).alias("win"), tp.night_date("loc_ts", a).alias("night_date"),
+                                                     F.lit(n).alias("need")))
+        for name, (a, b, n) in windows.items()
+    ]
+    rows = df.withColumn("__w", F.explode(F.array_compact(F.array(*hits)))).select("station", "value", "__w.*")
+    sn = (
+        rows.where(F.month("night_date").isin(list(months)))
+        .groupBy("win", "station", "night_date")
+        .agg(F.count("*").alias("n"), F.max("need").alias("need"), F.round(F.min("value"), PANEL_DIGITS).alias("night_min"))
+        .where(F.col("n") >= F.col("need"))
+    )
+    d = dispersion("night_min")
+    return (
+        sn.groupBy("win", "night_date")
+        .agg(F.count("*").alias("n_stations"), d["mean"].alias("warmth"), d["sd"].alias("sd_tmin"),
+             d["p90p10"].alias("p90p10_tmin"), d["iqr"].alias("iqr_tmin"))
+        .where(F.col("n_stations") >= min_stations)
+    )

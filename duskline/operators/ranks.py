@@ -22,8 +22,9 @@ def _list(x) -> list[str]:
 def avg_rank(col: str, by=()) -> Column:
     """Average-tie rank inside a bounded partition, as double."""
     part = _list(by) or [F.lit(0)]
-    tied = F.count("*").over(W.partitionBy(*part, col))
-    return F.rank().over(W.partitionBy(*part).orderBy(col)).cast("double") + (tied.cast("double") - 1) / 2
+    w = W.partitionBy(*part).orderBy(col)
+    peers = F.count("*").over(w.rangeBetween(W.currentRow, W.currentRow))
+    return F.rank().over(w).cast("double") + (peers.cast("double") - 1) / 2
 
 
 def with_ranks(df: DataFrame, cols, by=(), prefix: str = "r_") -> DataFrame:

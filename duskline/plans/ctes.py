@@ -122,3 +122,104 @@ def rank_avg(expr: str, by: str = "") -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
+
+
+def partial_sql(name: str, src: str, by: str, x: str, y: str, covs=(), min_n: int = 3, raw=(), use: dict[str, str] | None = None) -> str:
+    """CTEs computing a partial rank correlation per group by the recursive formula.
+
+    src must hold listwise-complete rows. use maps a covariate to a boolean
+    expression: where false, the covariate takes no part.
+    """
+    use = use or {}
+    vals = [f"{rank_avg(x, by)} AS v0", f"{rank_avg(y, by)} AS v1"]
+    for i, cov in enumerate(covs):
+        v = f"CAST({cov} AS DOUBLE)" if cov in raw else rank_avg(cov, by)
+        vals.append(f"CASE WHEN {use.get(cov, 'true')} THEN {v} ELSE 0 END AS v{i + 2}")
+    names = [f"v{i}" for i in range(len(covs) + 2)]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    cc = lambda a, b: f"coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE corr({a}, {b}) END, 0) AS {a}{b}"
+    out = [f"{name}_r AS (SELECT {by}, {', '.join(vals)} FROM {src})",
+           f"{name}_0 AS (SELECT {by}, count(*) AS n, {', '.join(cc(a, b) for a, b in pairs)} FROM {name}_r GROUP BY {by})"]
+    left = names
+    for i in range(2, len(names)):
+        z = names[i]
+        left = [v for v in left if v != z]
+        key = lambda a, b: f"{a}{b}" if (a, b) in pairs else f"{b}{a}"
+        cols = [f"({a}{b} - {key(a, z)} * {key(b, z)}) / nullif(sqrt((1 - {key(a, z)}**2) * (1 - {key(b, z)}**2)), 0) AS {a}{b}"
+                for a, b in pairs if a in left and b in left]
+        out.append(f"{name}_{i - 1} AS (SELECT {by}, n, {', '.join(cols)} FROM {name}_{i - 2})")
+    last = f"{name}_{len(covs)}"
+    out.append(f"{name} AS (SELECT {by}, n, CASE WHEN n >= {min_n} THEN v0v1 END AS rho FROM {last})")
+    return ", ".join(out)
+
+
+def resid_sql(name: str, src: str, by: str, covs, keep: str, use: dict[str, str] | None = None, x="x", y="y") -> str:
+    """CTEs of rank residuals rx, ry by sequential orthogonalisation."""
+    use = use or {}
+    cs = [f"CASE WHEN {use.get(cv, 'true')} THEN {rank_avg(cv, by)} ELSE 0 END AS c{i}" for i, cv in enumerate(covs)]
+    out = [f"{name}_0 AS (SELECT {by}, {keep}, {', '.join([rank_avg(x, by) + ' AS rx', rank_avg(y, by) + ' AS ry', *cs])} FROM {src})"]
+    for i in range(len(covs)):
+        rest = ["rx", "ry"] + [f"c{j}" for j in range(i + 1, len(covs))]
+        w = f"OVER (PARTITION BY {by})"
+        cols = [f"{v} - CASE WHEN var_pop(c{i}) {w} > 1e-9 THEN covar_pop({v}, c{i}) {w} / var_pop(c{i}) {w} ELSE 0 END * (c{i} - avg(c{i}) {w}) AS {v}"
+                for v in rest]
+        out.append(f"{name}_{i + 1} AS (SELECT {by}, {keep}, {', '.join(cols)} FROM {name}_{i})")
+    out.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}_{len(covs)})")
+    return ", ".join(out)
+
+
+def shift_sql(name: str, src: str, by: str, strata: int, x="rx", y="ry", order="night_date", group="year") -> str:
+    """CTEs of the exact stratified shift p with a fixed number of strata per test."""
+    half = strata // 2
+    combos = lambda lo, hi: (
+        f"SELECT {by}, {' + '.join(f's{g}.v' for g in range(lo, hi))} AS v FROM (SELECT {by}, v FROM {name}_s WHERE gi = {lo}) s{lo} "
+        + " ".join(f"JOIN (SELECT {by}, v FROM {name}_s WHERE gi = {g}) s{g} USING ({by})" for g in range(lo + 1, hi)))
+    return f"""{name}_c AS (SELECT *, {x} - avg({x}) OVER (PARTITION BY {by}) AS cx, {y} - avg({y}) OVER (PARTITION BY {by}) AS cy,
+      dense_rank() OVER (PARTITION BY {by} ORDER BY {group}) AS gi,
+      row_number() OVER (PARTITION BY {by}, {group} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {by}, {group}) AS m FROM {src}),
+    {name}_s AS MATERIALIZED (SELECT a.{by.replace(', ', ', a.')}, a.gi, (b.i - a.i + a.m) % a.m AS sh, sum(a.cx * b.cy) AS v
+      FROM {name}_c a JOIN {name}_c b USING ({by}, gi) GROUP BY ALL),
+    {name}_t AS (SELECT {by}, sqrt(sum(cx * cx) * sum(cy * cy)) AS denom, count(*) AS n FROM {name}_c GROUP BY {by}),
+    {name}_o AS (SELECT {by}, sum(v) AS obs FROM {name}_s WHERE sh = 0 GROUP BY {by}),
+    {name}_k AS (SELECT {by}, n, denom, greatest(0, abs(obs) - 1e-12 * denom) AS cut FROM {name}_t JOIN {name}_o USING ({by})),
+    {name}_l AS ({combos(1, half + 1)}),
+    {name}_q AS MATERIALIZED (SELECT {by}, v, max(rn) AS upto, min(rn) AS fromn, max(tot) AS tot FROM (
+       SELECT {by}, v, row_number() OVER (PARTITION BY {by} ORDER BY v) AS rn, count(*) OVER (PARTITION BY {by}) AS tot
+       FROM ({combos(half + 1, strata + 1)})) GROUP BY {by}, v),
+    {name}_lo AS (SELECT l.{by.replace(', ', ', l.')}, sum(coalesce(q.upto, 0)) AS c, count(*) AS nl FROM (SELECT *, -cut - v AS th FROM {name}_l JOIN {name}_k USING ({by})) l
+       ASOF LEFT JOIN {name}_q q ON {' AND '.join(f'l.{b} = q.{b}' for b in by.split(', '))} AND l.th >= q.v GROUP BY ALL),
+    {name}_hi AS (SELECT l.{by.replace(', ', ', l.')}, sum(coalesce(q.tot - q.fromn + 1, 0)) AS c FROM (SELECT *, cut - v AS th FROM {name}_l JOIN {name}_k USING ({by})) l
+       ASOF LEFT JOIN {name}_q q ON {' AND '.join(f'l.{b} = q.{b}' for b in by.split(', '))} AND l.th <= q.v GROUP BY ALL),
+    {name} AS (SELECT {by}, k.n, CASE WHEN cut = 0 THEN 1.0 ELSE (lo.c + hi.c)::DOUBLE / (nl::DOUBLE * qt.tot) END AS p_shift,
+       nl::DOUBLE * qt.tot AS n_randomizations
+       FROM {name}_k k JOIN {name}_lo lo USING ({by}) JOIN {name}_hi hi USING ({by}) JOIN (SELECT {by}, max(tot) AS tot FROM {name}_q GROUP BY {by}) qt USING ({by}))"""
+
+
+NORMAL_P = """(2 * CASE WHEN abs({z}) > 37 THEN 0 WHEN abs({z}) < 7.07106781186547 THEN exp(-({z})*({z})/2) *
+  ((((((3.52624965998911e-02*abs({z})+0.700383064443688)*abs({z})+6.37396220353165)*abs({z})+33.912866078383)*abs({z})+112.079291497871)*abs({z})+221.213596169931)*abs({z})+220.206867912376) /
+  (((((((8.83883476483184e-02*abs({z})+1.75566716318264)*abs({z})+16.064177579207)*abs({z})+86.7807322029461)*abs({z})+296.564248779674)*abs({z})+637.333633378831)*abs({z})+793.826512519948)*abs({z})+440.413735824752)
+  ELSE exp(-({z})*({z})/2) / (abs({z}) + 1/(abs({z}) + 2/(abs({z}) + 3/(abs({z}) + 4/(abs({z}) + 0.65))))) / 2.506628274631 END)"""
+
+
+def normal_p(z: str) -> str:
+    return NORMAL_P.replace("{z}", f"({z})")
+
+
+def hac_sql(name: str, src: str, by: str, y: str, x: str, lags: int, order="night_date") -> str:
+    """CTEs of a one-regressor Newey-West fit per group (src complete in x and y)."""
+    on = " AND ".join(f"a.{b} = b.{b}" for b in by.split(", "))
+    return f"""{name}_f AS (SELECT {by}, avg({x}) AS mx, avg({y}) AS my, covar_pop({x}, {y}) / var_pop({x}) AS b, var_pop({x}) * count(*) AS sxx,
+       var_pop({y}) * count(*) AS tss, count(*) AS n FROM {src} GROUP BY {by}),
+    {name}_z AS (SELECT s.*, ({x} - mx) * ({y} - my - b * ({x} - mx)) AS z, ({y} - my - b * ({x} - mx)) AS e,
+       row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS p FROM {src} s JOIN {name}_f USING ({by})),
+    {name}_m AS (SELECT a.{by.replace(', ', ', a.')}, sum(CASE WHEN a.p = b.p THEN a.z * a.z ELSE 2 * (1 - (a.p - b.p) / {lags + 1}.0::DOUBLE) * a.z * b.z END) AS meat
+       FROM {name}_z a JOIN {name}_z b ON {on} AND a.p - b.p BETWEEN 0 AND {lags} GROUP BY ALL),
+    {name}_e AS (SELECT {by}, sum(e * e) AS rss FROM {name}_z GROUP BY {by}),
+    {name} AS (SELECT {by}, b AS beta, sqrt(greatest(0, meat)) / sxx AS se, {normal_p('b / (sqrt(greatest(0, meat)) / sxx)')} AS p,
+       1 - rss / tss AS r2, n FROM {name}_f JOIN {name}_m USING ({by}) JOIN {name}_e USING ({by}))"""
+
+
+def bh_sql(name: str, src: str, p: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""{name} AS (SELECT *, least(1.0, min(raw) OVER ({part}ORDER BY k DESC)) AS p_bh FROM (
+       SELECT *, {p} * count(*) OVER ({part}) / k AS raw FROM (SELECT *, row_number() OVER ({part}ORDER BY {p}) AS k FROM {src})))"""

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskline.session import ship_package
 from duskline.sources.tables import Tables
 
 
@@ -25,6 +26,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return project(self.build(Tables(spark, sf_dir)), self.cols)
 
     def oracle(self) -> str | None:
