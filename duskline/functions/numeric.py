@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskline.functions.timeparts import _col
 
@@ -84,7 +85,7 @@ def normal_two_sided_p(z) -> Column:
     return F.lit(2.0) * F.when(x > 37, F.lit(0.0)).when(x < 7.07106781186547, bulk).otherwise(tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student-t tail by the incomplete-beta continued fraction, vectorised."""
     import math

@@ -100,18 +100,27 @@ def partial_spearman(
         val[f"v{i + 2}"] = F.when(_active(use, c), v).otherwise(F.lit(0.0))
     rows = rows.select(*by, *[e.alias(n) for n, e in val.items()])
     names = list(val)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    m = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs])
-    m = m.withColumns({f"o{a}": F.col(f"{a}{a}") for a in names})
-    for i in range(2, len(names)):
-        z, rest = names[i], names[:2] + names[i + 1:]
-        pivot = F.when(F.col(f"{z}{z}") > 1e-10 * F.col(f"o{z}"), F.col(f"{z}{z}"))
-        key = lambda a, b: f"{a}{b}" if (a, b) in pairs else f"{b}{a}"
-        m = m.withColumns({
-            f"{a}{b}": F.col(f"{a}{b}") - F.coalesce(F.col(key(a, z)) * F.col(key(b, z)) / pivot, F.lit(0.0))
-            for a, b in pairs if a in rest and b in rest})
-    ok = (F.col("n") >= min_n) & (F.col("v0v0") > 1e-10 * F.col("ov0")) & (F.col("v1v1") > 1e-10 * F.col("ov1"))
-    return m.select(*by, F.when(ok, F.col("v0v1") / F.sqrt(F.col("v0v0") * F.col("v1v1"))).alias("rho"), "n")
+    k = len(names)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    m = rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.array(*[F.covar_pop(names[i], names[j]) for i, j in upper]).alias("__u"))
+    at = {p: q for q, p in enumerate(upper)}
+    full = F.array(*[F.get("__u", F.lit(at[min(i, j), max(i, j)])) for i in range(k) for j in range(k)])
+    m = m.withColumn("__m", full)
+
+    def sweep(acc: Column, z: Column) -> Column:
+        pivot = F.get(acc, z * k + z)
+        usable = pivot > 1e-10 * F.get("__m", z * k + z)
+        return F.when(usable, F.transform(acc, lambda v, i: v - F.get(acc, F.floor(i / k).cast("int") * k + z)
+                                          * F.get(acc, z * k + i % k) / pivot)).otherwise(acc)
+
+    swept = F.aggregate(F.sequence(F.lit(2), F.lit(k - 1)), F.col("__m"), sweep) if covs else F.col("__m")
+    m = m.withColumn("__s", swept)
+    ok = (F.col("n") >= min_n) & (F.get("__s", F.lit(0)) > 1e-10 * F.get("__m", F.lit(0))) & (
+        F.get("__s", F.lit(k + 1)) > 1e-10 * F.get("__m", F.lit(k + 1)))
+    r = F.get("__s", F.lit(1)) / F.sqrt(F.get("__s", F.lit(0)) * F.get("__s", F.lit(k + 1)))
+    return m.select(*by, F.when(ok, r).alias("rho"), "n")
 
 
 def rank_residuals(df: DataFrame, x: str, y: str, covs=(), by=(), use=None, keep=()) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskline.functions.numeric import normal_two_sided_p, safe_div, student_two_sided_p
 
@@ -42,7 +43,10 @@ def _pinv(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a * s[:, :, None] * s[:, None, :], rcond=1e-10, hermitian=True) * s[:, :, None] * s[:, None, :]
 
 
-FIT = "beta array<double>, se array<double>, r2 double, sigma double, rss double"
+_VECTOR = T.ArrayType(T.DoubleType())
+FIT = T.StructType([
+    T.StructField("beta", _VECTOR), T.StructField("se", _VECTOR), T.StructField("r2", T.DoubleType()),
+    T.StructField("sigma", T.DoubleType()), T.StructField("rss", T.DoubleType())])
 
 
 @F.pandas_udf(FIT)
@@ -134,7 +138,7 @@ def hac_slope(df: DataFrame, y: str, x: str, order: str, by=(), lags: int = 7) -
                     (1 - safe_div("__rss", "__tss")).alias("r2"), "n")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(_VECTOR)
 def _sandwich(n: pd.Series, means: pd.Series, cov: pd.Series, meat: pd.Series) -> pd.Series:
     """Diagonal of the HAC covariance on the uncentred design (intercept first), as standard errors."""
     nv, m = n.to_numpy(float), np.vstack(means.to_numpy()).astype(float)[:, :-1]
