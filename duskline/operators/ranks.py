@@ -44,21 +44,12 @@ def rank_z(df: DataFrame, cols, by=(), prefix: str = "z_") -> DataFrame:
     return out.drop(*[f"__r_{c}" for c in cols])
 
 
-def range_edges(df: DataFrame, cols, pieces: int = 16) -> dict[str, list[float]]:
-    """Approximate quantiles of numeric columns, in one job: short lists that only balance the work."""
-    probs = [i / pieces for i in range(1, pieces)]
-    row = df.agg(*[F.percentile_approx(c, probs, 1000).alias(c) for c in cols]).first()
-    return {c: sorted(set(row[c] or [])) for c in cols}
-
-
-def cumulative_counts(
-    df: DataFrame, by, col: str, pieces: int = 16, edges=None, weight: str | None = None
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, by, col: str, pieces: int = 16, weight: str | None = None) -> DataFrame:
     """Distinct values of each group with their count, the count below, and the group total.
 
     1. fold ties: (group, value) counts, combined map-side;
-    2. cut the value axis at approximate quantiles of the whole column (`edges`
-       can be passed to reuse them), so one group spreads over many tasks;
+    2. cut each group's distinct values at approximate quantiles, so one group
+       spreads evenly over `pieces` tasks;
     3. running counts inside each (group, range);
     4. add the totals of the lower ranges, at most `pieces` rows per group.
     Raise `pieces` with the data: a task holds about 1/pieces of the distinct
@@ -66,14 +57,15 @@ def cumulative_counts(
     row after step 1. NULL values are left out. With `weight`, rows count that much.
     """
     by = _list(by)
-    cuts = range_edges(df, [col], pieces)[col] if edges is None else edges
     amount = F.count("*") if weight is None else F.sum(weight)
     freq = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(amount.alias("n"))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    freq = freq.withColumn("__piece", F.size(F.filter(arr, lambda e: e < F.col("value"))))
+    probs = [i / pieces for i in range(1, pieces)]
+    cuts = freq.groupBy(*by).agg(F.percentile_approx("value", probs, 1000).alias("__cuts"))
+    cut = freq.join(cuts, by) if by else freq.withColumn("__cuts", cuts.scalar())
+    cut = cut.withColumn("__piece", F.size(F.filter("__cuts", lambda e: e < F.col("value")))).drop("__cuts")
     inside = W.partitionBy(*by, "__piece").orderBy("value")
-    run = freq.withColumn("__below", F.sum("n").over(inside) - F.col("n"))
-    sums = freq.groupBy(*by, "__piece").agg(F.sum("n").alias("__n"))
+    run = cut.withColumn("__below", F.sum("n").over(inside) - F.col("n"))
+    sums = cut.groupBy(*by, "__piece").agg(F.sum("n").alias("__n"))
     pw = W.partitionBy(*(by or [F.lit(0)]))
     sums = sums.withColumns({
         "__before": F.sum("__n").over(pw.orderBy("__piece")) - F.col("__n"),
@@ -129,14 +121,13 @@ def top_share(df: DataFrame, score: str, share, order: str, by=(), out: str = "s
     share = F.lit(float(share)) if isinstance(share, (int, float)) else share
     neg = df.withColumns({"__neg": -F.col(score), "__share": share})
     groups = [*by, "__share"]
-    edges = range_edges(neg, ["__neg", order], pieces)
     k = F.ceil(F.round(F.col("__share") * F.col("total"), 9))
-    cut = cumulative_counts(neg, groups, "__neg", edges=edges["__neg"]).where(
+    cut = cumulative_counts(neg, groups, "__neg", pieces).where(
         (F.col("below") < k) & (k <= F.col("below") + F.col("n"))
     ).select(*groups, F.col("value").alias("__cut"), (k - F.col("below")).alias("__need"), F.col("n").alias("__tied"))
     flagged = neg.join(cut, groups, "left")
     tied = flagged.where((F.col("__neg") == F.col("__cut")) & (F.col("__need") < F.col("__tied")))
-    last = cumulative_counts(tied, [*groups, "__need"], order, edges=edges[order]).where(F.col("below") + 1 == F.col("__need")).select(
+    last = cumulative_counts(tied, [*groups, "__need"], order, pieces).where(F.col("below") + 1 == F.col("__need")).select(
         *groups, F.col("value").alias("__last"))
     flagged = flagged.join(last, groups, "left")
     chosen = (F.col("__neg") < F.col("__cut")) | (

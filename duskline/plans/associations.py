@@ -17,7 +17,9 @@ from duskline.session import settled
 from duskline.sources import mapping as m
 from duskline.sources.tables import Tables
 
-DEV = F.col("year").isin(list(m.DEV_YEARS))
+
+def in_dev():
+    return F.col("year").isin(list(m.DEV_YEARS))
 
 
 def fixed_nights(t: Tables) -> DataFrame:
@@ -83,7 +85,7 @@ def shift_test_by_year(t: Tables) -> DataFrame:
     b AS (SELECT regime, night_date, year, warmth AS x, sd_tmin AS y FROM nights WHERE sd_tmin IS NOT NULL AND year <= 1998)""",
        c.resid_sql("r", "b", "regime", (), "night_date, year"), c.shift_sql("p", "r", "regime", 4)) + "SELECT * FROM p")
 def stratified_shift_test(t: Tables) -> DataFrame:
-    n = fixed_nights(t).where(DEV)
+    n = fixed_nights(t).where(in_dev())
     r = at.rank_residuals(n, "warmth", "sd_tmin", (), ["regime"], keep=("night_date", "year"))
     return at.stratified_shift_p(r, "rx", "ry", "night_date", "year", ["regime"])
 
@@ -177,7 +179,7 @@ _SIMPSON_USE = {"clearness": "conditioning IN ('clearness', 'clearness+wind', 'c
     SELECT estimand, conditioning, c.r, p_shift, n FROM p JOIN (SELECT estimand, conditioning, corr(rx, ry) r FROM r GROUP BY 1, 2) c
     USING (estimand, conditioning) WHERE estimand <> 'within_regime' OR n > 20""")
 def simpson_decomposition(t: Tables) -> DataFrame:
-    return studies.simpson(fixed_nights(t).where(DEV), "warmth", "sd_tmin")
+    return studies.simpson(fixed_nights(t).where(in_dev()), "warmth", "sd_tmin")
 
 
 @query("saturation_within_regime", "T12 Q3", "metric:s rho p_shift p_bh n:i", c.with_(c.NIGHTS, """
@@ -187,7 +189,7 @@ def simpson_decomposition(t: Tables) -> DataFrame:
        c.resid_sql("r", "b", "metric", (), "night_date, year"), c.shift_sql("p", "r", "metric", 4), c.bh_sql("h", "(SELECT * FROM p WHERE n >= 20)", "p_shift")) + """
     SELECT metric, c.rho, p_shift, p_bh, n FROM h JOIN (SELECT metric, corr(rx, ry) rho FROM r GROUP BY 1) c USING (metric)""")
 def saturation_within_regime(t: Tables) -> DataFrame:
-    return studies.saturation(fixed_nights(t).where(DEV), "warmth")
+    return studies.saturation(fixed_nights(t).where(in_dev()), "warmth")
 
 
 @query("cooling_mechanism", "T8 Q3", "outcome:s beta se p r2 n:i", c.with_(c.NIGHTS, """
@@ -201,7 +203,7 @@ def cooling_mechanism(t: Tables) -> DataFrame:
     SELECT regime, count(*) AS n, avg(warmth) AS mean_warmth, avg(sd_tmin) AS mean_sd, avg(wind) AS mean_wind, avg(day_rad) AS mean_rad
     FROM nights WHERE year <= 1998 GROUP BY regime""")
 def regime_descriptives(t: Tables) -> DataFrame:
-    return m.nights(t).where(DEV).groupBy("regime").agg(
+    return m.nights(t).where(in_dev()).groupBy("regime").agg(
         F.count("*").alias("n"), F.avg("warmth").alias("mean_warmth"), F.avg("sd_tmin").alias("mean_sd"),
         F.avg("wind").alias("mean_wind"), F.avg("day_rad").alias("mean_rad"))
 
@@ -327,7 +329,7 @@ def observable_stability(t: Tables) -> DataFrame:
     r AS (SELECT k, {c.rank_avg('x', 'k')} rx, {c.rank_avg('y', 'k')} ry FROM l)
     SELECT split_part(k, '|', 1) AS a, split_part(k, '|', 2) AS b, corr(rx, ry) AS r, count(*) AS n FROM r GROUP BY k""")
 def confounder_screen(t: Tables) -> DataFrame:
-    return at.corr_matrix(m.nights(t).where(DEV), ["warmth", "sd_tmin", "day_rad", "clearness"])
+    return at.corr_matrix(m.nights(t).where(in_dev()), ["warmth", "sd_tmin", "day_rad", "clearness"])
 
 
 @query("indicator_correlations", "A23 R15", "a:s b:s r n:i", c.with_(c.SCREEN) + f""",
