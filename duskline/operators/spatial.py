@@ -339,7 +339,7 @@ def gp_cross_validation(stations: DataFrame, key: str, xy, y: str, se: str, fold
 
 
 # Distance, in length scales, at which the Matern-5/2 correlation has fallen to 0.10 and 0.05.
-MATERN52_RANGE = {0.10: 2.0595, 0.05: 2.5195}
+MATERN52_RANGE = {0.10: 2.213707462072211, 0.05: 2.6469004546668544}
 
 
 def kernel_summary(best: DataFrame, target_sd: Column) -> DataFrame:

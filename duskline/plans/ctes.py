@@ -223,3 +223,35 @@ def bh_sql(name: str, src: str, p: str, by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
     return f"""{name} AS (SELECT *, least(1.0, min(raw) OVER ({part}ORDER BY k DESC)) AS p_bh FROM (
        SELECT *, {p} * count(*) OVER ({part}) / k AS raw FROM (SELECT *, row_number() OVER ({part}ORDER BY {p}) AS k FROM {src})))"""
+
+
+def draw(seed: str, *keys: str) -> str:
+    """SQL of the counter draw, an integer in [0, 2^28)."""
+    text = "concat_ws('_', '" + seed + "'" + "".join(f", CAST({k} AS VARCHAR)" for k in keys) + ")"
+    return f"CAST('0x' || substr(md5({text}), 1, 7) AS BIGINT)"
+
+
+def normal_draw(seed: str, *keys: str) -> str:
+    u, v = f"({draw(seed + 'a', *keys)} / 268435456.0::DOUBLE)", f"({draw(seed + 'b', *keys)} / 268435456.0::DOUBLE)"
+    return f"(sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}))"
+
+
+def block_draws(name: str, spine: str, reps: int, seed: str, length="14", by: str = "") -> str:
+    """Calendar moving blocks of a spine with year and day_index (and optional by columns)."""
+    b = by + ", " if by else ""
+    return f"""{name}_s AS (SELECT {b}year, count(*) AS n, least({length}, count(*)) AS L FROM {spine} GROUP BY {b}year{', ' + length if not length.isdigit() and length not in by else ''}),
+    {name}_b AS (SELECT {b}year, n, L, replicate, j, {draw(seed, 'replicate', 'year', 'j')} % (n - L + 1) AS start
+      FROM (SELECT {b}year, n, L, replicate, unnest(range(CAST(ceil(n / L::DOUBLE) AS BIGINT))) AS j
+            FROM {name}_s, (SELECT unnest(range({reps})) AS replicate))),
+    {name} AS (SELECT {b}replicate, year, day_index, count(*) AS times FROM (
+      SELECT {b}replicate, year, unnest(range(start, start + least(L, n - j * L))) AS day_index FROM {name}_b) GROUP BY ALL)"""
+
+
+def cluster_draws(name: str, src: str, cluster: str, reps: int, seed: str, by: str = "") -> str:
+    b, part = (by + ", ", f"PARTITION BY {by} ") if by else ("", "")
+    using = f"USING ({b}i)"
+    return f"""{name}_i AS (SELECT {b}{cluster}, row_number() OVER ({part}ORDER BY {cluster}) - 1 AS i,
+        count(*) OVER ({part if by else ''}) AS k FROM (SELECT DISTINCT {b}{cluster} FROM {src})),
+    {name}_d AS (SELECT {b}replicate, {draw(seed, 'replicate', 'slot')} % k AS i, count(*) AS times
+        FROM (SELECT {b}i AS slot, k FROM {name}_i), (SELECT unnest(range({reps})) AS replicate) GROUP BY ALL),
+    {name} AS (SELECT {b}replicate, {cluster}, times FROM {name}_d JOIN {name}_i {using})"""
