@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duskline.functions.numeric import safe_div
+from duskline.session import settled
 
 
 def _list(x) -> list[str]:
@@ -110,29 +111,51 @@ def exact_quantiles(df: DataFrame, by, col: str, ps, pieces: int = 16) -> DataFr
         *by, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("quantile"))
 
 
-def top_share(df: DataFrame, score: str, share, order: str, by=(), out: str = "selected", pieces: int = 16) -> DataFrame:
-    """Flag exactly ceil(share * n) rows per group, best score first, ties by `order`.
+def top_shares(df: DataFrame, score: str, shares, order: str, by=(), out: str = "selected", pieces: int = 16) -> DataFrame:
+    """Flag exactly ceil(share * n) rows per group for several shares: an array of booleans, one per share.
 
-    share is a number or a column that is constant within the group. The cut
-    score comes from `cumulative_counts`; rows tied at the cut are ranked by
-    `order` the same way, so no group is ever sorted in one task.
+    Best score first, ties by `order`. All cut scores come from one
+    `cumulative_counts`; only rows tied at a cut are ranked by `order`, the same
+    way, so no group is ever sorted in one task. The cut table has one small
+    row per group. The scored table is read several times, so it is settled
+    first: pass only the columns needed.
     """
-    by = _list(by)
-    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
-    neg = df.withColumns({"__neg": -F.col(score), "__share": share})
-    groups = [*by, "__share"]
-    k = F.ceil(F.round(F.col("__share") * F.col("total"), 9))
-    cut = cumulative_counts(neg, groups, "__neg", pieces).where(
-        (F.col("below") < k) & (k <= F.col("below") + F.col("n"))
-    ).select(*groups, F.col("value").alias("__cut"), (k - F.col("below")).alias("__need"), F.col("n").alias("__tied"))
-    flagged = neg.join(cut, groups, "left")
-    tied = flagged.where((F.col("__neg") == F.col("__cut")) & (F.col("__need") < F.col("__tied")))
-    last = cumulative_counts(tied, [*groups, "__need"], order, pieces).where(F.col("below") + 1 == F.col("__need")).select(
-        *groups, F.col("value").alias("__last"))
-    flagged = flagged.join(last, groups, "left")
-    chosen = (F.col("__neg") < F.col("__cut")) | (
-        (F.col("__neg") == F.col("__cut")) & (F.col("__last").isNull() | (F.col(order) <= F.col("__last"))))
-    return flagged.withColumn(out, F.coalesce(chosen, F.lit(False))).drop("__neg", "__share", "__cut", "__need", "__tied", "__last")
+    by, shares = _list(by), [float(s) for s in shares]
+    neg = settled(df.withColumn("__neg", -F.col(score)))
+    ks = F.array(*[F.struct(F.lit(i).alias("i"), F.ceil(F.round(F.lit(s) * F.col("total"), 9)).alias("k")) for i, s in enumerate(shares)])
+    cc = cumulative_counts(neg, by, "__neg", pieces).select("*", F.inline(ks))
+    cut = cc.where((F.col("below") < F.col("k")) & (F.col("k") <= F.col("below") + F.col("n")))
+    cuts = settled(cut.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
+        "i", F.col("value").alias("cut"), (F.col("k") - F.col("below")).alias("need"), F.col("n").alias("tied")))).alias("__c")))
+
+    def attach(d: DataFrame, small: DataFrame, name: str) -> DataFrame:
+        return d.join(small, by, "left") if by else d.withColumn(name, small.select(name).scalar())
+
+    flagged = attach(neg, cuts, "__c")
+    open_ties = F.filter("__c", lambda c: (F.col("__neg") == c["cut"]) & (c["need"] < c["tied"]))
+    tied = flagged.where(F.size(open_ties) > 0).select(*by, order, F.inline(open_ties))
+    last = cumulative_counts(tied, [*by, "i", "need"], order, pieces).where(F.col("below") + 1 == F.col("need"))
+    lasts = last.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("__l"))
+    flagged = attach(flagged, lasts, "__l")
+
+    def chosen(c: Column) -> Column:
+        stop = F.try_element_at("__l", c["i"])
+        return (F.col("__neg") < c["cut"]) | ((F.col("__neg") == c["cut"]) & (stop.isNull() | (F.col(order) <= stop)))
+
+    return flagged.withColumn(out, F.transform("__c", lambda c: F.coalesce(chosen(c), F.lit(False)))).drop("__neg", "__c", "__l")
+
+
+def top_share(df: DataFrame, score: str, share: float, order: str, by=(), out: str = "selected", pieces: int = 16) -> DataFrame:
+    """`top_shares` for one share: a boolean column."""
+    f = top_shares(df, score, [share], order, by, "__sel", pieces)
+    return f.withColumn(out, F.get("__sel", F.lit(0))).drop("__sel")
+
+
+def by_share(df: DataFrame, shares, *flags: str) -> DataFrame:
+    """One row per share from array flags of `top_shares`."""
+    arr = F.array(*[F.lit(float(s)) for s in shares])
+    rest = [c for c in df.columns if c not in flags]
+    return df.select(*rest, F.inline(F.arrays_zip(arr.alias("share"), *[F.col(f) for f in flags])))
 
 
 # Tier names from the lowest to the highest, and their quantiles.

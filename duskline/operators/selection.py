@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from duskline.functions.counter import draw_normal
 from duskline.functions.numeric import clip, safe_div
-from duskline.operators.ranks import pct_rank, top_share
+from duskline.operators.ranks import by_share, pct_rank, top_shares
+from duskline.session import settled
 
 # Components, weight scenarios before normalisation, shares.
 COMPONENTS = ("heat", "elderly", "cooling", "intensity")
@@ -75,33 +76,36 @@ DECISION = ["heat_field", "weight_scenario", "population_lens"]
 
 
 def multiverse(scored: DataFrame, key: str, shares=TOP_SHARES, baseline=("gp", "baseline", "qmargin"), pieces: int = 16) -> DataFrame:
-    """Selections of all decisions and shares, each beside the baseline decision's selection of the cell."""
-    rows = scored.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    sel = top_share(rows, "score", F.col("share"), key, DECISION, pieces=pieces)
+    """Selections of all decisions, each beside the baseline decision's selection of the cell.
+
+    selected and baseline are arrays aligned with shares; `by_share` turns them
+    into rows when a report needs it.
+    """
+    sel = top_shares(scored, "score", shares, key, DECISION, pieces=pieces)
     base = F.lit(True)
     for c, v in zip(DECISION, baseline):
         base = base & (F.col(c) == v)
-    per_cell = W.partitionBy(key, "share")
-    return sel.withColumn("baseline", F.max(F.when(base, F.col("selected"))).over(per_cell))
+    return sel.withColumn("baseline", F.max(F.when(base, F.col("selected"))).over(W.partitionBy(key)))
 
 
-def decision_table(sel: DataFrame, cells: DataFrame, key: str, population: str) -> DataFrame:
+def decision_table(sel: DataFrame, cells: DataFrame, key: str, population: str, shares=TOP_SHARES) -> DataFrame:
     """Per decision and share: size, overlap and Jaccard with the baseline, selected population."""
     s, b = F.col("selected"), F.col("baseline")
-    g = sel.join(cells.select(key, population), key).groupBy(*DECISION, "share").agg(
+    rows = by_share(sel.join(cells.select(key, population), key), shares, "selected", "baseline")
+    g = rows.groupBy(*DECISION, "share").agg(
         F.count_if(s).alias("n_selected"), F.count_if(s & b).alias("overlap"), F.count_if(s | b).alias("__u"),
         F.sum(F.when(s, F.col(population)).otherwise(0.0)).alias("selected_population"))
     return g.withColumn("jaccard", safe_div("overlap", "__u")).drop("__u")
 
 
-def selection_frequency(sel: DataFrame, key: str, baseline=("gp", "baseline", "qmargin")) -> DataFrame:
+def selection_frequency(sel: DataFrame, key: str, baseline=("gp", "baseline", "qmargin"), shares=TOP_SHARES) -> DataFrame:
     """Per cell and share: selection frequency over all decisions and along each dimension."""
     f, w, l = (F.col(c) for c in DECISION)
     bf, bw, bl = baseline
     s = F.col("selected").cast("double")
     freq = lambda cond: F.avg(F.when(cond, s))
     loo = w.startswith("leave_out_")
-    return sel.groupBy(key, "share").agg(
+    return by_share(sel, shares, "selected", "baseline").groupBy(key, "share").agg(
         F.max("baseline").alias("baseline"), F.avg(s).alias("freq_all"),
         freq((f == bf) & (l == bl)).alias("freq_weights"), freq((f == bf) & (w == bw)).alias("freq_lenses"),
         freq((w == bw) & (l == bl)).alias("freq_fields"), freq((f == bf) & (l == bl) & loo).alias("freq_leave_one_out"))
@@ -139,12 +143,12 @@ def mc_select(
     Replicates are rows; a draw depends only on (seed, replicate, cell).
     """
     rows = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rows = rows.withColumn("__d", F.round(F.col(mu) + F.col(sd) * draw_normal(seed, "replicate", key), 6))
+    drawn = F.round(F.col(mu) + F.col(sd) * draw_normal(seed, "replicate", key), 6).alias("__d")
+    rows = settled(rows.select(key, "replicate", "elderly", "cooling", "intensity", drawn))
     rows = pct_rank(rows, "__d", "replicate", "heat_draw", pieces=pieces)
     rows = rows.withColumn("__score", score("heat_draw", "elderly", "cooling", "intensity", weights))
-    rows = rows.select(key, "replicate", "__score", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
-    sel = top_share(rows, "__score", F.col("share"), key, ["replicate"], pieces=pieces)
-    return sel.groupBy(key, "share").agg(F.avg(F.col("selected").cast("double")).alias("frequency"))
+    sel = top_shares(rows.select(key, "replicate", "__score"), "__score", shares, key, ["replicate"], pieces=pieces)
+    return by_share(sel, shares, "selected").groupBy(key, "share").agg(F.avg(F.col("selected").cast("double")).alias("frequency"))
 
 
 def mc_select_correlated(
@@ -165,16 +169,15 @@ def mc_select_correlated(
         v = F.col(mu) + F.col(sd) * z
         draws.append(F.round(clip(v, *clip_second) if i == 1 else v, 6))
     keep = [key, "replicate", "rho", "elderly", "cooling", "intensity"]
-    long = rows.select(*keep, F.posexplode(F.array(*draws)).alias("outcome", "value"))
+    long = settled(rows.select(*keep, F.posexplode(F.array(*draws)).alias("outcome", "value")))
     r = pct_rank(long, "value", ["replicate", "rho", "outcome"], "pct", pieces=pieces)
     heat = r.groupBy(*keep).pivot("outcome", list(range(len(outcomes)))).agg(F.max("pct"))
     total = F.col("0")
     for i in range(1, len(outcomes)):
         total = total + F.col(str(i))
     s = heat.withColumn("__score", score(total / float(len(outcomes)), "elderly", "cooling", "intensity", weights))
-    s = s.select(key, "replicate", "rho", "__score", F.explode(F.array(*[F.lit(float(v)) for v in shares])).alias("share"))
-    sel = top_share(s, "__score", F.col("share"), key, ["replicate", "rho"], pieces=pieces)
-    return sel.groupBy(key, "rho", "share").agg(F.avg(F.col("selected").cast("double")).alias("frequency"))
+    sel = top_shares(s.select(key, "replicate", "rho", "__score"), "__score", shares, key, ["replicate", "rho"], pieces=pieces)
+    return by_share(sel, shares, "selected").groupBy(key, "rho", "share").agg(F.avg(F.col("selected").cast("double")).alias("frequency"))
 
 
 def tier_report(df: DataFrame, tier: str, sums: dict[str, str], medians: dict[str, Column], order) -> DataFrame:

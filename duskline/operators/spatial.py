@@ -279,7 +279,7 @@ def gp_hyperparameters(stations: DataFrame, xy, y: str, se: str, candidates, by,
     schema = T.StructType([f for f in rows.schema.fields if f.name in keys] + [T.StructField("lml", T.DoubleType())])
     xc, yc = list(xy)
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p = dict(zip(keys, key))
         f = _gp_fit(pdf[[xc, yc]].to_numpy(float), pdf[y].to_numpy(float), pdf[se].to_numpy(float), p["length"], p["signal"], p["noise"])
         return pd.DataFrame([[*key, f[4]]], columns=[*keys, "lml"])
@@ -294,7 +294,8 @@ def gp_field(cells: DataFrame, key: str, cell_xy, stations: DataFrame, xy, y: st
     """Predict mean and SD at cells, region by region; cells are cut into chunks, each meeting its region's stations."""
     by = _list(by)
     chunks = max(1, math.ceil(cells.count() / per_chunk))
-    c = cells.select(*by, key, *cell_xy).withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+    # aliases give the cell side its own columns even when both sides come from one table
+    c = cells.select(*[F.col(b).alias(b) for b in [*by, key, *cell_xy]]).withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
     s = stations.join(best, by).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select(
         *by, "__chunk", *xy, y, se, "length", "signal", "noise")
     out = T.StructType([cells.schema[b] for b in by] + [cells.schema[key], T.StructField("gp_mean", T.DoubleType()), T.StructField("gp_sd", T.DoubleType())])

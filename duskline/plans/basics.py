@@ -579,11 +579,8 @@ def reading_ranks(t: Tables) -> DataFrame:
     SELECT cell_id, canopy, row_number() OVER (ORDER BY canopy DESC, cell_id) <= ceil(0.05 * count(*) OVER ()) AS top05,
            row_number() OVER (ORDER BY canopy DESC, cell_id) <= ceil(0.2 * count(*) OVER ()) AS top20 FROM cells""")
 def top_share_of_cells(t: Tables) -> DataFrame:
-    each = joins.factor_levels(m.screen_cells(t), share=(0.05, 0.20))
-    flags = ranks.top_share(each, "canopy", F.col("share"), "cell_id")
-    return flags.groupBy("cell_id", "canopy").agg(
-        F.bool_or((F.col("share") == 0.05) & F.col("selected")).alias("top05"),
-        F.bool_or((F.col("share") == 0.20) & F.col("selected")).alias("top20"))
+    f = ranks.top_shares(m.screen_cells(t), "canopy", (0.05, 0.20), "cell_id", out="top")
+    return f.withColumns({"top05": F.get("top", F.lit(0)), "top20": F.get("top", F.lit(1))})
 
 
 @query("score_tiers", "W8", "cell_id:i tier:s", c.with_(c.SCREEN) + """,

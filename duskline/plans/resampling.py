@@ -102,7 +102,7 @@ SCOPED = """cal AS MATERIALIZED (SELECT k.year, k.night_date, k.day_index, n.* E
     k AS (SELECT scope, year, day_index, warmth, sd_tmin FROM cal WHERE regime = 'calm_clear' AND sd_tmin IS NOT NULL),
     e AS (SELECT scope, replicate, warmth, sd_tmin FROM (SELECT k.*, replicate, unnest(range(times)) FROM bd JOIN k USING (scope, year, day_index)))""",
        c.partial_sql("b", "e", "scope, replicate", "warmth", "sd_tmin", (), 8), c.partial_sql("o", "k", "scope", "warmth", "sd_tmin", (), 8)) + f"""
-    SELECT scope, o.rho, o.n, ci_low, ci_high, n_valid FROM o JOIN (SELECT scope, {CI.format(v='rho')}, count(rho) AS n_valid FROM b GROUP BY 1) USING (scope)""")
+    SELECT scope, o.rho, o.n, CASE WHEN n_valid >= 100 THEN ci_low END AS ci_low, CASE WHEN n_valid >= 100 THEN ci_high END AS ci_high, n_valid FROM o JOIN (SELECT scope, {CI.format(v='rho')}, count(rho) AS n_valid FROM b GROUP BY 1) USING (scope)""")
 def calendar_block_bootstrap(t: Tables) -> DataFrame:
     return rs.block_boot(scoped_calendar(t, fixed_nights(t)), "warmth", "sd_tmin", F.col("regime") == "calm_clear", 200, "r4", by=["scope"])
 

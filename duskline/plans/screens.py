@@ -123,7 +123,8 @@ def distinct_decision_frequency(t: Tables) -> DataFrame:
     scored = settled(decisions(t))
     keep = sl.decision_signatures(scored, "cell_id").where(~F.col("duplicate")).select(*sl.DECISION)
     sel = sl.multiverse(scored.join(keep, sl.DECISION, "left_semi"), "cell_id")
-    return sel.groupBy("cell_id", "share").agg(F.avg(F.col("selected").cast("double")).alias("frequency"))
+    return ranks.by_share(sel, sl.TOP_SHARES, "selected", "baseline").groupBy("cell_id", "share").agg(
+        F.avg(F.col("selected").cast("double")).alias("frequency"))
 
 
 _MC = f"""dr AS (SELECT cell_id, replicate, round(c.heat_gp + heat_sd * {c.normal_draw('mc', 'replicate', 'cell_id')}, 6) AS d, rk.qmargin AS e, rk.cooling AS co, rk.intensity AS i
@@ -200,7 +201,7 @@ _TIER = SCORED + """, one AS (SELECT cell_id, max(CASE WHEN heat_field = 'gp' TH
 def tiered(t: Tables) -> DataFrame:
     r = ranked_cells(t)
     s = r.select("cell_id", *[sl.score(h, "qmargin", "cooling", "intensity", W["baseline"]).alias(n) for n, h in (("s1", "heat_gp"), ("s2", "heat_idw"))])
-    return ranks.tiers(ranks.tiers(s, "s1"), "s2", out="tier2")
+    return ranks.tiers(settled(ranks.tiers(settled(s), "s1")), "s2", out="tier2")
 
 
 @query("tier_report", "X15 W8 Q21", "tier:s tier_order:i n_cells:i residents:f2 mean_canopy:f2 median_refuge:f2", c.with_(_TIER) + """
@@ -208,7 +209,7 @@ def tiered(t: Tables) -> DataFrame:
            round(sum(residents), 2) AS residents, round(avg(canopy), 2) AS mean_canopy, round(quantile_cont(refuge_m, 0.5), 2) AS median_refuge
     FROM tt JOIN cells USING (cell_id) GROUP BY tier""")
 def tier_report(t: Tables) -> DataFrame:
-    df = tiered(t).join(m.screen_cells(t), "cell_id")
+    df = settled(tiered(t).join(m.screen_cells(t), "cell_id"))
     med = ranks.exact_quantiles(df, "tier", "refuge_m", (0.5,)).select("tier", F.round("quantile", 2).alias("median_refuge"))
     rep = sl.tier_report(df, "tier", {"residents": "residents"}, {"mean_canopy": F.avg("canopy")}, ranks.TIERS[::-1])
     return rep.join(med, "tier")

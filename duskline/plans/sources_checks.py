@@ -210,11 +210,10 @@ def claims_in_texts(t: Tables) -> DataFrame:
 
 @query("written_and_read_back", "S8 S9", "fmt:s n:i total")
 def written_and_read_back(t: Tables) -> DataFrame:
-    from duskline.session import ensure_checkpoint_dir
+    from duskline.session import shared_folder
     from duskline.sources import writers
 
-    ensure_checkpoint_dir(t.spark)
-    folder = t.spark.sparkContext.getCheckpointDir() + "/exports"
+    folder = shared_folder(t.spark) + "/exports"
     city = m.city_nights(t).select(F.year("night_date").alias("year"), "night_date", "n_stations", "warmth")
     parts = []
     for fmt in ("parquet", "csv", "json"):

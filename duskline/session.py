@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "duskline", **conf: str) -> SparkSession:
@@ -61,11 +62,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def settled(df):
-    """Checkpoint a pre-aggregated table, so later steps do not re-scan the raw readings.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
-    Reliable checkpointing: the files live in shared storage and survive the
-    loss of executors.
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where a folded table feeds several later steps: the raw readings are
+    scanned once, lineage is cut, and the files outlive lost executors. The
+    read side keeps column pruning and known sizes, so small tables broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
