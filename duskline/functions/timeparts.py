@@ -1,7 +1,8 @@
 """Event-time alignment as column expressions.
 
 All timestamps are TIMESTAMP_NTZ read as UTC, and local wall clock is also
-TIMESTAMP_NTZ, so nothing here depends on the session time zone.
+TIMESTAMP_NTZ. The session time zone must be UTC (get_session sets it):
+Spark takes differences of such timestamps through the session zone.
 """
 
 from __future__ import annotations

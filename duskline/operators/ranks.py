@@ -45,12 +45,22 @@ def rank_z(df: DataFrame, cols, by=(), prefix: str = "z_") -> DataFrame:
     return out.drop(*[f"__r_{c}" for c in cols])
 
 
+def _count_below(cuts: str, n: int) -> Column:
+    """How many of the n cut points lie below `value`; plain comparisons compile, a lambda would be interpreted."""
+    if n > 64:
+        return F.size(F.filter(cuts, lambda e: e < F.col("value")))
+    below = F.lit(0)
+    for i in range(n):
+        below = below + F.coalesce(F.get(cuts, F.lit(i)) < F.col("value"), F.lit(False)).cast("int")
+    return below
+
+
 def cumulative_counts(df: DataFrame, by, col: str, pieces: int = 16, weight: str | None = None) -> DataFrame:
     """Distinct values of each group with their count, the count below, and the group total.
 
     1. fold ties: (group, value) counts, combined map-side;
-    2. cut each group's distinct values at approximate quantiles, so one group
-       spreads evenly over `pieces` tasks;
+    2. cut each group's values at approximate quantiles (a mergeable sketch), so
+       one group spreads over `pieces` tasks;
     3. running counts inside each (group, range);
     4. add the totals of the lower ranges, at most `pieces` rows per group.
     Raise `pieces` with the data: a task holds about 1/pieces of the distinct
@@ -61,9 +71,9 @@ def cumulative_counts(df: DataFrame, by, col: str, pieces: int = 16, weight: str
     amount = F.count("*") if weight is None else F.sum(weight)
     freq = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(amount.alias("n"))
     probs = [i / pieces for i in range(1, pieces)]
-    cuts = freq.groupBy(*by).agg(F.percentile_approx("value", probs, 1000).alias("__cuts"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(col, probs, 1000).alias("__cuts"))
     cut = freq.join(cuts, by) if by else freq.withColumn("__cuts", cuts.scalar())
-    cut = cut.withColumn("__piece", F.size(F.filter("__cuts", lambda e: e < F.col("value")))).drop("__cuts")
+    cut = cut.withColumn("__piece", _count_below("__cuts", pieces - 1)).drop("__cuts")
     inside = W.partitionBy(*by, "__piece").orderBy("value")
     run = cut.withColumn("__below", F.sum("n").over(inside) - F.col("n"))
     sums = cut.groupBy(*by, "__piece").agg(F.sum("n").alias("__n"))

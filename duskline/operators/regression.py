@@ -28,6 +28,24 @@ def moments(cols, weight: Column | None = None) -> list[Column]:
     return [F.count("*").cast("double").alias("n"), F.array(*[F.avg(x) for x in c]).alias("means"), F.array(*cov).alias("cov")]
 
 
+def shifted_moments(df: DataFrame, cols, by) -> DataFrame:
+    """`moments` for many columns: plain sums of products around the table's own means.
+
+    A sum needs one buffer where a covariance needs four; shifting by the
+    overall means keeps the subtraction of squares harmless.
+    """
+    k = len(cols)
+    st = df.agg(F.array(*[F.avg(c) for c in cols]).alias("m")).scalar()
+    d = df.withColumn("__m", st)
+    d = d.select(*by, "__m", *[(F.col(c) - F.get("__m", F.lit(i))).alias(f"__d{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    g = d.groupBy(*by).agg(
+        F.count("*").cast("double").alias("n"), F.first("__m").alias("__m"), *[F.avg(f"__d{i}").alias(f"__a{i}") for i in range(k)],
+        *[F.avg(F.col(f"__d{i}") * F.col(f"__d{j}")).alias(f"__p{i}_{j}") for i, j in pairs])
+    return g.select(*by, "n", F.array(*[F.col(f"__a{i}") + F.get("__m", F.lit(i)) for i in range(k)]).alias("means"),
+                    F.array(*[F.col(f"__p{i}_{j}") - F.col(f"__a{i}") * F.col(f"__a{j}") for i, j in pairs]).alias("cov"))
+
+
 def _square(flat: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros((len(flat), k, k))
     i, j = np.triu_indices(k)
@@ -72,7 +90,9 @@ def _fit(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
 def fit(df: DataFrame, y: str, xs, by=()) -> DataFrame:
     """One row per group: n and the fitted struct. Rows with a missing value are dropped listwise."""
     by, xs = _list(by), list(xs)
-    m = df.na.drop(subset=[*xs, y]).groupBy(*by).agg(*moments([*xs, y])).where(F.col("n") > len(xs) + 1)
+    rows = df.na.drop(subset=[*xs, y])
+    m = rows.groupBy(*by).agg(*moments([*xs, y])) if len(xs) <= 5 else shifted_moments(rows, [*xs, y], by)
+    m = m.where(F.col("n") > len(xs) + 1)
     return m.select(*by, F.col("n").cast("long").alias("n"), _fit("n", "means", "cov").alias("f"))
 
 

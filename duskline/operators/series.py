@@ -110,18 +110,21 @@ def interpolate(df: DataFrame, by, ts: str, value: str, step_minutes: int = 5, l
     days = days.select(
         *by, "day",
         F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("prev"),
-        F.first("first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("next"))
+        F.last("first", ignorenulls=True).over(
+            W.partitionBy(*by).orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)).alias("next"))
     base = F.col("day").cast("timestamp_ntz")
     minutes = F.sequence(F.lit(0), F.lit(24 * 60 - step_minutes), F.lit(step_minutes))
     grid = days.withColumn("__m", F.explode(minutes)).select(
         *by, "day", F.timestamp_add("MINUTE", F.col("__m"), base).alias("ts"), F.lit(True).alias("__grid"))
     both = obs.join(grid, [*by, "day", "ts"], "full").join(days, [*by, "day"])
     w = W.partitionBy(*by, "day").orderBy("ts")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    back = w.rowsBetween(W.unboundedPreceding, 0)
+    # looking ahead as looking back in reverse order: a running frame, linear in the rows
+    ahead = W.partitionBy(*by, "day").orderBy(F.desc("ts")).rowsBetween(W.unboundedPreceding, 0)
     seen = F.when(F.col("v").isNotNull(), point)
     both = both.withColumns({
         "__a": F.coalesce(F.last(seen, ignorenulls=True).over(back), F.col("prev")),
-        "__b": F.coalesce(F.first(seen, ignorenulls=True).over(ahead), F.col("next")),
+        "__b": F.coalesce(F.last(seen, ignorenulls=True).over(ahead), F.col("next")),
         "__block": F.count("v").over(back)})
     prev_day = F.to_date("prev.ts")
     into_day = F.floor(tp.hours_since("prev.ts", prev_day.cast("timestamp_ntz")) * 60 / step_minutes)

@@ -112,10 +112,13 @@ def idw(cells: DataFrame, key: str, cell_xy, stations: DataFrame, station_key: s
     q = cells.select(F.col(key).alias("__q"), F.col(cx).alias("__x"), F.col(cy).alias("__y")).withColumn("__tiles", ids)
     q = q.withColumn("tile", F.explode("__tiles")).drop("__tiles")
     j = q.join(t.select("tile", "points"), "tile")
-    d = lambda p: F.sqrt((p["x"] - F.col("__x")) * (p["x"] - F.col("__x")) + (p["y"] - F.col("__y")) * (p["y"] - F.col("__y")))
-    weighted = F.transform("points", lambda p: F.struct(F.pow(F.greatest(F.lit(1e-9), d(p)), F.lit(-float(power))).alias("w"), p["v"].alias("v"),
-                                                         (d(p) <= 1e-9).alias("hit"), p["id"].alias("id")))
-    j = j.select("__q", weighted.alias("ws"))
+    near = 1e-18  # squared distance of an exact hit
+    d2 = F.transform("points", lambda p: F.struct(
+        F.greatest(F.lit(near), (p["x"] - F.col("__x")) * (p["x"] - F.col("__x")) + (p["y"] - F.col("__y")) * (p["y"] - F.col("__y"))).alias("d2"),
+        p["v"].alias("v"), p["id"].alias("id")))
+    weight = (lambda s: 1 / s["d2"]) if power == 2.0 else (lambda s: F.pow(s["d2"], F.lit(-power / 2)))
+    j = j.select("__q", F.transform(d2, lambda s: F.struct(
+        weight(s).alias("w"), s["v"].alias("v"), (s["d2"] <= near).alias("hit"), s["id"].alias("id"))).alias("ws"))
     total = lambda f: F.aggregate("ws", F.lit(0.0), lambda a, s: a + f(s))
     hits = F.array_min(F.transform(F.filter("ws", lambda s: s["hit"]), lambda s: F.struct(s["id"].alias("id"), s["v"].alias("v"))))
     part = j.select("__q", total(lambda s: s["w"]).alias("w"), total(lambda s: s["w"] * s["v"]).alias("wv"), hits.alias("hit"))

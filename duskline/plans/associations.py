@@ -347,7 +347,7 @@ def indicator_correlations(t: Tables) -> DataFrame:
     SELECT CASE WHEN NOT complete THEN 'incomplete_window' WHEN slope IS NULL THEN 'late_peak' WHEN driver IS NULL THEN 'missing_driver' ELSE 'kept' END AS reason,
            count(*) AS n, avg(slope / peak_sd) AS mean_ratio FROM g GROUP BY 1""")
 def profile_dropout_reasons(t: Tables) -> DataFrame:
-    p = sunset_profile(t).where(F.col("hbin").between(0.0, 6.0))
+    p = settled(sunset_profile(t).where(F.col("hbin").between(0.0, 6.0)))
     g = series.complete(p, "night_date", "hbin", 0.0, 6.0).join(series.tail_slope(p, "night_date", "hbin", "sd"), "night_date").join(
         p.groupBy("night_date").agg(F.max("sd").alias("peak_sd"), F.avg("mean").alias("driver")), "night_date")
     r = studies.retention(g, ["driver"])

@@ -11,6 +11,7 @@ from duskline.operators import aggregates as ag
 from duskline.operators import joins, panel, ranks, scalars, series
 from duskline.plans import ctes as c
 from duskline.plans.registry import query
+from duskline.session import settled
 from duskline.sources import mapping as m
 from duskline.sources.tables import Tables
 
@@ -268,10 +269,21 @@ since AS (
   FROM evening e JOIN sunset USING (night_date))"""
 
 
+def sunsets(t: Tables) -> DataFrame:
+    """Local sunset of every day the readings span, from the first to the last timestamp.
+
+    One row per calendar day: the trigonometry never touches the readings, and
+    the span is a min/max over a single column.
+    """
+    span = t.events.agg(F.date_sub(F.to_date(F.min("ts")), 1).alias("d0"), F.date_add(F.to_date(F.max("ts")), 1).alias("d1"))
+    days = span.select(F.explode(F.sequence("d0", "d1")).alias("night_date"))
+    return days.withColumn("sunset_local", tp.to_local(solar.sunset_utc("night_date", m.LAT, m.LON), m.TZ))
+
+
 def since_sunset(t: Tables) -> DataFrame:
     """Valid readings with hours since sunset, by interval midpoint (hss) and by interval end (hss_end)."""
     r = m.clean_local(t).withColumn("night_date", tp.night_date("loc_ts", 12))
-    s = r.withColumn("sunset_local", tp.to_local(solar.sunset_utc("night_date", m.LAT, m.LON), m.TZ))
+    s = r.join(sunsets(t), "night_date")
     return s.withColumns({"hss": tp.hours_since(tp.midpoint("loc_ts"), "sunset_local"),
                           "hss_end": tp.hours_since("loc_ts", "sunset_local")})
 
@@ -280,9 +292,7 @@ def since_sunset(t: Tables) -> DataFrame:
     SELECT event_id, station, night_date, hss FROM since WHERE hss BETWEEN -1 AND 9.5""")
 def readings_near_sunset(t: Tables) -> DataFrame:
     r = m.clean_local(t).withColumn("night_date", tp.night_date("loc_ts", 12))
-    sun = r.select("night_date").distinct().withColumn(
-        "sunset_local", tp.to_local(solar.sunset_utc("night_date", m.LAT, m.LON), m.TZ))
-    return joins.range_join(r, sun, "night_date", tp.hours_since(tp.midpoint("loc_ts"), "sunset_local"), -1.0, 9.5, "hss")
+    return joins.range_join(r, sunsets(t), "night_date", tp.hours_since(tp.midpoint("loc_ts"), "sunset_local"), -1.0, 9.5, "hss")
 
 
 @query("matched_hours", "J14 P10 A19 Q19", "part:s n:i bias mae rmse q025 q975", c.with_(c.READINGS) + """,
@@ -603,7 +613,7 @@ def score_tiers(t: Tables) -> DataFrame:
            arg_min(sd, hbin) AS first_y, arg_max(sd, hbin) AS last_y
     FROM g GROUP BY night_date""")
 def profile_scalars(t: Tables) -> DataFrame:
-    p = sunset_profile(t).where(F.col("hbin").between(0.0, 6.0))
+    p = settled(sunset_profile(t).where(F.col("hbin").between(0.0, 6.0)))
     out = series.complete(p, "night_date", "hbin", 0.0, 6.0)
     out = out.join(series.trapezoid(p, "night_date", "hbin", "sd"), "night_date")
     out = out.join(series.tail_slope(p, "night_date", "hbin", "sd"), "night_date")

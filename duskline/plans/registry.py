@@ -27,6 +27,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return project(self.build(Tables(spark, sf_dir)), self.cols)
 
     def oracle(self) -> str | None:
