@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from duskline.functions.numeric import safe_div
 from duskline.operators.aggregates import guarded_corr
 from duskline.operators.ranks import avg_rank, cumulative_counts
+from duskline.session import settled
 
 
 def _list(x) -> list[str]:
@@ -214,8 +215,9 @@ def stratified_shift_p(
     lo, hi = F.col("k") - F.col("cut") - F.col("v"), F.col("k") + F.col("cut") - F.col("v")
     points = lt.select(*keys, "c", F.inline(F.array(
         F.struct(lo.alias("value"), F.lit(True).alias("low")), F.struct(hi.alias("value"), F.lit(False).alias("low")))))
-    axis = keyed(right).select(*keys, F.col("v").alias("value"), F.col("c").alias("w")).unionByName(
-        points.select(*keys, "value", F.lit(0).cast("long").alias("w")))
+    # read twice below (cut points and counts), so written once
+    axis = settled(keyed(right).select(*keys, F.col("v").alias("value"), F.col("c").alias("w")).unionByName(
+        points.select(*keys, "value", F.lit(0).cast("long").alias("w"))))
     cc = cumulative_counts(axis, keys, "value", pieces, weight="w")
     tail = points.join(cc, [*keys, "value"]).groupBy(*keys).agg(F.sum(
         F.col("c") * F.when(F.col("low"), F.col("below") + F.col("n")).otherwise(F.col("total") - F.col("below"))).alias("extreme"))

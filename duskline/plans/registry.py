@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskline.session import ship_package
+from duskline.session import SAFE_UNION, ship_package
 from duskline.sources.tables import Tables
 
 
@@ -28,6 +28,7 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set(*SAFE_UNION)
         return project(self.build(Tables(spark, sf_dir)), self.cols)
 
     def oracle(self) -> str | None:

@@ -11,6 +11,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Unions of co-partitioned sides may otherwise be zipped partition by partition,
+# which fails when adaptive execution gives the sides different partition counts.
+SAFE_UNION = ("spark.sql.unionOutputPartitioning", "false")
+
+
 def get_session(master: str | None = None, app: str = "duskline", **conf: str) -> SparkSession:
     """Build (or reuse) a session with UTC time and adaptive execution.
 
@@ -23,6 +28,7 @@ def get_session(master: str | None = None, app: str = "duskline", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(*SAFE_UNION)
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
