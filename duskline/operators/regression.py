@@ -308,3 +308,10 @@ def pred_metrics(df: DataFrame, obs: str, pred: str, by=(), sd: str | None = Non
     main = ok.groupBy(*by).agg(*aggs)
     rho = spearman(ok, obs, pred, by).drop("n")
     return main.join(rho, by) if by else main.withColumn("rho", rho.select("rho").scalar())
+
+
+def cv_summary(metrics: DataFrame, cols, ps=(0.025, 0.5, 0.975)) -> DataFrame:
+    """Quantile rows of cross-validation metrics over repeats: metric, p, value."""
+    row = metrics.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(c) for c in cols])
+    long = row.unpivot([], list(cols), "metric", "q")
+    return long.select("metric", F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in ps]).alias("p"), F.col("q").alias("value"))))

@@ -214,6 +214,12 @@ def spatial_cross_validation(t: Tables) -> DataFrame:
     return rg.pred_metrics(settled(cv), "observed", "predicted", ["repeat"], "pred_sd", "target_se")
 
 
+@query("ridge_validation_summary", "X7 X8 T30 Q10", "metric:s p value")
+def ridge_validation_summary(t: Tables) -> DataFrame:
+    cv = sp.ridge_cv(m.stations(t).drop("block"), "station_id", "target", ["elevation", "building", "canopy"], partitions(t))
+    return rg.cv_summary(rg.pred_metrics(settled(cv), "observed", "predicted", ["repeat"]), ["r2", "rmse", "mae", "rho"])
+
+
 @query("ridge_cross_validation", "X8 T30 Q10", "repeat:i n:i r2 rmse mae rho")
 def ridge_cross_validation(t: Tables) -> DataFrame:
     cv = sp.ridge_cv(m.stations(t).drop("block"), "station_id", "target", ["elevation", "building", "canopy"], partitions(t))

@@ -221,3 +221,53 @@ def test_interpolation_limits_and_long_gaps(frame):
 def test_two_level_accumulation(frame):
     df = frame("s string, d long, v double", [("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, 3.0), ("b", 1, 4.0), ("c", 1, 5.0), ("c", 1, None)])
     assert panel.areal_mean_total(df, "s", "d", "v", "t").first().t == (3 + 7 + 5) / 3
+
+
+def test_many_predictors_take_the_shifted_path(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(80, 7)) + 1e5
+    y = X @ np.arange(7) + rng.normal(size=80)
+    cols = [f"x{i}" for i in range(7)]
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([X, y]), columns=[*cols, "y"]))
+    got = {r.term: r.estimate for r in rg.ols(df, "y", cols).collect()}
+    c = X - X.mean(0)
+    want = np.linalg.lstsq(c, y - y.mean(), rcond=None)[0]
+    assert np.allclose([got[k] for k in cols], want, atol=1e-4)
+
+
+def test_rank_hac_uses_standardised_ranks(nights):
+    pdf, df = nights
+    r = pdf[["x", "y"]].rank()
+    z = ((r - r.mean()) / r.std(ddof=0)).to_numpy()
+    b, se = newey_west(np.column_stack([np.ones(60), z[:, 0]]), z[:, 1], 4)
+    got = {v.term: v for v in rg.hac_ols(df, "y", ["x"], "i", lags=4, rank=True).collect()}
+    assert abs(got["x"].beta - b[1]) < 1e-10 and abs(got["x"].se - se[1]) < 1e-10
+
+
+def test_spline_curve_and_its_bootstrap_agree_with_lstsq(spark):
+    rng = np.random.default_rng(3)
+    cal = panel.calendar_spine(spark, (2001,))
+    days = [dt.date(2001, 6, 1) + dt.timedelta(days=i) for i in range(92)]
+    rows = [(d, float(t), float(w), float(1 + w * t / 9 + rng.normal() * 0.1)) for d, w in zip(days, rng.normal(size=92)) for t in np.arange(0, 9.1, 1.5)]
+    curve = spark.createDataFrame(rows, "night_date date, t double, w double, y double")
+    knots = (0.0, 3.0, 6.0, 9.0)
+    levels = {"mean": F.lit(0.0), "warm": F.lit(1.0)}
+    point = {(r.level, r.t): r.predicted for r in rg.spline_curve(curve, "t", "w", "y", knots, levels, [0.0, 4.5, 9.0]).collect()}
+    basis = spark.createDataFrame([(r[1],) for r in rows], "t double").select(*rg.natural_spline("t", knots)).toPandas().to_numpy()
+    w, y = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    D = np.column_stack([np.ones(len(w)), basis, w, basis * w[:, None]])
+    b = np.linalg.lstsq(D, y, rcond=None)[0]
+    g = spark.createDataFrame([(0.0,), (4.5,), (9.0,)], "t double").select(*rg.natural_spline("t", knots)).toPandas().to_numpy()
+    for lv, wv in (("mean", 0.0), ("warm", 1.0)):
+        want = np.column_stack([np.ones(3), g, np.full(3, wv), g * wv]) @ b
+        assert np.allclose([point[lv, t] for t in (0.0, 4.5, 9.0)], want, atol=1e-8)
+    band = rs.block_boot_spline(cal, curve, "t", "w", "y", knots, levels, [0.0, 4.5, 9.0], 20, "b").collect()
+    assert len(band) == 6
+    for r in band:
+        assert abs(r.fit - point[r.level, r.t]) < 1e-6 and r.ci_low <= r.ci_high and r.n_valid == 20
+
+
+def test_cv_summary_quantiles(frame):
+    m = frame("repeat long, r2 double", [(i, i / 10) for i in range(11)])
+    got = {r.p: r.value for r in rg.cv_summary(m, ["r2"]).collect()}
+    assert np.allclose([got[0.025], got[0.5], got[0.975]], [0.025, 0.5, 0.975])
