@@ -36,14 +36,22 @@ def tiles(points: DataFrame, key: str, x: str, y: str, cols=(), per_tile: int =
         g = max(1, math.ceil(points.count() / per_tile))
         tiled = points.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(g)).cast("int"))
     else:
-        w = W.partitionBy(x, y).orderBy(key)
-        one = points.groupBy(x, y).agg(F.min(key).alias(key)) if copies == 1 and not cols else (
-            points.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= copies).drop("__r"))
+        if copies == 1 and not cols:
+            one = points.groupBy(x, y).agg(F.min(key).alias(key))
+        else:
+            # the lowest keys of every place: first inside 64 salts, then among the survivors,
+            # so a place holding a third of all points is never sorted in one task
+            one = points.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(64)))
+            for part in ([x, y, "__salt"], [x, y]):
+                w = W.partitionBy(*part).orderBy(key)
+                one = one.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= copies).drop("__r")
+            one = one.drop("__salt")
         g = max(1, math.ceil(math.sqrt(one.count() / per_tile)))
         probs = [i / g for i in range(1, g)]
         if probs:
             xe = one.agg(F.percentile_approx(x, probs, 10000).alias("e")).scalar()
-            one = one.withColumn("__xe", xe).withColumn("__sx", F.size(F.filter("__xe", lambda e: e < F.col(x))))
+            strips = one.withColumn("__xe", xe).withColumn("__sx", F.size(F.filter("__xe", lambda e: e < F.col(x))))
+            one = settled(strips.drop("__xe"))  # read twice: cut points of each strip, then the tiles
             ye = one.groupBy("__sx").agg(F.percentile_approx(y, probs, 10000).alias("__ye"))
             one = one.join(ye, "__sx").withColumn("__sy", F.size(F.filter("__ye", lambda e: e < F.col(y))))
             tiled = one.withColumn("tile", F.col("__sx") * g + F.col("__sy"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +57,11 @@ def dedupe_by_key(df: DataFrame, keys, priority) -> tuple[DataFrame, DataFrame]:
 
 
 def distinct_on(df: DataFrame, keys, order) -> DataFrame:
-    """First row per key in a stated order."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    """First row per key in ascending order of the named columns.
+
+    A least-struct aggregate, so a hot key is combined map-side and never sorted in one task.
+    """
+    keys, order = list(keys), list(order)
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    return first.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
