@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskline.llm import suffix_dedup
+from duskline.llm import budget_mix, license_join, simhash_golay, suffix_dedup
 from duskline.llm.common import prepare, table
 
 
@@ -19,5 +19,56 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("_sd_spans").cast("long").alias("n_spans"), F.sha2("_sd_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
-SQL: dict[str, str] = {}
+def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash_golay.near_groups(docs, keep=["doc_id"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("_sg_fp"), 16, "0")).alias("fingerprint"), F.col("_sg_group").alias("component_id"))
+
+
+def op3_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    prepare(spark)
+    out = license_join.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def _sql_words(text: str) -> str:
+    return f"regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _op3_sql() -> str:
+    places = []
+    for phrase, label in license_join.PHRASES.items():
+        parts = phrase.split()
+        test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
+        places.append(f"SELECT k, '{label}' AS label, unnest(list_filter(range(1, len(w) - {len(parts) - 2}), lambda i: {test})) - 1 AS spot FROM docs")
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])" for label, text in license_join.TEMPLATES.items())
+    return f"""
+    WITH raw AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{license_join.UPPER}', '{license_join.LOWER}') AS t FROM documents),
+    docs AS (SELECT k, doc_id, t, {_sql_words('t')} AS w FROM raw),
+    places AS ({' UNION ALL '.join(places)}),
+    base AS (SELECT k, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY k),
+    templates(label, whole) AS (VALUES {templates}),
+    lines AS (SELECT k, {_sql_words('line')} AS w FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM raw)),
+    parts AS (SELECT k, label, len(list_intersect(whole, w)) / len(whole) AS part, len(list_intersect(whole, w)) AS n, len(whole) AS size FROM lines, templates),
+    more AS (SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM parts WHERE n >= ceil({license_join.THRESHOLD} * size - 1e-9) GROUP BY k)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END::DOUBLE AS score
+    FROM docs LEFT JOIN base USING (k) LEFT JOIN more USING (k)"""
+
+
+def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", budget_mix.word_count(F.col("text")).alias("size"))
+    out = budget_mix.mix(docs, "size")
+    return out.select("doc_id", "size", F.col("_bm_source_size").alias("source_size"), F.col("_bm_target").alias("target"),
+                      (F.col("_bm_copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_golay, op3_license_join, op10_budget_mix)}
+SQL: dict[str, str] = {"op3_license_join": _op3_sql()}

@@ -99,7 +99,7 @@ def _anchor_task(buckets: int):
                 s, e = np.maximum(offs[i:j], lo), np.minimum(offs[i + 1:j + 1], hi)
                 pos, h = anchors(buf[lo:hi], s - lo, e - lo)
                 row = np.searchsorted(offs, pos + lo, side="right") - 1
-                got.append((h, keys[row], ids[row], pos + lo - offs[row]))
+                got.append((h, keys[row].astype(np.int32), ids[row], (pos + lo - offs[row]).astype(np.int32)))
             if got:
                 h, k, d, p = (np.concatenate(x) for x in zip(*got, strict=True))
                 rows = list(by_bucket((h % np.uint64(buckets)).astype(np.int32), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8), k, d, p))
@@ -111,7 +111,7 @@ def _anchor_task(buckets: int):
 
 def _shared_task(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        low, high, key, doc, pos = unpack(group["blob"].to_pylist(), "u4", "u1", "i8", "i8", "i8")
+        low, high, key, doc, pos = unpack(group["blob"].to_pylist(), "u4", "u1", "i4", "i8", "i4")
         h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         order = np.argsort(h, kind="stable")
         hs, ds = h[order], doc[order]
@@ -138,7 +138,7 @@ def _find(keys: np.ndarray, ids: np.ndarray, key: np.ndarray, doc: np.ndarray, p
 
 def _window_task(buckets: int, text_col: str):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        key, doc, pos = unpack(marks["blob"].to_pylist(), "i8", "i8", "i8")
+        key, doc, pos = unpack(marks["blob"].to_pylist(), "i4", "i8", "i4")
         if not len(key) or not docs.num_rows:
             return pa.Table.from_batches([blob_batch([])])
         keys, ids = integers(docs["_sd_key"]), integers(docs["_sd_id"])
@@ -151,7 +151,7 @@ def _window_task(buckets: int, text_col: str):
         wins = sliding_window_view(padded, WINDOW)[offs[row] + pos]
         gram = np.ascontiguousarray(wins[:, SIDE:SIDE + GRAM]).view(np.uint64)
         b = (mix64(gram[:, 0] ^ mix64(gram[:, 1])) % np.uint64(buckets)).astype(np.int32)
-        out = list(by_bucket(b, wins, keys[row], ids[row], pos, left.astype(np.uint8), right.astype(np.uint8)))
+        out = list(by_bucket(b, wins, keys[row].astype(np.int32), ids[row], pos, left.astype(np.uint8), right.astype(np.uint8)))
         return pa.Table.from_batches([blob_batch(out)])
 
     return run
@@ -232,7 +232,7 @@ def repeated_starts(wins: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
 
 def _merge_task(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        wins, key, doc, pos, left, right = unpack(group["blob"].to_pylist(), ("u1", WINDOW), "i8", "i8", "i8", "u1", "u1")
+        wins, key, doc, pos, left, right = unpack(group["blob"].to_pylist(), ("u1", WINDOW), "i4", "i8", "i4", "u1", "u1")
         bits = repeated_starts(wins, doc, left, right)
         hit = bits > 0
         return pa.Table.from_batches([blob_batch(list(by_bucket((key[hit] % buckets).astype(np.int32), key[hit], doc[hit], pos[hit], bits[hit])))])
@@ -243,7 +243,7 @@ def _merge_task(buckets: int):
 def _cut_task(names: list[str], text_col: str):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         buf, offs = text_bytes(docs[text_col])
-        key, doc, pos, bits = unpack(marks["blob"].to_pylist(), "i8", "i8", "i8", "u8")
+        key, doc, pos, bits = unpack(marks["blob"].to_pylist(), "i4", "i8", "i4", "u8")
         start = np.zeros(len(buf) + 1, bool)
         if len(key) and docs.num_rows:
             row, p, entry = _find(integers(docs["_sd_key"]), integers(docs["_sd_id"]), key, doc, pos)
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     m = 2 * n  # buckets of documents; evens out how they hash to partitions
     names = docs.columns
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    keyed = docs.withColumns({"_sd_id": key.cast("long"), "_sd_key": F.shiftrightunsigned(F.xxhash64(key, text), 1)})
+    keyed = docs.withColumns({"_sd_id": key.cast("long"), "_sd_key": F.pmod(F.xxhash64(key, text), F.lit(2**31 - 1))})
     texts = keyed.withColumn("_sd_bucket", (F.col("_sd_key") % m).cast("int"))
     found = keyed.select("_sd_key", "_sd_id", text.alias("_sd_text")).mapInArrow(_anchor_task(n), _BLOBS)
     shared = found.groupBy("bucket").applyInArrow(_shared_task(m), _BLOBS)
