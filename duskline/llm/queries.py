@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskline.llm import budget_mix, license_join, simhash_golay, suffix_dedup
+from duskline.llm import (
+    bpe_duckdb,
+    budget_mix,
+    license_join,
+    pivot_topk,
+    quartile_digest,
+    simhash_golay,
+    suffix_dedup,
+    toxicity_cnn,
+    wavelet_store,
+    weak_quality,
+)
 from duskline.llm.common import prepare, table
 
 
@@ -61,6 +72,61 @@ def _op3_sql() -> str:
     FROM docs LEFT JOIN base USING (k) LEFT JOIN more USING (k)"""
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows that are held out are never learned from."""
+    prepare(spark)
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    model = toxicity_cnn.fit(docs, labels.where(~toxicity_cnn.held_out(F.col("doc_id"))))
+    scored = toxicity_cnn.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity_cnn.held_out(F.col("doc_id")).alias("held_out"), F.col("_tx_score").alias("score"),
+                         (F.col("_tx_score") >= toxicity_cnn.CUT).cast("int").alias("predicted"))
+
+
+def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document and of its edited text, and their likeness."""
+    prepare(spark)
+    return quartile_digest.chain(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode, and digest both; the columns that are not text stay."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    back = bpe_duckdb.decode(bpe_duckdb.encode(docs, public_tokenizers.PATTERN, ranks).drop("text"), ranks)
+    ids = F.array_join(F.col("_bp_ids").cast("array<string>"), " ")
+    return back.select(*[c for c in docs.columns if c != "text"], F.size("_bp_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                       F.sha2("_bp_bytes", 256).alias("decoded_sha256"))
+
+
+def op6_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    prepare(spark)
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), pivot_topk.integer_vector(F.col("embedding")).alias("v"))
+    return pivot_topk.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+
+
+def op8_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to wavelet-matrix shards and read back."""
+    import public_tokenizers
+
+    prepare(spark)
+    return wavelet_store.store(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from weak labels only."""
+    prepare(spark)
+    out = weak_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", F.col("_wq_score").alias("score"), (F.col("_wq_score") >= 0.5).alias("keep"))
+
+
 def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     prepare(spark)
@@ -70,5 +136,15 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("_bm_copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_golay, op3_license_join, op10_budget_mix)}
-SQL: dict[str, str] = {"op3_license_join": _op3_sql()}
+OP7_SQL = """
+WITH live AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.k AS k, q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+           FROM live q JOIN live x ON q.k <> x.k WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_simhash_golay, op3_license_join, op4_toxicity_cnn, op5_quartile_digest, op6_bpe_duckdb, op7_pivot_topk, op8_wavelet_store,
+    op9_weak_quality, op10_budget_mix)}
+SQL: dict[str, str] = {"op3_license_join": _op3_sql(), "op7_pivot_topk": OP7_SQL}

@@ -264,15 +264,18 @@ def _cut_task(names: list[str], text_col: str):
             else:
                 spans.append([])
                 kept.append(buf[a:b].tobytes())
+        rest = [k.decode("utf-8", "ignore") for k in kept]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = [docs[c].combine_chunks() if docs[c].num_chunks != 1 else docs[c].chunk(0) for c in names]
-        return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(spans, kind)], names=[*names, "_sd_kept", "_sd_spans"])
+        return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(rest, pa.string())],
+                                    names=[*names, "_sd_kept", "_sd_spans", "_sd_text"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, `_sd_kept` (bytes left) and `_sd_spans` (array of removed byte ranges, maximal and in order)."""
+    """All columns of docs, `_sd_kept` (bytes left), `_sd_spans` (array of removed byte ranges, maximal and in order) and
+    `_sd_text` (what is left as text; bytes of characters that a cut went through are left out)."""
     n = width(docs.sparkSession)
     m = 2 * n  # buckets of documents; evens out how they hash to partitions
     names = docs.columns
@@ -284,5 +287,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wins = texts.groupBy("_sd_bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_window_task(n, text_col), _BLOBS)
     marks = wins.groupBy("bucket").applyInArrow(_merge_task(m), _BLOBS)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_sd_kept", T.BinaryType()), T.StructField("_sd_spans", span)])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_sd_kept", T.BinaryType()), T.StructField("_sd_spans", span), T.StructField("_sd_text", T.StringType())])
     return texts.groupBy("_sd_bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut_task(names, text_col), schema)
