@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 #: Bytes of text whose pieces are encoded together, and pieces remembered by a worker.
 BLOCK = 8 << 20
 REMEMBERED = 500_000
-#: Positions of one piece in a key of the recursion; longer pieces get more room.
+#: Positions of one piece in a key of the recursion; pieces over four times as long go by rounds.
 _ROOM = 16
 #: Above any token id; two ids make one join key.
 _WIDE = 1 << 24
@@ -56,6 +56,27 @@ SELECT k // {room} AS piece, k % {room} AS pos, tok
 FROM rows JOIN (SELECT k // {room} AS done, max(round) AS last FROM rows GROUP BY done) ON done = k // {room} AND round = last
 ORDER BY k
 """
+#: For long pieces: every place of the lowest rank is contracted in one round, from
+#: the left where places overlap. That is what one pair after another comes to,
+#: as a pair with the new token always ranks higher. Only the last round is kept.
+_ENCODE_LONG = """
+WITH RECURSIVE
+rows(piece, pos, tok, round) USING KEY (piece, pos) AS (
+    SELECT piece, pos, tok, 0 FROM long_start
+    UNION
+    (WITH near AS (SELECT *, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS nt FROM rows),
+    low AS (SELECT near.*, merged, min(merged) OVER (PARTITION BY piece) AS least FROM near LEFT JOIN merges ON pair = tok * {wide} + nt),
+    hit AS (SELECT *, coalesce(merged = least, false) AS h FROM low WHERE least IS NOT NULL),
+    run AS (SELECT *, pos - sum(h::INT) OVER (PARTITION BY piece ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM hit),
+    pick AS (SELECT *, h AND row_number() OVER (PARTITION BY piece, island, h ORDER BY pos) % 2 = 1 AS c FROM run),
+    moved AS (SELECT *, lag(c) OVER w AS gone, coalesce(sum(c::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift
+              FROM pick WINDOW w AS (PARTITION BY piece ORDER BY pos))
+    SELECT piece, CAST(pos - shift AS BIGINT), CASE WHEN c THEN least ELSE tok END, round + 1 FROM moved WHERE gone IS NOT TRUE)
+)
+SELECT piece, pos, tok
+FROM rows JOIN (SELECT piece AS done, max(round) AS last FROM rows GROUP BY done) ON done = piece AND round = last
+ORDER BY piece, pos
+"""
 _DECODE = """
 SELECT doc, list(v.bytes ORDER BY pos) AS parts FROM toks JOIN vocab v USING (tok) GROUP BY doc ORDER BY doc
 """
@@ -83,21 +104,22 @@ def encode_pieces(pieces: list[bytes], ranks_path: str) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
     sizes = np.array([len(p) for p in pieces], np.int64)
     low = 0
-    for room in (_ROOM, 256, 1 << 16, 1 << 32):
-        some = np.flatnonzero((sizes > low) & (sizes <= room))
+    for room in (_ROOM, 4 * _ROOM, 0):
+        some = np.flatnonzero((sizes > low) & ((sizes <= room) | (room == 0)))
         low = room
         if not len(some):
             continue
         n = sizes[some]
         buf = np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)
-        pos = np.arange(len(buf)) - np.repeat(np.cumsum(n) - n, n)
-        con.register("start", pa.table({"k": np.repeat(np.arange(len(some)), n) * room + pos, "tok": single[buf]}))
-        got = con.sql(_ENCODE.format(room=room, wide=_WIDE)).to_arrow_table()
-        con.unregister("start")
+        pos, piece = np.arange(len(buf)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(some)), n)
+        name, cols, sql = ("start", {"k": piece * room + pos}, _ENCODE) if room else ("long_start", {"piece": piece, "pos": pos}, _ENCODE_LONG)
+        con.register(name, pa.table(cols | {"tok": single[buf]}))
+        got = con.sql(sql.format(room=room, wide=_WIDE)).to_arrow_table()
+        con.unregister(name)
         piece, tok = got["piece"].to_numpy(), got["tok"].to_numpy()
         cuts = np.searchsorted(piece, np.arange(len(some) + 1))
-        for i, a, b in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out[i] = tok[a:b]
+        for i, x, y in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = tok[x:y]
     return out
 
 

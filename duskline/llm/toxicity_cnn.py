@@ -1,10 +1,11 @@
 """Toxicity by a small convolutional classifier, trained here in numpy.
 
-Words are hashed twice into two embedding tables whose rows are added, so that
-a word is only mistaken for another if both hashes meet. Filters of widths 1,
-2 and 3 run over the words, a rectified maximum over the document is taken, and
-a logistic unit reads the maxima. The first embedding column starts at the
-log-odds of the hashed word in toxic documents. Thresholds are set per language
+A word's embedding is the sum of four table rows: two hashes of the word and two
+of its first PREFIX letters (inflected forms share them). A word is only mistaken
+for another where both hashes meet. Filters of widths 1,
+2 and 3 run over the words, the highest and the second highest (different)
+response in the document are taken, rectified, and a logistic unit reads them. The first embedding column starts at the
+log-odds of the hash in toxic documents. Thresholds are set per language
 on rows kept out of the fit; a score is shifted so that its language's threshold
 becomes 0.3. The language is guessed from function words of the text: neither
 labels, lang, source nor ids are inputs of a score.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ BUCKETS = 1 << 16
 DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
+TABLES = 4
+PREFIX = 4
 EPOCHS = 6
 RATE = 0.05
 TRAIN_ROWS = 2500
@@ -49,75 +53,88 @@ _LANG = {w.encode(): i for i, ws in enumerate(FUNCTION_WORDS.values(), 1) for w
 
 
 class _Codes(dict):
-    """Word -> both hashes and the language it votes for, packed; forgets all when it has grown large."""
+    """Word -> line of `hashes` and `langs`."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.langs = array("H"), array("B")
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
         bare = word.strip(_PUNCT) or word
-        code = zlib.crc32(bare) % BUCKETS | zlib.crc32(b"2" + bare) % BUCKETS << 16 | _LANG.get(bare, 0) << 32
-        self[word] = code
-        return code
+        start = bare.decode()[:PREFIX].encode()
+        self.hashes.extend(zlib.crc32(salt + part) % BUCKETS for salt, part in ((b"1", bare), (b"2", bare), (b"3", start), (b"4", start)))
+        self.langs.append(_LANG.get(bare, 0))
+        self[word] = len(self.langs) - 1
+        return self[word]
 
 
-_CODES = _Codes()
+_CODES = [_Codes()]
 
 
-def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of all words, offsets of documents, and the guessed language of each (0: none)."""
+def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words (words x TABLES), offsets of documents, and the guessed language of each (0: none)."""
+    if len(_CODES[0]) > 400_000:  # words a worker remembers
+        _CODES[0] = _Codes()
+    known = _CODES[0]
     lists = [(t or "").encode().lower().split() for t in texts]
     offs = np.cumsum([0, *map(len, lists)])
-    codes = np.fromiter((c for ws in lists for c in map(_CODES.__getitem__, ws)), np.int64, int(offs[-1]))
-    doc = np.repeat(np.arange(len(texts)), np.diff(offs))
-    n = len(FUNCTION_WORDS) + 1
-    votes = np.bincount(doc * n + (codes >> 32), minlength=n * len(texts)).reshape(-1, n)
+    at = np.fromiter((c for ws in lists for c in map(known.__getitem__, ws)), np.int64, int(offs[-1]))
+    hashes, langs = np.array(known.hashes, np.uint16).reshape(-1, TABLES), np.array(known.langs, np.int64)
+    doc, n = np.repeat(np.arange(len(texts)), np.diff(offs)), len(FUNCTION_WORDS) + 1
+    votes = np.bincount(doc * n + langs[at], minlength=n * len(texts)).reshape(-1, n)
     votes[:, 0] = 0
-    lang = np.where(votes.any(axis=1), votes.argmax(axis=1), 0)
-    return codes & 0xFFFF, codes >> 16 & 0xFFFF, offs, lang
+    return hashes[at], offs, np.where(votes.any(axis=1), votes.argmax(axis=1), 0)
 
 
 class Model:
     """Weights of the classifier; `forward` gives the maxima and where they stand."""
 
-    NAMES = ("one", "two", "filters", "bias", "top", "level")
+    NAMES = ("words", "filters", "bias", "top", "level")
 
     def __init__(self, rng: np.random.Generator):
-        self.one, self.two = (rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32) for _ in range(2))
+        self.words = np.zeros((TABLES * BUCKETS, DIM), np.float32)
         self.filters = rng.normal(0, 0.2, (sum(WIDTHS), DIM, FILTERS)).astype(np.float32)
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
-        self.top = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.top = rng.normal(0, 0.1, 2 * len(WIDTHS) * FILTERS).astype(np.float32)
         self.level = np.zeros(1, np.float32)
 
-    def maxima(self, one: np.ndarray, two: np.ndarray, offs: np.ndarray, where: bool = False):
-        """Rectified maxima (documents x filters); with `where`, also the words at which they stand (-1: none)."""
+    def embed(self, hashes: np.ndarray) -> np.ndarray:
+        return sum(self.words[hashes[:, t].astype(np.int64) + t * BUCKETS] for t in range(TABLES))
+
+    def maxima(self, hashes: np.ndarray, offs: np.ndarray, where: bool = False):
+        """Rectified maxima, then second maxima (documents x 2 filters); with `where`, also the words at which they stand (-1: none)."""
         docs, k = len(offs) - 1, len(WIDTHS) * FILTERS
-        best, spot = np.zeros((docs, k), np.float32), np.full((docs, k), -1, np.int64)
-        seen = self.one[one] + self.two[two]
-        row = 0
+        best, spot = np.zeros((docs, 2 * k), np.float32), np.full((docs, 2 * k), -1, np.int64)
+        seen, row = self.embed(hashes), 0
         for i, w in enumerate(WIDTHS):
             n = len(seen) - w + 1
-            if n > 0:
-                out = sum(seen[j:j + n] @ self.filters[row + j] for j in range(w)) + self.bias[i * FILTERS:(i + 1) * FILTERS]
-                live = np.flatnonzero(np.diff(offs) >= w)
-                cols = slice(i * FILTERS, (i + 1) * FILTERS)
-                if len(live):
-                    edges = np.stack([offs[live], offs[live + 1] - w + 1], axis=1).ravel()
-                    if edges[-1] >= n:
-                        out = np.vstack([out, np.full((1, FILTERS), -np.inf, np.float32)])
-                    best[live, cols] = np.maximum(np.maximum.reduceat(out, edges, axis=0)[::2], 0)
+            live = np.flatnonzero(np.diff(offs) >= w)
+            if n > 0 and len(live):
+                out = np.empty((len(seen) + 1, FILTERS), np.float32)
+                out[n:] = -np.inf
+                out[:n] = sum(seen[j:j + n] @ self.filters[row + j] for j in range(w)) + self.bias[i * FILTERS:(i + 1) * FILTERS]
+                edges = np.stack([offs[live], offs[live + 1] - w + 1], axis=1).ravel()
+                for rank in (0, 1):
+                    cols = slice(rank * k + i * FILTERS, rank * k + (i + 1) * FILTERS)
+                    high = np.maximum.reduceat(out, edges, axis=0)[::2]
+                    best[live, cols] = np.maximum(high, 0)
                     if where:
                         for d in live:
                             part = out[offs[d]:offs[d + 1] - w + 1]
                             spot[d, cols] = np.where(best[d, cols] > 0, part.argmax(axis=0) + offs[d], -1)
+                    if rank == 0:
+                        every = np.full((docs, FILTERS), np.inf, np.float32)
+                        every[live] = high
+                        out[:-1][out[:-1] == np.repeat(every, np.diff(offs), axis=0)] = -np.inf
             row += w
         return (best, spot) if where else best
 
-    def logits(self, one, two, offs) -> np.ndarray:
-        return self.maxima(one, two, offs) @ self.top + self.level[0]
+    def logits(self, hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        return self.maxima(hashes, offs) @ self.top + self.level[0]
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, **{n: getattr(self, n).astype(np.float16 if n in ("one", "two") else np.float32) for n in self.NAMES}, cuts=self.cuts)
+        np.savez_compressed(out, **{n: getattr(self, n).astype(np.float16 if n == "words" else np.float32) for n in self.NAMES}, cuts=self.cuts)
         return out.getvalue()
 
     @classmethod
@@ -128,15 +145,14 @@ class Model:
         return model
 
 
-def _start_at_log_odds(model: Model, one, two, offs, y) -> None:
+def _start_at_log_odds(model: Model, hashes: np.ndarray, offs: np.ndarray, y: np.ndarray) -> None:
     doc = np.repeat(np.arange(len(y)), np.diff(offs))
-    for tab, h in ((model.one, one), (model.two, two)):
-        pairs = np.unique(doc * BUCKETS + h)
+    for t in range(TABLES):
+        pairs = np.unique(doc * BUCKETS + hashes[:, t])
         held, toxic = pairs % BUCKETS, y[pairs // BUCKETS] > 0
         pos, neg = np.bincount(held[toxic], minlength=BUCKETS), np.bincount(held[~toxic], minlength=BUCKETS)
         odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-        shrink = (pos + neg) / (pos + neg + 3.0)
-        tab[:, 0] = odds * shrink / 2
+        model.words[t * BUCKETS:(t + 1) * BUCKETS, 0] = odds * (pos + neg) / (pos + neg + 3.0) / TABLES
     model.filters[:, 0, 0] = 1.0 / np.repeat(WIDTHS, WIDTHS)
     model.top[::FILTERS] = 1.0
 
@@ -145,12 +161,12 @@ def train(texts: list[str | None], y: np.ndarray, kept_out: np.ndarray, seed: in
     """Fit on the rows that are not kept out; thresholds by language from the others."""
     rng = np.random.default_rng(seed)
     model = Model(rng)
-    one, two, offs, lang = encode(texts)
+    hashes, offs, lang = encode(texts)
     y = y.astype(np.float64)
 
     def of(rows):
         words = np.concatenate([np.arange(offs[r], offs[r + 1]) for r in rows]) if len(rows) else np.zeros(0, int)
-        return one[words], two[words], np.cumsum([0, *(offs[rows + 1] - offs[rows])])
+        return hashes[words], np.cumsum([0, *(offs[rows + 1] - offs[rows])])
 
     fit = np.flatnonzero(~kept_out)
     _start_at_log_odds(model, *of(fit), y[fit])
@@ -163,32 +179,30 @@ def train(texts: list[str | None], y: np.ndarray, kept_out: np.ndarray, seed: in
 
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
-            a, b, o = of(rows)
-            best, spot = model.maxima(a, b, o, where=True)
+            h, o = of(rows)
+            best, spot = model.maxima(h, o, where=True)
             err = ((1 / (1 + np.exp(-(best @ model.top + model.level[0]))) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
             back = err[:, None] * model.top
             step("top", best.T @ err)
             step("level", err.sum(keepdims=True))
-            row, seen = 0, {}
+            row, at, pushed = 0, [], []
             grads = {n: np.zeros_like(getattr(model, n)) for n in ("filters", "bias")}
             for i, w in enumerate(WIDTHS):
-                for f in range(FILTERS):
-                    c = i * FILTERS + f
+                for c in (*range(i * FILTERS, (i + 1) * FILTERS), *range((len(WIDTHS) + i) * FILTERS, (len(WIDTHS) + i + 1) * FILTERS)):
+                    f = c % FILTERS
                     live = np.flatnonzero(spot[:, c] >= 0)
-                    g, at = back[live, c], spot[live, c]
-                    grads["bias"][c] = g.sum()
+                    g, first = back[live, c], spot[live, c]
+                    grads["bias"][i * FILTERS + f] += g.sum()
                     for j in range(w):
-                        e = model.one[a[at + j]] + model.two[b[at + j]]
-                        grads["filters"][row + j, :, f] += g @ e
-                        seen.setdefault("at", []).append(at + j)
-                        seen.setdefault("g", []).append(g[:, None] * model.filters[row + j, :, f])
+                        grads["filters"][row + j, :, f] += g @ model.embed(h[first + j])
+                        at.append(first + j)
+                        pushed.append(g[:, None] * model.filters[row + j, :, f])
                 row += w
-            at, g = np.concatenate(seen["at"]), np.concatenate(seen["g"])
-            for n, h in (("one", a), ("two", b)):
-                rows_, inv = np.unique(h[at], return_inverse=True)
-                total = np.zeros((len(rows_), DIM), np.float32)
-                np.add.at(total, inv, g)
-                step(n, total, rows_)
+            at, pushed = np.concatenate(at), np.concatenate(pushed)
+            lines, inv = np.unique((h[at].astype(np.int64) + np.arange(TABLES) * BUCKETS).ravel(), return_inverse=True)
+            total = np.zeros((len(lines), DIM), np.float32)
+            np.add.at(total, inv, np.repeat(pushed, TABLES, axis=0))
+            step("words", total, lines)
             for n, grad in grads.items():
                 step(n, grad)
     held = np.flatnonzero(kept_out)
@@ -237,8 +251,8 @@ def _scoring(raw: bytes | None, text_col: str):
             texts = b[text_col].to_pylist()
             score = np.zeros(len(texts))
             if model is not None and texts:
-                one, two, offs, lang = encode(texts)
-                z = model.logits(one, two, offs) - model.cuts[lang] + np.log(CUT / (1 - CUT))
+                hashes, offs, lang = encode(texts)
+                z = model.logits(hashes, offs) - model.cuts[lang] + np.log(CUT / (1 - CUT))
                 score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "_tx_score"])
 
