@@ -2,8 +2,9 @@
 
 1. Labellers vote good, bad or nothing on every whole text.
 2. Vote patterns are counted over all documents (at most 3^labellers rows) and
-   expectation-maximisation estimates each labeller's accuracy, taking votes as
-   independent given the quality; every pattern gets a posterior.
+   expectation-maximisation estimates how each labeller votes on good and on bad
+   documents, taking votes as independent given the quality; every pattern gets a
+   posterior.
 3. Posteriors label a bounded sample (TRAIN_ROWS documents by hash of the id,
    whole texts), on which a linear scorer is fitted: hashed byte triplets, log
    frequencies. The model has a fixed size and scores all documents in one pass.
@@ -28,9 +29,12 @@ from duskline.session import settled
 BUCKETS = 1 << 12
 TRAIN_ROWS = 4000
 ROUNDS = 60
+LABELLERS = 6
 _SYMBOLS = re.compile(rb"[!-/:-@\[-`{-~]{3,}")
 _LETTERS = bytes(b for b in range(256) if chr(b).isalpha() and b < 128 or b >= 128)
 _ENDS = (b".", b"!", b"?")
+_CAPITALS = [bytes([b]) for b in range(65, 91)]
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def _vote(good: bool, bad: bool) -> int:
@@ -49,8 +53,10 @@ def votes(text: bytes) -> list[int]:
     marked = len(_SYMBOLS.findall(text)) / n
     ended = sum(w.endswith(_ENDS) for w in words) / n
     varied = len(set(words)) / n
-    return [_vote(letters > 0.9, letters < 0.75), _vote(fresh > 0.95 and len(lines) > 1, fresh < 0.7), _vote(marked < 0.01, marked > 0.2),
-            _vote(0.02 < ended < 0.3, ended > 0.6 or (n > 60 and ended < 0.005)), _vote(n > 40 and varied > 0.5, n > 40 and varied < 0.3), _vote(n > 30, False)]
+    capitals = sum(map(text.count, _CAPITALS)) / max(1, len(text) - len(text.translate(None, _LETTERS)))
+    bare = sum(not w.strip(_SIGNS) for w in words) / n
+    return [_vote(letters > 0.9, letters < 0.75), _vote(fresh > 0.95 and len(lines) > 1, fresh < 0.7), _vote(marked < 0.01, marked > 0.2 or bare > 0.2),
+            _vote(0.02 < ended < 0.3, ended > 0.6 or (n > 60 and ended < 0.005)), _vote(n > 40 and varied > 0.5, n > 40 and varied < 0.3), _vote(n > 30 and capitals < 0.3, capitals > 0.6)]
 
 
 def _voting(names: list[str], text_col: str):
@@ -62,17 +68,22 @@ def _voting(names: list[str], text_col: str):
     return run
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, labellers: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(accuracy of each labeller, posterior of good for each pattern) by expectation-maximisation."""
+def estimate(codes: np.ndarray, counts: np.ndarray, labellers: int = LABELLERS) -> tuple[np.ndarray, np.ndarray]:
+    """(accuracy of each labeller where it votes, posterior of good for each pattern) by expectation-maximisation.
+
+    Each labeller has its own chances of voting good, bad or nothing in either
+    class. The start takes any bad vote for a bad document.
+    """
     v = codes[:, None] // 3 ** np.arange(labellers) % 3 - 1
-    said, right, share = v != 0, np.full(labellers, 0.75), 0.7
+    good = np.where((v < 0).any(axis=1), 0.2, 0.9)
     for _ in range(ROUNDS):
-        odds = np.log(share / (1 - share)) + (v * np.log(right / (1 - right))).sum(axis=1)
-        good = 1 / (1 + np.exp(-odds))
-        agree = (counts[:, None] * said * np.where(v > 0, good[:, None], 1 - good[:, None])).sum(axis=0)
-        right = np.clip((agree + 3) / ((counts[:, None] * said).sum(axis=0) + 4), 0.05, 0.95)
-        share = float(np.clip((counts * good).sum() / max(1, counts.sum()), 0.02, 0.98))
-    return right, good
+        part = np.stack([counts * (1 - good), counts * good])
+        said = np.stack([part @ (v == k) for k in (-1, 0, 1)], axis=2)  # class x labeller x vote
+        chance = (said + 1) / (said.sum(axis=2, keepdims=True) + 3)
+        share = np.clip(part.sum(axis=1) / max(1, counts.sum()), 0.02, 0.98)
+        weight = np.stack([np.log(share[c]) + np.log(chance[c][np.arange(labellers), v + 1]).sum(axis=1) for c in (0, 1)])
+        good = 1 / (1 + np.exp(weight[0] - weight[1]))
+    return (said[0, :, 0] + said[1, :, 2] + 1) / (said[:, :, [0, 2]].sum(axis=(0, 2)) + 2), good
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
