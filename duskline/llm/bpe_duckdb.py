@@ -31,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from duskline.llm.common import Remembered
+
 #: Bytes of text whose pieces are encoded together, and pieces remembered by a worker.
-BLOCK = 8 << 20
-REMEMBERED = 500_000
+BLOCK = 5 << 20
+REMEMBERED = 350_000
 #: Positions of one piece in a key of the recursion; pieces over four times as long go by rounds.
 _ROOM = 16
 #: Above any token id; two ids make one join key.
@@ -88,7 +90,7 @@ def _database(ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     rows = [(ranks[t[:i]] * _WIDE + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    con = duckdb.connect(config={"threads": "1", "memory_limit": "500MB", "preserve_insertion_order": "false"})
+    con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "preserve_insertion_order": "false"})
     merges = pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("pair", "merged"))})
     vocab = pa.table({"tok": pa.array(list(ranks.values()), pa.int64()), "bytes": pa.array(list(ranks), pa.binary())})
     for name, t in (("merges", merges), ("vocab", vocab)):
@@ -101,7 +103,7 @@ def _database(ranks_path: str):
 def encode_pieces(pieces: list[bytes], ranks_path: str) -> list[np.ndarray]:
     """Token ids of each piece, by the recursive query."""
     con, single = _database(ranks_path)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
     sizes = np.array([len(p) for p in pieces], np.int64)
     low = 0
     for room in (_ROOM, 4 * _ROOM, 0):
@@ -116,7 +118,7 @@ def encode_pieces(pieces: list[bytes], ranks_path: str) -> list[np.ndarray]:
         con.register(name, pa.table(cols | {"tok": single[buf]}))
         got = con.sql(sql.format(room=room, wide=_WIDE)).to_arrow_table()
         con.unregister(name)
-        piece, tok = got["piece"].to_numpy(), got["tok"].to_numpy()
+        piece, tok = got["piece"].to_numpy(), got["tok"].to_numpy().astype(np.uint32)
         cuts = np.searchsorted(piece, np.arange(len(some) + 1))
         for i, x, y in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             out[i] = tok[x:y]
@@ -141,19 +143,25 @@ def decode_ids(flat: np.ndarray, offs: np.ndarray, ranks_path: str) -> list[byte
     return out
 
 
-_MEMORY: dict[str, dict[str, np.ndarray]] = {}
+_MEMORY: dict[str, Remembered] = {}
+
+
+def encode_flat(texts: list[str | None], pattern: str, ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, and len + 1 offsets."""
+    cut = regex.compile(pattern).findall
+    known = _MEMORY.get(ranks_path)
+    if known is None or len(known) > REMEMBERED:
+        known = _MEMORY[ranks_path] = Remembered()
+    lines, offs = known.lines([cut(t) if t else [] for t in texts])
+    if known.fresh:
+        known.fill(encode_pieces([p.encode() for p in known.fresh], ranks_path))
+    return known.ids(lines, offs)
 
 
 def encode_texts(texts: list[str | None], pattern: str, ranks_path: str) -> list[np.ndarray]:
     """Token ids of each text."""
-    cut = regex.compile(pattern).findall
-    known = _MEMORY.setdefault(ranks_path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    pieces = [cut(t) if t else [] for t in texts]
-    fresh = list({p for ps in pieces for p in ps if p not in known})
-    known.update(zip(fresh, encode_pieces([p.encode() for p in fresh], ranks_path), strict=True))
-    return [np.concatenate([known[p] for p in ps]) if ps else np.zeros(0, np.int64) for ps in pieces]
+    flat, offs = encode_flat(texts, pattern, ranks_path)
+    return np.split(flat, offs[1:-1])
 
 
 def _blocks(batches, text_col: str):
@@ -171,9 +179,7 @@ def _blocks(batches, text_col: str):
 def _encoding(text_col: str, pattern: str, ranks_path: str):
     def run(batches):
         for t in _blocks(batches, text_col):
-            ids = encode_texts(t[text_col].to_pylist(), pattern, ranks_path)
-            offs = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            flat, offs = encode_flat(t[text_col].to_pylist(), pattern, ranks_path)
             column = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
             yield from t.append_column("_bp_ids", column).to_batches()
 

@@ -92,3 +92,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
+
+
+class Remembered(dict):
+    """Key -> line of ids that are kept flat; unknown keys get the next line and wait in `fresh` until `fill`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __missing__(self, key) -> int:
+        line = len(self)
+        self[key] = line
+        self.fresh.append(key)
+        return line
+
+    def lines(self, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of all keys of all lists, and len + 1 offsets of the lists."""
+        offs = np.cumsum([0, *map(len, lists)])
+        return np.fromiter((i for keys in lists for i in map(self.__getitem__, keys)), np.int64, int(offs[-1])), offs
+
+    def fill(self, arrays: list[np.ndarray]) -> None:
+        """Ids of the fresh keys, in their order."""
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(a) for a in arrays], dtype=np.int64)]
+        self.flat = np.concatenate([self.flat, *arrays]).astype(np.uint32, copy=False)
+        self.fresh = []
+
+    def ids(self, lines: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all lists and their offsets."""
+        first = self.ends[lines]
+        n = self.ends[lines + 1] - first
+        ends = np.r_[0, np.cumsum(n)]
+        at = np.repeat(first - ends[:-1], n)
+        at += np.arange(len(at))
+        return self.flat[at], ends[offs]

@@ -29,12 +29,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duskline.llm.common import width
+from duskline.llm.common import Remembered, width
 from duskline.session import shared_folder
 
 END = 1
@@ -155,62 +154,64 @@ def _letters() -> dict[int, str]:
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
-class _Words(dict):
-    """Blank-separated word -> ids, filled by `learn`."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.path, self.stems = path, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        tok, letters, hard = _tokenizer(self.path), _letters(), []
-        model, stems = tok.model.tokenize, self.stems
-        for w in words:
-            m = _SIMPLE(w.decode().lower())
-            if m is None:
-                hard.append(w)
-                continue
-            parts = []
-            for i in (1, 2):
-                if s := m[i]:
-                    if s not in stems:
-                        stems[s] = np.array([t.id for t in model(s.encode().decode("latin-1").translate(letters))], np.uint32) if i == 1 else (
-                            np.array(tok.encode(s, add_special_tokens=False).ids, np.uint32))
-                    parts.append(stems[s])
-            self[w] = parts[0] if len(parts) == 1 else np.concatenate(parts)
-        for w, e in zip(hard, tok.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, np.uint32)
-
-
-_WORDS: dict[str, _Words] = {}
+def _word_ids(words: list[bytes], path: str) -> list[np.ndarray]:
+    """Ids of blank-separated words."""
+    tok, letters, hard, stems = _tokenizer(path), _letters(), [], {}
+    out: list = [None] * len(words)
+    model = tok.model.tokenize
+    for n, w in enumerate(words):
+        m = _SIMPLE(w.decode().lower())
+        if m is None:
+            hard.append(n)
+            continue
+        stem, end = m.groups()
+        if stem not in stems:
+            stems[stem] = [t.id for t in model(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))]
+        if end and end not in stems:
+            stems[end] = tok.encode(end, add_special_tokens=False).ids
+        out[n] = np.array(stems[stem] + stems[end] if end else stems[stem], np.uint32)
+    for n, e in zip(hard, tok.encode_batch_fast([words[n].decode() for n in hard], add_special_tokens=False), strict=True):
+        out[n] = np.array(e.ids, np.uint32)
+    return out
+
+
+_WORDS: dict[str, Remembered] = {}
+
+
+def encode_flat(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, END after each, and len + 1 offsets."""
+    known = _WORDS.get(path)
+    if known is None or len(known) > REMEMBERED:
+        known = _WORDS[path] = Remembered()
+        known[b""]  # no word is empty: the first line is END
+    lines, offs = known.lines([[*(t or "").encode().split(), b""] for t in texts])
+    if known.fresh:
+        known.fill([np.array([END], np.uint32)] * (known.fresh[0] == b"") + _word_ids([w for w in known.fresh if w], path))
+    return known.ids(lines, offs)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text and END."""
-    known = _WORDS.setdefault(path, _Words(path))
-    if len(known) > REMEMBERED:
-        known.clear()
-        known.stems.clear()
-    lists = [(t or "").encode().split() for t in texts]
-    known.learn({w for ws in lists for w in ws if w not in known})
-    end = [np.array([END], np.uint32)]
-    return [np.concatenate([known[w] for w in ws] + end) for ws in lists]
+    flat, offs = encode_flat(texts, path)
+    return np.split(flat, offs[1:-1])
 
 
 def _encoding(path: str):
     def run(batches):
         kind = np.uint16 if _bits(path) <= 16 else np.uint32
         for b in batches:
-            ids = encode_texts(b["_wm_text"].to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())], names=["doc_id", "ids"])
+            flat, offs = encode_flat(b["_wm_text"].to_pylist(), path)
+            raw, at = flat.astype(kind).tobytes(), (offs * np.dtype(kind).itemsize).tolist()
+            ids = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b["part"], b["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     return run
 
 
 def _writing(path: str, shard_tokens: int):
     def run(batches):
-        kind, part, seq = np.uint16 if _bits(path) <= 16 else np.uint32, TaskContext.get().partitionId(), 0
-        docs, held, size = [], [], 0
+        kind = np.uint16 if _bits(path) <= 16 else np.uint32
+        docs, held, size, part, seq = [], [], 0, None, 0
 
         def shard():
             ends = np.cumsum([len(x) for x in held])
@@ -219,7 +220,11 @@ def _writing(path: str, shard_tokens: int):
                                               names=["part", "seq", "n_tokens", "file"])
 
         for b in batches:
-            for d, raw in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
+            for p, d, raw in zip(b["part"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
+                if p != part:
+                    if held:
+                        yield shard()
+                    docs, held, size, part, seq = [], [], 0, p, 0
                 docs.append(d)
                 held.append(np.frombuffer(raw, kind))
                 size += len(held[-1])
@@ -246,9 +251,13 @@ def _reading(batches):
 
 def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode all documents and write their shards under folder, in ascending order of ids (part, then seq)."""
-    n = width(docs.sparkSession)
+    n = 2 * width(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_wm_text"))
-    ids = base.mapInArrow(_encoding(path), "doc_id long, ids binary").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # cut points from the ids alone: a range shuffle would encode everything once more for its sample
+    cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] or []
+    steps = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>")
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(steps, lambda c: c < F.col("doc_id"))))
+    ids = base.withColumn("part", part).mapInArrow(_encoding(path), "part int, doc_id long, ids binary").repartition(n, "part").sortWithinPartitions("part", "doc_id", "ids")
     ids.mapInArrow(_writing(path, shard_tokens), "part int, seq int, n_tokens long, file binary").write.parquet(folder)
 
 
