@@ -58,7 +58,7 @@ def corr_matrix(df: DataFrame, cols, method: str = "spearman", by=()) -> DataFra
     return out.withColumnRenamed("rho", "r")
 
 
-def corr_matrix_any_size(df: DataFrame, cols, pieces: int = 16) -> DataFrame:
+def corr_matrix_any_size(df: DataFrame, cols, pieces: int | None = None) -> DataFrame:
     """Spearman matrix of a table too large for rank windows (no missing values): ranks by ranges, one sum pass."""
     from duskline.operators.ranks import spread_rank
 
@@ -146,11 +146,10 @@ def rank_residuals(df: DataFrame, x: str, y: str, covs=(), by=(), use=None, keep
     return rows.select(*by, *keep, "rx", "ry")
 
 
-def _rotations(df: DataFrame, x: str, y: str, order: str, by, max_len: int) -> DataFrame:
+def _rotations(df: DataFrame, x: str, y: str, order: str, by) -> DataFrame:
     """Per group, the sums of x times y for every cyclic rotation of y, plus counts and sums."""
     s = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, x, y))).alias("__s"), F.min(order).alias("first"))
-    too_long = F.raise_error(F.lit(f"series longer than {max_len} rows; fold to nights first"))
-    s = s.withColumn("n", F.when(F.size("__s") > max_len, too_long.cast("int")).otherwise(F.size("__s")))
+    s = s.withColumn("n", F.size("__s"))
     s = s.withColumns({"__x": F.transform("__s", lambda r: r[x]), "__y": F.transform("__s", lambda r: r[y])})
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q)
     turned = lambda k: F.concat(F.slice("__y", F.col("n") - k + 1, k), F.slice("__y", 1, F.col("n") - k))
@@ -160,10 +159,10 @@ def _rotations(df: DataFrame, x: str, y: str, order: str, by, max_len: int) -> D
                     total(F.transform("__x", lambda v: v * v)).alias("sxx"), total(F.transform("__y", lambda v: v * v)).alias("syy"))
 
 
-def shift_p(df: DataFrame, x: str, y: str, order: str, by=(), max_len: int = 4000) -> DataFrame:
+def shift_p(df: DataFrame, x: str, y: str, order: str, by=()) -> DataFrame:
     """Exact circular-shift p of one series per group: share of rotations at least as extreme."""
     by = _list(by)
-    r = _rotations(df, x, y, order, by, max_len)
+    r = _rotations(df, x, y, order, by)
     n = F.col("n").cast("double")
     denom = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n))
     null = F.transform("dots", lambda d: F.abs(d - F.col("sx") * F.col("sy") / n) / F.when(denom > 0, denom))
@@ -172,7 +171,7 @@ def shift_p(df: DataFrame, x: str, y: str, order: str, by=(), max_len: int = 400
 
 
 def stratified_shift_p(
-    df: DataFrame, x: str, y: str, order: str, group: str, by=(), max_len: int = 4000, pieces: int = 16
+    df: DataFrame, x: str, y: str, order: str, group: str, by=(), pieces: int | None = None
 ) -> DataFrame:
     """Exact shift p with every stratum rotated on its own.
 
@@ -182,7 +181,7 @@ def stratified_shift_p(
     full set of combinations is never formed.
     """
     by = _list(by)
-    r = _rotations(df, x, y, order, [*by, group], max_len)
+    r = _rotations(df, x, y, order, [*by, group])
     r = r.withColumns({"pos": F.row_number().over(_part(by).orderBy("first")), "g": F.count("*").over(_part(by))})
     nn = F.sum("n").cast("double")
     centre = F.sum("sx") * F.sum("sy") / nn
@@ -259,10 +258,10 @@ def mann_whitney(df: DataFrame, x: str, group: str, a, b, by=()) -> DataFrame:
 def verdict(est, ref, p, predicted) -> Column:
     """Outcome of a directional hypothesis, or of a declared null."""
     e, r, pv, pr = (F.col(c) if isinstance(c, str) else c for c in (est, ref, p, predicted))
-    null = F.when(pv >= 0.05, "not rejected (not equivalence)").otherwise("null rejected")
+    null = F.when(pv >= 0.05, "null_kept").otherwise("null_rejected")
     held = F.signum(e) == F.signum(r)
-    return (F.when(pr == "null", null).when(held & (pv < 0.05), "direction held; BH-detectable")
-            .when(held, "direction held; BH p>=0.05").otherwise("direction reversed"))
+    return (F.when(pr == "null", null).when(held & (pv < 0.05), "held_significant")
+            .when(held, "held").otherwise("reversed"))
 
 
 def spec_rows(df: DataFrame, specs: list[dict]) -> DataFrame:

@@ -55,7 +55,7 @@ def _count_below(cuts: str, n: int) -> Column:
     return below
 
 
-def cumulative_counts(df: DataFrame, by, col: str, pieces: int = 16, weight: str | None = None) -> DataFrame:
+def cumulative_counts(df: DataFrame, by, col: str, pieces: int | None = None, weight: str | None = None) -> DataFrame:
     """Distinct values of each group with their count, the count below, and the group total.
 
     1. fold ties: (group, value) counts, combined map-side;
@@ -63,13 +63,14 @@ def cumulative_counts(df: DataFrame, by, col: str, pieces: int = 16, weight: str
        one group spreads over `pieces` tasks;
     3. running counts inside each (group, range);
     4. add the totals of the lower ranges, at most `pieces` rows per group.
-    Raise `pieces` with the data: a task holds about 1/pieces of the distinct
+    `pieces` follows the shuffle partitions: a task holds about 1/pieces of the distinct
     values of the largest group. A value shared by a third of all rows is one
     row after step 1. NULL values are left out. With `weight`, rows count that much.
     """
     by = _list(by)
     amount = F.count("*") if weight is None else F.sum(weight)
     freq = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(amount.alias("n"))
+    pieces = pieces or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / pieces for i in range(1, pieces)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(col, probs, 1000).alias("__cuts"))
     cut = freq.join(cuts, by) if by else freq.withColumn("__cuts", cuts.scalar())
@@ -86,7 +87,7 @@ def cumulative_counts(df: DataFrame, by, col: str, pieces: int = 16, weight: str
     return out.select(*by, "value", "n", (F.col("__below") + F.col("__before")).alias("below"), "total")
 
 
-def spread_rank(df: DataFrame, col: str, by=(), out: str = "rank", pieces: int = 16) -> DataFrame:
+def spread_rank(df: DataFrame, col: str, by=(), out: str = "rank", pieces: int | None = None) -> DataFrame:
     """Average-tie rank of groups of any size; NULL values get a NULL rank. Adds `out` and `out_n`."""
     by = _list(by)
     cc = cumulative_counts(df, by, col, pieces).select(
@@ -99,14 +100,14 @@ def spread_rank(df: DataFrame, col: str, by=(), out: str = "rank", pieces: int =
     return df.join(cc, cond, "left").drop("__v", *[f"__{b}" for b in by])
 
 
-def pct_rank(df: DataFrame, col: str, by=(), out: str = "pct", reverse: bool = False, pieces: int = 16) -> DataFrame:
+def pct_rank(df: DataFrame, col: str, by=(), out: str = "pct", reverse: bool = False, pieces: int | None = None) -> DataFrame:
     """Percentile rank: average rank over the non-null count; reversed is one minus that."""
     r = spread_rank(df, col, by, "__rk", pieces)
     p = F.col("__rk") / F.col("__rk_n").cast("double")
     return r.withColumn(out, 1.0 - p if reverse else p).drop("__rk", "__rk_n")
 
 
-def exact_quantiles(df: DataFrame, by, col: str, ps, pieces: int = 16) -> DataFrame:
+def exact_quantiles(df: DataFrame, by, col: str, ps, pieces: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles of groups of any size, one row per (group, p)."""
     by = _list(by)
     cc = cumulative_counts(df, by, col, pieces)
@@ -121,7 +122,7 @@ def exact_quantiles(df: DataFrame, by, col: str, ps, pieces: int = 16) -> DataFr
         *by, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("quantile"))
 
 
-def top_shares(df: DataFrame, score: str, shares, order: str, by=(), out: str = "selected", pieces: int = 16) -> DataFrame:
+def top_shares(df: DataFrame, score: str, shares, order: str, by=(), out: str = "selected", pieces: int | None = None) -> DataFrame:
     """Flag exactly ceil(share * n) rows per group for several shares: an array of booleans, one per share.
 
     Best score first, ties by `order`. All cut scores come from one
@@ -155,7 +156,7 @@ def top_shares(df: DataFrame, score: str, shares, order: str, by=(), out: str =
     return flagged.withColumn(out, F.transform("__c", lambda c: F.coalesce(chosen(c), F.lit(False)))).drop("__neg", "__c", "__l")
 
 
-def top_share(df: DataFrame, score: str, share: float, order: str, by=(), out: str = "selected", pieces: int = 16) -> DataFrame:
+def top_share(df: DataFrame, score: str, share: float, order: str, by=(), out: str = "selected", pieces: int | None = None) -> DataFrame:
     """`top_shares` for one share: a boolean column."""
     f = top_shares(df, score, [share], order, by, "__sel", pieces)
     return f.withColumn(out, F.get("__sel", F.lit(0))).drop("__sel")
@@ -173,7 +174,7 @@ TIERS = ("baseline_monitoring", "elevated_monitoring", "high_priority", "highest
 TIER_QUANTILES = (0.50, 0.75, 0.90)
 
 
-def tiers(df: DataFrame, score: str, by=(), out: str = "tier", pieces: int = 16, digits: int = 9) -> DataFrame:
+def tiers(df: DataFrame, score: str, by=(), out: str = "tier", pieces: int | None = None, digits: int = 9) -> DataFrame:
     """Quantile tiers; unlike `top_share`, rows tied with a threshold all rise into the tier."""
     by = _list(by)
     q = exact_quantiles(df, by, score, TIER_QUANTILES, pieces)
@@ -190,7 +191,7 @@ def tiers(df: DataFrame, score: str, by=(), out: str = "tier", pieces: int = 16,
     return base.withColumn(out, lab).drop(*cols)
 
 
-def qcut(df: DataFrame, col: str, q: int, by=(), out: str = "bin", pieces: int = 16, digits: int = 9) -> DataFrame:
+def qcut(df: DataFrame, col: str, q: int, by=(), out: str = "bin", pieces: int | None = None, digits: int = 9) -> DataFrame:
     """Equal-frequency bins 0..q-1 from interpolated quantile edges; bins are closed on the right."""
     by = _list(by)
     edges = exact_quantiles(df, by, col, [i / q for i in range(1, q)], pieces)

@@ -261,7 +261,7 @@ def stationary_boot(df: DataFrame, x: str, y: str, order: str, reps: int, seed,
     return obs.join(ci, by)
 
 
-def block_weighted_spearman(df: DataFrame, x: str, y: str, block: str, reps: int, seed, pieces: int = 16) -> DataFrame:
+def block_weighted_spearman(df: DataFrame, x: str, y: str, block: str, reps: int, seed, pieces: int | None = None) -> DataFrame:
     """Rank correlation of whole blocks resampled with replacement, one row per replicate.
 
     Rows carry their block's multiplicity as a weight and ranks come from

@@ -41,7 +41,7 @@ def weight_scenarios(base=None) -> dict[str, tuple[float, ...]]:
     return out
 
 
-def rank_layers(cells: DataFrame, key: str, layers: dict[str, str], reverse=(), pieces: int = 16) -> DataFrame:
+def rank_layers(cells: DataFrame, key: str, layers: dict[str, str], reverse=(), pieces: int | None = None) -> DataFrame:
     """Percentile ranks of several layers: all layers ranked in one pass as (key, layer) rows, then one row per key."""
     long = cells.select(key, F.inline(F.array(*[
         F.struct(F.lit(n).alias("layer"), F.col(c).cast("double").alias("value")) for n, c in layers.items()])))
@@ -75,7 +75,7 @@ def decisions(ranked: DataFrame, key: str, fields: dict[str, str], lenses: dict[
 DECISION = ["heat_field", "weight_scenario", "population_lens"]
 
 
-def multiverse(scored: DataFrame, key: str, shares=TOP_SHARES, baseline=("gp", "baseline", "qmargin"), pieces: int = 16) -> DataFrame:
+def multiverse(scored: DataFrame, key: str, shares=TOP_SHARES, baseline=("gp", "baseline", "qmargin"), pieces: int | None = None) -> DataFrame:
     """Selections of all decisions, each beside the baseline decision's selection of the cell.
 
     selected and baseline are arrays aligned with shares; `by_share` turns them
@@ -136,7 +136,7 @@ def decision_signatures(scored: DataFrame, key: str) -> DataFrame:
 
 
 def mc_select(
-    ranked: DataFrame, key: str, mu: str, sd: str, weights, shares, reps: int, seed, pieces: int = 16
+    ranked: DataFrame, key: str, mu: str, sd: str, weights, shares, reps: int, seed, pieces: int | None = None
 ) -> DataFrame:
     """Selection frequency of every cell when its heat value is drawn from N(mu, sd), per share.
 
@@ -152,7 +152,7 @@ def mc_select(
 
 
 def mc_select_correlated(
-    ranked: DataFrame, key: str, outcomes, weights, shares, rhos, reps: int, seed, clip_second=(0.0, 100.0), pieces: int = 16
+    ranked: DataFrame, key: str, outcomes, weights, shares, rhos, reps: int, seed, clip_second=(0.0, 100.0), pieces: int | None = None
 ) -> DataFrame:
     """As `mc_select` for three heat outcomes with equicorrelated errors, for several correlations.
 

@@ -200,7 +200,7 @@ def anomaly_targets(df: DataFrame, unit: str, night: str, anomaly: str) -> DataF
 # --- partitions --------------------------------------------------------------
 
 
-def quantile_blocks(df: DataFrame, x: str, y: str, nx: int = 3, ny: int = 3, out: str = "block", pieces: int = 16) -> DataFrame:
+def quantile_blocks(df: DataFrame, x: str, y: str, nx: int = 3, ny: int = 3, out: str = "block", pieces: int | None = None) -> DataFrame:
     """Spatial blocks from quantile cuts of both coordinates."""
     from duskline.operators.ranks import qcut
 
@@ -340,8 +340,10 @@ def gp_cross_validation(stations: DataFrame, key: str, xy, y: str, se: str, fold
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         te, tr = pdf[pdf["is_test"]], pdf[~pdf["is_test"]]
-        if len(tr) < min_train or not len(te):
+        if not len(te):
             return pd.DataFrame(columns=[f.name for f in out.fields])
+        if len(tr) < min_train:
+            raise ValueError(f"repeat {pdf['repeat'].iloc[0]}, fold {pdf['fold'].iloc[0]}: {len(tr)} training stations, {min_train} are needed")
         p = (tr["length"].iloc[0], tr["signal"].iloc[0], tr["noise"].iloc[0])
         x = tr[[xc, yc]].to_numpy(float)
         mu, sd = _gp_predict(x, _gp_fit(x, tr[y].to_numpy(float), tr[se].to_numpy(float), *p), *p, te[[xc, yc]].to_numpy(float))

@@ -224,9 +224,9 @@ def _hypotheses_sql(regime: str, extra: str) -> str:
         c.hac_sql("h", "b2", "id", "y", "warmth", 7), """
     u AS (SELECT id, c.e AS estimate, p_shift AS p_raw, n FROM p JOIN (SELECT id, corr(rx, ry) e FROM r GROUP BY 1) c USING (id)
           UNION ALL SELECT id, beta, p, n FROM h)""", c.bh_sql("bh", "u", "p_raw")) + """
-    SELECT id, estimate, p_raw, n, p_bh, CASE WHEN id = 'H5' THEN CASE WHEN p_bh >= 0.05 THEN 'not rejected (not equivalence)' ELSE 'null rejected' END
-      WHEN sign(estimate) = sign(d) AND p_bh < 0.05 THEN 'direction held; BH-detectable' WHEN sign(estimate) = sign(d) THEN 'direction held; BH p>=0.05'
-      ELSE 'direction reversed' END AS verdict
+    SELECT id, estimate, p_raw, n, p_bh, CASE WHEN id = 'H5' THEN CASE WHEN p_bh >= 0.05 THEN 'null_kept' ELSE 'null_rejected' END
+      WHEN sign(estimate) = sign(d) AND p_bh < 0.05 THEN 'held_significant' WHEN sign(estimate) = sign(d) THEN 'held'
+      ELSE 'reversed' END AS verdict
     FROM bh JOIN (VALUES ('H1', 0.4), ('H2', 0.1), ('H3', 0.3), ('H4', -0.2), ('H5', 0.1)) v(id, d) USING (id)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,13 +215,13 @@ def written_and_read_back(t: Tables) -> DataFrame:
     from duskline.session import shared_folder
     from duskline.sources import writers
 
-    folder = shared_folder(t.spark) + "/exports"
+    folder = f"{shared_folder(t.spark)}/exports-{uuid.uuid4().hex}"
     city = m.city_nights(t).select(F.year("night_date").alias("year"), "night_date", "n_stations", "warmth")
     parts = []
     for fmt in ("parquet", "csv", "json"):
         path = writers.write(city, folder, f"city_{fmt}", fmt, partition_by=["year"] if fmt == "parquet" else ())
         back = t.spark.read.format(fmt).options(header=True).schema(city.schema).load(path)
         parts.append(back.agg(F.count("*").alias("n"), F.sum("warmth").alias("total")).select(F.lit(fmt).alias("fmt"), "n", "total"))
-    again = writers.cached(city, f"{folder}/city_cache")
+    again = writers.cached(city, f"{shared_folder(t.spark)}/city_cache")
     parts.append(again.agg(F.count("*").alias("n"), F.sum("warmth").alias("total")).select(F.lit("cache").alias("fmt"), "n", "total"))
     return union_all(*parts)

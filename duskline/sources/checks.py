@@ -7,15 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskline.session import settled
+
 
 class CheckFailed(ValueError):
     """Raised with every failed check at once."""
 
 
-def require(findings: DataFrame, what: str, limit: int = 20) -> None:
-    rows = findings.limit(limit).collect()
-    if rows:
-        raise CheckFailed(f"{what}: " + "; ".join(str(r.asDict()) for r in rows))
+def require(findings: DataFrame, what: str, shown: int = 20) -> None:
+    """Raise if there are findings: all of them are counted and kept as a table, some are shown."""
+    kept = settled(findings)
+    n = kept.count()
+    if n:
+        rows = "; ".join(str(r.asDict()) for r in kept.limit(shown).collect())
+        raise CheckFailed(f"{what}: {n} findings, all in {kept.inputFiles()[0].rsplit('/', 1)[0]}; {rows}")
 
 
 def require_columns(df: DataFrame, cols, label: str = "table") -> list[str]:
@@ -114,15 +119,12 @@ def flatten_text(c) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
-def claims_in_text(claims: DataFrame, docs: DataFrame, text: str, limit: int = 1000) -> DataFrame:
+def claims_in_text(claims: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """For each (claim, needle), in how many texts it occurs after white-space folding.
 
-    Claims are a short list (checked against `limit`); they ride as one array
-    through a single pass over the texts, and only counts are shuffled.
+    Claims are a written list; they ride as one array through a single pass over
+    the texts, and only counts are shuffled.
     """
-    n = claims.limit(limit + 1).count()
-    if n > limit:
-        raise CheckFailed(f"more than {limit} claims; split the list")
     arr = claims.agg(F.collect_list(F.struct("claim", "needle")).alias("a")).scalar()
     flat = docs.select(flatten_text(F.col(text)).alias("__t"))
     hits = flat.withColumn("c", F.explode(arr)).where(

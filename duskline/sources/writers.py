@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 
@@ -17,9 +19,24 @@ def write(df: DataFrame, folder: str, name: str, fmt: str = "parquet", partition
     return path
 
 
+def _input_key(df: DataFrame) -> str:
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    parts = [str(df.semanticHash()), df.schema.json(), str(df._jdf.queryExecution().analyzed().canonicalized().hashCode())]
+    for f in sorted(df.inputFiles()):
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        parts.append(f"{f} {status.getModificationTime()} {status.getLen()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
+
+
 def cached(df: DataFrame, path: str, partition_by=()) -> DataFrame:
-    """Materialise once in shared storage and read it back; later stages reuse the file."""
+    """Materialise once in shared storage and read it back; later stages reuse the file.
+
+    What is stored is kept by the plan and by the input files with their times and
+    sizes, so another input, or a changed one, never meets an old result.
+    """
     spark = df.sparkSession
+    path = f"{path}/{_input_key(df)}"
     writer = df.write.mode("ignore")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -96,9 +96,9 @@ def test_coordinate_repair(frame):
 
 
 @pytest.mark.parametrize("est,ref,p,pred,want", [
-    (0.3, 0.4, 0.01, "direction", "direction held; BH-detectable"), (0.3, 0.4, 0.2, "direction", "direction held; BH p>=0.05"),
-    (-0.3, 0.4, 0.01, "direction", "direction reversed"), (0.1, 0.0, 0.2, "null", "not rejected (not equivalence)"),
-    (0.1, 0.0, 0.01, "null", "null rejected")])
+    (0.3, 0.4, 0.01, "direction", "held_significant"), (0.3, 0.4, 0.2, "direction", "held"),
+    (-0.3, 0.4, 0.01, "direction", "reversed"), (0.1, 0.0, 0.2, "null", "null_kept"),
+    (0.1, 0.0, 0.01, "null", "null_rejected")])
 def test_verdicts(frame, est, ref, p, pred, want):
     df = frame("e double, r double, p double, k string", [(est, ref, p, pred)])
     assert df.select(association.verdict("e", "r", "p", "k")).first()[0] == want

@@ -39,8 +39,13 @@ def test_write_formats_and_cache(spark, frame, tmp_path):
         back = spark.read.format(fmt).options(header=True).schema(df.schema).load(path)
         assert sorted(map(tuple, back.select("y", "v").collect())) == [(2001, 1.5), (2002, 2.5)]
     first = writers.cached(df, str(tmp_path / "c"))
-    again = writers.cached(df.withColumn("v", F.col("v") * 0), str(tmp_path / "c"))
-    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+    again, other = writers.cached(df, str(tmp_path / "c")), writers.cached(df.withColumn("v", F.col("v") * 0), str(tmp_path / "c"))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) and first.inputFiles() == again.inputFiles()
+    assert {r["v"] for r in other.collect()} == {0.0}
+    df.write.parquet(str(tmp_path / "p"))
+    one = writers.cached(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "c")).count()
+    df.union(df).write.mode("overwrite").parquet(str(tmp_path / "p"))
+    assert (one, writers.cached(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "c")).count()) == (2, 4)
 
 
 def test_checks_report_every_failure(frame):
