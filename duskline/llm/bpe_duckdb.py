@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 from duskline.llm.common import Remembered
 
 #: Bytes of text whose pieces are encoded together, and pieces remembered by a worker.
-BLOCK = 5 << 20
-REMEMBERED = 350_000
+BLOCK = 4 << 20
+REMEMBERED = 300_000
+#: Tokens decoded at a time.
+DECODED = 500_000
 #: Positions of one piece in a key of the recursion; pieces over four times as long go by rounds.
 _ROOM = 16
 #: Above any token id; two ids make one join key.
@@ -90,7 +92,7 @@ def _database(ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     rows = [(ranks[t[:i]] * _WIDE + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "preserve_insertion_order": "false"})
+    con = duckdb.connect(config={"threads": "1", "memory_limit": "250MB", "preserve_insertion_order": "false"})
     merges = pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("pair", "merged"))})
     vocab = pa.table({"tok": pa.array(list(ranks.values()), pa.int64()), "bytes": pa.array(list(ranks), pa.binary())})
     for name, t in (("merges", merges), ("vocab", vocab)):
@@ -176,12 +178,20 @@ def _blocks(batches, text_col: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _encoding(text_col: str, pattern: str, ranks_path: str):
+def _encoding(text_col: str, pattern: str, ranks_path: str, back: bool):
     def run(batches):
         for t in _blocks(batches, text_col):
             flat, offs = encode_flat(t[text_col].to_pylist(), pattern, ranks_path)
             column = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
-            yield from t.append_column("_bp_ids", column).to_batches()
+            t = t.append_column("_bp_ids", column)
+            if back:
+                t, done, i = t.drop_columns([text_col]), [], 0
+                while i < len(offs) - 1:  # about DECODED tokens at a time
+                    j = max(i + 1, int(np.searchsorted(offs, offs[i] + DECODED, side="right")) - 1)
+                    done += decode_ids(flat, offs[i:j + 1], ranks_path)
+                    i = j
+                t = t.append_column("_bp_bytes", pa.array(done, pa.binary()))
+            yield from t.to_batches()
 
     return run
 
@@ -199,7 +209,14 @@ def _decoding(ids_col: str, ranks_path: str):
 def encode(docs: DataFrame, pattern: str, ranks_path: str, text_col: str = "text") -> DataFrame:
     """All columns of docs and `_bp_ids` (array<int>)."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_bp_ids", T.ArrayType(T.IntegerType(), True))])
-    return docs.mapInArrow(_encoding(text_col, pattern, ranks_path), schema)
+    return docs.mapInArrow(_encoding(text_col, pattern, ranks_path, False), schema)
+
+
+def round_trip(docs: DataFrame, pattern: str, ranks_path: str, text_col: str = "text") -> DataFrame:
+    """Columns of docs but the text, `_bp_ids` and `_bp_bytes`, which is decoded from the ids, in one pass of one worker."""
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    schema = T.StructType([*kept, T.StructField("_bp_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("_bp_bytes", T.BinaryType())])
+    return docs.mapInArrow(_encoding(text_col, pattern, ranks_path, True), schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "_bp_ids") -> DataFrame:

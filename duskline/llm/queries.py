@@ -93,7 +93,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = bpe_duckdb.decode(bpe_duckdb.encode(docs, public_tokenizers.PATTERN, ranks).drop("text"), ranks)
+    back = bpe_duckdb.round_trip(docs, public_tokenizers.PATTERN, ranks)
     ids = F.array_join(F.col("_bp_ids").cast("array<string>"), " ")
     return back.select(*[c for c in docs.columns if c != "text"], F.size("_bp_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                        F.sha2("_bp_bytes", 256).alias("decoded_sha256"))

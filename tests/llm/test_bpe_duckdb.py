@@ -30,7 +30,10 @@ def test_documents_equal_the_library(docs_of, plain):
     assert len(got) == len(rows)
     for r in got:
         assert r["_bp_ids"] == plain.encode_ordinary(r["text"] or "") and bytes(r["_bp_bytes"]) == (r["text"] or "").encode()
-    assert B.encode(docs_of([]), P.PATTERN, RANKS).count() == 0
+    again = B.round_trip(docs_of(rows, "doc_id long, text string, tok string"), P.PATTERN, RANKS).collect()
+    key = lambda r: (str(r["doc_id"]), r["_bp_ids"])
+    assert [(key(r), bytes(r["_bp_bytes"])) for r in sorted(again, key=key)] == [(key(r), bytes(r["_bp_bytes"])) for r in sorted(got, key=key)]
+    assert B.encode(docs_of([]), P.PATTERN, RANKS).count() == 0 and B.round_trip(docs_of([]), P.PATTERN, RANKS).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
