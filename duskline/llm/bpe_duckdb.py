@@ -156,7 +156,8 @@ def encode_flat(texts: list[str | None], pattern: str, ranks_path: str) -> tuple
         known = _MEMORY[ranks_path] = Remembered()
     lines, offs = known.lines([cut(t) if t else [] for t in texts])
     if known.fresh:
-        known.fill(encode_pieces([p.encode() for p in known.fresh], ranks_path))
+        found = encode_pieces([p.encode() for p in known.fresh], ranks_path)
+        known.fill([len(x) for x in found], np.concatenate(found))
     return known.ids(lines, offs)
 
 

@@ -113,10 +113,10 @@ class Remembered(dict):
         offs = np.cumsum([0, *map(len, lists)])
         return np.fromiter((i for keys in lists for i in map(self.__getitem__, keys)), np.int64, int(offs[-1])), offs
 
-    def fill(self, arrays: list[np.ndarray]) -> None:
-        """Ids of the fresh keys, in their order."""
-        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(a) for a in arrays], dtype=np.int64)]
-        self.flat = np.concatenate([self.flat, *arrays]).astype(np.uint32, copy=False)
+    def fill(self, sizes: list[int], ids: np.ndarray) -> None:
+        """Ids of the fresh keys one after another, in their order, and how many each has."""
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)]
+        self.flat = np.concatenate([self.flat, ids]).astype(np.uint32, copy=False)
         self.fresh = []
 
     def ids(self, lines: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,10 +9,11 @@ any token, counts an id in any stretch, finds its k-th place, and decodes whole
 documents. Files are written as rows of one binary column, so that any store
 Spark can write to will do; a lost executor's shards are written again.
 
-Encoding works on the different blank-separated words of a task, since neither
-the normaliser nor the pattern of the tokenizer looks across blanks. Lower-case
-Latin words go straight to the tokenizer's model; all others through the whole
-tokenizer. Words already encoded by a worker are kept in a table of bounded size.
+Encoding works on the different words of a task, cut where neither the normaliser
+nor the pattern of the tokenizer looks across: at blanks, and between letters and
+marks. Lower-case Latin words go straight to the tokenizer's model; all others
+through the whole tokenizer. Words already encoded by a worker are kept in a
+table of bounded size.
 
 Defined cases: a null or empty text is END alone; null ids come first; rows
 with equal ids follow each other in order of their token ids.
@@ -25,6 +26,7 @@ import struct
 import uuid
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duskline.llm.common import Remembered, width
+from duskline.llm.common import Remembered, text_bytes, width
 from duskline.session import shared_folder
 
 END = 1
@@ -151,48 +153,84 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+_BLANK, _LETTER, _MARK, _QUOTE = 1, 2, 3, 4
 
 
-def _word_ids(words: list[bytes], path: str) -> list[np.ndarray]:
-    """Ids of blank-separated words."""
-    tok, letters, hard, stems = _tokenizer(path), _letters(), [], {}
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of every byte (0: digits, bytes of longer characters, controls) and the byte in lower case, A-Z only."""
+    kind = np.zeros(256, np.uint8)
+    kind[np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)] = _BLANK
+    kind[ord("a"):ord("z") + 1] = _LETTER
+    kind[np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = _MARK
+    kind[ord("'")] = _QUOTE
+    low = np.arange(256, dtype=np.uint8)
+    low[ord("A"):ord("Z") + 1] += 32
+    return kind, low
+
+
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Words of all texts, and how many words stand before each text's end.
+
+    A word is cut at blanks, and between a Latin letter and a mark: the pattern
+    never matches across the first, nor across the second unless the mark is an
+    apostrophe before the letter. Batches with a sign of special tokens in them
+    (written `<|`) are cut at blanks alone and keep their case.
+    """
+    kinds, low = _classes()
+    special = bool(np.any((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))))
+    text = buf if special else low[buf]
+    kind = kinds[text]
+    cut = np.zeros(len(text) + 1, bool)
+    if not special:
+        left, right = kind[:-1], kind[1:]
+        cut[1:-1] = ((left == _LETTER) & (right >= _MARK)) | ((left == _MARK) & (right == _LETTER))
+    cut[offs] = True
+    full = kind != _BLANK
+    start = full & (cut[:-1] | ~np.r_[False, full[:-1]])
+    at = np.flatnonzero(cut[:-1])
+    return np.insert(text, at, ord(" ")).tobytes().split(), np.searchsorted(np.flatnonzero(start), offs[1:])
+
+
+def _word_ids(words: list[bytes], path: str) -> list[list[int]]:
+    """Ids of words."""
+    tok, letters, hard = _tokenizer(path), _letters(), []
     out: list = [None] * len(words)
     model = tok.model.tokenize
     for n, w in enumerate(words):
-        m = _SIMPLE(w.decode().lower())
-        if m is None:
+        if w.isalpha() and w.islower():  # bytes: ASCII letters only
+            out[n] = [t.id for t in model(w.decode())]
+        elif _LETTERS(w.decode()):
+            out[n] = [t.id for t in model(w.decode("latin-1").translate(letters))]
+        else:
             hard.append(n)
-            continue
-        stem, end = m.groups()
-        if stem not in stems:
-            stems[stem] = [t.id for t in model(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))]
-        if end and end not in stems:
-            stems[end] = tok.encode(end, add_special_tokens=False).ids
-        out[n] = np.array(stems[stem] + stems[end] if end else stems[stem], np.uint32)
     for n, e in zip(hard, tok.encode_batch_fast([words[n].decode() for n in hard], add_special_tokens=False), strict=True):
-        out[n] = np.array(e.ids, np.uint32)
+        out[n] = e.ids
     return out
 
 
 _WORDS: dict[str, Remembered] = {}
 
 
-def encode_flat(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, END after each, and len + 1 offsets."""
+def encode_flat(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (their bytes and len + 1 offsets), END after each, and len + 1 offsets of the ids."""
     known = _WORDS.get(path)
     if known is None or len(known) > REMEMBERED:
         known = _WORDS[path] = Remembered()
         known[b""]  # no word is empty: the first line is END
-    lines, offs = known.lines([[*(t or "").encode().split(), b""] for t in texts])
+    words, ends = _words(buf, offs)
+    lines = np.insert(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), ends, 0)
     if known.fresh:
-        known.fill([np.array([END], np.uint32)] * (known.fresh[0] == b"") + _word_ids([w for w in known.fresh if w], path))
-    return known.ids(lines, offs)
+        found = [[END]] * (known.fresh[0] == b"") + _word_ids([w for w in known.fresh if w], path)
+        sizes = [len(x) for x in found]
+        known.fill(sizes, np.fromiter(chain.from_iterable(found), np.uint32, sum(sizes)))
+    return known.ids(lines, np.r_[0, ends + np.arange(1, len(ends) + 1)])
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text and END."""
-    flat, offs = encode_flat(texts, path)
+    flat, offs = encode_flat(*text_bytes(pa.array(texts, pa.string())), path)
     return np.split(flat, offs[1:-1])
 
 
@@ -200,7 +238,7 @@ def _encoding(path: str):
     def run(batches):
         kind = np.uint16 if _bits(path) <= 16 else np.uint32
         for b in batches:
-            flat, offs = encode_flat(b["_wm_text"].to_pylist(), path)
+            flat, offs = encode_flat(*text_bytes(b["_wm_text"]), path)
             raw, at = flat.astype(kind).tobytes(), (offs * np.dtype(kind).itemsize).tolist()
             ids = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b["part"], b["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
