@@ -66,21 +66,45 @@ def _unpacked(t: pa.Table, dim: int):
     return t["vec_id"].to_numpy(), t["row"].to_numpy(), whole("v", np.int64, dim), whole("far", np.float64, -1 if n else 0)
 
 
-def best_of(q, q_far, x, x_far, x_ids, skip, k: int) -> list[tuple[int, int]]:
+class Block:
+    """Vectors of one block with what every query needs of them.
+
+    Products run in double precision where no sum of them can pass 2^53, so that they are exact, else in integers.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray, largest: int):
+        self.ids = ids
+        exact = x.shape[1] * int(np.abs(x).max(initial=0)) * largest < 1 << 53
+        self.x = x.astype(np.float64) if exact else x
+        self.far = np.ascontiguousarray(far.T)
+        self.norms = (x.astype(np.float64) ** 2).sum(1)
+
+    def bounds(self, q: np.ndarray, q_far: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products with q."""
+        low, gap = np.zeros(len(self.ids)), np.empty(len(self.ids))
+        for line, f in zip(self.far, q_far.tolist(), strict=True):
+            np.maximum(low, np.abs(np.subtract(line, f, out=gap), out=gap), out=low)
+        return ((q.astype(np.float64) ** 2).sum() + self.norms - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1e-6 * (1 + self.norms)
+
+
+def best_of(q: np.ndarray, q_far: np.ndarray, block: Block, skip: list[int], k: int) -> list[tuple[int, int]]:
     """The k best (score, id) of one query in one block; skip: positions left out."""
-    norms = (x.astype(np.float64) ** 2).sum(1)
-    low = np.abs(x_far - q_far).max(axis=1)
-    bound = ((q.astype(np.float64) ** 2).sum() + norms - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1e-6 * (1 + norms)
+    bound = block.bounds(q, q_far)
     bound[skip] = -np.inf
-    order = np.argsort(-bound, kind="stable")[:len(x) - len(skip)]
-    best: list[tuple[int, int]] = []
+    order = np.argsort(-bound, kind="stable")[:len(bound) - len(skip)]
+    q = q.astype(block.x.dtype)
+    scores, ids = np.zeros(0, block.x.dtype), np.zeros(0, np.int64)
     at, step = 0, FIRST
-    while at < len(order) and not (len(best) == k and best[-1][0] > bound[order[at]]):
+    while at < len(order) and not (len(ids) == k and scores[-1] > bound[order[at]]):
         some = order[at:at + step]
-        scores = x[some] @ q
-        best = sorted([*best, *zip(scores.tolist(), x_ids[some].tolist(), strict=True)], key=lambda r: (-r[0], r[1]))[:k]
+        scores, ids = np.r_[scores, block.x[some] @ q], np.r_[ids, block.ids[some]]
+        if len(ids) > k:  # all that reach the k-th best score, ties included
+            high = scores >= np.partition(scores, len(ids) - k)[len(ids) - k]
+            scores, ids = scores[high], ids[high]
+        top = np.lexsort((ids, -scores))[:k]
+        scores, ids = scores[top], ids[top]
         at, step = at + step, step * 2
-    return best
+    return [(int(s), i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)]
 
 
 def _search(dim: int, k: int):
@@ -88,10 +112,12 @@ def _search(dim: int, k: int):
         out = []
         if queries.num_rows and vectors.num_rows:
             x_ids, x_rows, x, x_far = _unpacked(vectors, dim)
+            q_ids, q_rows, qs, q_fars = _unpacked(queries, dim)
+            block = Block(x_ids, x, x_far, int(np.abs(qs).max(initial=0)))
             place = {r: i for i, r in enumerate(x_rows.tolist())}
-            for qi, qr, q, q_far in zip(*_unpacked(queries, dim), strict=True):
+            for qi, qr, q, q_far in zip(q_ids.tolist(), q_rows.tolist(), qs, q_fars, strict=True):
                 skip = [place[qr]] if qr in place else []
-                out += [(qi, qr, i, s) for s, i in best_of(q, q_far, x, x_far, x_ids, skip, k)]
+                out += [(qi, qr, i, s) for s, i in best_of(q, q_far, block, skip, k)]
         return pa.table({n: pa.array([r[c] for r in out], pa.int64()) for c, n in enumerate(("query_id", "query_row", "vec_id", "score"))})
 
     return run

@@ -48,9 +48,17 @@ def test_bound_skips_candidates():
     x = np.vstack([rng.integers(-5, 5, (2000, 8)), rng.integers(900, 1000, (20, 8))]).astype(np.int64)
     p = x[::100].astype(float)
     far = np.sqrt(((x[:, None] - p[None]) ** 2).sum(-1))
-    best = V.best_of(x[-1], far[-1], x, far, np.arange(len(x)), [len(x) - 1], 5)
     want = sorted(((-int(x[i] @ x[-1]), i) for i in range(len(x) - 1)))[:5]
-    assert best == [(-s, i) for s, i in want]
+    for largest, kind in ((1000, np.float64), (1 << 60, np.int64)):
+        block = V.Block(np.arange(len(x)), x, far, largest)
+        assert block.x.dtype == kind
+        assert V.best_of(x[-1], far[-1], block, [len(x) - 1], 5) == [(-s, i) for s, i in want]
+
+
+def test_ties_go_to_smaller_ids():
+    x = np.tile(np.array([[3, 4]], np.int64), (500, 1))
+    ids = np.random.default_rng(2).permutation(500)
+    assert V.best_of(x[0], np.zeros(1), V.Block(ids, x, np.zeros((500, 1)), 4), [], 5) == [(25, i) for i in range(5)]
 
 
 def test_query_equals_sql(spark, sf):
