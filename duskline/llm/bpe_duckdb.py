@@ -34,10 +34,12 @@ from pyspark.sql import types as T
 from duskline.llm.common import Remembered
 
 #: Bytes of text whose pieces are encoded together, and pieces remembered by a worker.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 REMEMBERED = 300_000
+#: Pieces encoded by one recursive query.
+AT_ONCE = 10_000
 #: Tokens decoded at a time.
-DECODED = 500_000
+DECODED = 200_000
 #: Positions of one piece in a key of the recursion; pieces over four times as long go by rounds.
 _ROOM = 16
 #: Above any token id; two ids make one join key.
@@ -156,7 +158,9 @@ def encode_flat(texts: list[str | None], pattern: str, ranks_path: str) -> tuple
         known = _MEMORY[ranks_path] = Remembered()
     lines, offs = known.lines([cut(t) if t else [] for t in texts])
     if known.fresh:
-        found = encode_pieces([p.encode() for p in known.fresh], ranks_path)
+        found = []
+        for at in range(0, len(known.fresh), AT_ONCE):
+            found += encode_pieces([p.encode() for p in known.fresh[at:at + AT_ONCE]], ranks_path)
         known.fill([len(x) for x in found], np.concatenate(found))
     return known.ids(lines, offs)
 
@@ -193,6 +197,7 @@ def _encoding(text_col: str, pattern: str, ranks_path: str, back: bool):
                     i = j
                 t = t.append_column("_bp_bytes", pa.array(done, pa.binary()))
             yield from t.to_batches()
+            pa.default_memory_pool().release_unused()
 
     return run
 
