@@ -51,7 +51,7 @@ rows(k, tok, round) AS (
     SELECT k, tok, 0 FROM start
     UNION ALL
     (WITH pairs AS (SELECT k, merged FROM (SELECT k, tok, lead(k) OVER (ORDER BY k) AS nk, lead(tok) OVER (ORDER BY k) AS nt FROM rows)
-                    JOIN merges ON pair = tok * {wide} + nt WHERE nk = k + 1),
+                    JOIN merges ON pair = tok * {wide} + nt WHERE nk = k + 1 AND nk // {room} = k // {room}),
     best AS (SELECT k // {room} AS piece, min(merged * {room} + k % {room}) AS code FROM pairs GROUP BY piece)
     SELECT CASE WHEN r.k % {room} > code % {room} THEN r.k - 1 ELSE r.k END,
            CASE WHEN r.k % {room} = code % {room} THEN code // {room} ELSE r.tok END, r.round + 1

@@ -43,3 +43,13 @@ def test_round_trip(plain, texts):
     assert [x.tolist() for x in ids] == [plain.encode_ordinary(t) for t in texts]
     offs = np.cumsum([0, *map(len, ids)])
     assert B.decode_ids(np.concatenate(ids), offs, RANKS) == [t.encode() for t in texts]
+
+
+@pytest.mark.parametrize("size", [15, 16, 17, 63, 64, 65])
+def test_full_pieces_stay_apart(plain, size):
+    """The last byte of a piece that fills its keys does not merge with the next piece."""
+    pieces = [b"4" + b"1" * (size - 1), b"0", b" " * size, b"a", b"x" * size, b"e", b"1" * size, b"1" * size]
+    want = [plain._encode_single_piece(p) for p in pieces]
+    assert [x.tolist() for x in B.encode_pieces(pieces, RANKS)] == want
+    text = "a\n4" + "1" * (size - 2) + "a\n0"
+    assert B.encode_texts([text], P.PATTERN, RANKS)[0].tolist() == plain.encode_ordinary(text)
