@@ -6,7 +6,7 @@ for another where both hashes meet. Filters of widths 1,
 2 and 3 run over the words, the highest and the second highest (different)
 response in the document are taken, rectified, and a logistic unit reads them. The first embedding column starts at the
 log-odds of the hash in toxic documents. Thresholds are set per language
-on rows kept out of the fit; a score is shifted so that its language's threshold
+on all labelled rows that were not fitted on, from their counts in score bins; a score is shifted so that its language's threshold
 becomes 0.3. The language is guessed from function words of the text: neither
 labels, lang, source nor ids are inputs of a score.
 
@@ -41,6 +41,8 @@ EPOCHS = 6
 RATE = 0.05
 TRAIN_ROWS = 2500
 CUT = 0.3
+#: Score bins a unit of the logit, and the largest logit with a bin of its own.
+BINS, FAR = 64, 64
 _PUNCT = b".,;:!?\"'()[]{}|*#%&$-_"
 #: Function words that tell the language of a text.
 FUNCTION_WORDS = {
@@ -225,6 +227,45 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order][i] + below) / 2)
 
 
+def _binned_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """`_threshold` from the counts of both classes in ascending score bins."""
+    caught, hurt = np.cumsum(toxic[::-1])[::-1] / max(1, toxic.sum()), np.cumsum(clean[::-1])[::-1] / max(1, clean.sum())
+    gain = caught - 2 * hurt
+    i = len(gain) - 1 - int(np.argmax(gain[::-1]))
+    below = bins[i - 1] + 1 if i else bins[i] - BINS
+    return float(bins[i] + below) / 2 / BINS
+
+
+def _binning(raw: bytes):
+    def run(batches):
+        model = Model.load(raw)
+        for b in batches:
+            hashes, offs, lang = encode(b["text"].to_pylist())
+            z = np.clip(np.floor(model.logits(hashes, offs).astype(np.float64) * BINS), -FAR * BINS, FAR * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(z), b["y"]], names=["lang", "bin", "y"])
+
+    return run
+
+
+def _with_thresholds(raw: bytes, rest: DataFrame) -> bytes:
+    """The model with thresholds from all rows (text, y) of rest; as it was if rest lacks a class."""
+    model = Model.load(raw)
+    counts = rest.mapInArrow(_binning(raw), "lang int, bin int, y int").groupBy("lang", "bin").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    got = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 4)
+
+    def cut(rows, least, other):
+        if rows[:, 2].sum() < least or rows[:, 3].sum() < least:
+            return other
+        bins, at = np.unique(rows[:, 1], return_inverse=True)
+        return _binned_threshold(bins, np.bincount(at, rows[:, 2]), np.bincount(at, rows[:, 3]))
+
+    every = cut(got, 1, None)
+    if every is None:
+        return raw
+    model.cuts = np.array([every] + [cut(got[got[:, 0] == k], 10, every) for k in range(1, len(FUNCTION_WORDS) + 1)], np.float32)
+    return model.dump()
+
+
 def _training(batches):
     rows = [(t, y, k) for b in batches for t, y, k in zip(b["text"].to_pylist(), b["y"].to_pylist(), b["k"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[2], r[0] or ""))
@@ -234,14 +275,18 @@ def _training(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> bytes | None:
-    """Model from at most `rows` labelled rows of each class; None if a class has none. labels: id_col, toxic."""
+    """Model from at most `rows` labelled rows of each class, thresholds from all others; None if a class has none. labels: id_col, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("y"))
     known = known.withColumn("k", F.shiftrightunsigned(F.xxhash64(F.lit(5), id_col), 1))
     chosen = known.where("y = 1").orderBy("k", id_col).limit(rows).unionByName(known.where("y = 0").orderBy("k", id_col).limit(rows))
     chosen = chosen.select(F.col(id_col).alias("_tx_id"), "y", "k")
-    sample = docs.select(F.col(f"`{id_col}`").alias("_tx_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_tx_id")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_tx_id"), F.col(f"`{text_col}`").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "_tx_id")
     got = sample.select("text", "y", "k").repartition(1).mapInArrow(_training, "model binary").collect()
-    return bytes(got[0]["model"]) if got else None
+    if not got:
+        return None
+    rest = known.select(F.col(id_col).alias("_tx_id"), "y").join(chosen.where("k % 3 <> 0").select("_tx_id"), "_tx_id", "left_anti")
+    return _with_thresholds(bytes(got[0]["model"]), texts.join(rest, "_tx_id").select("text", "y"))
 
 
 def _scoring(raw: bytes | None, text_col: str):

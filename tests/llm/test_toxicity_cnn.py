@@ -80,3 +80,22 @@ def test_nulls_empty_and_missing_classes(spark, docs_of):
     got = M.score(docs, M.fit(docs, both)).collect()
     assert len(got) == 3 and all(0 <= r["_tx_score"] <= 1 for r in got)
     assert M.score(docs_of([]), M.fit(docs_of([]), labels)).count() == 0
+
+
+def test_thresholds_cover_all_rows_that_were_not_fitted_on(spark, docs_of):
+    """A language with too few labels in the training sample still gets its own threshold from the others."""
+    rows = [(i, t if i % 10 else t.replace("the", "der").replace("of", "und").replace(" and ", " von "), y) for i, t, y in corpus(1500)]
+    docs, labels = docs_of([r[:2] for r in rows]), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    cuts = M.Model.load(M.fit(docs, labels, rows=60)).cuts
+    german = 1 + list(M.FUNCTION_WORDS).index("de")
+    assert cuts[german] != cuts[0] and cuts[1 + list(M.FUNCTION_WORDS).index("fr")] == cuts[0]
+
+
+def test_binned_threshold_against_all_cuts():
+    rng = np.random.default_rng(8)
+    z, y = rng.integers(-300, 300, 500), rng.random(500)
+    y = (y < (z + 300) / 600).astype(np.int64)
+    bins, at = np.unique(z, return_inverse=True)
+    got = M._binned_threshold(bins, np.bincount(at, y), np.bincount(at, 1 - y)) * M.BINS
+    gain = lambda c: (z >= c)[y > 0].mean() - 2 * (z >= c)[y == 0].mean()
+    assert abs(gain(got) - max(map(gain, bins))) < 1e-12 and bins.min() - M.BINS <= got
