@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,13 +76,45 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCOPES: list[list[str]] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where a folded table feeds several later steps: the raw readings are
     scanned once, lineage is cut, and the files outlive lost executors. The
     read side keeps column pruning and known sizes, so small tables broadcast.
+    Its folder is `settled_at` of the result and belongs to the enclosing
+    `settled_scope`, if any.
     """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+@contextmanager
+def settled_scope() -> Iterator[list[str]]:
+    """Folders that `settled` writes in this block; what is not released in it passes to the block around it."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+        if _SCOPES:
+            _SCOPES[-1].extend(paths)
+
+
+def release(spark: SparkSession, paths: list[str], keep: Iterable[DataFrame] = ()) -> None:
+    """Delete settled folders, but those of `keep`, and take them out of the list. Nothing may read them any more."""
+    kept = {df.settled_at for df in keep}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in paths if p not in kept]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        paths.remove(path)
