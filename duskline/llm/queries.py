@@ -79,8 +79,7 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows that are held out are never learned from."""
     prepare(spark)
     docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
-    model = toxicity_cnn.fit(docs, labels.where(~toxicity_cnn.held_out(F.col("doc_id"))))
-    scored = toxicity_cnn.score(docs.select("doc_id", "text"), model)
+    scored = toxicity_cnn.classify(docs, labels.where(~toxicity_cnn.held_out(F.col("doc_id"))), keep=["doc_id"])
     return scored.select("doc_id", toxicity_cnn.held_out(F.col("doc_id")).alias("held_out"), F.col("_tx_score").alias("score"),
                          (F.col("_tx_score") >= toxicity_cnn.CUT).cast("int").alias("predicted"))
 

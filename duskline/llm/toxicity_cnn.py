@@ -12,7 +12,10 @@ labels, lang, source nor ids are inputs of a score.
 
 Training reads a bounded sample of labelled rows (TRAIN_ROWS per class, chosen
 by hash of the id, whole texts) in one task; its model has a fixed size and goes
-to all scoring tasks. Scoring is one pass over the scan, without a shuffle.
+to all scoring tasks. `classify` reads every whole text once: language and logit
+are settled beside the columns to keep, that table's ids, languages and logits
+meet the labels for the thresholds, and scores are shifted as columns. Texts are
+in no shuffle.
 
 Defined cases: null and empty texts have no words and get the score of the bare
 bias; a null id is scored and never trained on; repeated label rows count once
@@ -31,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskline.session import settled
+
 BUCKETS = 1 << 16
 DIM = 8
 FILTERS = 8
@@ -236,21 +241,33 @@ def _binned_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) ->
     return float(bins[i] + below) / 2 / BINS
 
 
-def _binning(raw: bytes):
+def _measuring(raw: bytes, text_col: str):
     def run(batches):
         model = Model.load(raw)
         for b in batches:
-            hashes, offs, lang = encode(b["text"].to_pylist())
-            z = np.clip(np.floor(model.logits(hashes, offs).astype(np.float64) * BINS), -FAR * BINS, FAR * BINS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(z), b["y"]], names=["lang", "bin", "y"])
+            hashes, offs, lang = encode(b[text_col].to_pylist())
+            z = np.asarray(model.logits(hashes, offs), np.float64)
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in b.schema.names if n != "_tx_text"], pa.array(lang.astype(np.int32)), pa.array(z)],
+                                             names=[*[n for n in b.schema.names if n != "_tx_text"], "_tx_lang", "_tx_logit"])
 
     return run
 
 
-def _with_thresholds(raw: bytes, rest: DataFrame) -> bytes:
-    """The model with thresholds from all rows (text, y) of rest; as it was if rest lacks a class."""
-    model = Model.load(raw)
-    counts = rest.mapInArrow(_binning(raw), "lang int, bin int, y int").groupBy("lang", "bin").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+def measured(docs: DataFrame, raw: bytes, text_col: str, id_col: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` of docs, `_tx_id`, and each text's guessed language and logit, settled."""
+    picked = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{id_col}`").alias("_tx_id"), F.col(f"`{text_col}`").alias("_tx_text"))
+    fields = [*picked.drop("_tx_text").schema.fields, T.StructField("_tx_lang", T.IntegerType()), T.StructField("_tx_logit", T.DoubleType())]
+    return settled(picked.mapInArrow(_measuring(raw, "_tx_text"), T.StructType(fields)))
+
+
+def thresholds(raw: bytes, scores: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Thresholds by language (0: all) from the logits of all labelled rows; the model's own if a class is missing.
+
+    scores: `_tx_id`, `_tx_lang`, `_tx_logit`. labels: `_tx_id`, y.
+    """
+    cell = F.least(F.greatest(F.floor(F.col("_tx_logit") * BINS), F.lit(-FAR * BINS)), F.lit(FAR * BINS)).cast("int").alias("bin")
+    met = scores.select("_tx_id", F.col("_tx_lang").alias("lang"), cell).join(labels, "_tx_id")
+    counts = met.groupBy("lang", "bin").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     got = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 4)
 
     def cut(rows, least, other):
@@ -261,9 +278,8 @@ def _with_thresholds(raw: bytes, rest: DataFrame) -> bytes:
 
     every = cut(got, 1, None)
     if every is None:
-        return raw
-    model.cuts = np.array([every] + [cut(got[got[:, 0] == k], 10, every) for k in range(1, len(FUNCTION_WORDS) + 1)], np.float32)
-    return model.dump()
+        return Model.load(raw).cuts
+    return np.array([every] + [cut(got[got[:, 0] == k], 10, every) for k in range(1, len(FUNCTION_WORDS) + 1)], np.float32)
 
 
 def _training(batches):
@@ -274,41 +290,55 @@ def _training(batches):
         yield pa.RecordBatch.from_arrays([pa.array([train([r[0] for r in rows], y, np.array([r[2] for r in rows]) % 3 == 0).dump()], pa.binary())], names=["model"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> bytes | None:
-    """Model from at most `rows` labelled rows of each class, thresholds from all others; None if a class has none. labels: id_col, toxic."""
+def _trained(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, rows: int) -> tuple[bytes | None, DataFrame]:
+    """Model from at most `rows` labelled rows of each class (None if a class has none), and the labels of all others."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("y"))
     known = known.withColumn("k", F.shiftrightunsigned(F.xxhash64(F.lit(5), id_col), 1))
     chosen = known.where("y = 1").orderBy("k", id_col).limit(rows).unionByName(known.where("y = 0").orderBy("k", id_col).limit(rows))
     chosen = chosen.select(F.col(id_col).alias("_tx_id"), "y", "k")
-    texts = docs.select(F.col(f"`{id_col}`").alias("_tx_id"), F.col(f"`{text_col}`").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "_tx_id")
+    sample = docs.select(F.col(f"`{id_col}`").alias("_tx_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_tx_id")
     got = sample.select("text", "y", "k").repartition(1).mapInArrow(_training, "model binary").collect()
-    if not got:
-        return None
     rest = known.select(F.col(id_col).alias("_tx_id"), "y").join(chosen.where("k % 3 <> 0").select("_tx_id"), "_tx_id", "left_anti")
-    return _with_thresholds(bytes(got[0]["model"]), texts.join(rest, "_tx_id").select("text", "y"))
+    return bytes(got[0]["model"]) if got else None, rest
 
 
-def _scoring(raw: bytes | None, text_col: str):
-    def run(batches):
-        model = Model.load(raw) if raw else None
-        for b in batches:
-            texts = b[text_col].to_pylist()
-            score = np.zeros(len(texts))
-            if model is not None and texts:
-                hashes, offs, lang = encode(texts)
-                z = model.logits(hashes, offs) - model.cuts[lang] + np.log(CUT / (1 - CUT))
-                score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "_tx_score"])
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> bytes | None:
+    """Model for `score` on other texts: from at most `rows` labelled rows of each class, thresholds from all others. labels: id_col, toxic."""
+    raw, rest = _trained(docs, labels, text_col, id_col, rows)
+    if raw is None:
+        return None
+    model = Model.load(raw)
+    model.cuts = thresholds(raw, measured(docs, raw, text_col, id_col, []), rest)
+    return model.dump()
 
-    return run
 
+def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
+    """Columns `keep` (default: all) of docs and `_tx_score`, from a model of their own labels, as `fit` and `score` in one pass over the texts."""
+    keep = docs.columns if keep is None else keep
+    raw, rest = _trained(docs, labels, text_col, id_col, rows)
+    if raw is None:
+        return docs.select(*[f"`{c}`" for c in keep], F.lit(0.0).alias("_tx_score"))
+    known = measured(docs, raw, text_col, id_col, keep)
+    shift = F.get(F.array(*[F.lit(float(c)) for c in thresholds(raw, known, rest)]), F.col("_tx_lang"))
+    return known.select(*[f"`{c}`" for c in keep], _squashed(F.col("_tx_logit") - shift).alias("_tx_score"))
 
-def held_out(id_: Column) -> Column:
-    """Rows that are never learned from."""
-    return F.coalesce(F.crc32(id_.cast("string")) % 4 == 2, F.lit(False))
+
+def _squashed(above: Column) -> Column:
+    """Score of a logit's distance from its threshold."""
+    z = F.least(F.greatest(above + float(np.log(CUT / (1 - CUT))), F.lit(-60.0)), F.lit(60.0))
+    return 1 / (1 + F.exp(-z))
 
 
 def score(docs: DataFrame, model: bytes | None, text_col: str = "text") -> DataFrame:
     """All columns of docs and `_tx_score`."""
-    return docs.mapInArrow(_scoring(model, text_col), T.StructType([*docs.schema.fields, T.StructField("_tx_score", T.DoubleType())]))
+    if model is None:
+        return docs.withColumn("_tx_score", F.lit(0.0))
+    cuts = F.array(*[F.lit(float(c)) for c in Model.load(model).cuts])
+    fields = [*docs.schema.fields, T.StructField("_tx_lang", T.IntegerType()), T.StructField("_tx_logit", T.DoubleType())]
+    known = docs.mapInArrow(_measuring(model, text_col), T.StructType(fields))
+    return known.withColumn("_tx_score", _squashed(F.col("_tx_logit") - F.get(cuts, F.col("_tx_lang")))).drop("_tx_lang", "_tx_logit")
+
+
+def held_out(id_: Column) -> Column:
+    """Rows that are never learned from."""
+    return F.coalesce(F.crc32(id_.cast("string")) % 4 == 2, F.lit(False))

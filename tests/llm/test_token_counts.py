@@ -25,8 +25,8 @@ def test_counts_equal_the_library(docs_of):
 
 
 def test_many_small_blocks(docs_of):
-    rows = [(i % 5, TEXTS[i % len(TEXTS)]) for i in range(60)]
-    got = token_counts.count_tokens(docs_of(rows), PATH, keep=["doc_id"], room=40, listed=3).collect()
+    rows = [(i % 5, TEXTS[i % len(TEXTS)]) for i in range(1400)]
+    got = token_counts.count_tokens(docs_of(rows).coalesce(1), PATH, keep=["doc_id"], room=40).collect()
     want = expected([t for _, t in rows])
     assert sorted((r["doc_id"], r["_tc_tokens"]) for r in got) == sorted((i, n) for (i, _), n in zip(rows, want, strict=True))
 

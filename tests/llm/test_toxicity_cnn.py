@@ -32,6 +32,14 @@ def test_learns_words_and_leaves_the_rest(spark, docs_of):
     assert wrong <= 5 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_one_pass_gives_the_scores_of_two(spark, docs_of):
+    rows = corpus(300, seed=2)
+    docs, labels = docs_of([(*r[:2], "x") for r in rows], "doc_id long, text string, _tx_langx string"), spark.createDataFrame([(r[0], r[2]) for r in rows[:200]], "doc_id long, toxic int")
+    one = {r["doc_id"]: r["_tx_score"] for r in M.classify(docs, labels, keep=["doc_id"], rows=60).collect()}
+    two = {r["doc_id"]: r["_tx_score"] for r in M.score(docs, M.fit(docs, labels, rows=60)).collect()}
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-2  # a dumped model has 16-bit words
+
+
 def test_maxima_against_loops():
     rng = np.random.default_rng(4)
     model = M.Model(rng)
