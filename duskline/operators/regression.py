@@ -250,44 +250,89 @@ def spline_curve(df: DataFrame, t: str, warmth: str, y: str, knots, levels: dict
     return pts.select(*by, F.col("__lv.level").alias("level"), "t", pred.alias("predicted"), "r2", "n")
 
 
-def relaxation(df: DataFrame, by, t: str, y: str, taus, min_points: int = 8, min_r2: float = 0.3, top: float = 3.0) -> DataFrame:
-    """Exponential relaxation y = floor + A exp(-(t - t_peak) / tau) after the (first) peak.
-
-    For a fixed tau the model is linear, so a grid of tau is profiled: rows are
-    expanded by tau, folded to sums, and the bounded least-squares solution
-    with floor and A in [0, top] is the best of the interior point and the edges.
+class _Decays:
+    """Tails of several groups, padded; least squares in floor and amplitude within [0, top] for a tau of each group."""
+
+    def __init__(self, t: list, y: list, top: float):
+        n = max(map(len, t))
+        self.w, self.t, self.y = (np.zeros((len(t), n)) for _ in range(3))
+        for i, (a, b) in enumerate(zip(t, y, strict=True)):
+            self.w[i, :len(a)], self.t[i, :len(a)], self.y[i, :len(b)] = 1, a, b
+        self.n, self.top = self.w.sum(1), top
+        self.spread = (self.w * (self.y - (self.w * self.y).sum(1, keepdims=True) / self.n[:, None]) ** 2).sum(1)
+
+    def solve(self, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(error, floor, amplitude): the interior solution if it is inside, else the best edge."""
+        e = np.exp(-self.t / tau[:, None]) * self.w
+        s = lambda v: (self.w * v).sum(1)
+        me, my, ee, ey = s(e) / self.n, s(self.y) / self.n, s(e * e) / self.n, s(e * self.y) / self.n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            free = np.nan_to_num((ey - me * my) / (ee - me * me))
+            pairs = [(my - free * me, free)]
+            pairs += [(np.full(len(tau), c), np.clip((ey - c * me) / ee, 0, self.top)) for c in (0.0, self.top)]
+            pairs += [(np.clip(my - c * me, 0, self.top), np.full(len(tau), c)) for c in (0.0, self.top)]
+        best = np.full(len(tau), np.inf), np.zeros(len(tau)), np.zeros(len(tau))
+        for fl, a in pairs:
+            err = (self.w * (self.y - fl[:, None] - a[:, None] * e) ** 2).sum(1)
+            inside = (fl >= 0) & (fl <= self.top) & (a >= 0) & (a <= self.top) & (err < best[0])
+            best = tuple(np.where(inside, new, old) for new, old in zip((err, fl, a), best, strict=True))
+        return best
+
+    def slope(self, tau: np.ndarray) -> np.ndarray:
+        """Derivative of the profiled error in log tau: floor and amplitude are at their optimum, so only the exponential moves."""
+        _, fl, a = self.solve(tau)
+        e = np.exp(-self.t / tau[:, None]) * self.w
+        r = self.w * (self.y - fl[:, None] - a[:, None] * e)
+        return -2 * (r * a[:, None] * e * self.t / tau[:, None]).sum(1)
+
+
+def _project(t: list, y: list, bounds: tuple[float, float], top: float, points: int = 48, rounds: int = 60) -> list[tuple]:
+    """tau, floor, amplitude and R2 of each group by variable projection.
+
+    A coarse scan of log tau brackets the least error; inside the bracket a secant (Newton)
+    step on the slope is taken where it stays inside, else the middle.
+    """
+    d = _Decays(t, y, top)
+    grid = np.linspace(np.log(bounds[0]), np.log(bounds[1]), points)
+    err = np.stack([d.solve(np.full(len(t), np.exp(g)))[0] for g in grid])
+    at = err.argmin(0)
+    lo, hi = grid[np.maximum(at - 1, 0)], grid[np.minimum(at + 1, points - 1)]
+    s_lo, s_hi = d.slope(np.exp(lo)), d.slope(np.exp(hi))
+    for i in range(rounds):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = lo - s_lo * (hi - lo) / (s_hi - s_lo)
+        wide = hi - lo
+        mid = np.where(np.isfinite(step) & (step > lo + 0.01 * wide) & (step < hi - 0.01 * wide) & (i % 3 != 2), step, (lo + hi) / 2)
+        s_mid = d.slope(np.exp(mid))
+        left = s_mid < 0  # the error still falls: the least lies to the right
+        lo, s_lo, hi, s_hi = np.where(left, mid, lo), np.where(left, s_mid, s_lo), np.where(left, hi, mid), np.where(left, s_hi, s_mid)
+    tries = [np.exp(x) for x in ((lo + hi) / 2, np.full(len(t), grid[0]), np.full(len(t), grid[-1]), grid[at])]
+    errs = np.stack([d.solve(x)[0] for x in tries])
+    tau = np.stack(tries)[np.argmin(np.round(errs, 14), axis=0), np.arange(len(t))]
+    e, fl, a = d.solve(tau)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return list(zip(tau.tolist(), fl.tolist(), a.tolist(), np.where(d.spread > 0, 1 - e / d.spread, np.nan).tolist(), strict=True))
+
+
+def relaxation(df: DataFrame, by, t: str, y: str, bounds=(0.3, 30.0), min_points: int = 8, min_r2: float = 0.3, top: float = 3.0) -> DataFrame:
+    """Exponential relaxation y = floor + A exp(-(t - t_peak) / tau) after the (first) peak, tau continuous within bounds.
+
+    A group is one profile: its tail is one array, and a batch of profiles is
+    fitted at once. floor and A stay in [0, top]; fits of R2 up to min_r2 are left out.
     """
     by = _list(by)
-    peak = F.max(F.struct(F.col(y), -F.col(t))).over(W.partitionBy(*by))
-    rows = df.withColumn("__t0", -peak["col2"]).where(F.col(t) >= F.col("__t0"))
-    rows = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(x)) for x in taus])))
-    rows = rows.withColumn("__e", F.exp(-(F.col(t) - F.col("__t0")) / F.col("tau")))
-    n = F.count("*").cast("double")
-    g = rows.groupBy(*by, "tau").agg(
-        n.alias("n"), F.min("__t0").alias("peak_t"), F.avg("__e").alias("me"), F.avg(y).alias("my"),
-        F.var_pop("__e").alias("vee"), F.covar_pop("__e", y).alias("vey"), F.var_pop(y).alias("vyy")
-    ).where(F.col("n") >= min_points)
-    cap = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(top), v))
-    e2 = F.col("vee") + F.col("me") * F.col("me")
-    ey = F.col("vey") + F.col("me") * F.col("my")
-    free = F.coalesce(safe_div("vey", "vee"), F.lit(0.0))
-    candidates = [(F.col("my") - free * F.col("me"), free)]
-    candidates += [(F.lit(c), cap(safe_div(ey - c * F.col("me"), e2))) for c in (0.0, top)]
-    candidates += [(cap(F.col("my") - c * F.col("me")), F.lit(c)) for c in (0.0, top)]
-
-    def point(fl: Column, a: Column) -> Column:
-        bias = F.col("my") - fl - a * F.col("me")
-        sse = F.col("n") * (F.col("vyy") - 2 * a * F.col("vey") + a * a * F.col("vee") + bias * bias)
-        inside = fl.between(0.0, top) & a.between(0.0, top)
-        return F.struct(F.when(inside, sse).otherwise(F.lit(float("inf"))).alias("sse"), fl.alias("floor"), a.alias("amplitude"))
-
-    best = F.array_min(F.array(*[point(fl, a) for fl, a in candidates]))
-    g = g.withColumn("__p", best).withColumn("__sse", F.round(F.col("__p.sse"), 9))
-    pick = g.groupBy(*by).agg(F.min_by(F.struct("tau", "n", "peak_t", "vyy", "__p"), F.struct("__sse", "tau")).alias("r"))
-    r2 = 1 - safe_div(F.col("r.__p.sse"), F.col("r.n") * F.col("r.vyy"))
-    return pick.select(*by, F.col("r.peak_t").alias("peak_t"), F.col("r.tau").alias("tau"), F.col("r.__p.floor").alias("floor"),
-                       F.col("r.__p.amplitude").alias("amplitude"), r2.alias("fit_r2"), F.col("r.n").cast("long").alias("n_tail")
-                       ).where(F.col("fit_r2") > min_r2)
+    curve = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y")))).alias("c"))
+    peak = F.array_max(F.transform("c", lambda p: F.struct(p["y"].alias("y"), (-p["t"]).alias("t"))))
+    curve = curve.withColumn("peak_t", -peak["t"])
+    curve = curve.withColumn("c", F.filter("c", lambda p: p["t"] >= F.col("peak_t"))).where(F.size("c") >= min_points)
+
+    @F.pandas_udf("tau double, floor double, amplitude double, fit_r2 double")
+    def fit_all(ts: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = _project(list(ts), list(ys), bounds, top) if len(ts) else []
+        return pd.DataFrame(rows, columns=["tau", "floor", "amplitude", "fit_r2"], dtype=float)
+
+    fitted = curve.withColumn("f", fit_all(F.transform("c", lambda p: p["t"] - F.col("peak_t")), F.transform("c", lambda p: p["y"])))
+    return fitted.select(*by, "peak_t", "f.*", F.size("c").cast("long").alias("n_tail")).where((F.col("fit_r2") > min_r2) & ~F.isnan("fit_r2"))
 
 
 def pred_metrics(df: DataFrame, obs: str, pred: str, by=(), sd: str | None = None, target_se: str | None = None) -> DataFrame:

@@ -2,24 +2,25 @@
 
 All draws come from the counter generator, so they recompute identically after
 the loss of an executor. Tables entering here are folded to nights or clusters
-first; a replicate costs one small group, and replicates spread over tasks.
+first. Statistics that need more than sums run on a replicate axis (`replicates`).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from duskline.functions.counter import draw_below, draw_unit
 from duskline.functions.numeric import safe_div
 from duskline.operators import association as at
 from duskline.operators import regression as rg
-from duskline.operators.ranks import cumulative_counts
+from duskline.operators import replicates as rp
 from duskline.operators.series import guarded_slope
+from duskline.session import settled
 
 
 def _list(x) -> list[str]:
@@ -93,16 +94,13 @@ def cluster_boot_stat(df: DataFrame, x: str, y: str, cluster: str, reps: int, se
     """
     by = _list(by)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, cluster, x, y)
-    d = cluster_draws(rows, cluster, reps, seed, by)
-    b = rows.join(d, [*by, cluster]).withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    enough = b.groupBy(*by, "replicate").agg(F.countDistinct(x).alias("__nx"))
+    weights = lambda d, r, reps_at: rp.key_weights(d, r, reps_at, [cluster])
+    one = rp.rank_correlation(x, y, min_n=2, least_x=5) if stat == "rho" else rp.slope(x, y, least_x=5)
+    est = rp.apply(rows, cluster_draws(rows, cluster, reps, seed, by), reps, one, by, weights)
     if stat == "rho":
-        est = at.spearman(b, x, y, [*by, "replicate"]).withColumnRenamed("rho", "est")
         obs = at.spearman(rows, x, y, by).withColumnRenamed("rho", "estimate")
     else:
-        est = b.groupBy(*by, "replicate").agg(guarded_slope(F.col(y), F.col(x)).alias("est"))
         obs = rows.groupBy(*by).agg(guarded_slope(F.col(y), F.col(x)).alias("estimate"), F.count("*").alias("n"))
-    est = est.join(enough, [*by, "replicate"]).withColumn("est", F.when(F.col("__nx") > 5, F.col("est")))
     ci = interval(est, "est", by)
     if by:
         return obs.join(ci, by)
@@ -110,11 +108,11 @@ def cluster_boot_stat(df: DataFrame, x: str, y: str, cluster: str, reps: int, se
     return obs.withColumns({k: s[k] for k in ("ci_low", "ci_high", "n_valid")})
 
 
-def block_draws(spine: DataFrame, reps: int, seed, length: int | Column = 14, by=(), year: str = "year") -> DataFrame:
+def block_starts(spine: DataFrame, reps: int, seed, length: int | Column = 14, by=(), year: str = "year") -> DataFrame:
     """Calendar moving blocks: per replicate and season, days drawn in blocks that never wrap or cross seasons.
 
     spine has one row per calendar day with its season and day_index. Returns
-    (by, replicate, season, day_index, times).
+    (by, replicate, season, start, take): `take` days from day_index `start`.
     """
     by = _list(by)
     length = F.lit(length) if isinstance(length, int) else length
@@ -122,14 +120,17 @@ def block_draws(spine: DataFrame, reps: int, seed, length: int | Column = 14, by
     seasons = seasons.withColumn("__L", F.least(length, F.col("__n")))
     b = seasons.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     b = b.withColumn("__j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / F.col("__L")) - 1).cast("int"))))
-    b = b.withColumn("__start", draw_below(F.col("__n") - F.col("__L") + 1, seed, "replicate", year, "__j"))
-    last = F.least(F.col("__L"), F.col("__n") - F.col("__j") * F.col("__L")) - 1
-    b = b.withColumn("day_index", F.explode(F.sequence(F.col("__start"), (F.col("__start") + last).cast("long"))))
-    return b.groupBy(*by, "replicate", year, F.col("day_index").cast("int").alias("day_index")).agg(F.count("*").alias("times"))
+    start = draw_below(F.col("__n") - F.col("__L") + 1, seed, "replicate", year, "__j").cast("int")
+    take = F.least(F.col("__L"), F.col("__n") - F.col("__j") * F.col("__L")).cast("int")
+    return b.select(*by, "replicate", year, start.alias("start"), take.alias("take"))
 
 
-def repeat_rows(drawn: DataFrame) -> DataFrame:
-    return drawn.withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("__t")
+def block_draws(spine: DataFrame, reps: int, seed, length: int | Column = 14, by=(), year: str = "year") -> DataFrame:
+    """The days of `block_starts` as (by, replicate, season, day_index, times)."""
+    by = _list(by)
+    b = block_starts(spine, reps, seed, length, by, year)
+    b = b.withColumn("day_index", F.explode(F.sequence("start", F.col("start") + F.col("take") - 1)))
+    return b.groupBy(*by, "replicate", year, "day_index").agg(F.count("*").alias("times"))
 
 
 def block_boot(
@@ -141,12 +142,10 @@ def block_boot(
     each replicate. The interval needs max(20, reps / 2) finite replicates.
     """
     by = _list(by)
-    d = block_draws(cal, reps, seed, length, by)
-    keep = cal.where(flag).select(*by, "year", "day_index", x, y, *covs)
-    b = repeat_rows(d.join(keep, [*by, "year", "day_index"]))
-    est = at.partial_spearman(b, x, y, covs, [*by, "replicate"], min_n, raw=raw)
+    keep = cal.where(flag).select(*by, "year", "day_index", x, y, *covs).na.drop(subset=[x, y, *covs])
+    est = rp.apply(keep, block_starts(cal, reps, seed, length, by), reps, rp.rank_correlation(x, y, covs, raw, min_n), by)
     obs = at.partial_spearman(keep, x, y, covs, by, min_n, raw=raw)
-    ci = interval(est, "rho", by, need=max(20, reps // 2))
+    ci = interval(est, "est", by, need=max(20, reps // 2))
     return obs.join(ci, by, "left")
 
 
@@ -155,49 +154,40 @@ def block_boot_curve(
 ) -> DataFrame:
     """Mean curve per label with moving-block bands: replicate means of y at every x, null-skipping.
 
-    cal carries the label of each night; prof is long (night_date, x, y). A
-    replicate is a weight per night, so profile rows join weights, not copies.
+    cal carries the label of each night; prof is long (night_date, x, y). A night
+    is one row with its values at every x; a replicate is a weight per night.
     """
-    d = block_draws(cal, reps, seed, length)
     nights = cal.where(F.col(label).isNotNull()).select("year", "day_index", "night_date", label)
-    w = d.join(nights, ["year", "day_index"]).select("replicate", "night_date", label, "times")
-    rows = prof.where(F.col(y).isNotNull()).select("night_date", x, y)
-    t = F.col("times").cast("double")
-    b = rows.join(w, "night_date").groupBy(label, x, "replicate").agg((F.sum(t * F.col(y)) / F.sum(t)).alias("m"))
-    obs = rows.join(nights.select("night_date", label), "night_date").groupBy(label, x).agg(
-        F.avg(y).alias("mean"), F.count("*").alias("n_nights"))
-    return obs.join(interval(b, "m", [label, x]), [label, x])
+    rows = prof.where(F.col(y).isNotNull()).select("night_date", F.col(x).cast("double").alias(x), y).join(nights, "night_date")
+    places = [r[0] for r in rows.select(x).distinct().orderBy(x).collect()]  # offsets of a profile
+    labels = [r[0] for r in nights.select(label).distinct().collect()]  # a few
+    names = [f"p{i}" for i in range(len(places))]
+    wide = rows.groupBy("year", "day_index", label).agg(*[F.avg(F.when(F.col(x) == p, F.col(y))).alias(n) for p, n in zip(places, names, strict=True)])
+    draws = block_starts(cal, reps, seed, length).withColumn(label, F.explode(F.array(*[F.lit(v) for v in labels])))
+    b = rp.apply(wide, draws, reps, rp.mean_columns(names), [label], many=names)
+    at_x = F.array(*[F.lit(p) for p in places])
+    b = b.withColumn(x, F.get(at_x, F.substring("name", 2, 9).cast("int")))
+    obs = rows.groupBy(label, x).agg(F.avg(y).alias("mean"), F.count("*").alias("n_nights"))
+    return obs.join(interval(b, "est", [label, x]), [label, x])
 
 
 def block_boot_ols(cal: DataFrame, y: str, xs, reps: int, seed, length: int = 14, by=()) -> DataFrame:
     """Multi-predictor OLS with moving-block intervals per coefficient."""
     by, xs = _list(by), list(xs)
     ok = cal.na.drop(subset=[*xs, y]).select(*by, "year", "day_index", y, *xs)
-    b = repeat_rows(block_draws(cal, reps, seed, length, by).join(ok, [*by, "year", "day_index"]))
-    f = rg.fit(b, y, xs, [*by, "replicate"]).where(F.col("n") >= len(xs) + 6)
-    names = F.array(*[F.lit(t) for t in ["intercept", *xs]])
-    est = f.select(*by, "replicate", F.inline(F.arrays_zip(names.alias("term"), F.col("f.beta").alias("est"))))
-    o = rg.fit(ok, y, xs, by)
-    obs = o.select(*by, "n", F.inline(F.arrays_zip(names.alias("term"), F.col("f.beta").alias("estimate"))))
-    return obs.join(interval(est, "est", [*by, "term"]), [*by, "term"])
-
-
-_VECTOR = T.ArrayType(T.DoubleType())
+    design = [F.lit(1.0), *[F.col(v).cast("double") for v in [*xs, y]]]
+    pairs = [(i, j) for i in range(len(design)) for j in range(i, len(design))]
+    names = [f"s{i}_{j}" for i, j in pairs]
+    per = ok.groupBy(*by, "year", "day_index").agg(*[F.sum(design[i] * design[j]).alias(n) for (i, j), n in zip(pairs, names, strict=True)])
+    terms = ["intercept", *xs]
 
+    def fitted(total: np.ndarray) -> np.ndarray:
+        return np.where(total[0] >= len(xs) + 6, rp.least_squares(total), np.nan)
 
-@F.pandas_udf(_VECTOR)
-def _solve_sums(sums: pd.Series) -> pd.Series:
-    """Coefficients from the upper triangle of raw cross products of [1, x..., y]."""
-    flat = np.vstack(sums.to_numpy()).astype(float)
-    k = int((np.sqrt(8 * flat.shape[1] + 1) - 1) / 2)
-    m = np.zeros((len(flat), k, k))
-    i, j = np.triu_indices(k)
-    m[:, i, j] = flat
-    m[:, j, i] = flat
-    a, b = m[:, :-1, :-1], m[:, :-1, -1]
-    d = 1 / np.sqrt(np.maximum(np.einsum("bii->bi", a), 1e-300))
-    inv = np.linalg.pinv(a * d[:, :, None] * d[:, None, :], rcond=1e-12, hermitian=True)
-    return pd.Series(list(d * np.einsum("bij,bj->bi", inv, d * b)))
+    est = rp.apply_sums(per, names, block_starts(cal, reps, seed, length, by), reps, fitted, terms, by).withColumnRenamed("name", "term")
+    o = rg.fit(ok, y, xs, by)
+    obs = o.select(*by, "n", F.inline(F.arrays_zip(F.array(*[F.lit(t) for t in terms]).alias("term"), F.col("f.beta").alias("estimate"))))
+    return obs.join(interval(est, "est", [*by, "term"]), [*by, "term"])
 
 
 def block_boot_spline(
@@ -215,22 +205,23 @@ def block_boot_spline(
     named = curve.select("night_date", *[d.cast("double").alias(f"d{i}") for i, d in enumerate(design)])
     per = named.groupBy("night_date").agg(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in pairs])
     names = [f"s{i}_{j}" for i, j in pairs]
-    nights = cal.select("year", "day_index", "night_date")
-    draws = block_draws(cal, reps, seed, length).join(nights, ["year", "day_index"]).select("replicate", "night_date", "times")
-    whole = per.groupBy().agg(F.array(*[F.sum(n) for n in names]).alias("s")).select(F.lit(-1).alias("replicate"), "s")
-    rep = per.join(draws, "night_date").groupBy("replicate").agg(F.array(*[F.sum(F.col("times") * F.col(n)) for n in names]).alias("s"))
-    beta = whole.unionByName(rep).select("replicate", _solve_sums("s").alias("b"))
-    pts = beta.withColumn("t", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    pts = pts.withColumn("__lv", F.explode(F.array(*[
-        F.struct(F.lit(nm).alias("level"), v.cast("double").alias("w")) for nm, v in levels.items()])))
+    per = per.join(cal.select("year", "day_index", "night_date"), "night_date")
     gb = rg.natural_spline("t", knots)
-    w = F.col("__lv.w")
-    pred = F.get("b", F.lit(0))
-    for i, term in enumerate([*gb, w, *[g * w for g in gb]]):
-        pred = pred + F.get("b", F.lit(i + 1)) * term
-    pts = pts.select("replicate", F.col("__lv.level").alias("level"), "t", pred.alias("fit"))
-    obs = pts.where("replicate = -1").drop("replicate")
-    return obs.join(interval(pts.where("replicate >= 0"), "fit", ["level", "t"], need=reps), ["level", "t"])
+    at_grid = [F.struct(F.lit(nm).alias("level"), F.lit(float(g)).alias("t"), v.cast("double").alias("w")) for nm, v in levels.items() for g in grid]
+    row = cal.sparkSession.range(1).select(F.explode(F.array(*at_grid)).alias("p")).select("p.*")
+    w = F.col("w")
+    points = row.select("level", "t", F.array(F.lit(1.0), *gb, w, *[g * w for g in gb]).alias("x")).collect()  # levels x grid rows
+    basis_at, keys = np.array([p["x"] for p in points], float), [f"{p['level']}@{i}" for i, p in enumerate(points)]
+
+    def fitted(total: np.ndarray) -> np.ndarray:
+        return basis_at @ rp.least_squares(total)
+
+    est = rp.apply_sums(per, names, block_starts(cal, reps, seed, length), reps, fitted, keys)
+    est = est.select(F.substring_index("name", "@", 1).alias("level"), F.get(F.array(*[F.lit(float(p["t"])) for p in points]), F.substring_index("name", "@", -1).cast("int")).alias("t"), "est")
+    whole = np.array(per.agg(*[F.sum(n) for n in names]).first(), float)
+    fit = fitted(whole[:, None])[:, 0].tolist()
+    obs = cal.sparkSession.createDataFrame([(p["level"], float(p["t"]), f) for p, f in zip(points, fit, strict=True)], "level string, t double, fit double")
+    return obs.join(interval(est, "est", ["level", "t"], need=reps), ["level", "t"])
 
 
 def stationary_draws(series: DataFrame, reps: int, seed, restart: float = 1 / 14, by=(), year: str = "year") -> DataFrame:
@@ -254,34 +245,99 @@ def stationary_boot(df: DataFrame, x: str, y: str, order: str, reps: int, seed,
     by = _list(by)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn(
         "position", F.row_number().over(W.partitionBy(*by, year).orderBy(order)) - 1)
-    d = stationary_draws(rows, reps, seed, restart, by, year)
-    b = d.join(rows.select(*by, year, "position", x, y), [*by, year, "position"])
-    ci = interval(at.spearman(b, x, y, [*by, "replicate"]), "rho", by)
+    rows = rows.select(*by, year, "position", x, y)
+    d = stationary_draws(rows, reps, seed, restart, by, year).groupBy(*by, "replicate", year, "position").agg(F.count("*").alias("times"))
+    weights = lambda drawn, r, at_reps: rp.key_weights(drawn, r, at_reps, [year, "position"])
+    ci = interval(rp.apply(rows, d, reps, rp.rank_correlation(x, y), by, weights), "est", by)
     obs = at.spearman(rows, x, y, by)
     return obs.join(ci, by)
 
 
-def block_weighted_spearman(df: DataFrame, x: str, y: str, block: str, reps: int, seed, pieces: int | None = None) -> DataFrame:
-    """Rank correlation of whole blocks resampled with replacement, one row per replicate.
+def _block_counts(df: DataFrame, col: str, block: str, labels: list, pieces: int | None = None) -> DataFrame:
+    """Distinct values of a column with an array over blocks: how many rows of each block lie below, and half of those tied with it.
 
-    Rows carry their block's multiplicity as a weight and ranks come from
-    weighted cumulative counts, so neither copies of rows nor whole
-    replicates are gathered anywhere.
+    As `cumulative_counts`: ties are folded map-side, values are cut into ranges,
+    ranges are scanned in parallel and tied together by their totals.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(block, x, y)
-    b = rows.join(cluster_draws(rows, block, reps, seed), block)
-    for v, r in ((x, "__rx"), (y, "__ry")):
-        cc = cumulative_counts(b, ["replicate"], v, pieces, weight="times").select(
-            "replicate", F.col("value").alias(v), (F.col("below") + (F.col("n") + 1) / 2).alias(r))
-        b = b.join(cc, ["replicate", v])
-    w = F.col("times").cast("double")
-    s = b.groupBy("replicate").agg(
-        F.sum(w).alias("n"), F.sum(w * F.col("__rx")).alias("sx"), F.sum(w * F.col("__ry")).alias("sy"),
-        F.sum(w * F.col("__rx") * F.col("__rx")).alias("sxx"), F.sum(w * F.col("__ry") * F.col("__ry")).alias("syy"),
-        F.sum(w * F.col("__rx") * F.col("__ry")).alias("sxy"))
-    n = F.col("n")
-    r = safe_div(F.col("sxy") - F.col("sx") * F.col("sy") / n,
-                 F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)))
-    return s.select("replicate", r.alias("rho"), n.cast("long").alias("n"))
-
-
+    pieces = pieces or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [f"__n{i}" for i in range(len(labels))]
+    freq = df.groupBy(F.col(col).alias("value")).agg(*[F.count_if(F.col(block) == b).alias(n) for b, n in zip(labels, names, strict=True)])
+    cuts = df.agg(F.percentile_approx(col, [i / pieces for i in range(1, pieces)], 1000)).scalar()
+    cut = freq.withColumn("__cuts", cuts).withColumn("__piece", F.size(F.filter("__cuts", lambda e: e < F.col("value")))).drop("__cuts")
+    inside = W.partitionBy("__piece").orderBy("value")
+    run = cut.select("value", "__piece", *names, *[(F.sum(n).over(inside) - F.col(n)).alias(f"__b{n}") for n in names])
+    over = W.partitionBy(F.lit(0)).orderBy("__piece")
+    sums = cut.groupBy("__piece").agg(*[F.sum(n).alias(n) for n in names])
+    sums = sums.select("__piece", *[(F.sum(n).over(over) - F.col(n)).alias(f"__p{n}") for n in names])
+    place = F.array(*[F.col(f"__b{n}") + F.col(f"__p{n}") + F.col(n) / 2 for n in names])
+    return run.join(sums, "__piece").select("value", place.alias("place"))
+
+
+def block_rank_correlations(df: DataFrame, x: str, y: str, block: str, reps: int, seed, raw=(), pieces: int | None = None) -> DataFrame:
+    """replicate (-1: the data), rho, partial and n: rank correlation when whole blocks are drawn with replacement, and the same after `raw` columns are taken off both ranks.
+
+    With multiplicities w of the blocks, a cell's rank in a replicate is
+    sum(w * place) + 1/2, place being its counts by block. Sums of products of ranks are
+    therefore polynomials in w; their coefficients, arrays over two or three blocks, are
+    added up in one pass over the cells, and every replicate is an evaluation. Neither rows nor
+    ranks are made per replicate. Blocks are few.
+    """
+    raw = list(raw)
+    rows = settled(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).na.drop(subset=raw or None).select(block, x, y, *raw))
+    labels = sorted(r[0] for r in rows.select(block).distinct().collect())
+    b = len(labels)
+    for v, r in ((x, "__px"), (y, "__py")):
+        rows = rows.join(_block_counts(rows.select(block, x, y), v, block, labels, pieces).select(F.col("value").alias(v), F.col("place").alias(r)), v)
+    index = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(block)).cast("int") - 1
+    k = len(raw)
+    rows = rows.select(index.alias("b"), "__px", "__py", *[F.col(c).cast("double").alias(f"__r{i}") for i, c in enumerate(raw)])
+    size = b + 3 * b**3 + 2 * b * b + 2 * k * b * b + k * b + k * k * b
+
+    def sums(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.asarray(batch["b"])
+            px, py = (np.stack(batch[c].to_numpy(zero_copy_only=False)).astype(float) for c in ("__px", "__py"))
+            z = np.column_stack([np.asarray(batch[f"__r{i}"], float) for i in range(k)]) if k else np.zeros((len(at), 0))
+            out = []
+            for i in range(b):
+                m = at == i
+                u, v, r = px[m], py[m], z[m]
+                out.append(np.concatenate([[m.sum()], (u.T @ u).ravel(), (v.T @ v).ravel(), (u.T @ v).ravel(), u.sum(0), v.sum(0), (r.T @ u).ravel(), (r.T @ v).ravel(), r.sum(0), (r.T @ r).ravel()]))
+            total += np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["at", "v"])
+
+    got = rows.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    parts = np.array([r["v"] for r in got]).reshape(b, -1)
+    cut = np.cumsum([1, b * b, b * b, b * b, b, b, k * b, k * b, k, k * k])
+    n, uu, vv, uv, u1, v1, ru, rv, r1, rr = np.split(parts, cut[:-1], axis=1)
+
+    @F.pandas_udf("rho double, partial double, n long")
+    def evaluate(weights: pd.Series) -> pd.DataFrame:
+        w = np.stack(weights.to_numpy()).astype(float)
+        two = lambda m: np.einsum("ri,ijk,rj,rk->r", w, m.reshape(b, b, b), w, w)
+        one = lambda m: np.einsum("ri,ij,rj->r", w, m, w)
+        total = w @ n[:, 0]
+        # ranks are place sums and a half
+        sx, sy = one(u1) + total / 2, one(v1) + total / 2
+        xx, yy, xy = two(uu) + one(u1) + total / 4, two(vv) + one(v1) + total / 4, two(uv) + (one(u1) + one(v1)) / 2 + total / 4
+        cov = np.zeros((len(w), k + 2, k + 2))
+        cov[:, 0, 0], cov[:, 1, 1], cov[:, 0, 1] = total * xx - sx * sx, total * yy - sy * sy, total * xy - sx * sy
+        cov[:, 1, 0] = cov[:, 0, 1]
+        for i in range(k):
+            si = w @ r1[:, i]
+            for at, m, s in ((0, ru, sx), (1, rv, sy)):
+                cross = np.einsum("ri,ij,rj->r", w, m.reshape(b, k, b)[:, i], w) + si / 2
+                cov[:, i + 2, at] = cov[:, at, i + 2] = total * cross - si * s
+            for j in range(k):
+                cov[:, i + 2, j + 2] = total * (w @ rr.reshape(b, k, k)[:, i, j]) - si * (w @ r1[:, j])
+        return pd.DataFrame({"rho": rp.swept_correlation(cov[:, :2, :2], 3, total), "partial": rp.swept_correlation(cov, 3, total), "n": total.astype(np.int64)})
+
+    drawn = cluster_draws(rows.select(F.get(F.array(*[F.lit(v) for v in labels]), F.col("b")).alias(block)).distinct(), block, reps, seed)
+    vector = F.array(*[F.coalesce(F.sum(F.when(F.col(block) == v, F.col("times"))), F.lit(0)).cast("double") for v in labels])
+    weights = drawn.groupBy("replicate").agg(vector.alias("w")).unionByName(
+        df.sparkSession.range(1).select(F.lit(-1).alias("replicate"), F.array(*[F.lit(1.0)] * b).alias("w")))
+    out = weights.select("replicate", evaluate("w").alias("e")).select("replicate", "e.*")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("rho", "partial")})

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.functions.numeric import safe_div
-from duskline.operators.regression import _square, moments
+from duskline.operators.neighbours import nearest  # noqa: F401  a spatial operator like the others
 from duskline.session import settled
 
 
@@ -20,164 +21,164 @@ def _list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-# --- tiles -------------------------------------------------------------------
+# --- inverse distance ---------------------------------------------------------
 
+#: Squared distance of an exact hit.
+HIT = 1e-18
 
-def tiles(points: DataFrame, key: str, x: str, y: str, cols=(), per_tile: int = 256, copies: int = 1) -> DataFrame:
-    """Points packed into tiles of about per_tile distinct places, with bounding boxes.
 
-    The plane is cut at quantiles of x and, inside each strip, of y, so dense
-    areas get more tiles. Points sharing a place are folded first and only the
-    `copies` lowest keys kept, which is all a nearest-neighbour search can use;
-    copies=0 keeps every point, cut by a hash into equal tiles instead.
-    """
-    item = F.struct(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), *cols)
-    if copies == 0:
-        g = max(1, math.ceil(points.count() / per_tile))
-        tiled = points.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(g)).cast("int"))
-    else:
-        if copies == 1 and not cols:
-            one = points.groupBy(x, y).agg(F.min(key).alias(key))
-        else:
-            # the lowest keys of every place: first inside 64 salts, then among the survivors,
-            # so a place holding a third of all points is never sorted in one task
-            one = points.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(64)))
-            for part in ([x, y, "__salt"], [x, y]):
-                w = W.partitionBy(*part).orderBy(key)
-                one = one.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= copies).drop("__r")
-            one = one.drop("__salt")
-        g = max(1, math.ceil(math.sqrt(one.count() / per_tile)))
-        probs = [i / g for i in range(1, g)]
-        if probs:
-            xe = one.agg(F.percentile_approx(x, probs, 10000).alias("e")).scalar()
-            strips = one.withColumn("__xe", xe).withColumn("__sx", F.size(F.filter("__xe", lambda e: e < F.col(x))))
-            one = settled(strips.drop("__xe"))  # read twice: cut points of each strip, then the tiles
-            ye = one.groupBy("__sx").agg(F.percentile_approx(y, probs, 10000).alias("__ye"))
-            one = one.join(ye, "__sx").withColumn("__sy", F.size(F.filter("__ye", lambda e: e < F.col(y))))
-            tiled = one.withColumn("tile", F.col("__sx") * g + F.col("__sy"))
-        else:
-            tiled = one.withColumn("tile", F.lit(0))
-    return tiled.groupBy("tile").agg(F.collect_list(item).alias("points"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-                                     F.min(y).alias("y0"), F.max(y).alias("y1"))
-
-
-def _box_d2(px: Column, py: Column, b: Column) -> Column:
-    gap = lambda p, lo, hi: F.greatest(F.lit(0.0), lo - p, p - hi)
-    dx, dy = gap(px, b["x0"], b["x1"]), gap(py, b["y0"], b["y1"])
-    return dx * dx + dy * dy
-
-
-def nearest(
-    left: DataFrame, right: DataFrame, left_key: str, left_xy, right_key: str, right_xy, k: int = 1,
-    exclude_self: bool = False, max_dist: float | None = None, per_tile: int = 256, digits: int = 9
-) -> DataFrame:
-    """Exact k nearest neighbours: (left_key, rank, right_key, distance), ties to the lower key.
-
-    Each query looks into the closest tile, then only into tiles whose box is
-    no farther than the k-th distance found there; per tile only k survivors
-    are kept. No pair table is formed, and a crowded area is many tiles.
-    """
-    lx, ly = left_xy
-    t = settled(tiles(right, right_key, *right_xy, per_tile=per_tile, copies=k + int(exclude_self)))
-    boxes = t.agg(F.collect_list(F.struct("tile", "x0", "x1", "y0", "y1"))).scalar()
-    q = left.select(F.col(left_key).alias("__q"), F.col(lx).alias("__x"), F.col(ly).alias("__y")).withColumn("__boxes", boxes)
-    near = F.array_min(F.transform("__boxes", lambda b: F.struct(_box_d2(F.col("__x"), F.col("__y"), b).alias("d2"), b["tile"].alias("tile"))))
-    q = q.withColumn("tile", near["tile"])
-
-    def local(d: DataFrame) -> DataFrame:
-        pts = F.transform("points", lambda p: F.struct(
-            F.round((p["x"] - F.col("__x")) * (p["x"] - F.col("__x")) + (p["y"] - F.col("__y")) * (p["y"] - F.col("__y")), digits).alias("d2"),
-            p["id"].alias("id")))
-        if exclude_self:
-            pts = F.filter(pts, lambda p: p["id"] != F.col("__q"))
-        return d.withColumn("__best", F.slice(F.array_sort(pts), 1, k))
-
-    first = local(q.join(t.select("tile", "points"), "tile")).drop("points")
-    bound = F.when(F.size("__best") >= k, F.element_at("__best", -1)["d2"]).otherwise(F.lit(float("inf")))
-    first = first.withColumn("__bound", bound)
-    more = F.filter("__boxes", lambda b: (b["tile"] != F.col("tile")) & (_box_d2(F.col("__x"), F.col("__y"), b) <= F.col("__bound") + 1e-6))
-    others = first.select("__q", "__x", "__y", F.explode(F.transform(more, lambda b: b["tile"])).alias("tile"))
-    others = local(others.join(t.select("tile", "points"), "tile")).select("__q", "__best")
-    both = first.select("__q", "__best").unionByName(others).select("__q", F.explode("__best").alias("b"))
-    best = both.groupBy("__q").agg(F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("b"))
-    out = best.select("__q", F.posexplode("b").alias("pos", "b")).select(
-        F.col("__q").alias(left_key), (F.col("pos") + 1).alias("neighbour_rank"), F.col("b.id").alias(f"nearest_{right_key}"),
-        F.sqrt("b.d2").alias("distance"))
-    return out if max_dist is None else out.where(F.col("distance") <= max_dist)
-
-
-def idw(cells: DataFrame, key: str, cell_xy, stations: DataFrame, station_key: str, station_xy, value: str,
-        power: float = 2.0, per_tile: int = 1024, by=()) -> DataFrame:
-    """Inverse-distance weighting from all stations; an exact hit takes that station's value.
-
-    Stations are packed into tiles of at most about per_tile; a cell meets one
-    row per tile and keeps only sums, so memory stays bounded for any number
-    of stations.
+def _tiled(df: DataFrame, key: str, cols: dict[str, Column], per_tile: int) -> tuple[DataFrame, int]:
+    """Rows packed into arrays of about per_tile, dealt by a hash of their key, and the number of tiles."""
+    g = max(1, math.ceil(df.count() / per_tile))
+    item = F.struct(F.col(key).alias("id"), *[c.alias(n) for n, c in cols.items()])
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(g)).cast("int").alias("tile")).agg(F.collect_list(item).alias("items")), g
+
+
+def _fields(items, *names):
+    """Flat numpy columns of one list of structs."""
+    return [np.asarray(items.field(n).to_numpy(zero_copy_only=False), float) for n in names]
+
+
+def _partial_sums(power: float):
+    """(cell tile with its cells, station tile) rows -> sums per cell; consecutive rows of a cell tile are folded."""
+
+    def run(batches):
+        tile, cells, w, wv, hits, kind = None, None, None, None, {}, None
+
+        def out():
+            ids = cells.field("id")
+            hit = pa.array([hits.get(i) for i in range(len(ids))], kind)
+            return pa.RecordBatch.from_arrays([ids, pa.array(w), pa.array(wv), hit], names=["id", "w", "wv", "hit"])
+
+        for b in batches:
+            kind = pa.struct([("id", b["stations"].type.value_type.field("id").type), ("v", pa.float64())])
+            for i in range(b.num_rows):
+                now = b["tile"][i].as_py()
+                if now != tile:
+                    if tile is not None:
+                        yield out()
+                    tile, cells, hits = now, b["cells"][i].values, {}
+                    w, wv = np.zeros(len(cells)), np.zeros(len(cells))
+                    cx, cy = _fields(cells, "x", "y")
+                stations = b["stations"][i].values
+                x, y, v = _fields(stations, "x", "y", "v")
+                d2 = (cx[:, None] - x) ** 2 + (cy[:, None] - y) ** 2
+                for c, s in zip(*np.nonzero(d2 <= HIT), strict=True):
+                    found = {"id": stations.field("id")[int(s)].as_py(), "v": float(v[s])}
+                    hits[int(c)] = min(hits.get(int(c), found), found, key=lambda h: h["id"])
+                near = np.maximum(d2, HIT)
+                weight = 1 / near if power == 2.0 else near ** (-power / 2)
+                w += weight.sum(1)
+                wv += weight @ v
+        if tile is not None:
+            yield out()
+
+    return run
+
+
+def idw(cells: DataFrame, key: str, cell_xy, stations: DataFrame, station_key: str, station_xy, value: str, power: float = 2.0, per_tile: int = 1024) -> DataFrame:
+    """Inverse-distance weighting from all stations; an exact hit takes the value of the station with the lowest key.
+
+    Cells and stations are packed into tiles; every pair of tiles is one row of
+    the join, and a cell's sums over a station tile come from one matrix. Rows
+    shuffled are tiles by tiles, and a cell leaves with a row per run of its tile.
+    Cells without coordinates get NULL; stations without coordinates or value take no part.
     """
-    cx, cy = cell_xy
-    t = settled(tiles(stations, station_key, *station_xy, cols=[F.col(value).alias("v")], per_tile=per_tile, copies=0))
-    ids = t.agg(F.collect_list("tile")).scalar()
-    q = cells.select(F.col(key).alias("__q"), F.col(cx).alias("__x"), F.col(cy).alias("__y")).withColumn("__tiles", ids)
-    q = q.withColumn("tile", F.explode("__tiles")).drop("__tiles")
-    j = q.join(t.select("tile", "points"), "tile")
-    near = 1e-18  # squared distance of an exact hit
-    d2 = F.transform("points", lambda p: F.struct(
-        F.greatest(F.lit(near), (p["x"] - F.col("__x")) * (p["x"] - F.col("__x")) + (p["y"] - F.col("__y")) * (p["y"] - F.col("__y"))).alias("d2"),
-        p["v"].alias("v"), p["id"].alias("id")))
-    weight = (lambda s: 1 / s["d2"]) if power == 2.0 else (lambda s: F.pow(s["d2"], F.lit(-power / 2)))
-    j = j.select("__q", F.transform(d2, lambda s: F.struct(
-        weight(s).alias("w"), s["v"].alias("v"), (s["d2"] <= near).alias("hit"), s["id"].alias("id"))).alias("ws"))
-    total = lambda f: F.aggregate("ws", F.lit(0.0), lambda a, s: a + f(s))
-    hits = F.array_min(F.transform(F.filter("ws", lambda s: s["hit"]), lambda s: F.struct(s["id"].alias("id"), s["v"].alias("v"))))
-    part = j.select("__q", total(lambda s: s["w"]).alias("w"), total(lambda s: s["w"] * s["v"]).alias("wv"), hits.alias("hit"))
-    return part.groupBy("__q").agg(F.coalesce(F.min("hit")["v"], F.sum("wv") / F.sum("w")).alias("idw")).withColumnRenamed("__q", key)
+    x, y = (F.col(c).cast("double") for c in cell_xy)
+    sx, sy = (F.col(c).cast("double") for c in station_xy)
+    c, many = _tiled(cells.where(x.isNotNull() & y.isNotNull()), key, {"x": x, "y": y}, per_tile)
+    s, _ = _tiled(stations.where(sx.isNotNull() & sy.isNotNull() & F.col(value).isNotNull()), station_key, {"x": sx, "y": sy, "v": F.col(value).cast("double")}, per_tile)
+    pairs = s.select(F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("tile"), F.col("items").alias("stations")).join(c.withColumnRenamed("items", "cells"), "tile")
+    hit = T.StructType([T.StructField("id", stations.schema[station_key].dataType), T.StructField("v", T.DoubleType())])
+    dbl = T.DoubleType()
+    schema = T.StructType([T.StructField("id", cells.schema[key].dataType), T.StructField("w", dbl), T.StructField("wv", dbl), T.StructField("hit", hit)])
+    part = pairs.select("tile", "cells", "stations").mapInArrow(_partial_sums(power), schema)
+    total = part.groupBy(F.col("id").alias(key)).agg(F.coalesce(F.min("hit")["v"], F.sum("wv") / F.sum("w")).alias("idw"))
+    return cells.select(F.col(key).alias(key)).join(total, key, "left")
 
 
 # --- panel model -------------------------------------------------------------
 
 
-def two_way_effects(
-    panel: DataFrame, unit: str, time: str, y: str, by=(), rounds: int | None = None, tol: float = 1e-12, max_rounds: int = 10_000,
-    check_every: int = 5
-) -> tuple[DataFrame, DataFrame]:
-    """Unbalanced additive model y = unit + time + error by alternating projections.
+def panel_components(cells: DataFrame, unit: str, time: str, by=()) -> DataFrame:
+    """by, unit, component: the lowest unit that is connected with it through common times.
 
-    Returns (unit effects, time effects); unit effects have mean zero, time
-    effects keep the scale. `by` runs several fits (e.g. folds) in one
-    iteration. Effects are small tables; they are checkpointed every round, and
-    convergence is one number. With `rounds`, exactly that many rounds are run.
+    Every unit takes the lowest name among the units it meets, then the name of
+    that name, until none changes.
+    """
+    by = _list(by)
+    edges = cells.select(*by, unit, time)
+    now = settled(edges.select(*by, unit).distinct().withColumn("component", F.col(unit)))
+    while True:
+        low_t = edges.join(now, [*by, unit]).groupBy(*by, time).agg(F.min("component").alias("__low"))
+        low_u = edges.join(low_t, [*by, time]).groupBy(*by, unit).agg(F.min("__low").alias("__low"))
+        names = now.select(*by, F.col(unit).alias("__low"), F.col("component").alias("__name"))
+        new = settled(now.join(low_u, [*by, unit]).join(names, [*by, "__low"]).select(*by, unit, F.least("__name", "__low").alias("component"), (F.least("__name", "__low") != F.col("component")).alias("__moved")))
+        if new.where("__moved").isEmpty():
+            return now
+        now = new.drop("__moved")
+
+
+def two_way_effects(panel: DataFrame, unit: str, time: str, y: str, by=(), tol: float = 1e-12, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Unbalanced additive model y = unit + time + error by conjugate gradients on the normal equations.
+
+    Returns (unit effects, time effects), both with their `component`: units that
+    no chain of common times connects are not comparable, so every component of
+    the unit-time graph has unit effects of mean zero and time effects that keep
+    its scale. Time effects are eliminated; one round is one product with the
+    panel's counts and one settled table of the size of the units, for all groups
+    `by` at once. It ends when no unit moved by more than `tol` of the spread of y
+    in its component.
     """
     by = _list(by)
-    rows = panel.where(F.col(y).isNotNull()).select(*by, unit, time, y)
-    units = settled(rows.select(*by, unit).distinct().withColumn("unit_effect", F.lit(0.0)))
-    times = None
-    n = rounds if rounds is not None else max_rounds
-    for i in range(1, n + 1):
-        new_t = rows.join(units, [*by, unit]).groupBy(*by, time).agg(F.avg(F.col(y) - F.col("unit_effect")).alias("time_effect"))
-        new_u = rows.join(new_t, [*by, time]).groupBy(*by, unit).agg(F.avg(F.col(y) - F.col("time_effect")).alias("unit_effect"))
-        if by:
-            shift = new_u.groupBy(*by).agg(F.avg("unit_effect").alias("__s"))
-            new_u = new_u.join(shift, by).withColumn("unit_effect", F.col("unit_effect") - F.col("__s")).drop("__s")
-            new_t = new_t.join(shift, by).withColumn("time_effect", F.col("time_effect") + F.col("__s")).drop("__s")
-        else:
-            s = new_u.agg(F.avg("unit_effect")).scalar()
-            new_u, new_t = new_u.withColumn("unit_effect", F.col("unit_effect") - s), new_t.withColumn("time_effect", F.col("time_effect") + s)
-        new_u = settled(new_u)
-        if rounds is None and i % check_every == 0:
-            delta = new_u.join(units.withColumnRenamed("unit_effect", "__old"), [*by, unit]).agg(
-                F.max(F.abs(F.col("unit_effect") - F.col("__old")))).first()[0]
-            if delta < tol:
-                return new_u, settled(new_t)
-        units, times = new_u, new_t
-    if rounds is None:
+    cells = settled(panel.where(F.col(y).isNotNull()).groupBy(*by, unit, time).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s")))
+    group = [*by, "component"]
+    units = panel_components(cells, unit, time, by)
+    cells = settled(cells.join(units, [*by, unit]))
+    level = cells.groupBy(*group).agg((F.sum("s") / F.sum("n")).alias("__level"))
+    cells = cells.join(level, group).withColumn("s", F.col("s") - F.col("n") * F.col("__level")).drop("__level")
+
+    def over_times(value: Column, state: DataFrame | None = None) -> DataFrame:
+        """Sum over a unit's rows of the mean, at that time, of `value` per row."""
+        rows = cells if state is None else cells.join(state, [*group, unit])
+        mean = rows.groupBy(*group, time).agg((F.sum(value) / F.sum("n")).alias("__m"))
+        return cells.join(mean, [*group, time]).groupBy(*group, unit).agg(F.sum(F.col("n") * F.col("__m")).alias("__t"))
+
+    own = cells.groupBy(*group, unit).agg(F.sum("n").alias("d"), F.sum("s").alias("__s"))
+    start = own.join(over_times(F.col("s")), [*group, unit]).select(*group, unit, "d", F.lit(0.0).alias("x"), (F.col("__s") - F.col("__t")).alias("r"))
+    state = settled(start.withColumn("p", F.col("r") / F.col("d")))
+    scale = settled(cells.groupBy(*group).agg(F.greatest(F.max(F.abs(F.col("s") / F.col("n"))), F.lit(1e-300)).alias("__scale")))
+    for _ in range(max_rounds):
+        ap = state.join(over_times(F.col("n") * F.col("p"), state.select(*group, unit, "p")), [*group, unit]).withColumn("ap", F.col("d") * F.col("p") - F.col("__t")).drop("__t")
+        ap = settled(ap)
+        dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+        sums = ap.groupBy(*group).agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"), dot("p", "ap").alias("pap"),
+                                      F.sum(F.col("r") * F.col("ap") / F.col("d")).alias("ra"), F.sum(F.col("ap") * F.col("ap") / F.col("d")).alias("aa"))
+        step = F.when(F.col("pap") > 0, F.col("rz") / F.col("pap")).otherwise(F.lit(0.0))
+        sums = sums.withColumn("__step", step)
+        left = F.greatest(F.lit(0.0), F.col("rz") - 2 * F.col("__step") * F.col("ra") + F.col("__step") * F.col("__step") * F.col("aa"))
+        sums = settled(sums.select(*group, "__step", F.when(F.col("rz") > 0, left / F.col("rz")).otherwise(F.lit(0.0)).alias("__turn")))
+        new = ap.join(sums, group).withColumns({"x": F.col("x") + F.col("__step") * F.col("p"), "r": F.col("r") - F.col("__step") * F.col("ap")})
+        moved = new.join(scale, group).agg(F.max(F.abs(F.col("__step") * F.col("p")) / F.col("__scale"))).first()[0]
+        state = new.withColumn("p", F.col("r") / F.col("d") + F.col("__turn") * F.col("p")).select(*group, unit, "d", "x", "r", "p")
+        if moved is None or moved <= tol:
+            break
+    else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
-    return units, settled(times)
+    shift = state.groupBy(*group).agg(F.avg("x").alias("__mean"))
+    found = settled(state.join(shift, group).select(*group, unit, (F.col("x") - F.col("__mean")).alias("unit_effect")))
+    times = cells.join(found, [*group, unit]).groupBy(*group, time).agg((F.sum(F.col("s") - F.col("n") * F.col("unit_effect")) / F.sum("n")).alias("__g"))
+    times = settled(times.join(level, group).select(*group, time, (F.col("__g") + F.col("__level")).alias("time_effect")))
+    return found, times
 
 
 def effect_targets(panel: DataFrame, units: DataFrame, times: DataFrame, unit: str, time: str, y: str, year: str) -> DataFrame:
-    """Coverage-adjusted target per unit, with the standard error of its annual means and residual RMSE."""
+    """Coverage-adjusted target per unit, with the standard error of its annual means and residual RMSE.
+
+    Targets of different components of the panel are not comparable.
+    """
     base = times.agg(F.avg("time_effect")).scalar()
-    j = panel.where(F.col(y).isNotNull()).join(times, time).join(units, unit)
+    j = panel.where(F.col(y).isNotNull()).join(units, unit).join(times, [time, "component"])
     j = j.withColumn("__o", F.col(y) - F.col("time_effect"))
     annual = j.groupBy(unit, year).agg(F.avg("__o").alias("__a")).groupBy(unit).agg(
         F.count("*").alias("n_years"), safe_div(F.stddev_samp("__a"), F.sqrt(F.count("*").cast("double"))).alias("__se"))
@@ -186,10 +187,31 @@ def effect_targets(panel: DataFrame, units: DataFrame, times: DataFrame, unit: s
         F.count("*").alias("n_nights"), F.avg(y).alias("raw_mean"), F.first("unit_effect").alias("unit_effect"),
         F.sqrt(F.avg(e * e)).alias("residual_rmse"))
     out = main.join(annual, unit).withColumn("adjusted_mean", F.col("unit_effect") + base)
-    fallback = annual.agg(F.percentile("__se", F.lit(0.5))).scalar()
+    from duskline.operators.ranks import exact_quantiles
+
+    out = settled(out)
+    middle = exact_quantiles(out, [], "__se", [0.5]).select("quantile")
+    fallback = middle.agg(F.max("quantile")).scalar()
     return out.withColumns({"target_se": F.coalesce("__se", fallback), "se_imputed": F.col("__se").isNull()}).drop("__se")
 
 
+def fold_targets(panel: DataFrame, units: DataFrame | None, times: DataFrame, unit: str, time: str, y: str, year: str, by) -> DataFrame:
+    """by, unit, target, se: coverage-adjusted targets of each fold, on the fold's mean time effect.
+
+    units: effects of the training units; None for held-out units, whose target
+    is their mean after taking off the training fold's time effects. A unit of one
+    year gets the fold's mean standard error.
+    """
+    by = _list(by)
+    base = times.groupBy(*by).agg(F.avg("time_effect").alias("__base"))
+    j = panel.where(F.col(y).isNotNull()).join(times.drop("component"), [*by, time]).withColumn("__o", F.col(y) - F.col("time_effect"))
+    annual = j.groupBy(*by, unit, year).agg(F.avg("__o").alias("__a"), F.sum("__o").alias("__s"), F.count("*").alias("__n")).groupBy(*by, unit).agg(
+        safe_div(F.stddev_samp("__a"), F.sqrt(F.count("*").cast("double"))).alias("__se"), (F.sum("__s") / F.sum("__n")).alias("__own"))
+    found = annual if units is None else annual.join(units.drop("component"), [*by, unit]).withColumn("__own", F.col("unit_effect"))
+    usual = annual.groupBy(*by).agg(F.avg("__se").alias("__usual"))
+    return found.join(base, by).join(usual, by).select(*by, unit, (F.col("__own") + F.col("__base")).alias("target"), F.coalesce("__se", "__usual").alias("se"))
+
+
 def anomaly_targets(df: DataFrame, unit: str, night: str, anomaly: str) -> DataFrame:
     """Mean anomaly per unit over its nights, with the between-night standard error."""
     per = df.groupBy(unit, night).agg(F.avg(anomaly).alias("__a"))
@@ -209,21 +231,43 @@ def quantile_blocks(df: DataFrame, x: str, y: str, nx: int = 3, ny: int = 3, out
     return d.withColumn(out, F.col("__bx") * ny + F.col("__by")).drop("__bx", "__by")
 
 
-def kmeans_partitions(stations: DataFrame, key: str, x: str, y: str, repeats: int, blocks: int, seed: int) -> DataFrame:
-    """Repeated K-means partitions of standardised coordinates: (repeat, key, block)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+def kmeans_partitions(stations: DataFrame, key: str, x: str, y: str, repeats: int, blocks: int, seed: int | str, rounds: int = 20) -> DataFrame:
+    """Repeated K-means partitions of standardised coordinates: (repeat, key, block).
 
-    v = VectorAssembler(inputCols=[x, y], outputCol="__v").transform(stations.select(key, x, y))
-    v = StandardScaler(withMean=True, inputCol="__v", outputCol="features").fit(v).transform(v).select(key, "features")
-    parts = [
-        KMeans(k=blocks, seed=seed + r, maxIter=20).fit(v).transform(v).select(F.lit(r).alias("repeat"), key, F.col("prediction").alias("block"))
-        for r in range(repeats)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    All repeats move together: one Lloyd round assigns every station in all
+    repeats from one array of centres (repeats x blocks, a bound set by the
+    parameters) and folds sums by (repeat, centre) map-side. Starts are the
+    stations with the lowest counter draws of the repeat; a centre without
+    stations stays. Squared distances are rounded to nine digits, ties go to
+    the lower centre.
+    """
+    from duskline.functions.counter import draw_int
+
+    live = stations.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    m = live.agg(*[f(c).alias(f"{n}{c}") for c in ("__x", "__y") for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = [(F.col(c) - F.lit(m[f"m{c}"])) / F.lit(m[f"s{c}"] or 1.0) for c in ("__x", "__y")]
+    pts = settled(live.select(key, *[F.round(e, 12).alias(c) for e, c in zip(z, ("zx", "zy"), strict=True)]))
+    drawn = pts.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("draw", draw_int(seed, "repeat", key))
+    first = drawn.withColumn("at", F.row_number().over(W.partitionBy("repeat").orderBy("draw", key))).where(F.col("at") <= blocks)
+    centres = np.full((repeats, blocks, 2), np.nan)
+    for r in first.select("repeat", "at", "zx", "zy").collect():  # repeats x blocks rows
+        centres[r["repeat"], r["at"] - 1] = r["zx"], r["zy"]
+
+    def labelled(df: DataFrame) -> DataFrame:
+        table = F.lit([[float(v) for c in rep for v in c] for rep in centres])
+        far = lambda rep, j: F.round((F.col("zx") - rep[2 * j]) * (F.col("zx") - rep[2 * j]) + (F.col("zy") - rep[2 * j + 1]) * (F.col("zy") - rep[2 * j + 1]), 9)
+        pick = lambda rep: F.array_min(F.array(*[F.struct(far(rep, j).alias("d"), F.lit(j).alias("j")) for j in range(blocks)]))["j"]
+        return df.select(key, "zx", "zy", F.posexplode(F.transform(table, pick)).alias("repeat", "block"))
+
+    for _ in range(rounds):
+        sums = labelled(pts).groupBy("repeat", "block").agg(F.avg("zx").alias("cx"), F.avg("zy").alias("cy")).collect()  # repeats x blocks rows
+        new = centres.copy()
+        for r in sums:
+            new[r["repeat"], r["block"]] = r["cx"], r["cy"]
+        if np.allclose(new, centres, rtol=0, atol=1e-12, equal_nan=True):
+            break
+        centres = new
+    return labelled(pts).select("repeat", key, "block")
 
 
 def partition_signature(df: DataFrame, key: str, label: str, by=()) -> DataFrame:
@@ -240,207 +284,149 @@ def partition_signature(df: DataFrame, key: str, label: str, by=()) -> DataFrame
     return j.groupBy(*by).agg(F.sum(digits).cast("string").alias("signature"), F.count("*").alias("n"))
 
 
-# --- Gaussian-process field --------------------------------------------------
+# --- ridge with leave-one-out choice of alpha --------------------------------
 
 
-def _matern(d: np.ndarray, length: float) -> np.ndarray:
-    s = math.sqrt(5.0) * d / length
-    return (1 + s + s * s / 3) * np.exp(-s)
+def ridge_alphas() -> list[float]:
+    return [float(a) for a in np.logspace(-2, 3, 30)]
 
 
-def _gp_fit(x, y, se, length, signal, noise):
-    """Cholesky factor and weights of a Matern-5/2 process on standardised targets."""
-    m, sd = y.mean(), y.std() or 1.0
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    k = signal * _matern(d, length) + np.diag(noise + np.maximum((se / sd) ** 2, 1e-10))
-    c = np.linalg.cholesky(k)
-    z = (y - m) / sd
-    a = np.linalg.solve(c.T, np.linalg.solve(c, z))
-    lml = -0.5 * z @ a - np.log(np.diag(c)).sum() - 0.5 * len(y) * math.log(2 * math.pi)
-    return c, a, m, sd, lml
+class _Fold:
+    """Eigenbasis of the standardised training moments of one model, from packed sums; predictors that are dropped are swept out."""
 
+    def __init__(self, n: float, sums: np.ndarray, cross: np.ndarray, use: list[int]):
+        k = len(sums) - 1
+        mean = sums / n
+        cov = cross / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov)[use], 0))
+        self.n, self.use = n, use
+        self.mean, self.sd, self.level = mean[use], np.where(sd > 1e-12, sd, 1.0), mean[k]
+        self.roots, self.basis = np.linalg.eigh(cov[np.ix_(use, use)] / np.outer(self.sd, self.sd) * n)
+        self.pull = self.basis.T @ (cov[use, k] / self.sd * n)
 
-def _gp_predict(x, fit, length, signal, noise, q):
-    c, a, m, sd, _ = fit
-    d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    k = signal * _matern(d, length)
-    v = np.linalg.solve(c, k.T)
-    var = np.maximum(signal + noise - (v * v).sum(0), 0)
-    return m + sd * (k @ a), sd * np.sqrt(var)
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return (x[:, self.use] - self.mean) / self.sd @ self.basis
 
+    def loo(self, x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+        """Sum of squared leave-one-out errors for every alpha."""
+        u, shrunk = self.turned(x), 1 / (self.roots[:, None] + alphas)
+        e = (y - self.level)[:, None] - u @ (self.pull[:, None] * shrunk)
+        return ((e / (1 - 1 / self.n - (u * u) @ shrunk)) ** 2).sum(0)
 
-def gp_candidates(lengths, signals=(0.5, 1.0), noises=(0.05, 0.3)) -> list[tuple[float, float, float]]:
-    return [(float(l), float(s), float(n)) for l in lengths for s in signals for n in noises]
+    def coefficients(self, alpha: float) -> np.ndarray:
+        """On standardised predictors."""
+        return self.basis @ (self.pull / (self.roots + alpha))
 
+    def predict(self, x: np.ndarray, alpha: float) -> np.ndarray:
+        return self.level + (x[:, self.use] - self.mean) / self.sd @ self.coefficients(alpha)
 
-def _bounded(df: DataFrame, keys, limit: int, what: str) -> None:
-    big = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
-    if (big or 0) > limit:
-        raise ValueError(f"{what}: a group holds {big} stations, above {limit}; use finer regions or idw")
 
+def _matrix(b, names) -> np.ndarray:
+    return np.column_stack([np.asarray(b[n].to_numpy(zero_copy_only=False), float) for n in names])
 
-def gp_hyperparameters(stations: DataFrame, xy, y: str, se: str, candidates, by, limit: int = 2000) -> DataFrame:
-    """Best (length, signal, noise) per group by marginal likelihood; one task per (group, candidate)."""
-    by = _list(by)
-    _bounded(stations, by, limit, "gp")
-    rows = stations.select(*by, *xy, y, se).withColumn("__c", F.explode(F.array(*[
-        F.struct(F.lit(l).alias("length"), F.lit(s).alias("signal"), F.lit(n).alias("noise")) for l, s, n in candidates])))
-    rows = rows.select(*by, *xy, y, se, "__c.*")
-    keys = [*by, "length", "signal", "noise"]
-    schema = T.StructType([f for f in rows.schema.fields if f.name in keys] + [T.StructField("lml", T.DoubleType())])
-    xc, yc = list(xy)
-
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = dict(zip(keys, key))
-        f = _gp_fit(pdf[[xc, yc]].to_numpy(float), pdf[y].to_numpy(float), pdf[se].to_numpy(float), p["length"], p["signal"], p["noise"])
-        return pd.DataFrame([[*key, f[4]]], columns=[*keys, "lml"])
-
-    scored = rows.groupBy(*keys).applyInPandas(score, T.StructType([schema[k] for k in keys] + [schema["lml"]]))
-    pick = F.max_by(F.struct("length", "signal", "noise", "lml"), F.struct(F.round("lml", 6), -F.col("length"), -F.col("signal"), -F.col("noise")))
-    best = scored.groupBy(*by).agg(pick.alias("p")) if by else scored.agg(pick.alias("p"))
-    return best.select(*by, "p.*")
-
-
-def gp_field(cells: DataFrame, key: str, cell_xy, stations: DataFrame, xy, y: str, se: str, best: DataFrame, by, per_chunk: int = 20000) -> DataFrame:
-    """Predict mean and SD at cells, region by region; cells are cut into chunks, each meeting its region's stations."""
-    by = _list(by)
-    chunks = max(1, math.ceil(cells.count() / per_chunk))
-    # aliases give the cell side its own columns even when both sides come from one table
-    c = cells.select(*[F.col(b).alias(b) for b in [*by, key, *cell_xy]]).withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
-    s = stations.join(best, by).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select(
-        *by, "__chunk", *xy, y, se, "length", "signal", "noise")
-    out = T.StructType([cells.schema[b] for b in by] + [cells.schema[key], T.StructField("gp_mean", T.DoubleType()), T.StructField("gp_sd", T.DoubleType())])
-    xc, cc = list(xy), list(cell_xy)
 
-    def run(q: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(tr):
-            return pd.DataFrame(columns=[f.name for f in out.fields])
-        p = (tr["length"].iloc[0], tr["signal"].iloc[0], tr["noise"].iloc[0])
-        x = tr[xc].to_numpy(float)
-        mu, sd = _gp_predict(x, _gp_fit(x, tr[y].to_numpy(float), tr[se].to_numpy(float), *p), *p, q[cc].to_numpy(float))
-        return q[[*by, key]].assign(gp_mean=mu, gp_sd=sd)
+@dataclass(frozen=True)
+class RidgeStudy:
+    """Fitted folds of `ridge_study`: predictions and coefficients as tables, both with `dropped` (None: all predictors)."""
 
-    return c.groupBy(*by, "__chunk").cogroup(s.groupBy(*by, "__chunk")).applyInPandas(run, out)
+    predictions: DataFrame
+    coefficients: DataFrame
 
 
-def gp_cross_validation(stations: DataFrame, key: str, xy, y: str, se: str, folds: DataFrame, candidates, limit: int = 2000, min_train: int = 5) -> DataFrame:
-    """Held-out predictions for every (repeat, block): hyper-parameters chosen inside each training fold.
+def ridge_study(df: DataFrame, key: str, y: str, xs, folds: DataFrame, alphas=None, drop: bool = False, least: int = 10) -> RidgeStudy:
+    """Blocked ridge predictions: scaling and alpha (by exact leave-one-out error) are learnt in each training fold.
 
-    folds: (repeat, key, block). Rows out: repeat, block, key, observed, predicted, sd, se.
+    folds: (repeat, key, block). One aggregate gives the moments of every
+    (repeat, block); those of a training fold are the repeat's less the block's, and with
+    `drop` every model that leaves out one predictor takes part of the same
+    moments. One pass over the rows adds up the leave-one-out errors of all
+    models, folds and alphas in arrays; a second one predicts. A row is never
+    copied per fold, model or alpha. What reaches the driver is of a size set
+    by models x repeats x blocks.
     """
-    _bounded(stations, [], limit, "gp cross-validation")
-    xc, yc = list(xy)
-    labelled = folds.join(stations.select(key, xc, yc, y, se), key)
-    blocks = folds.select("repeat", F.col("block").alias("fold")).distinct()
-    rows = labelled.join(blocks, "repeat").withColumn("is_test", F.col("block") == F.col("fold"))
-    best = gp_hyperparameters(rows.where(~F.col("is_test")), xy, y, se, candidates, ["repeat", "fold"], limit)
-    full = rows.join(best, ["repeat", "fold"])
-    dbl = lambda n: T.StructField(n, T.DoubleType())
-    out = T.StructType([full.schema["repeat"], full.schema["fold"], full.schema[key], dbl("observed"), dbl("predicted"), dbl("pred_sd"), dbl("target_se")])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        te, tr = pdf[pdf["is_test"]], pdf[~pdf["is_test"]]
-        if not len(te):
-            return pd.DataFrame(columns=[f.name for f in out.fields])
-        if len(tr) < min_train:
-            raise ValueError(f"repeat {pdf['repeat'].iloc[0]}, fold {pdf['fold'].iloc[0]}: {len(tr)} training stations, {min_train} are needed")
-        p = (tr["length"].iloc[0], tr["signal"].iloc[0], tr["noise"].iloc[0])
-        x = tr[[xc, yc]].to_numpy(float)
-        mu, sd = _gp_predict(x, _gp_fit(x, tr[y].to_numpy(float), tr[se].to_numpy(float), *p), *p, te[[xc, yc]].to_numpy(float))
-        return te[["repeat", "fold", key]].assign(observed=te[y].to_numpy(float), predicted=mu, pred_sd=sd, target_se=te[se].to_numpy(float))
-
-    return full.groupBy("repeat", "fold").applyInPandas(run, out)
-
-
-# Distance, in length scales, at which the Matern-5/2 correlation has fallen to 0.10 and 0.05.
-MATERN52_RANGE = {0.10: 2.213707462072211, 0.05: 2.6469004546668544}
-
-
-def kernel_summary(best: DataFrame, target_sd: Column) -> DataFrame:
-    """Signal and noise SD on the target scale, and correlation ranges."""
-    return best.withColumns({
-        "signal_sd": F.sqrt("signal") * target_sd, "noise_sd": F.sqrt("noise") * target_sd,
-        "range_010": F.col("length") * MATERN52_RANGE[0.10], "range_005": F.col("length") * MATERN52_RANGE[0.05]})
-
-
-# --- ridge with leave-one-out choice of alpha --------------------------------
-
-
-def _ridge_paths(alphas):
-    """Per training fold and alpha: standardised coefficients and the inverse, from moments."""
-    vec = T.ArrayType(T.DoubleType())
-    schema = T.ArrayType(T.StructType([T.StructField("alpha", T.DoubleType()), T.StructField("beta", vec), T.StructField("inv", vec)]))
-
-    @F.pandas_udf(schema)
-    def paths(n: pd.Series, cov: pd.Series) -> pd.Series:
-        out = []
-        for nv, flat in zip(n, cov):
-            flat = np.asarray(flat, float)
-            k = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
-            s = _square(flat[None, :], k)[0]
-            sd = np.sqrt(np.diag(s)[:-1])
-            sd = np.where(sd > 0, sd, 1.0)
-            z, c = s[:-1, :-1] / np.outer(sd, sd) * nv, s[:-1, -1] / sd * nv
-            row = []
-            for a in alphas:
-                inv = np.linalg.inv(z + a * np.eye(k - 1))
-                row.append({"alpha": a, "beta": list(inv @ c), "inv": list(inv.ravel())})
-            out.append(row)
-        return pd.Series(out)
-
-    return paths
+    xs, alphas = list(xs), np.array(ridge_alphas() if alphas is None else [float(a) for a in alphas])
+    k = len(xs)
+    places = folds.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("repeat").cast("int").alias("r"), F.col("block").cast("int").alias("b")))).alias("__folds"))
+    full = df.na.drop(subset=[*xs, y]).select(F.col(key).alias("__key"), *[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate([*xs, y])])
+    shift = full.agg(*[F.avg(f"__{i}") for i in range(k + 1)]).first()
+    cols = [f"__{i}" for i in range(k + 1)]
+    rows = settled(full.withColumns({c: F.col(c) - F.lit(m or 0.0) for c, m in zip(cols, shift, strict=True)}).join(places, "__key"))
+    products = {(i, j): F.sum(F.col(cols[i]) * F.col(cols[j])) for i in range(k + 1) for j in range(i, k + 1)}
+    sums = rows.select(*cols, F.explode("__folds").alias("repeat", "block")).groupBy("repeat", "block").agg(
+        F.count("*").alias("n"), F.array(*[F.sum(c) for c in cols]).alias("s"), F.array(*products.values()).alias("p")).collect()
+    packed: dict[int, dict[int, tuple]] = {}
+    for r in sums:
+        cross = np.zeros((k + 1, k + 1))
+        for (i, j), v in zip(products, r["p"], strict=True):
+            cross[i, j] = cross[j, i] = v
+        packed.setdefault(r["repeat"], {})[r["block"]] = (float(r["n"]), np.array(r["s"]), cross)
+    models = [(None, list(range(k))), *([(x, [j for j in range(k) if j != i]) for i, x in enumerate(xs)] if drop and k > 1 else [])]
+    fits: dict[tuple, _Fold] = {}
+    for repeat, blocks in packed.items():
+        total = [sum(b[i] for b in blocks.values()) for i in range(3)]
+        for block, own in blocks.items():
+            n, s, c = (t - o for t, o in zip(total, own, strict=True))
+            if n >= least:
+                for at, (_, use) in enumerate(models):
+                    fits[at, repeat, block] = _Fold(n, s, c, use)
+
+    def errors(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = _matrix(b, cols)
+            where = [dict(f) for f in b["__folds"].to_pylist()]
+            label = {r: np.array([w.get(r, -1) for w in where]) for r in packed}
+            for (at, r, block), fit in fits.items():
+                train = (label[r] != block) & (label[r] >= 0)
+                total[at, r, block] = total.get((at, r, block), 0) + fit.loo(m[train, :k], m[train, k], alphas)
+        if total:
+            ids = list(total)
+            yield pa.RecordBatch.from_arrays([*[pa.array([i[j] for i in ids], pa.int32()) for j in range(3)], pa.array([total[i].tolist() for i in ids], pa.list_(pa.float64()))],
+                                             names=["model", "repeat", "block", "e"])
+
+    summed = rows.mapInArrow(errors, "model int, repeat int, block int, e array<double>").groupBy("model", "repeat", "block").agg(
+        F.array(*[F.sum(F.get("e", F.lit(i))) for i in range(len(alphas))]).alias("e")).collect()
+    chosen = {(r["model"], r["repeat"], r["block"]): float(alphas[int(np.argmin(np.round(np.array(r["e"]) / fits[r["model"], r["repeat"], r["block"]].n, 12)))]) for r in summed}
+
+    def predicted(batches):
+        for b in batches:
+            m, keys = _matrix(b, cols), b["__key"]
+            where = [dict(f) for f in b["__folds"].to_pylist()]
+            label = {r: np.array([w.get(r, -1) for w in where]) for r in packed}
+            for (at, r, block), alpha in chosen.items():
+                test = np.flatnonzero(label[r] == block)
+                if len(test):
+                    n, fit = len(test), fits[at, r, block]
+                    yield pa.RecordBatch.from_arrays([pa.array([models[at][0]] * n, pa.string()), pa.array([r] * n, pa.int32()), pa.array([block] * n, pa.int32()), keys.take(pa.array(test)),
+                                                      pa.array(m[test, k] + shift[k]), pa.array(fit.predict(m[test, :k], alpha) + shift[k]), pa.array([alpha] * n)],
+                                                     names=["dropped", "repeat", "fold", "key", "observed", "predicted", "alpha"])
+
+    kind = T.StructType([T.StructField("dropped", T.StringType()), T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType()),
+                         T.StructField("key", df.schema[key].dataType), *[T.StructField(n, T.DoubleType()) for n in ("observed", "predicted", "alpha")]])
+    spark = df.sparkSession
+    coefs = [(models[at][0], r, block, xs[j], float(c), chosen[at, r, block]) for (at, r, block) in chosen
+             for j, c in zip(models[at][1], fits[at, r, block].coefficients(chosen[at, r, block]), strict=True)]
+    table = spark.createDataFrame(coefs, "dropped string, repeat int, fold int, predictor string, coefficient double, alpha double")
+    return RidgeStudy(rows.mapInArrow(predicted, kind).withColumnRenamed("key", key), table)
 
 
 def ridge_cv(df: DataFrame, key: str, y: str, xs, folds: DataFrame, alphas=None) -> DataFrame:
-    """Blocked ridge predictions: scaling and alpha (by exact leave-one-out error) are learnt in each training fold.
-
-    folds: (repeat, key, block). Training moments per fold come from one
-    grouped aggregate; leave-one-out residuals e/(1-h) are column arithmetic.
-    """
-    xs = list(xs)
-    alphas = [float(a) for a in (np.logspace(-2, 3, 30) if alphas is None else alphas)]
-    k = len(xs)
-    rows = folds.join(df.na.drop(subset=[*xs, y]).select(key, y, *xs), key)
-    blocks = folds.select("repeat", F.col("block").alias("fold")).distinct()
-    rows = rows.join(blocks, "repeat").withColumn("is_test", F.col("block") == F.col("fold"))
-    train = rows.where(~F.col("is_test"))
-    m = train.groupBy("repeat", "fold").agg(*moments([*xs, y])).where(F.col("n") >= 10)
-    m = m.withColumn("p", F.explode(_ridge_paths(alphas)("n", "cov"))).select("repeat", "fold", "n", "means", "cov", "p.*")
-    diag = [sum(k + 1 - j for j in range(i)) for i in range(k)]
-
-    def fitted(d: DataFrame) -> DataFrame:
-        z = []
-        for i, x in enumerate(xs):
-            sd = F.sqrt(F.get("cov", F.lit(diag[i])))
-            z.append((F.col(x) - F.get("means", F.lit(i))) / F.when(sd > 0, sd).otherwise(F.lit(1.0)))
-        d = d.withColumns({f"__z{i}": e for i, e in enumerate(z)})
-        pred = F.get("means", F.lit(k))
-        lev = 1 / F.col("n")
-        for i in range(k):
-            pred = pred + F.get("beta", F.lit(i)) * F.col(f"__z{i}")
-            for j in range(k):
-                lev = lev + F.get("inv", F.lit(i * k + j)) * F.col(f"__z{i}") * F.col(f"__z{j}")
-        return d.withColumns({"predicted": pred, "__h": lev})
-
-    loo = fitted(train.join(m, ["repeat", "fold"]))
-    e = (F.col(y) - F.col("predicted")) / (1 - F.col("__h"))
-    pick = loo.groupBy("repeat", "fold", "alpha").agg(F.avg(e * e).alias("mse")).groupBy("repeat", "fold").agg(
-        F.min_by("alpha", F.struct(F.round("mse", 12), "alpha")).alias("alpha"))
-    chosen = m.join(pick, ["repeat", "fold", "alpha"])
-    test = fitted(rows.where("is_test").join(chosen, ["repeat", "fold"]))
-    return test.select("repeat", "fold", key, F.col(y).alias("observed"), "predicted", "alpha")
+    """repeat, fold, key, observed, predicted, alpha of `ridge_study` with all predictors."""
+    return ridge_study(df, key, y, xs, folds, alphas).predictions.drop("dropped")
 
 
 def ridge_importance(df: DataFrame, key: str, y: str, xs, folds: DataFrame, alphas=None) -> DataFrame:
-    """Loss of cross-validated R2 when each predictor is left out, per repeat."""
+    """Loss of cross-validated R2 when each predictor is left out, per repeat; all models come from the same passes."""
     from duskline.operators.regression import pred_metrics
 
-    full = pred_metrics(ridge_cv(df, key, y, xs, folds, alphas), "observed", "predicted", ["repeat"]).select("repeat", F.col("r2").alias("cv_r2"))
-    parts = []
-    for x in xs:
-        red = pred_metrics(ridge_cv(df, key, y, [v for v in xs if v != x], folds, alphas), "observed", "predicted", ["repeat"])
-        parts.append(red.select("repeat", F.lit(x).alias("dropped"), F.col("r2").alias("reduced_r2")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(full, "repeat").withColumn("delta_r2", F.col("cv_r2") - F.col("reduced_r2"))
+    found = settled(ridge_study(df, key, y, xs, folds, alphas, drop=True).predictions)
+    r2 = pred_metrics(found.withColumn("dropped", F.coalesce("dropped", F.lit(""))), "observed", "predicted", ["repeat", "dropped"]).select("repeat", "dropped", "r2")
+    full = r2.where("dropped = ''").select("repeat", F.col("r2").alias("cv_r2"))
+    return r2.where("dropped <> ''").withColumnRenamed("r2", "reduced_r2").join(full, "repeat").withColumn("delta_r2", F.col("cv_r2") - F.col("reduced_r2"))
+
+
+def quantile_summary(df: DataFrame, value: str, by, ps=(0.05, 0.5, 0.95)) -> DataFrame:
+    """Mean and quantiles of a value over folds and repeats; groups are bounded by their number."""
+    return df.groupBy(*_list(by)).agg(F.avg(value).alias("mean"), *[F.percentile(value, F.lit(p)).alias(f"q{round(100 * p):02d}") for p in ps], F.count(value).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskline.functions import timeparts as tp
 from duskline.operators import association as at
-from duskline.operators import scalars, series
+from duskline.operators import process, scalars, series
 from duskline.operators import regression as rg
 from duskline.operators import resample as rs
 from duskline.operators import spatial as sp
@@ -101,13 +101,42 @@ def quantile_blocks(t: Tables) -> DataFrame:
     return partitions(t).groupBy("repeat", "block").agg(F.count("*").alias("n"))
 
 
-@query("kmeans_partition_signatures", "X7 X10", "repeat:i signature:s n:i")
+REPEATS, BLOCKS, ROUNDS = 20, 6, 20
+
+
+def _kmeans_sql(reps: int, src: str = "stations", key: str = "station_id", rounds: int = ROUNDS) -> str:
+    """CTEs ending in km(repeat, key, block): Lloyd rounds of all repeats from counter-drawn starts."""
+    far = "round((zx - cx) * (zx - cx) + (zy - cy) * (zy - cy), 9)"
+    out = [f"""km_m AS MATERIALIZED (SELECT avg(x) AS mx, avg(y) AS my, stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM {src}),
+    km_p AS MATERIALIZED (SELECT {key}, round((x - mx) / sx, 12) AS zx, round((y - my) / sy, 12) AS zy FROM {src}, km_m),
+    km_0 AS MATERIALIZED (SELECT repeat, pos - 1 AS block, zx AS cx, zy AS cy FROM (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY {c.draw('x10', 'repeat', key)}, {key}) AS pos
+        FROM km_p, (SELECT unnest(range({reps})) AS repeat)) WHERE pos <= {BLOCKS})"""]
+    for i in range(rounds + 1):
+        out.append(f"km_a{i} AS MATERIALIZED (SELECT repeat, {key}, arg_min(block, struct_pack(d := {far}, b := block)) AS block, any_value(zx) AS zx, any_value(zy) AS zy FROM km_p, km_{i} GROUP BY 1, 2)")
+        if i < rounds:
+            out.append(f"""km_{i + 1} AS MATERIALIZED (SELECT repeat, block, coalesce(n.cx, o.cx) AS cx, coalesce(n.cy, o.cy) AS cy FROM km_{i} o
+                LEFT JOIN (SELECT repeat, block, avg(zx) AS cx, avg(zy) AS cy FROM km_a{i} GROUP BY 1, 2) n USING (repeat, block))""")
+    out.append(f"km AS (SELECT repeat, {key}, block FROM km_a{rounds})")
+    return ", ".join(out)
+
+
+def kmeans(t: Tables, repeats: int = REPEATS) -> DataFrame:
+    """Repeated spatial K-means partitions of the stations."""
+    return settled(sp.kmeans_partitions(m.stations(t), "station_id", "x", "y", repeats, BLOCKS, "x10", ROUNDS))
+
+
+@query("kmeans_partition_signatures", "X7 X10", "repeat:i signature:s n:i", c.with_(c.STATIONS, _kmeans_sql(REPEATS)) + """,
+    q AS (SELECT *, min(station_id) OVER (PARTITION BY repeat, block) AS nm FROM km)
+    SELECT repeat, sum(CAST('0x' || substr(md5(station_id || ':' || nm), 1, 12) AS BIGINT))::VARCHAR AS signature, count(*) AS n FROM q GROUP BY 1""")
 def kmeans_partition_signatures(t: Tables) -> DataFrame:
-    p = sp.kmeans_partitions(m.stations(t), "station_id", "x", "y", 2, 6, 11)
-    return sp.partition_signature(p, "station_id", "block", ["repeat"])
+    return sp.partition_signature(kmeans(t), "station_id", "block", ["repeat"])
 
 
-def _fe_sql(rounds: int) -> str:
+#: Rounds of alternating means in the SQL twins, enough for this panel to settle beyond the digits compared.
+SETTLED = 40
+
+
+def _fe_sql(rounds: int = SETTLED) -> str:
     out = [c.SLOTS, c.station_nights(), "u0 AS (SELECT DISTINCT station, 0.0::DOUBLE AS a FROM sn)"]
     for i in range(1, rounds + 1):
         out.append(f"t{i}r AS MATERIALIZED (SELECT night_date, avg(night_min - a) AS g FROM sn JOIN u{i - 1} USING (station) GROUP BY 1)")
@@ -118,30 +147,37 @@ def _fe_sql(rounds: int) -> str:
     return c.with_(*out)
 
 
-@query("two_way_effects", "X1", "station:s unit_effect n_nights:i", _fe_sql(4) + """
-    SELECT station, a AS unit_effect, n AS n_nights FROM u4 JOIN (SELECT station, count(*) AS n FROM sn GROUP BY 1) USING (station)""")
+@query("two_way_effects", "X1", "station:s unit_effect n_nights:i", _fe_sql() + f"""
+    SELECT station, a AS unit_effect, n AS n_nights FROM u{SETTLED} JOIN (SELECT station, count(*) AS n FROM sn GROUP BY 1) USING (station)""")
 def two_way_effects(t: Tables) -> DataFrame:
     sn = settled(m.station_nights(t).select("station", "night_date", "night_min"))
-    u, _ = sp.two_way_effects(sn, "station", "night_date", "night_min", rounds=4)
+    u, _ = sp.two_way_effects(sn, "station", "night_date", "night_min")
     return u.join(sn.groupBy("station").agg(F.count("*").alias("n_nights")), "station")
 
 
-@query("coverage_adjusted_targets", "X1 X2 Q17", "station:s n_nights:i n_years:i raw_mean adjusted_mean target_se residual_rmse se_imputed:b", _fe_sql(4) + """,
-    o AS (SELECT sn.*, night_min - g AS o, a FROM sn JOIN t4 USING (night_date) JOIN u4 USING (station)),
+@query("coverage_adjusted_targets", "X1 X2 Q17", "station:s n_nights:i n_years:i raw_mean adjusted_mean target_se residual_rmse se_imputed:b", _fe_sql() + f""",
+    o AS (SELECT sn.*, night_min - g AS o, a FROM sn JOIN t{SETTLED} USING (night_date) JOIN u{SETTLED} USING (station)),
     y AS (SELECT station, count(*) AS n_years, stddev_samp(m) / sqrt(count(*)) AS se FROM (SELECT station, year, avg(o) AS m FROM o GROUP BY 1, 2) GROUP BY 1)
-    SELECT station, count(*) AS n_nights, max(n_years) AS n_years, avg(night_min) AS raw_mean, max(a) + (SELECT avg(g) FROM t4) AS adjusted_mean,
+    SELECT station, count(*) AS n_nights, max(n_years) AS n_years, avg(night_min) AS raw_mean, max(a) + (SELECT avg(g) FROM t{SETTLED}) AS adjusted_mean,
            coalesce(max(se), (SELECT quantile_cont(se, 0.5) FROM y)) AS target_se, sqrt(avg((o - a) ** 2)) AS residual_rmse, max(se) IS NULL AS se_imputed
     FROM o JOIN y USING (station) GROUP BY station""")
 def coverage_adjusted_targets(t: Tables) -> DataFrame:
     sn = settled(m.station_nights(t).select("station", "night_date", "night_min", "year"))
-    u, g = sp.two_way_effects(sn, "station", "night_date", "night_min", rounds=4)
+    u, g = sp.two_way_effects(sn, "station", "night_date", "night_min")
     return sp.effect_targets(sn, u, g, "station", "night_date", "night_min", "year")
 
 
-@query("converged_effects", "X1", "station:s unit_effect")
+@query("converged_effects", "X1", "night_date:d time_effect", _fe_sql() + f"SELECT night_date, g AS time_effect FROM t{SETTLED}")
 def converged_effects(t: Tables) -> DataFrame:
     sn = settled(m.station_nights(t).select("station", "night_date", "night_min"))
-    return sp.two_way_effects(sn, "station", "night_date", "night_min", tol=1e-9)[0]
+    return sp.two_way_effects(sn, "station", "night_date", "night_min")[1]
+
+
+@query("panel_components", "X1", "component:s units:i", c.with_(c.SLOTS, c.station_nights()) + """
+    SELECT (SELECT min(station) FROM sn) AS component, count(DISTINCT station) AS units FROM sn WHERE night_min IS NOT NULL""")
+def panel_components(t: Tables) -> DataFrame:
+    sn = settled(m.station_nights(t).where("night_min IS NOT NULL").select("station", "night_date").distinct())
+    return sp.panel_components(sn, "station", "night_date").groupBy("component").agg(F.count("*").alias("units"))
 
 
 @query("analysis_panel", "X3 J4 S14 S15", "station:s n:i mean_min", c.with_(c.NIGHTS) + """
@@ -186,7 +222,7 @@ def dusk_anomaly_targets(t: Tables) -> DataFrame:
 
 # --- fields and their comparison ----------------------------------------------
 
-CANDIDATES = sp.gp_candidates((20.0, 60.0, 180.0))
+CANDIDATES = process.candidates((20.0, 60.0, 180.0))
 
 
 def gp_stations(t: Tables) -> DataFrame:
@@ -196,70 +232,133 @@ def gp_stations(t: Tables) -> DataFrame:
 @query("kernel_choice_by_region", "X5 X6", "region:i length signal noise lml:f4 signal_sd noise_sd range_010 range_005")
 def kernel_choice_by_region(t: Tables) -> DataFrame:
     s = gp_stations(t)
-    best = sp.gp_hyperparameters(s, ("x", "y"), "target", "se", CANDIDATES, ["region"])
+    best = process.parameters(process.conditioned(s, "station_id", ("x", "y"), "target", "se", ["region"]), CANDIDATES, ["region"])
     sd = s.groupBy("region").agg(F.stddev_pop("target").alias("target_sd"))
-    return sp.kernel_summary(best.join(sd, "region"), F.col("target_sd"))
+    return process.kernel_summary(best.join(sd, "region"), F.col("target_sd"))
 
 
 @query("process_field", "X5 Q17", "region:i cell_id:i gp_mean gp_sd")
 def process_field(t: Tables) -> DataFrame:
     s = settled(gp_stations(t))
-    best = settled(sp.gp_hyperparameters(s, ("x", "y"), "target", "se", CANDIDATES, ["region"]))
-    return sp.gp_field(m.grid_cells(t), "cell_id", ("cx", "cy"), s, ("x", "y"), "target", "se", best, ["region"])
+    best = settled(process.parameters(process.conditioned(s, "station_id", ("x", "y"), "target", "se", ["region"]), CANDIDATES, ["region"]))
+    return process.field(m.grid_cells(t), "cell_id", ("cx", "cy"), s, "station_id", ("x", "y"), "target", "se", best, ["region"])
+
+
+def supplier_stations(t: Tables) -> DataFrame:
+    """Suppliers as stations of the multi-year panel, with plane coordinates."""
+    return t.supplier.select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("station"),
+                             F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 400.0).alias("y"))
+
+
+def supplier_nights(t: Tables) -> DataFrame:
+    """Summer minima of every supplier and night."""
+    night = F.to_date("l_shipdate")
+    raw = t.lineitem.select(F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("station"), night.alias("night_date"), (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("v"))
+    kept = raw.where(F.month("night_date").isin(list(m.SUMMER)) & F.col("v").between(-30.0, 50.0))
+    return settled(kept.groupBy("station", "night_date").agg(F.min("v").alias("night_min")).withColumn("year", F.year("night_date")))
+
+
+PLANE = process.candidates((400.0, 1000.0, 2500.0, 6000.0), (0.5, 1.0), (0.05, 0.3, 1.0))
+
+
+def supplier_targets(t: Tables) -> DataFrame:
+    """Coverage-adjusted mean of every supplier with the error of its annual means and its place."""
+    sn = supplier_nights(t)
+    u, g = sp.two_way_effects(sn, "station", "night_date", "night_min")
+    return settled(sp.effect_targets(sn, u, g, "station", "night_date", "night_min", "year").join(supplier_stations(t), "station"))
+
+
+def customer_cells(t: Tables) -> DataFrame:
+    """Customers as grid cells of the suppliers' plane."""
+    return t.customer.select(F.col("c_custkey").alias("cell_id"), F.col("c_acctbal").alias("cx"), (F.col("c_nationkey") * 400.0 + 100.0).alias("cy"))
 
 
-@query("spatial_cross_validation", "X7 T30 Q17", "repeat:i n:i r2 rmse mae rho coverage width coverage_target width_target")
+def adjusted_kernel(targets: DataFrame) -> DataFrame:
+    return settled(process.parameters(process.conditioned(targets, "station", ("x", "y"), "adjusted_mean", "target_se"), PLANE))
+
+
+@query("adjusted_target_kernel", "X5 X6 Q17", "length signal noise lml:f4 signal_sd noise_sd range_010 range_005")
+def adjusted_target_kernel(t: Tables) -> DataFrame:
+    s = supplier_targets(t)
+    sd = s.agg(F.stddev_pop("adjusted_mean").alias("target_sd"))
+    return process.kernel_summary(adjusted_kernel(s).join(F.broadcast(sd), how="left"), F.col("target_sd"))
+
+
+@query("adjusted_target_field", "X5 X2 Q17", "cell_id:i gp_mean gp_sd")
+def adjusted_target_field(t: Tables) -> DataFrame:
+    s = supplier_targets(t)
+    return process.field(customer_cells(t), "cell_id", ("cx", "cy"), s, "station", ("x", "y"), "adjusted_mean", "target_se", adjusted_kernel(s))
+
+
+@query("kernel_support", "X6 A22 J9", "p quantile", """
+    WITH s AS (SELECT s_suppkey AS k, s_acctbal AS x, s_nationkey * 400.0 AS y FROM supplier),
+    d AS (SELECT c_custkey, sqrt(min(round((x - c_acctbal) * (x - c_acctbal) + (y - c_nationkey * 400.0 - 100.0) * (y - c_nationkey * 400.0 - 100.0), 9))) AS d FROM customer, s GROUP BY 1)
+    SELECT unnest([0.05, 0.5, 0.95]) AS p, unnest(quantile_cont(d, [0.05, 0.5, 0.95])) AS quantile FROM d""")
+def kernel_support(t: Tables) -> DataFrame:
+    best = t.region.agg(F.lit(1.0).alias("length"))
+    return process.support(customer_cells(t), "cell_id", ("cx", "cy"), supplier_stations(t), "station", ("x", "y"), best)
+
+
+_WIDTHS = "repeat:i n:i r2 rmse mae rho coverage width coverage_target width_target"
+
+
+@query("spatial_cross_validation", "X7 T30 Q17", _WIDTHS)
 def spatial_cross_validation(t: Tables) -> DataFrame:
-    cv = sp.gp_cross_validation(gp_stations(t).drop("block"), "station_id", ("x", "y"), "target", "se", partitions(t), sp.gp_candidates((60.0,), (1.0,), (0.3, 1.0)))
+    cv = process.cross_validation(gp_stations(t).drop("block"), "station_id", ("x", "y"), "target", "se", kmeans(t), CANDIDATES)
     return rg.pred_metrics(settled(cv), "observed", "predicted", ["repeat"], "pred_sd", "target_se")
 
 
+@query("spatial_validation_summary", "X7 T30 Q17", "metric:s p value")
+def spatial_validation_summary(t: Tables) -> DataFrame:
+    return rg.cv_summary(settled(spatial_cross_validation(t)), ["r2", "rmse", "mae", "rho", "coverage"])
+
+
+TRAITS = ["elevation", "building", "canopy"]
+
+
 @query("ridge_validation_summary", "X7 X8 T30 Q10", "metric:s p value")
 def ridge_validation_summary(t: Tables) -> DataFrame:
-    cv = sp.ridge_cv(m.stations(t).drop("block"), "station_id", "target", ["elevation", "building", "canopy"], partitions(t))
+    cv = sp.ridge_cv(m.stations(t).drop("block"), "station_id", "target", TRAITS, kmeans(t, 50))
     return rg.cv_summary(rg.pred_metrics(settled(cv), "observed", "predicted", ["repeat"]), ["r2", "rmse", "mae", "rho"])
 
 
 @query("ridge_cross_validation", "X8 T30 Q10", "repeat:i n:i r2 rmse mae rho")
 def ridge_cross_validation(t: Tables) -> DataFrame:
-    cv = sp.ridge_cv(m.stations(t).drop("block"), "station_id", "target", ["elevation", "building", "canopy"], partitions(t))
+    cv = sp.ridge_cv(m.stations(t).drop("block"), "station_id", "target", TRAITS, kmeans(t, 50))
     return rg.pred_metrics(settled(cv), "observed", "predicted", ["repeat"])
 
 
 @query("ridge_predictor_importance", "X8 Q10 Q23", "repeat:i dropped:s cv_r2 reduced_r2 delta_r2")
 def ridge_predictor_importance(t: Tables) -> DataFrame:
-    return sp.ridge_importance(m.stations(t).drop("block"), "station_id", "target", ["elevation", "building", "canopy"], partitions(t), [0.01, 1.0, 100.0])
+    return sp.ridge_importance(m.stations(t).drop("block"), "station_id", "target", TRAITS, kmeans(t, 50))
 
 
-def supplier_stations(t: Tables) -> DataFrame:
-    """Suppliers as stations of the multi-year panel, with plane coordinates."""
-    return t.supplier.select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("station"),
-                             F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 400.0).alias("y"))
+@query("ridge_importance_summary", "X8 Q10 Q23", "dropped:s mean q05 q50 q95 n:i")
+def ridge_importance_summary(t: Tables) -> DataFrame:
+    return sp.quantile_summary(ridge_predictor_importance(t), "delta_r2", ["dropped"])
 
 
-@query("fold_contained_validation", "X9 X1 Q24", "repeat:i n:i r2 rmse mae rho")
+@query("ridge_coefficients", "X8 Q10 Q23", "predictor:s mean q05 q50 q95 n:i")
+def ridge_coefficients(t: Tables) -> DataFrame:
+    study = sp.ridge_study(m.stations(t).drop("block"), "station_id", "target", TRAITS, kmeans(t, 50))
+    return sp.quantile_summary(study.coefficients, "coefficient", ["predictor"])
+
+
+@query("fold_contained_validation", "X9 X1 Q24", _WIDTHS)
 def fold_contained_validation(t: Tables) -> DataFrame:
-    s = settled(supplier_stations(t))
-    folds = settled(sp.quantile_blocks(s, "x", "y", 2, 2).select(F.lit(0).alias("repeat"), "station", "block"))
-    raw = t.lineitem.select(F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("station"), F.to_date("l_shipdate").alias("night_date"),
-                            (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("v"))
-    sn = settled(raw.where(F.month("night_date").isin(list(m.SUMMER)) & F.col("v").between(-30.0, 50.0)).groupBy("station", "night_date").agg(F.min("v").alias("night_min")))
+    s, sn = settled(supplier_stations(t)), supplier_nights(t)
+    folds = settled(sp.kmeans_partitions(s, "station", "x", "y", REPEATS, BLOCKS, "x9", ROUNDS))
     blocks = folds.select("repeat", F.col("block").alias("fold")).distinct()
     rows = settled(sn.join(folds, "station").join(blocks, "repeat"))
-    train = rows.where(F.col("block") != F.col("fold"))
-    u, g = sp.two_way_effects(train, "station", "night_date", "night_min", by=["repeat", "fold"], rounds=3)
-    base = g.groupBy("repeat", "fold").agg(F.avg("time_effect").alias("base"))
-    held = rows.where(F.col("block") == F.col("fold")).join(g, ["repeat", "fold", "night_date"]).join(base, ["repeat", "fold"])
-    truth = held.groupBy("repeat", "fold", "station").agg(F.avg(F.col("night_min") - F.col("time_effect") + F.col("base")).alias("observed"))
-    tgt = u.join(base, ["repeat", "fold"]).select("repeat", "fold", "station", (F.col("unit_effect") + F.col("base")).alias("target"))
-    dat = settled(union_all(tgt.withColumn("is_test", F.lit(False)), truth.select("repeat", "fold", "station", F.col("observed").alias("target"), F.lit(True).alias("is_test"))).join(s, "station"))
-    key = F.concat_ws("/", "repeat", "fold")
-    tr = dat.where(~F.col("is_test")).withColumns({"group": key, "se": F.lit(0.5)})
-    best = settled(sp.gp_hyperparameters(tr, ("x", "y"), "target", "se", sp.gp_candidates((1000.0, 4000.0), (1.0,), (0.3, 1.0)), ["group"]))
-    te = dat.where("is_test").withColumn("group", key)
-    pred = sp.gp_field(te, "station", ("x", "y"), tr, ("x", "y"), "target", "se", best, ["group"])
-    j = te.select("group", "station", "repeat", F.col("target").alias("observed")).join(pred, ["group", "station"])
-    return rg.pred_metrics(settled(j), "observed", "gp_mean", ["repeat"])
+    by = ["repeat", "fold"]
+    train, held = rows.where("block <> fold"), rows.where("block = fold")
+    u, g = sp.two_way_effects(train, "station", "night_date", "night_min", by=by, tol=1e-7)
+    tgt = settled(sp.fold_targets(train, u, g, "station", "night_date", "night_min", "year", by).join(s, "station"))
+    truth = settled(sp.fold_targets(held, None, g, "station", "night_date", "night_min", "year", by).join(s, "station"))
+    best = settled(process.parameters(process.conditioned(tgt, "station", ("x", "y"), "target", "se", by), process.candidates((1000.0, 4000.0), (1.0,), (0.3, 1.0)), by))
+    pred = process.field(truth, "station", ("x", "y"), tgt, "station", ("x", "y"), "target", "se", best, by)
+    j = truth.select(*by, "station", F.col("target").alias("observed"), F.col("se").alias("target_se")).join(pred, [*by, "station"])
+    return rg.pred_metrics(settled(j), "observed", "gp_mean", ["repeat"], "gp_sd", "target_se")
 
 
 @query("prediction_metrics", "T30", "region:i n:i r2 rmse mae rho coverage width", c.with_(c.STATIONS, c.GRID, _IDW) + f""",
@@ -308,16 +407,32 @@ def field_at_stations(t: Tables) -> DataFrame:
     return at.corr_matrix_any_size(settled(j), ["target", "field_a"]).select(F.col("r").alias("rho"), "n")
 
 
-@query("spatial_block_bootstrap", "R10 Q11", "ci_low ci_high n_valid:i", c.with_(c.GRID, """
+BLOCK_DRAWS = 2000
+_SURFACE = ("e", "n", "ee", "nn", "en")
+
+
+@query("spatial_block_bootstrap", "R10 Q11", "kind:s rho ci_low ci_high n_valid:i", c.with_(c.GRID, """
     e AS (SELECT round(quantile_cont(cx, 1/3.0), 9) a, round(quantile_cont(cx, 2/3.0), 9) b, round(quantile_cont(cy, 1/3.0), 9) d, round(quantile_cont(cy, 2/3.0), 9) f FROM grid),
-    q AS (SELECT ((round(cx, 9) > a)::INT + (round(cx, 9) > b)::INT) * 3 + (round(cy, 9) > d)::INT + (round(cy, 9) > f)::INT AS block, field_a, field_b FROM grid, e)""",
-       c.cluster_draws("d", "q", "block", 30, "r10")) + f""",
-    x AS (SELECT replicate, field_a, field_b FROM (SELECT q.*, replicate, unnest(range(times)) AS t FROM q JOIN d USING (block))),
-    r AS (SELECT replicate, corr(a, b) AS rho FROM (SELECT replicate, {c.rank_avg('field_a', 'replicate')} a, {c.rank_avg('field_b', 'replicate')} b FROM x) GROUP BY 1)
-    SELECT quantile_cont(rho, 0.025) AS ci_low, quantile_cont(rho, 0.975) AS ci_high, count(rho) AS n_valid FROM r""")
+    q AS (SELECT ((round(cx, 9) > a)::INT + (round(cx, 9) > b)::INT) * 3 + (round(cy, 9) > d)::INT + (round(cy, 9) > f)::INT AS block, field_a, field_b,
+          zx AS e, zy AS n, zx * zx AS ee, zy * zy AS nn, zx * zy AS en
+          FROM (SELECT *, (cx - avg(cx) OVER ()) / stddev_pop(cx) OVER () AS zx, (cy - avg(cy) OVER ()) / stddev_pop(cy) OVER () AS zy FROM grid), e)""",
+       c.cluster_draws("d", "q", "block", BLOCK_DRAWS, "r10"), """
+    w AS (SELECT replicate, block, times FROM d UNION ALL SELECT DISTINCT -1, block, 1 FROM q),
+    x AS (SELECT replicate, field_a, field_b, e, n, ee, nn, en FROM (SELECT q.*, replicate, unnest(range(times)) AS t FROM q JOIN w USING (block)))""",
+       c.partial_sql("raw", "x", "replicate", "field_a", "field_b"), c.partial_sql("det", "x", "replicate", "field_a", "field_b", _SURFACE, 3, raw=_SURFACE)) + """,
+    l AS (SELECT 'raw' AS kind, replicate, rho FROM raw UNION ALL SELECT 'coordinate_detrended', replicate, rho FROM det)
+    SELECT kind, max(rho) FILTER (replicate < 0) AS rho, quantile_cont(rho, 0.025) FILTER (replicate >= 0) AS ci_low, quantile_cont(rho, 0.975) FILTER (replicate >= 0) AS ci_high,
+           count(rho) FILTER (replicate >= 0) AS n_valid FROM l GROUP BY kind""")
 def spatial_block_bootstrap(t: Tables) -> DataFrame:
-    g = settled(sp.quantile_blocks(m.grid_cells(t), "cx", "cy"))
-    return rs.interval(rs.block_weighted_spearman(g, "field_a", "field_b", "block", 30, "r10"), "rho")
+    from duskline.functions.numeric import poly2
+
+    g = sp.quantile_blocks(m.grid_cells(t), "cx", "cy")
+    z = scalars.zscore(g, ["cx", "cy"], ddof=0)
+    z = z.withColumns(dict(zip(_SURFACE, poly2("z_cx", "z_cy"), strict=True)))
+    r = settled(rs.block_rank_correlations(z, "field_a", "field_b", "block", BLOCK_DRAWS, "r10", _SURFACE))
+    long = r.select("replicate", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(v).alias("v")) for k, v in (("raw", "rho"), ("coordinate_detrended", "partial"))])))
+    ci = rs.interval(long.where("replicate >= 0"), "v", ["kind"])
+    return ci.join(long.where("replicate < 0").select("kind", F.col("v").alias("rho")), "kind")
 
 
 # --- reanalysis-style second source --------------------------------------------

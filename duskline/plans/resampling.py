@@ -29,6 +29,9 @@ def terciles(n: DataFrame) -> DataFrame:
 TERC = """tc AS (SELECT round(quantile_cont(warmth, 1.0/3), 9) a, round(quantile_cont(warmth, 2.0/3), 9) b FROM nights WHERE regime = 'calm_clear'),
   terc AS (SELECT n.*, CASE WHEN warmth >= b THEN 'hot' WHEN warmth <= a THEN 'cool' ELSE 'middle' END AS tercile FROM nights n, tc WHERE regime = 'calm_clear')"""
 
+#: Replicates: of year clusters for a group difference, of clusters otherwise, of calendar blocks and stationary series.
+DIFFERENCE, CLUSTERS, BLOCKS = 5000, 2000, 3000
+
 CI = "quantile_cont({v}, 0.025) AS ci_low, quantile_cont({v}, 0.975) AS ci_high"
 
 
@@ -41,7 +44,7 @@ def counter_draws(t: Tables) -> DataFrame:
         counter.draw_normal("n", "year").alias("normal"))
 
 
-@query("cluster_bootstrap_difference", "R1", "diff ci_low ci_high p_boot n_hi:i n_lo:i", c.with_(c.NIGHTS, c.cluster_draws("d", "q", "year", 500, "r1").replace(
+@query("cluster_bootstrap_difference", "R1", "diff ci_low ci_high p_boot n_hi:i n_lo:i", c.with_(c.NIGHTS, c.cluster_draws("d", "q", "year", DIFFERENCE, "r1").replace(
     "d_i AS", """q AS (SELECT * FROM nights WHERE regime IN ('calm_clear', 'cloudy_windy') AND sd_tmin IS NOT NULL),
     st AS (SELECT year, sum(CASE WHEN regime = 'calm_clear' THEN sd_tmin ELSE 0 END) sh, count(*) FILTER (regime = 'calm_clear') nh,
                   sum(CASE WHEN regime <> 'calm_clear' THEN sd_tmin ELSE 0 END) sl, count(*) FILTER (regime <> 'calm_clear') nl FROM q GROUP BY year),
@@ -51,37 +54,37 @@ def counter_draws(t: Tables) -> DataFrame:
            least(1, greatest(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 1.0::DOUBLE / (count(*) + 1))) AS p_boot,
            (SELECT sum(nh) FROM st) AS n_hi, (SELECT sum(nl) FROM st) AS n_lo FROM b""")
 def cluster_bootstrap_difference(t: Tables) -> DataFrame:
-    return rs.cluster_boot_diff(fixed_nights(t), "sd_tmin", "regime", "calm_clear", "cloudy_windy", "year", 500, "r1")
+    return rs.cluster_boot_diff(fixed_nights(t), "sd_tmin", "regime", "calm_clear", "cloudy_windy", "year", DIFFERENCE, "r1")
 
 
 @query("cluster_bootstrap_mean", "R2 T24", "tercile:s mean n:i ci_low ci_high", c.with_(c.NIGHTS, TERC, """
     st AS (SELECT tercile, year, sum(sd_tmin) s, count(*) n FROM terc WHERE sd_tmin IS NOT NULL GROUP BY 1, 2)""",
-       c.cluster_draws("d", "st", "year", 300, "r2", "tercile")) + f""",
+       c.cluster_draws("d", "st", "year", CLUSTERS, "r2", "tercile")) + f""",
     b AS (SELECT tercile, replicate, sum(times * s) / sum(times * n) AS m FROM d JOIN st USING (tercile, year) GROUP BY 1, 2)
     SELECT tercile, (SELECT sum(s) / sum(n) FROM st x WHERE x.tercile = b.tercile) AS mean, (SELECT sum(n) FROM st x WHERE x.tercile = b.tercile) AS n,
            {CI.format(v='m')} FROM b GROUP BY tercile""")
 def cluster_bootstrap_mean(t: Tables) -> DataFrame:
-    return rs.cluster_boot_mean(terciles(fixed_nights(t)), "sd_tmin", "year", ["tercile"], 300, "r2")
+    return rs.cluster_boot_mean(terciles(fixed_nights(t)), "sd_tmin", "year", ["tercile"], CLUSTERS, "r2")
 
 
 @query("cluster_bootstrap_rank_correlation", "R3", "regime:s estimate n:i ci_low ci_high", c.with_(c.NIGHTS, """
-    q AS (SELECT regime, year, warmth AS x, sd_tmin AS y FROM nights WHERE sd_tmin IS NOT NULL)""", c.cluster_draws("d", "q", "year", 100, "r3", "regime")) + f""",
+    q AS (SELECT regime, year, warmth AS x, sd_tmin AS y FROM nights WHERE sd_tmin IS NOT NULL)""", c.cluster_draws("d", "q", "year", CLUSTERS, "r3", "regime")) + f""",
     e AS (SELECT regime, replicate, x, y FROM (SELECT q.*, d.replicate, unnest(range(times)) AS t FROM q JOIN d USING (regime, year))),
     r AS (SELECT regime, replicate, x, {c.rank_avg('x', 'regime, replicate')} rx, {c.rank_avg('y', 'regime, replicate')} ry FROM e),
     b AS (SELECT regime, replicate, CASE WHEN count(DISTINCT x) > 5 THEN corr(rx, ry) END AS rho FROM r GROUP BY 1, 2),
     o AS (SELECT regime, corr(a, b) AS estimate, count(*) AS n FROM (SELECT regime, {c.rank_avg('x', 'regime')} a, {c.rank_avg('y', 'regime')} b FROM q) GROUP BY 1)
     SELECT regime, estimate, n, ci_low, ci_high FROM o JOIN (SELECT regime, {CI.format(v='rho')} FROM b GROUP BY 1) USING (regime)""")
 def cluster_bootstrap_rank_correlation(t: Tables) -> DataFrame:
-    return rs.cluster_boot_stat(fixed_nights(t), "warmth", "sd_tmin", "year", 100, "r3", ["regime"])
+    return rs.cluster_boot_stat(fixed_nights(t), "warmth", "sd_tmin", "year", CLUSTERS, "r3", ["regime"])
 
 
 @query("cluster_bootstrap_slope", "R3", "regime:s estimate n:i ci_low ci_high", c.with_(c.NIGHTS, """
-    q AS (SELECT regime, year, warmth AS x, sd_tmin AS y FROM nights WHERE sd_tmin IS NOT NULL)""", c.cluster_draws("d", "q", "year", 100, "r3", "regime")) + f""",
+    q AS (SELECT regime, year, warmth AS x, sd_tmin AS y FROM nights WHERE sd_tmin IS NOT NULL)""", c.cluster_draws("d", "q", "year", CLUSTERS, "r3", "regime")) + f""",
     b AS (SELECT regime, replicate, regr_slope(y, x) AS s FROM (SELECT q.*, d.replicate, unnest(range(times)) AS t FROM q JOIN d USING (regime, year)) GROUP BY 1, 2)
     SELECT regime, estimate, n, ci_low, ci_high FROM (SELECT regime, regr_slope(y, x) AS estimate, count(*) AS n FROM q GROUP BY 1)
     JOIN (SELECT regime, {CI.format(v='s')} FROM b GROUP BY 1) USING (regime)""")
 def cluster_bootstrap_slope(t: Tables) -> DataFrame:
-    return rs.cluster_boot_stat(fixed_nights(t), "warmth", "sd_tmin", "year", 100, "r3", ["regime"], stat="slope")
+    return rs.cluster_boot_stat(fixed_nights(t), "warmth", "sd_tmin", "year", CLUSTERS, "r3", ["regime"], stat="slope")
 
 
 def scoped_calendar(t: Tables, nights: DataFrame) -> DataFrame:
@@ -98,31 +101,35 @@ SCOPED = """cal AS MATERIALIZED (SELECT k.year, k.night_date, k.day_index, n.* E
 
 
 @query("calendar_block_bootstrap", "R4 Q16 Q22", "scope:s rho n:i ci_low ci_high n_valid:i", c.with_(c.NIGHTS, c.CALENDAR, SCOPED,
-       c.block_draws("bd", "cal", 200, "r4", by="scope"), """
+       c.block_draws("bd", "cal", BLOCKS, "r4", by="scope"), """
     k AS (SELECT scope, year, day_index, warmth, sd_tmin FROM cal WHERE regime = 'calm_clear' AND sd_tmin IS NOT NULL),
     e AS (SELECT scope, replicate, warmth, sd_tmin FROM (SELECT k.*, replicate, unnest(range(times)) FROM bd JOIN k USING (scope, year, day_index)))""",
        c.partial_sql("b", "e", "scope, replicate", "warmth", "sd_tmin", (), 8), c.partial_sql("o", "k", "scope", "warmth", "sd_tmin", (), 8)) + f"""
-    SELECT scope, o.rho, o.n, CASE WHEN n_valid >= 100 THEN ci_low END AS ci_low, CASE WHEN n_valid >= 100 THEN ci_high END AS ci_high, n_valid FROM o JOIN (SELECT scope, {CI.format(v='rho')}, count(rho) AS n_valid FROM b GROUP BY 1) USING (scope)""")
+    SELECT scope, o.rho, o.n, CASE WHEN n_valid >= {BLOCKS // 2} THEN ci_low END AS ci_low, CASE WHEN n_valid >= {BLOCKS // 2} THEN ci_high END AS ci_high, n_valid FROM o JOIN (SELECT scope, {CI.format(v='rho')}, count(rho) AS n_valid FROM b GROUP BY 1) USING (scope)""")
 def calendar_block_bootstrap(t: Tables) -> DataFrame:
-    return rs.block_boot(scoped_calendar(t, fixed_nights(t)), "warmth", "sd_tmin", F.col("regime") == "calm_clear", 200, "r4", by=["scope"])
+    return rs.block_boot(scoped_calendar(t, fixed_nights(t)), "warmth", "sd_tmin", F.col("regime") == "calm_clear", BLOCKS, "r4", by=["scope"])
 
 
-_DEV_RAW = ("season", "season_sq", "year_1996", "year_1997", "year_1998")
+_SEASONAL = ("season", "season_sq", *[f"year_{y}" for y in m.YEARS[1:]])
+_FIRST_YEAR = {"all": m.YEARS[0], "development": m.DEV_YEARS[0], "evaluation": m.HOLDOUT_YEARS[0]}
+_DUMMIES = ", ".join(f"(k.year = {y} AND k.year > s.y0)::INT AS year_{y}" for y in m.YEARS[1:])
+_RAW_SQL = f"""cal AS MATERIALIZED (SELECT s.scope, k.year, k.day_index, n.* EXCLUDE (year, night_date), (dayofyear(k.night_date) - 196.5) / 30.0 AS season,
+    ((dayofyear(k.night_date) - 196.5) / 30.0) ** 2 AS season_sq, {_DUMMIES} FROM calendar k LEFT JOIN nights n USING (night_date),
+    (VALUES ('all', 1995, 2001), ('development', 1995, 1998), ('evaluation', 1999, 2001)) s(scope, y0, y1) WHERE k.year BETWEEN s.y0 AND s.y1)"""
 
 
-@query("season_adjusted_block_bootstrap", "R4 T3", "scope:s rho n:i ci_low ci_high", c.with_(c.NIGHTS, c.CALENDAR, """
-    cal AS MATERIALIZED (SELECT 'development' AS scope, k.year, k.day_index, n.* EXCLUDE (year, night_date), (dayofyear(k.night_date) - 196.5) / 30.0 AS season,
-       ((dayofyear(k.night_date) - 196.5) / 30.0) ** 2 AS season_sq, (k.year = 1996)::INT AS year_1996, (k.year = 1997)::INT AS year_1997, (k.year = 1998)::INT AS year_1998
-       FROM calendar k LEFT JOIN nights n USING (night_date) WHERE k.year <= 1998)""", c.block_draws("bd", "cal", 40, "r4b", by="scope"), """
-    k AS (SELECT scope, year, day_index, warmth, sd_tmin, season, season_sq, year_1996, year_1997, year_1998 FROM cal WHERE regime = 'calm_clear' AND sd_tmin IS NOT NULL),
+@query("season_adjusted_block_bootstrap", "R4 T3", "scope:s rho n:i ci_low ci_high", c.with_(c.NIGHTS, c.CALENDAR, _RAW_SQL, c.block_draws("bd", "cal", BLOCKS, "r4b", by="scope"), f"""
+    k AS (SELECT scope, year, day_index, warmth, sd_tmin, {', '.join(_SEASONAL)} FROM cal WHERE regime = 'calm_clear' AND sd_tmin IS NOT NULL),
     e AS (SELECT * EXCLUDE (t) FROM (SELECT k.*, replicate, unnest(range(times)) AS t FROM bd JOIN k USING (scope, year, day_index)))""",
-       c.partial_sql("b", "e", "scope, replicate", "warmth", "sd_tmin", _DEV_RAW, 8, raw=_DEV_RAW), c.partial_sql("o", "k", "scope", "warmth", "sd_tmin", _DEV_RAW, 8, raw=_DEV_RAW)) + f"""
+       c.partial_sql("b", "e", "scope, replicate", "warmth", "sd_tmin", _SEASONAL, 8, raw=_SEASONAL), c.partial_sql("o", "k", "scope", "warmth", "sd_tmin", _SEASONAL, 8, raw=_SEASONAL)) + f"""
     SELECT scope, o.rho, o.n, ci_low, ci_high FROM o JOIN (SELECT scope, {CI.format(v='rho')} FROM b GROUP BY 1) USING (scope)""")
 def season_adjusted_block_bootstrap(t: Tables) -> DataFrame:
-    cal = scoped_calendar(t, fixed_nights(t)).where("scope = 'development'")
+    cal = scoped_calendar(t, fixed_nights(t))
     s, s2 = tp.season_terms(F.dayofyear("night_date"))
-    cal = scalars.one_hot(cal.withColumns({"season": s, "season_sq": s2}), "year", m.DEV_YEARS)
-    return rs.block_boot(cal, "warmth", "sd_tmin", F.col("regime") == "calm_clear", 40, "r4b", covs=_DEV_RAW, raw=_DEV_RAW, by=["scope"])
+    cal = scalars.one_hot(cal.withColumns({"season": s, "season_sq": s2}), "year", m.YEARS)
+    base = F.create_map(*[F.lit(v) for kv in _FIRST_YEAR.items() for v in kv])[F.col("scope")]
+    cal = cal.withColumns({f"year_{y}": F.when(base == y, 0).otherwise(F.col(f"year_{y}")) for y in m.YEARS[1:]})
+    return rs.block_boot(cal, "warmth", "sd_tmin", F.col("regime") == "calm_clear", BLOCKS, "r4b", covs=_SEASONAL, raw=_SEASONAL, by=["scope"])
 
 
 def hour_profile(t: Tables, n: DataFrame) -> DataFrame:
@@ -139,7 +146,7 @@ HOURS = """hp AS (SELECT night_date, offset_h, round(stddev_samp(value), 9) AS s
 
 
 @query("block_bootstrap_curves", "R5 T26 Q22", "tercile:s offset_h mean n_nights:i ci_low ci_high", c.with_(c.NIGHTS, c.CALENDAR, TERC, HOURS,
-       c.block_draws("bd", "calendar", 150, "r5")) + f""",
+       c.block_draws("bd", "calendar", BLOCKS, "r5")) + f""",
     tn AS (SELECT k.year, k.day_index, night_date, tercile FROM calendar k JOIN terc USING (night_date)),
     b AS (SELECT tercile, offset_h, replicate, sum(times * sd) / sum(times) AS mm FROM bd JOIN tn USING (year, day_index) JOIN hp USING (night_date) WHERE sd IS NOT NULL GROUP BY 1, 2, 3)
     SELECT tercile, offset_h, mean, n_nights, ci_low, ci_high FROM (SELECT tercile, offset_h, avg(sd) AS mean, count(*) AS n_nights FROM hp JOIN tn USING (night_date) GROUP BY 1, 2)
@@ -147,19 +154,19 @@ HOURS = """hp AS (SELECT night_date, offset_h, round(stddev_samp(value), 9) AS s
 def block_bootstrap_curves(t: Tables) -> DataFrame:
     n = fixed_nights(t)
     cal = panel.with_calendar(terciles(n).select("night_date", "tercile"), m.calendar(t), "night_date")
-    return rs.block_boot_curve(cal, settled(hour_profile(t, n)), "tercile", "offset_h", "sd", 150, "r5")
+    return rs.block_boot_curve(cal, settled(hour_profile(t, n)), "tercile", "offset_h", "sd", BLOCKS, "r5")
 
 
 @query("tercile_profile_clock", "T26 R2 Q8", "tercile:s offset_h mean n:i ci_low ci_high", c.with_(c.NIGHTS, TERC, HOURS, """
     st AS (SELECT tercile, offset_h, t.year, sum(sd) s, count(*) n FROM hp JOIN terc t USING (night_date) WHERE sd IS NOT NULL GROUP BY 1, 2, 3)""",
-       c.cluster_draws("d", "st", "year", 200, "t26", "tercile, offset_h")) + f""",
+       c.cluster_draws("d", "st", "year", CLUSTERS, "t26", "tercile, offset_h")) + f""",
     b AS (SELECT tercile, offset_h, replicate, sum(times * s) / sum(times * n) AS mm FROM d JOIN st USING (tercile, offset_h, year) GROUP BY 1, 2, 3)
     SELECT tercile, offset_h, mean, n, ci_low, ci_high FROM (SELECT tercile, offset_h, sum(s) / sum(n) AS mean, sum(n) AS n FROM st GROUP BY 1, 2)
     JOIN (SELECT tercile, offset_h, {CI.format(v='mm')} FROM b GROUP BY 1, 2) USING (tercile, offset_h)""")
 def tercile_profile_clock(t: Tables) -> DataFrame:
     n = fixed_nights(t)
     p = hour_profile(t, n).join(terciles(n).select("night_date", "tercile", "year"), "night_date")
-    return rs.cluster_boot_mean(p, "sd", "year", ["tercile", "offset_h"], 200, "t26")
+    return rs.cluster_boot_mean(p, "sd", "year", ["tercile", "offset_h"], CLUSTERS, "t26")
 
 
 @query("block_bootstrap_regression", "R6 Q16", "term:s estimate ci_low ci_high n:i n_valid:i")
@@ -169,17 +176,17 @@ def block_bootstrap_regression(t: Tables) -> DataFrame:
     s, s2 = tp.season_terms(F.dayofyear("night_date"))
     cal = scalars.one_hot(cal.withColumns({"season": s, "season_sq": s2}), "year", m.YEARS)
     xs = ["warmth", "season", "season_sq", "z_day_rad", "z_clearness", "z_wind", "z_rh", *[f"year_{y}" for y in m.YEARS[1:]]]
-    return rs.block_boot_ols(cal, "sd_tmin", xs, 200, "r6")
+    return rs.block_boot_ols(cal, "sd_tmin", xs, BLOCKS, "r6")
 
 
-@query("block_bootstrap_regression_one_driver", "R6", "term:s estimate ci_low ci_high n:i", c.with_(c.NIGHTS, c.CALENDAR, c.block_draws("bd", "calendar", 100, "r6b"), """
+@query("block_bootstrap_regression_one_driver", "R6", "term:s estimate ci_low ci_high n:i", c.with_(c.NIGHTS, c.CALENDAR, c.block_draws("bd", "calendar", BLOCKS, "r6b"), """
     k AS (SELECT c.year, c.day_index, warmth, sd_tmin FROM calendar c JOIN nights USING (night_date) WHERE sd_tmin IS NOT NULL)""") + f""",
     e AS (SELECT k.*, replicate, unnest(range(times)) AS t FROM bd JOIN k USING (year, day_index)),
     b AS (SELECT replicate, unnest(['intercept', 'warmth']) AS term, unnest([regr_intercept(sd_tmin, warmth), regr_slope(sd_tmin, warmth)]) AS v FROM e GROUP BY 1)
     SELECT term, estimate, ci_low, ci_high, n FROM (SELECT unnest(['intercept', 'warmth']) AS term, unnest([regr_intercept(sd_tmin, warmth), regr_slope(sd_tmin, warmth)]) AS estimate,
       unnest([count(*), count(*)]) AS n FROM k) JOIN (SELECT term, {CI.format(v='v')} FROM b GROUP BY 1) USING (term)""")
 def block_bootstrap_regression_one_driver(t: Tables) -> DataFrame:
-    return rs.block_boot_ols(panel.with_calendar(fixed_nights(t), m.calendar(t), "night_date"), "sd_tmin", ["warmth"], 100, "r6b")
+    return rs.block_boot_ols(panel.with_calendar(fixed_nights(t), m.calendar(t), "night_date"), "sd_tmin", ["warmth"], BLOCKS, "r6b")
 
 
 KNOTS = (0.0, 1.5, 3.0, 4.5, 6.0)
@@ -204,17 +211,17 @@ def functional_curve_bands(t: Tables) -> DataFrame:
     cv = warm_curve(t, n)
     q = cv.agg(F.percentile("z_warmth", F.array(F.lit(0.1), F.lit(0.9)))).scalar()
     levels = {"cool": F.get(q, F.lit(0)), "mean": F.lit(0.0), "hot": F.get(q, F.lit(1))}
-    return rs.block_boot_spline(m.calendar(t), cv, "offset_h", "z_warmth", "sd", KNOTS, levels, [i / 2 for i in range(13)], 100, "r7")
+    return rs.block_boot_spline(m.calendar(t), cv, "offset_h", "z_warmth", "sd", KNOTS, levels, [i / 2 for i in range(13)], BLOCKS, "r7")
 
 
 @query("block_length_sensitivity", "R8 Q20", "analysis:s block_days:i rho n:i ci_low ci_high", c.with_(c.NIGHTS, c.CALENDAR, """
     cal AS MATERIALIZED (SELECT k.year, k.night_date, k.day_index, n.* EXCLUDE (year, night_date), s.analysis, s.block_days FROM calendar k LEFT JOIN nights n USING (night_date),
       (VALUES ('length', 7, 0), ('length', 14, 0), ('length', 21, 0), ('length', 28, 0), ('single_1999', 14, 1999), ('single_2000', 14, 2000), ('single_2001', 14, 2001)) s(analysis, block_days, y)
-      WHERE k.year >= 1999 AND (s.y = 0 OR s.y = k.year))""", c.block_draws("bd", "cal", 100, "r8", "block_days", "analysis, block_days"), """
+      WHERE k.year >= 1999 AND (s.y = 0 OR s.y = k.year))""", c.block_draws("bd", "cal", BLOCKS, "r8", "block_days", "analysis, block_days"), """
     k AS (SELECT analysis, block_days, year, day_index, warmth, sd_tmin FROM cal WHERE regime = 'calm_clear' AND sd_tmin IS NOT NULL),
     e AS (SELECT analysis, block_days, replicate, warmth, sd_tmin FROM (SELECT k.*, replicate, unnest(range(times)) FROM bd JOIN k USING (analysis, block_days, year, day_index)))""",
        c.partial_sql("b", "e", "analysis, block_days, replicate", "warmth", "sd_tmin", (), 8), c.partial_sql("o", "k", "analysis, block_days", "warmth", "sd_tmin", (), 8)) + f"""
-    SELECT analysis, block_days, o.rho, o.n, CASE WHEN nv >= 50 THEN ci_low END AS ci_low, CASE WHEN nv >= 50 THEN ci_high END AS ci_high
+    SELECT analysis, block_days, o.rho, o.n, CASE WHEN nv >= {BLOCKS // 2} THEN ci_low END AS ci_low, CASE WHEN nv >= {BLOCKS // 2} THEN ci_high END AS ci_high
     FROM o JOIN (SELECT analysis, block_days, {CI.format(v='rho')}, count(rho) AS nv FROM b GROUP BY 1, 2) USING (analysis, block_days)""")
 def block_length_sensitivity(t: Tables) -> DataFrame:
     from duskline.operators.association import spec_rows
@@ -222,21 +229,21 @@ def block_length_sensitivity(t: Tables) -> DataFrame:
     cal = panel.with_calendar(fixed_nights(t), m.calendar(t, m.HOLDOUT_YEARS), "night_date")
     cal = spec_rows(cal, [{"analysis": "length", "block_days": d} for d in (7, 14, 21, 28)] + [
         {"analysis": f"single_{y}", "block_days": 14, "where": F.col("year") == y} for y in m.HOLDOUT_YEARS])
-    return rs.block_boot(cal, "warmth", "sd_tmin", F.col("regime") == "calm_clear", 100, "r8", F.col("block_days"), by=["analysis", "block_days"])
+    return rs.block_boot(cal, "warmth", "sd_tmin", F.col("regime") == "calm_clear", BLOCKS, "r8", F.col("block_days"), by=["analysis", "block_days"])
 
 
 @query("stationary_bootstrap", "R9 Q11", "regime:s rho n:i ci_low ci_high", c.with_(c.NIGHTS, """
     q AS (SELECT regime, year, warmth, sd_tmin, row_number() OVER (PARTITION BY regime, year ORDER BY night_date) - 1 AS position,
                  count(*) OVER (PARTITION BY regime, year) AS n FROM nights WHERE sd_tmin IS NOT NULL),""" + f"""
     p AS (SELECT q.regime, q.year, q.n, position, replicate, position = 0 OR {c.draw('r9r', 'replicate', 'year', 'position')} / 268435456.0::DOUBLE < 1 / 14.0::DOUBLE AS fresh
-          FROM q, (SELECT unnest(range(60)) AS replicate)),
+          FROM q, (SELECT unnest(range({BLOCKS})) AS replicate)),
     f AS (SELECT *, max(CASE WHEN fresh THEN position END) OVER (PARTITION BY regime, year, replicate ORDER BY position) AS fr FROM p),
     s AS (SELECT regime, year, replicate, (({c.draw('r9s', 'replicate', 'year', 'fr')} % n) + position - fr) % n AS position FROM f),
     e AS (SELECT s.regime, replicate, warmth, sd_tmin FROM s JOIN q USING (regime, year, position))""",
        c.partial_sql("b", "e", "regime, replicate", "warmth", "sd_tmin"), c.partial_sql("o", "q", "regime", "warmth", "sd_tmin")) + f"""
     SELECT regime, o.rho, o.n, ci_low, ci_high FROM o JOIN (SELECT regime, {CI.format(v='rho')} FROM b GROUP BY 1) USING (regime)""")
 def stationary_bootstrap(t: Tables) -> DataFrame:
-    return rs.stationary_boot(fixed_nights(t), "warmth", "sd_tmin", "night_date", 60, "r9", ["regime"])
+    return rs.stationary_boot(fixed_nights(t), "warmth", "sd_tmin", "night_date", BLOCKS, "r9", ["regime"])
 
 
 # --- effect sizes, anchors ----------------------------------------------------
@@ -246,7 +253,7 @@ def stationary_bootstrap(t: Tables) -> DataFrame:
     v AS (SELECT night_date, round(stddev_samp(t_even), 9) AS sd_even, round(stddev_samp(night_min), 9) AS sd_min, round(stddev_samp(t_even - night_min), 9) AS sd_total
           FROM sn WHERE t_even IS NOT NULL GROUP BY night_date),
     q AS (SELECT * FROM (SELECT unnest(['sd_even', 'sd_min', 'sd_total']) AS quantity, unnest([sd_even, sd_min, sd_total]) AS y, warmth AS x, year
-          FROM v JOIN nights USING (night_date) WHERE regime = 'calm_clear') WHERE y IS NOT NULL)""", c.cluster_draws("d", "q", "year", 60, "t24", "quantity")) + f""",
+          FROM v JOIN nights USING (night_date) WHERE regime = 'calm_clear') WHERE y IS NOT NULL)""", c.cluster_draws("d", "q", "year", CLUSTERS, "t24", "quantity")) + f""",
     e AS (SELECT quantity, replicate, x, y FROM (SELECT q.*, d.replicate, unnest(range(times)) AS t FROM q JOIN d USING (quantity, year))),
     r AS (SELECT quantity, replicate, x, {c.rank_avg('x', 'quantity, replicate')} rx, {c.rank_avg('y', 'quantity, replicate')} ry FROM e),
     b AS (SELECT quantity, replicate, corr(rx, ry) AS rho FROM r GROUP BY 1, 2),
@@ -259,7 +266,7 @@ def variance_decomposition(t: Tables) -> DataFrame:
                                   (("var_a", "sd_even"), ("var_b", "sd_min"), ("var_diff", "sd_total"))])
     j = n.where("regime = 'calm_clear'").select("night_date", "year", "warmth").join(sd, "night_date")
     long = settled(j.unpivot(["year", "warmth"], ["sd_even", "sd_min", "sd_total"], "quantity", "y"))
-    b = rs.cluster_boot_stat(long, "warmth", "y", "year", 60, "t24", ["quantity"]).withColumnRenamed("estimate", "rho")
+    b = rs.cluster_boot_stat(long, "warmth", "y", "year", CLUSTERS, "t24", ["quantity"]).withColumnRenamed("estimate", "rho")
     return b.join(long.groupBy("quantity").agg(F.avg(F.col("y") * F.col("y")).alias("mean_var")), "quantity")
 
 
@@ -396,24 +403,42 @@ def cooling_delay_report(t: Tables) -> DataFrame:
     return rows.join(km, "quartile")
 
 
-TAUS = (0.3, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 30.0)
+def _relaxation_sql(src: str, levels: int = 5, points: int = 60) -> str:
+    """CTEs ending in rx(night_date, t0, tau, fl, a, r2, n): least error over tau by grids that shrink around the best point. src: night_date, hbin, y."""
+    out = [f"""rt AS MATERIALIZED (SELECT night_date, hbin - t0 AS t, y, t0, count(*) OVER (PARTITION BY night_date) AS n, var_pop(y) OVER (PARTITION BY night_date) AS vyy
+        FROM (SELECT *, first_value(hbin) OVER (PARTITION BY night_date ORDER BY y DESC, hbin) AS t0 FROM {src}) WHERE hbin >= t0),
+      rb0 AS (SELECT DISTINCT night_date, ln(0.3) AS lo, ln(30) AS hi FROM rt WHERE n >= 8)"""]
+    for i in range(levels):
+        out.append(f"""rg{i} AS (SELECT night_date, lo, hi, lo + (hi - lo) * k / {points}.0::DOUBLE AS lt FROM rb{i}, (SELECT unnest(range({points + 1})) AS k)),
+      rs{i} AS MATERIALIZED (SELECT night_date, lt, any_value(lo) AS lo, any_value(hi) AS hi, any_value(t0) AS t0, any_value(n) AS n, any_value(vyy) AS vyy, avg(e) me, avg(y) my, avg(e * e) e2, avg(e * y) ey, avg(y * y) y2
+        FROM (SELECT g.*, rt.t0, rt.n, rt.vyy, y, exp(-t / exp(lt)) AS e FROM rg{i} g JOIN rt USING (night_date)) GROUP BY 1, 2),
+      rc{i} AS (SELECT *, my - coalesce((ey - me * my) / nullif(e2 - me * me, 0), 0) * me AS fl, coalesce((ey - me * my) / nullif(e2 - me * me, 0), 0) AS a FROM rs{i}
+        UNION ALL SELECT *, 0, greatest(0, least(3, ey / e2)) FROM rs{i} UNION ALL SELECT *, 3, greatest(0, least(3, (ey - 3 * me) / e2)) FROM rs{i}
+        UNION ALL SELECT *, greatest(0, least(3, my)), 0 FROM rs{i} UNION ALL SELECT *, greatest(0, least(3, my - 3 * me)), 3 FROM rs{i}),
+      re{i} AS (SELECT *, n * (y2 + fl * fl + a * a * e2 - 2 * fl * my - 2 * a * ey + 2 * fl * a * me) AS sse FROM rc{i} WHERE fl BETWEEN 0 AND 3 AND a BETWEEN 0 AND 3),
+      rp{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY night_date ORDER BY sse, lt) AS rn FROM re{i}) WHERE rn = 1),
+      rb{i + 1} AS (SELECT night_date, greatest(ln(0.3), lt - (hi - lo) / {points}) AS lo, least(ln(30), lt + (hi - lo) / {points}) AS hi FROM rp{i})""")
+    out.append(f"rx AS (SELECT night_date, t0, exp(lt) AS tau, fl, a, 1 - sse / nullif(n * vyy, 0) AS r2, n FROM rp{levels - 1})")
+    return ", ".join(out)
+
+
+_TAILS = "tails AS (SELECT night_date, hbin, sd / 100 AS y FROM prof WHERE hbin BETWEEN 0 AND 9 AND sd IS NOT NULL)"
 
 
-@query("relaxation_fits", "T22 Q11", "night_date:d peak_t tau floor:f4 amplitude:f4 fit_r2:f4 n_tail:i", c.with_(PROFILE) + f""",
-    s AS (SELECT night_date, hbin, sd / 100 AS y, first_value(hbin) OVER (PARTITION BY night_date ORDER BY sd DESC, hbin) AS t0 FROM prof WHERE hbin BETWEEN 0 AND 9),
-    x AS (SELECT night_date, tau, t0, y, exp(-(hbin - t0) / tau) AS e FROM s, (SELECT unnest([{', '.join(str(v) + '::DOUBLE' for v in TAUS)}]) AS tau) WHERE hbin >= t0),
-    g AS (SELECT night_date, tau, min(t0) AS t0, count(*)::DOUBLE AS n, avg(e) me, avg(y) my, var_pop(e) vee, covar_pop(e, y) vey, var_pop(y) vyy, avg(e * e) e2, avg(e * y) ey
-          FROM x GROUP BY 1, 2 HAVING count(*) >= 8),
-    cand AS (SELECT *, my - coalesce(vey / nullif(vee, 0), 0) * me AS fl, coalesce(vey / nullif(vee, 0), 0) AS a FROM g
-      UNION ALL SELECT *, 0, greatest(0, least(3, ey / e2)) FROM g UNION ALL SELECT *, 3, greatest(0, least(3, (ey - 3 * me) / e2)) FROM g
-      UNION ALL SELECT *, greatest(0, least(3, my)), 0 FROM g UNION ALL SELECT *, greatest(0, least(3, my - 3 * me)), 3 FROM g),
-    ss AS (SELECT *, n * (vyy - 2 * a * vey + a * a * vee + (my - fl - a * me) ** 2) AS sse FROM cand WHERE fl BETWEEN 0 AND 3 AND a BETWEEN 0 AND 3),
-    bt AS (SELECT night_date, tau, min(sse) AS sse, arg_min(fl, sse) AS fl, arg_min(a, sse) AS a, min(t0) AS t0, min(n) AS n, min(vyy) AS vyy FROM ss GROUP BY 1, 2),
-    pk AS (SELECT *, row_number() OVER (PARTITION BY night_date ORDER BY round(sse, 9), tau) AS rn FROM bt)
-    SELECT night_date, t0 AS peak_t, tau, fl AS floor, a AS amplitude, 1 - sse / (n * vyy) AS fit_r2, n AS n_tail FROM pk WHERE rn = 1 AND 1 - sse / (n * vyy) > 0.05""")
+def tails(t: Tables) -> DataFrame:
+    return sunset_profile(t).where(F.col("hbin").between(0.0, 9.0) & F.col("sd").isNotNull()).withColumn("y", F.col("sd") / 100)
+
+
+@query("relaxation_fits", "T22 Q11", "night_date:d peak_t tau:f3 floor:f3 amplitude:f3 fit_r2:f4 n_tail:i", c.with_(PROFILE, _TAILS, _relaxation_sql("tails")) + """
+    SELECT night_date, t0 AS peak_t, tau, fl AS floor, a AS amplitude, r2 AS fit_r2, n AS n_tail FROM rx WHERE r2 > 0.3""")
 def relaxation_fits(t: Tables) -> DataFrame:
-    p = sunset_profile(t).where(F.col("hbin").between(0.0, 9.0)).withColumn("y", F.col("sd") / 100)
-    return rg.relaxation(p.where(F.col("sd").isNotNull()), "night_date", "hbin", "y", TAUS, min_r2=0.05)
+    return rg.relaxation(tails(t), "night_date", "hbin", "y")
+
+
+@query("relaxation_quality", "T22 Q11", "n_curves:i median_r2:f3", c.with_(PROFILE, _TAILS, _relaxation_sql("tails")) + """
+    SELECT count(r2) AS n_curves, quantile_cont(r2, 0.5) AS median_r2 FROM rx""")
+def relaxation_quality(t: Tables) -> DataFrame:
+    return rg.relaxation(tails(t), "night_date", "hbin", "y", min_r2=float("-inf")).agg(F.count("fit_r2").alias("n_curves"), F.percentile("fit_r2", F.lit(0.5)).alias("median_r2"))
 
 
 @query("dusk_variants", "A10 A12 J4 P6 Q15 S17", "night_date:d midpoint_all endpoint_all midpoint_no_rc endpoint_no_rc", c.with_(DUSK,

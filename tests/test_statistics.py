@@ -151,8 +151,30 @@ def test_natural_spline_rank_and_linearity(spark):
 def test_relaxation_recovers_tau(spark):
     t = np.arange(0, 9.01, 0.25)
     y = 0.4 + 1.2 * np.exp(-t / 2.0)
-    r = rg.relaxation(spark.createDataFrame([(1, a, b) for a, b in zip(t.tolist(), y.tolist())], "night long, t double, y double"), "night", "t", "y", (0.5, 1.0, 2.0, 5.0)).first()
-    assert r.tau == 2.0 and abs(r.floor - 0.4) < 1e-8 and abs(r.amplitude - 1.2) < 1e-8 and r.fit_r2 > 0.999
+    r = rg.relaxation(spark.createDataFrame([(1, a, b) for a, b in zip(t.tolist(), y.tolist())], "night long, t double, y double"), "night", "t", "y").first()
+    assert abs(r.tau - 2.0) < 1e-7 and abs(r.floor - 0.4) < 1e-7 and abs(r.amplitude - 1.2) < 1e-7 and r.fit_r2 > 0.999
+
+
+def test_relaxation_reaches_the_least_error_within_bounds(spark):
+    rng = np.random.default_rng(7)
+    t = np.arange(0, 6.01, 0.25)
+    rows, curves = [], {}
+    for g, (f, a, tau) in enumerate([(0.2, 1.0, 0.4), (0.0, 2.5, 1.7), (1.0, 0.3, 12.0), (2.9, 3.0, 3.0), (0.5, 0.0, 1.0), (0.0, 3.0, 29.0)]):
+        y = np.r_[4.0, f + a * np.exp(-t[1:] / tau) + rng.normal(scale=0.05, size=len(t) - 1)]
+        curves[g] = y
+        rows += [(g, float(u), float(v)) for u, v in zip(t, y, strict=True)]
+    got = {r.g: r for r in rg.relaxation(spark.createDataFrame(rows, "g long, t double, y double"), "g", "t", "y", min_r2=float("-inf")).collect()}
+    assert got.keys() == curves.keys()
+    for g, y in curves.items():
+        def err(tau, y=y):
+            e = np.exp(-t / tau)
+            cands = [np.linalg.lstsq(np.column_stack([np.ones_like(e), e]), y, rcond=None)[0]]
+            cands += [(c, np.clip(((y - c) @ e) / (e @ e), 0, 3)) for c in (0, 3)] + [(np.clip((y - c * e).mean(), 0, 3), c) for c in (0, 3)]
+            return min(((y - fl - a * e) ** 2).sum() for fl, a in cands if -1e-12 <= fl <= 3 and -1e-12 <= a <= 3)
+        best = min(err(x) for x in np.exp(np.linspace(np.log(0.3), np.log(30), 20_000)))
+        r = got[g]
+        assert 0.3 - 1e-9 <= r.tau <= 30 + 1e-9 and 0 <= r.floor <= 3 and 0 <= r.amplitude <= 3
+        assert err(r.tau) <= best + 1e-9
 
 
 def test_kaplan_meier(frame):
