@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskline.functions import lanes
 from duskline.operators import aggregates as ag
 from duskline.operators import association as at
-from duskline.operators import joins, ranks
+from duskline.operators import joins, ranks, uncertain
 from duskline.operators import selection as sl
 from duskline.plans import ctes as c
 from duskline.plans.registry import query
@@ -127,9 +128,13 @@ def distinct_decision_frequency(t: Tables) -> DataFrame:
         F.avg(F.col("selected").cast("double")).alias("frequency"))
 
 
-_MC = f"""dr AS (SELECT cell_id, replicate, round(c.heat_gp + heat_sd * {c.normal_draw('mc', 'replicate', 'cell_id')}, 6) AS d, rk.qmargin AS e, rk.cooling AS co, rk.intensity AS i
-    FROM cells c JOIN rk USING (cell_id), (SELECT unnest(range(12)) AS replicate)),
-  ms AS (SELECT cell_id, replicate, round(100.0 * ({c.rank_avg('d', 'replicate')} / count(*) OVER (PARTITION BY replicate) * 0.4::DOUBLE + e * 0.3::DOUBLE + co * 0.2::DOUBLE + i * 0.1::DOUBLE), 9) AS score FROM dr)"""
+#: Draws of an uncertain screen, and correlations between the errors of its layers.
+DRAWS, RHOS = 2000, (0.0, 0.5, 0.9, 0.95, 1.0)
+_SHARES = ", ".join(f"({v}::DOUBLE)" for v in sl.TOP_SHARES)
+_MC = f"""nz AS MATERIALIZED ({lanes.normals_sql({'z': 'mc'}, 'cells', 'cell_id', DRAWS)}),
+  dr AS (SELECT cell_id, replicate, round(c.heat_gp + heat_sd * z, 6) AS d, rk.qmargin AS e, rk.cooling AS co, rk.intensity AS i FROM nz JOIN cells c USING (cell_id) JOIN rk USING (cell_id)),
+  ms AS (SELECT cell_id, replicate, round(100.0 * ({c.rank_avg('d', 'replicate')} / count(*) OVER (PARTITION BY replicate) * 0.4::DOUBLE + e * 0.3::DOUBLE + co * 0.2::DOUBLE + i * 0.1::DOUBLE), 9) AS score FROM dr),
+  mr AS (SELECT cell_id, row_number() OVER (PARTITION BY replicate ORDER BY score DESC, cell_id) AS rn, count(*) OVER (PARTITION BY replicate) AS n FROM ms)"""
 
 
 def mc_input(t: Tables) -> DataFrame:
@@ -139,31 +144,30 @@ def mc_input(t: Tables) -> DataFrame:
                                                    (F.col("heat_sd") / 10).alias("sd3")), "cell_id"))
 
 
-@query("selection_under_uncertainty", "R11 Q21", "cell_id:i share frequency", c.with_(RANKED, _MC) + """
-    SELECT cell_id, share, avg(selected::INT) AS frequency FROM (
-      SELECT cell_id, share, row_number() OVER (PARTITION BY replicate, share ORDER BY score DESC, cell_id) <= ceil(round(share * count(*) OVER (PARTITION BY replicate, share), 9)) AS selected
-      FROM ms, (VALUES (0.05::DOUBLE), (0.10::DOUBLE)) s(share)) GROUP BY 1, 2""")
+@query("selection_under_uncertainty", "R11 Q21", "cell_id:i share frequency", c.with_(RANKED, _MC) + f"""
+    SELECT cell_id, share, sum((rn <= ceil(round(share * n, 9)))::INT)::DOUBLE / {DRAWS} AS frequency FROM mr, (VALUES {_SHARES}) s(share) GROUP BY 1, 2""")
 def selection_under_uncertainty(t: Tables) -> DataFrame:
-    return sl.mc_select(mc_input(t), "cell_id", "mu", "sd", W["baseline"], (0.05, 0.10), 12, "mc")
+    return uncertain.selection_frequency(mc_input(t), "cell_id", [uncertain.Outcome("mu", "sd", "mc")], W["baseline"], sl.TOP_SHARES, DRAWS)
 
 
-_MC3 = f"""n3 AS (SELECT cell_id, replicate, {c.normal_draw('m3s', 'replicate', 'cell_id')} AS s, {c.normal_draw('m3i0', 'replicate', 'cell_id')} AS i0,
-      {c.normal_draw('m3i1', 'replicate', 'cell_id')} AS i1, {c.normal_draw('m3i2', 'replicate', 'cell_id')} AS i2 FROM cells, (SELECT unnest(range(4)) AS replicate)),
+_MC3 = f"""n3 AS MATERIALIZED ({lanes.normals_sql({'s': 'm3s', 'i0': 'm3i0', 'i1': 'm3i1', 'i2': 'm3i2'}, 'cells', 'cell_id', DRAWS)}),
   d3 AS (SELECT cell_id, replicate, rho, round(c.heat_gp + heat_sd * (sqrt(rho) * s + sqrt(1 - rho) * i0), 6) AS a,
       round(greatest(0, least(100, canopy + 5 * (sqrt(rho) * s + sqrt(1 - rho) * i1))), 6) AS b,
       round(c.heat_idw + heat_sd / 10 * (sqrt(rho) * s + sqrt(1 - rho) * i2), 6) AS d
-      FROM n3 JOIN cells c USING (cell_id), (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE)) r(rho)),
-  s3 AS (SELECT cell_id, replicate, rho, round(100.0 * (({c.rank_avg('a', 'replicate, rho')} / n + {c.rank_avg('b', 'replicate, rho')} / n + {c.rank_avg('d', 'replicate, rho')} / n) / 3 * 0.4::DOUBLE
+      FROM n3 JOIN cells c USING (cell_id), (VALUES {', '.join(f'({r}::DOUBLE)' for r in RHOS)}) r(rho)),
+  s3 AS (SELECT cell_id, replicate, rho, n, round(100.0 * (({c.rank_avg('a', 'replicate, rho')} / n + {c.rank_avg('b', 'replicate, rho')} / n + {c.rank_avg('d', 'replicate, rho')} / n) / 3 * 0.4::DOUBLE
       + qmargin * 0.3::DOUBLE + cooling * 0.2::DOUBLE + intensity * 0.1::DOUBLE), 9) AS score
-      FROM (SELECT d3.*, count(*) OVER (PARTITION BY replicate, rho) AS n, qmargin, cooling, intensity FROM d3 JOIN rk USING (cell_id)))"""
+      FROM (SELECT d3.*, count(*) OVER (PARTITION BY replicate, rho) AS n, qmargin, cooling, intensity FROM d3 JOIN rk USING (cell_id))),
+  r3 AS (SELECT cell_id, rho, n, row_number() OVER (PARTITION BY replicate, rho ORDER BY score DESC, cell_id) AS rn FROM s3)"""
 
 
-@query("selection_under_correlated_uncertainty", "R12 P25 Q21", "cell_id:i rho share frequency", c.with_(RANKED, _MC3) + """
-    SELECT cell_id, rho, 0.10 AS share, avg((rn <= ceil(round(0.10::DOUBLE * n, 9)))::INT) AS frequency FROM (
-      SELECT cell_id, rho, row_number() OVER (PARTITION BY replicate, rho ORDER BY score DESC, cell_id) AS rn, count(*) OVER (PARTITION BY replicate, rho) AS n FROM s3) GROUP BY 1, 2""")
+@query("selection_under_correlated_uncertainty", "R12 P25 Q21", "cell_id:i rho share frequency", c.with_(RANKED, _MC3) + f"""
+    SELECT cell_id, rho, share, sum((rn <= ceil(round(share * n, 9)))::INT)::DOUBLE / {DRAWS} AS frequency FROM r3, (VALUES {_SHARES}) s(share) GROUP BY 1, 2, 3""")
 def selection_under_correlated_uncertainty(t: Tables) -> DataFrame:
-    return sl.mc_select_correlated(mc_input(t), "cell_id", [("mu", "sd"), ("mu2", "sd2"), ("mu3", "sd3")], W["baseline"], (0.10,),
-                                   (0.0, 0.5, 0.9, 0.95, 1.0), 4, "m3")
+    layers = [uncertain.Outcome("mu", "sd", "m3i0"), uncertain.Outcome("mu2", "sd2", "m3i1", (0.0, 100.0)), uncertain.Outcome("mu3", "sd3", "m3i2")]
+    cells = mc_input(t)
+    parts = [uncertain.selection_frequency(cells, "cell_id", layers, W["baseline"], sl.TOP_SHARES, DRAWS, "m3s", rho).withColumn("rho", F.lit(rho)) for rho in RHOS]
+    return joins.union_all(*parts)
 
 
 @query("layer_sensitivity", "R15 P25 Q23", "variant:s n_selected:i overlap:i jaccard", c.with_(c.SCREEN) + f""",

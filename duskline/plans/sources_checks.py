@@ -12,7 +12,8 @@ from duskline.plans import ctes as c
 from duskline.plans.registry import query
 from duskline.sources import checks, readers
 from duskline.sources import mapping as m
-from duskline.sources.tables import Tables
+from duskline.session import settled
+from duskline.sources.tables import TABLES, Tables
 
 
 @query("parquet_scan_pruned", "S1", "station:s n:i n_value:i lo hi",
@@ -95,13 +96,17 @@ def checksum_manifest(t: Tables) -> DataFrame:
         F.count("*").alias("n"), F.sum("key").alias("key_sum"))
 
 
-@query("file_checksums", "S10 S11", "file:s n:i digest_length:i")
+@query("file_checksums", "S10 S11", "file:s size:i sha256:s status:s")
 def file_checksums(t: Tables) -> DataFrame:
-    files = t.spark.read.format("binaryFile").load([t.path("nation"), t.path("region"), t.path("part")])
-    checks.require_columns(files, ["path", "content", "length"], "file listing")
-    return checks.checksums(files, "path", "content").groupBy(
-        F.element_at(F.split("key", "/"), -1).alias("file")
-    ).agg(F.count("*").alias("n"), F.max(F.length("observed")).alias("digest_length"))
+    """Digests of the files of all tables against a manifest that misses one file, names one too many and has one altered digest."""
+    roots = [t.path(n) for n in TABLES]
+    seen = settled(checks.file_digests(t.spark, roots))
+    checks.require_columns(seen, ["path", "size", "sha256"], "file listing")
+    file = F.element_at(F.split("path", "/"), -1)
+    rule = F.when(file.startswith("region"), F.lit("altered")).otherwise(F.col("sha256"))
+    manifest = seen.where(~file.startswith("nation")).select(file.alias("file"), rule.alias("expected"))
+    absent = t.spark.range(1).select(F.lit("absent.parquet").alias("file"), F.lit("absent").alias("expected"))
+    return checks.verify_files(t.spark, roots, union_all(manifest, absent))
 
 
 @query("declared_invariants", "S12", "rule:s observed ok:b", """

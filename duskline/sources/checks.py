@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskline.session import settled
@@ -32,10 +34,78 @@ def require_columns(df: DataFrame, cols, label: str = "table") -> list[str]:
 
 
 def checksums(df: DataFrame, key: str, content: str) -> DataFrame:
-    """SHA-256 per item. For files use `spark.read.format('binaryFile')` with key path."""
+    """SHA-256 per item. For files use `file_digests`."""
     return df.select(F.col(key).alias("key"), F.sha2(F.col(content), 256).alias("observed"))
 
 
+def _hashing(batches):
+    """Lines of files, in order -> one row per file. Lines are joined again; the file's size tells what its ends were."""
+    path, digest, size, read, lines, done = None, None, 0, 0, 0, []
+
+    def close():
+        missing = size - read
+        if missing == 1:
+            digest.update(b"\n")
+        done.append((path, size, lines, digest.hexdigest() if missing in (0, 1) else None))
+
+    def out():
+        columns = list(zip(*done, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["path", "size", "lines", "sha256"])
+
+    for b in batches:
+        for p, n, line in zip(b["path"].to_pylist(), b["size"].to_pylist(), b["line"], strict=True):
+            if p != path:
+                if path is not None:
+                    close()
+                path, digest, size, read, lines = p, hashlib.sha256(), n, 0, 0
+            else:
+                digest.update(b"\n")
+                read += 1
+            raw = line.as_buffer()
+            digest.update(raw)
+            read, lines = read + raw.size, lines + 1
+        if done:
+            yield out()
+            done.clear()
+    if path is not None:
+        close()
+        yield out()
+
+
+def file_digests(spark: SparkSession, paths) -> DataFrame:
+    """path, size, lines and sha256 of every file under the paths, of any size.
+
+    Files are read in splits through Spark's own reader, as byte runs between
+    line feeds; the runs of a file pass one task in order, as a stream, so neither a file nor a
+    split is held whole. The digest is NULL where the reader changes bytes
+    (compressed suffixes, a byte-order mark). Empty files have no rows to read and are not listed.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
+    at = F.col("_metadata")
+    rows = lines.select(at["file_path"].alias("path"), at["file_size"].alias("size"), at["file_block_start"].alias("start"), F.col("value").cast("binary").alias("line"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartition("path").sortWithinPartitions("path", "start", "row").select("path", "size", "line")
+    return ordered.mapInArrow(_hashing, "path string, size long, lines long, sha256 string")
+
+
+def verify_files(spark: SparkSession, paths, manifest: DataFrame) -> DataFrame:
+    """file, size, sha256 and status of a manifest (file, expected): ok, altered, missing, or unexpected for files that it does not name.
+
+    file: the path below the folder that was given, or its last part.
+    """
+    roots = [p.rstrip("/") for p in ([paths] if isinstance(paths, str) else paths)]
+    name = F.element_at(F.split("path", "/"), -1)
+    for root in roots:
+        inside = F.instr("path", root + "/")
+        name = F.when(inside > 0, F.substring("path", inside + F.lit(len(root) + 1), F.length("path"))).otherwise(name)
+    seen = file_digests(spark, roots).withColumn("file", name)
+    both = manifest.join(seen, "file", "full")
+    status = (F.when(F.col("path").isNull(), "missing").when(F.col("expected").isNull(), "unexpected")
+              .when(F.col("sha256") == F.col("expected"), "ok").otherwise("altered"))
+    return both.select("file", "size", "sha256", status.alias("status"))
+
+
 def validate_manifest(observed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest (key, expected) against observed checksums: ok, mismatch or missing."""
     j = manifest.join(observed, "key", "left")

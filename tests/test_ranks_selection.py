@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from duskline.operators import ranks, selection
+from duskline.operators import ranks, selection, uncertain
 
 
 def test_average_and_percentile_ranks(frame):
@@ -111,9 +111,9 @@ def test_multiverse_counts_are_exact(spark):
 def test_monte_carlo_frequencies_sum_to_selected(spark):
     n = 40
     pdf = pd.DataFrame({"cell": np.arange(n), "mu": np.linspace(0, 1, n), "sd": 0.2, "elderly": 0.5, "cooling": 0.5, "intensity": 0.5})
-    f = selection.mc_select(spark.createDataFrame(pdf), "cell", "mu", "sd", (0.4, 0.3, 0.2, 0.1), (0.1, 0.25), 15, "t").toPandas()
+    f = uncertain.selection_frequency(spark.createDataFrame(pdf), "cell", [uncertain.Outcome("mu", "sd", "t")], (0.4, 0.3, 0.2, 0.1), (0.1, 0.25), 15).toPandas()
     assert np.allclose(f.groupby("share").frequency.sum(), [4, 10])
-    again = selection.mc_select(spark.createDataFrame(pdf).repartition(5), "cell", "mu", "sd", (0.4, 0.3, 0.2, 0.1), (0.1, 0.25), 15, "t").toPandas()
+    again = uncertain.selection_frequency(spark.createDataFrame(pdf).repartition(5), "cell", [uncertain.Outcome("mu", "sd", "t")], (0.4, 0.3, 0.2, 0.1), (0.1, 0.25), 15).toPandas()
     key = ["cell", "share"]
     assert f.sort_values(key).frequency.tolist() == again.sort_values(key).frequency.tolist()
 

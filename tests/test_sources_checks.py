@@ -48,6 +48,50 @@ def test_write_formats_and_cache(spark, frame, tmp_path):
     assert (one, writers.cached(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "c")).count()) == (2, 4)
 
 
+def test_cache_never_reads_a_write_that_failed(spark, frame, tmp_path):
+    """A half-written folder of an earlier run, and one whose mark was not committed, are not results."""
+    df = frame("y long, v double", [(i, float(i)) for i in range(100)])
+    base = tmp_path / "c" / writers._input_key(df)
+    failing = df.withColumn("v", F.when(F.col("y") < 99, F.col("v")).otherwise(F.raise_error(F.lit("stop")).cast("double"))).repartition(4, "y")
+    with pytest.raises(Exception, match="stop"):
+        failing.write.parquet(str(base / "run-0"))
+    (base / "run-0").mkdir(parents=True, exist_ok=True)
+    (base / "mark-run-0" / "_temporary").mkdir(parents=True)
+    assert writers.cached(df, str(tmp_path / "c")).count() == 100
+    assert writers.cached(df, str(tmp_path / "c")).count() == 100 and len(list(base.glob("run-*"))) == 2
+
+
+def test_cache_with_two_writers(spark, frame, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    df = frame("y long, v double", [(i, float(i)) for i in range(50)])
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(lambda _: writers.cached(df, str(tmp_path / "c")).count(), range(2)))
+    assert got == [50, 50]
+    assert len({writers.cached(df, str(tmp_path / "c")).inputFiles()[0].rsplit("/", 1)[0] for _ in range(2)}) == 1
+
+
+def test_file_digests_and_manifest(spark, tmp_path):
+    import hashlib
+
+    rng = __import__("random").Random(1)
+    bodies = {"a.bin": bytes(rng.randrange(256) for _ in range(300_000)), "b.bin": b"\n\n", "sub/c.bin": b"no end", "d.bin": b"end\n", "e.bin": b"\r\nx\r", "f.bin": b"\n" * 5000 + b"z"}
+    for name, body in bodies.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits a file
+    try:
+        got = {r.path.rsplit("/t/", 1)[1]: r for r in checks.file_digests(spark, str(tmp_path / "t")).collect()}
+        assert {k: v.sha256 for k, v in got.items()} == {k: hashlib.sha256(b).hexdigest() for k, b in bodies.items()}
+        assert all(got[k].size == len(b) for k, b in bodies.items())
+        manifest = spark.createDataFrame([("a.bin", got["a.bin"].sha256), ("b.bin", "other"), ("sub/c.bin", got["sub/c.bin"].sha256), ("gone", "x")], "file string, expected string")
+        found = {r.file: r.status for r in checks.verify_files(spark, str(tmp_path / "t"), manifest).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == {"a.bin": "ok", "b.bin": "altered", "sub/c.bin": "ok", "gone": "missing", "d.bin": "unexpected", "e.bin": "unexpected", "f.bin": "unexpected"}
+
+
 def test_checks_report_every_failure(frame):
     df = frame("k long, v double", [(1, 1.0), (1, float("nan")), (2, None)])
     with pytest.raises(checks.CheckFailed, match="missing"):
