@@ -354,6 +354,19 @@ def profile_dropout_reasons(t: Tables) -> DataFrame:
     return r.groupBy("reason").agg(F.count("*").alias("n"), F.avg(F.col("tail_slope") / F.col("peak_sd")).alias("mean_ratio"))
 
 
+@query("retention_association", "T32 T2", "rho n:i", c.with_(PROFILE) + f""",
+    s AS (SELECT *, first_value(hbin) OVER (PARTITION BY night_date ORDER BY sd DESC, hbin) AS pk FROM prof WHERE hbin BETWEEN 0 AND 6),
+    g AS (SELECT night_date, max(sd) AS peak_sd, CASE WHEN count(*) FILTER (hbin >= pk) >= 4 THEN regr_slope(sd, hbin) FILTER (hbin >= pk) END AS slope, avg(mean) AS level FROM s GROUP BY night_date),
+    k AS (SELECT round(slope / peak_sd, 9) AS ratio, round(level, 9) AS level FROM g WHERE slope IS NOT NULL AND peak_sd > 0)
+    SELECT corr(a, b) AS rho, count(*) AS n FROM (SELECT {c.rank_avg('ratio')} a, {c.rank_avg('level')} b FROM k)""")
+def retention_association(t: Tables) -> DataFrame:
+    """Rank correlation of the retention ratio (decay over peak) with the level of the night."""
+    p = settled(sunset_profile(t).where(F.col("hbin").between(0.0, 6.0)))
+    g = series.tail_slope(p, "night_date", "hbin", "sd").join(p.groupBy("night_date").agg(F.max("sd").alias("peak_sd"), F.avg("mean").alias("level")), "night_date")
+    k = g.where("tail_slope IS NOT NULL AND peak_sd > 0").select(F.round(F.col("tail_slope") / F.col("peak_sd"), 9).alias("ratio"), F.round("level", 9).alias("level"))
+    return at.spearman(k, "ratio", "level")
+
+
 @query("paired_partial_residuals", "T29 P22", "night_date:d y_resid x_resid")
 def paired_partial_residuals(t: Tables) -> DataFrame:
     return rg.partial_residuals(fixed_nights(t), "sd_tmin", "warmth", ["day_rad", "wind", "rh"])

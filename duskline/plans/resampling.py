@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskline.functions import counter
+from duskline.functions import counter, solar
 from duskline.functions import timeparts as tp
 from duskline.operators import aggregates as ag
 from duskline.operators import joins, panel, ranks, scalars, series, survival
@@ -13,7 +13,7 @@ from duskline.operators import regression as rg
 from duskline.operators import resample as rs
 from duskline.plans import ctes as c
 from duskline.plans.associations import fixed_nights
-from duskline.plans.basics import DUSK, PROFILE, since_sunset, sunset_profile
+from duskline.plans.basics import DUSK, PROFILE, since_sunset, sun_cte, sunset_profile
 from duskline.plans.registry import query
 from duskline.session import settled
 from duskline.sources import mapping as m
@@ -157,6 +157,51 @@ def block_bootstrap_curves(t: Tables) -> DataFrame:
     return rs.block_boot_curve(cal, settled(hour_profile(t, n)), "tercile", "offset_h", "sd", BLOCKS, "r5")
 
 
+def slots_since_sunset(t: Tables) -> DataFrame:
+    """Slots of the multi-year panel with their night and hours since that evening's sunset."""
+    days = m.calendar(t).select("night_date")
+    sun = days.withColumn("sunset_local", tp.to_local(solar.sunset_utc("night_date", m.LAT, m.LON), m.TZ))
+    s = panel.with_night(m.slots(t), "loc_ts", 20, 8)
+    return s.join(sun, "night_date").withColumn("since", tp.hours_since("loc_ts", "sunset_local"))
+
+
+SINCE = "kd AS (SELECT night_date AS d FROM calendar), " + sun_cte("kd") + """,
+    ss AS (SELECT s.*, (epoch_us(loc_ts) - epoch_us(sunset_local)) / 3.6e9 AS since
+           FROM (SELECT *, CASE WHEN hour(loc_ts) >= 20 THEN CAST(loc_ts AS DATE) ELSE CAST(loc_ts - INTERVAL 1 DAY AS DATE) END AS night_date FROM slots
+                 WHERE hour(loc_ts) >= 20 OR hour(loc_ts) < 8) s JOIN sunset USING (night_date))"""
+SUNSET_HOURS = SINCE + """, hp AS (SELECT night_date, offset_h, round(stddev_samp(value), 9) AS sd, count(*) AS n FROM (
+    SELECT night_date, round_even(since * 4, 0)::DOUBLE / 4 AS offset_h, station, avg(value) AS value FROM ss WHERE since BETWEEN -2.125 AND 9.125
+    AND night_date IN (SELECT night_date FROM nights) GROUP BY 1, 2, 3) WHERE offset_h BETWEEN -2 AND 9 GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+def sunset_hour_profile(t: Tables, n: DataFrame) -> DataFrame:
+    """Cross-station SD per night and quarter hour since sunset, from two hours before to nine after."""
+    s = slots_since_sunset(t).join(n.select("night_date"), "night_date", "left_semi").withColumn("offset_h", tp.snap("since"))
+    return panel.profile(s.where(F.col("offset_h").between(-2.0, 9.0)), "offset_h", 2, collapse=True)
+
+
+@query("block_bootstrap_curves_sunset", "R5 T26 Q22 Q8", "tercile:s offset_h mean n_nights:i ci_low ci_high", c.with_(c.NIGHTS, c.CALENDAR, TERC, SUNSET_HOURS,
+       c.block_draws("bd", "calendar", BLOCKS, "r5s")) + f""",
+    tn AS (SELECT k.year, k.day_index, night_date, tercile FROM calendar k JOIN terc USING (night_date)),
+    b AS (SELECT tercile, offset_h, replicate, sum(times * sd) / sum(times) AS mm FROM bd JOIN tn USING (year, day_index) JOIN hp USING (night_date) WHERE sd IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT tercile, offset_h, mean, n_nights, ci_low, ci_high FROM (SELECT tercile, offset_h, avg(sd) AS mean, count(*) AS n_nights FROM hp JOIN tn USING (night_date) GROUP BY 1, 2)
+    JOIN (SELECT tercile, offset_h, {CI.format(v='mm')} FROM b GROUP BY 1, 2) USING (tercile, offset_h)""")
+def block_bootstrap_curves_sunset(t: Tables) -> DataFrame:
+    n = fixed_nights(t)
+    cal = panel.with_calendar(terciles(n).select("night_date", "tercile"), m.calendar(t), "night_date")
+    return rs.block_boot_curve(cal, settled(sunset_hour_profile(t, n)), "tercile", "offset_h", "sd", BLOCKS, "r5s")
+
+
+@query("functional_curve_sunset", "T23 Q9 Q22", "level:s t predicted r2 n:i")
+def functional_curve_sunset(t: Tables) -> DataFrame:
+    """Spline curves of the dispersion against hours since sunset at three warmth levels."""
+    n = fixed_nights(t)
+    z = scalars.zscore(n.select("night_date", "warmth"), ["warmth"])
+    cv = settled(sunset_hour_profile(t, n).join(z, "night_date").where(F.col("sd").isNotNull()))
+    q = cv.agg(F.percentile("z_warmth", F.array(F.lit(0.1), F.lit(0.9)))).scalar()
+    return rg.spline_curve(cv, "offset_h", "z_warmth", "sd", (-1.0, 0.0, 1.5, 3.0, 4.5), {"cool": F.get(q, F.lit(0)), "mean": F.lit(0.0), "hot": F.get(q, F.lit(1))}, [i / 2 for i in range(-2, 10)])
+
+
 @query("tercile_profile_clock", "T26 R2 Q8", "tercile:s offset_h mean n:i ci_low ci_high", c.with_(c.NIGHTS, TERC, HOURS, """
     st AS (SELECT tercile, offset_h, t.year, sum(sd) s, count(*) n FROM hp JOIN terc t USING (night_date) WHERE sd IS NOT NULL GROUP BY 1, 2, 3)""",
        c.cluster_draws("d", "st", "year", CLUSTERS, "t26", "tercile, offset_h")) + f""",
@@ -270,29 +315,38 @@ def variance_decomposition(t: Tables) -> DataFrame:
     return b.join(long.groupBy("quantity").agg(F.avg(F.col("y") * F.col("y")).alias("mean_var")), "quantity")
 
 
-@query("anchor_sensitivity", "T25 P21 Q8", "variant:s rho n:i", c.with_(c.NIGHTS, """
-    o AS (SELECT station, night_date, hour(loc_ts) AS h, value FROM (SELECT *, CASE WHEN hour(loc_ts) >= 20 THEN CAST(loc_ts AS DATE)
-             ELSE CAST(loc_ts - INTERVAL 1 DAY AS DATE) END AS night_date FROM slots)),
-    a AS (SELECT station, night_date, min(value) AS mn, avg(value) FILTER (h IN (20, 21)) e1, avg(value) FILTER (h IN (21, 22)) e2, avg(value) FILTER (h IN (20, 21, 22)) e3,
-             avg(value) FILTER (h IN (22, 23)) r1, avg(value) FILTER (h IN (1, 2)) s1, avg(value) FILTER (h IN (20, 21, 22)) r2, avg(value) FILTER (h IN (0, 1, 2)) s2 FROM o GROUP BY 1, 2),
-    l AS (SELECT unnest(['total_20_22', 'total_21_23', 'total_20_23', 'rate_22_02', 'rate_20_02']) AS variant, night_date,
-             unnest([e1 - mn, e2 - mn, e3 - mn, -(s1 - r1) / 4.0, -(s2 - r2) / 4.0]) AS q FROM a),
+# Anchors of the cooling measures: hours of a mean against the night's minimum, or two hours four apart for a rate;
+# clock hours, or hours since sunset. Half-open windows; an instant holds what is at most NEAR away.
+NEAR = 0.13
+TOTALS = {"total_20_22": ("clock", 20, 22), "total_19_21": ("clock", 19, 21), "total_21_23": ("clock", 21, 23), "total_sunset_0_2": ("since", 0, 2)}
+RATES = {"rate_22_02": ("clock", 22, 26), "rate_21_01": ("clock", 21, 25), "rate_23_03": ("clock", 23, 27), "rate_sunset_1_5": ("since", 1, 5)}
+_TOTAL_SQL = ", ".join(f"avg(value) FILTER ({h} >= {lo} AND {h} < {hi}) - min(value) AS {n}" for n, (h, lo, hi) in TOTALS.items())
+_RATE_SQL = ", ".join(f"(avg(value) FILTER (abs({h} - {lo}) <= {NEAR}) - avg(value) FILTER (abs({h} - {hi}) <= {NEAR})) / 4.0 AS {n}" for n, (h, lo, hi) in RATES.items())
+_NAMES = [*TOTALS, *RATES]
+
+
+@query("anchor_sensitivity", "T25 P21 R4 Q8", "variant:s rho n:i ci_low ci_high", c.with_(c.NIGHTS, c.CALENDAR, SINCE, f"""
+    a AS (SELECT station, night_date, {_TOTAL_SQL}, {_RATE_SQL} FROM (SELECT *, (hour(loc_ts) + 4) % 24 + 20 AS clock FROM ss) GROUP BY 1, 2),
+    l AS (SELECT unnest([{', '.join(repr(n) for n in _NAMES)}]) AS variant, night_date, unnest([{', '.join(_NAMES)}]) AS q FROM a),
     p AS (SELECT variant, night_date, round(stddev_samp(q), 9) AS sd FROM l WHERE q IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
-    k AS (SELECT variant, warmth, sd FROM p JOIN nights USING (night_date) WHERE regime = 'calm_clear')""", c.partial_sql("x", "k", "variant", "warmth", "sd")) + "SELECT * FROM x")
+    k AS (SELECT variant, c.year, c.day_index, warmth, sd FROM p JOIN nights n USING (night_date) JOIN calendar c USING (night_date) WHERE regime = 'calm_clear')""",
+       c.block_draws("bd", "calendar", BLOCKS, "t25"), "e AS (SELECT variant, replicate, warmth, sd FROM (SELECT k.*, replicate, unnest(range(times)) FROM bd JOIN k USING (year, day_index)))",
+       c.partial_sql("b", "e", "variant, replicate", "warmth", "sd", (), 8), c.partial_sql("x", "k", "variant", "warmth", "sd", (), 8)) + f"""
+    SELECT variant, x.rho, n, CASE WHEN nv >= {BLOCKS // 2} THEN ci_low END AS ci_low, CASE WHEN nv >= {BLOCKS // 2} THEN ci_high END AS ci_high
+    FROM x JOIN (SELECT variant, {CI.format(v='rho')}, count(rho) AS nv FROM b GROUP BY 1) USING (variant)""")
 def anchor_sensitivity(t: Tables) -> DataFrame:
-    n = m.nights(t).where("regime = 'calm_clear'").select("night_date", "warmth")
-    h = F.hour("loc_ts")
-    mean = lambda *hs: F.avg(F.when(h.isin(list(hs)), F.col("value")))
-    v = panel.with_night(m.slots(t), "loc_ts", 20, 8).groupBy("station", "night_date").agg(
-        (mean(20, 21) - F.min("value")).alias("total_20_22"), (mean(21, 22) - F.min("value")).alias("total_21_23"),
-        (mean(20, 21, 22) - F.min("value")).alias("total_20_23"), (-(mean(1, 2) - mean(22, 23)) / 4.0).alias("rate_22_02"),
-        (-(mean(0, 1, 2) - mean(20, 21, 22)) / 4.0).alias("rate_20_02"))
-    names = ["total_20_22", "total_21_23", "total_20_23", "rate_22_02", "rate_20_02"]
-    long = v.unpivot(["station", "night_date"], names, "variant", "q").where(F.col("q").isNotNull())
+    n = fixed_nights(t).where("regime = 'calm_clear'").select("night_date", "warmth")
+    s = slots_since_sunset(t).withColumn("clock", (F.hour("loc_ts") + 4) % 24 + 20)
+    mean = lambda ok: F.avg(F.when(ok, F.col("value")))
+    at = lambda h, x: F.abs(F.col(h) - x) <= NEAR
+    v = s.groupBy("station", "night_date").agg(
+        *[(mean((F.col(h) >= lo) & (F.col(h) < hi)) - F.min("value")).alias(k) for k, (h, lo, hi) in TOTALS.items()],
+        *[((mean(at(h, lo)) - mean(at(h, hi))) / 4.0).alias(k) for k, (h, lo, hi) in RATES.items()])
+    long = v.unpivot(["station", "night_date"], _NAMES, "variant", "q").where(F.col("q").isNotNull())
     p = long.groupBy("variant", "night_date").agg(F.round(F.stddev_samp("q"), 9).alias("sd"), F.count("*").alias("k")).where("k >= 3")
-    from duskline.operators.association import spearman
-
-    return spearman(p.join(n, "night_date"), "warmth", "sd", ["variant"])
+    found = settled(p.join(n, "night_date"))
+    cal = joins.factor_levels(m.calendar(t), variant=_NAMES).join(found.drop("k"), ["variant", "night_date"], "left")
+    return rs.block_boot(cal, "warmth", "sd", F.col("sd").isNotNull(), BLOCKS, "t25", by=["variant"])
 
 
 # --- lag scan, diurnal bias ---------------------------------------------------
@@ -384,23 +438,69 @@ def kaplan_meier_median(t: Tables) -> DataFrame:
     return survival.km_median(cooling_delays(t), "station", "delay", "censored")
 
 
-@query("cooling_delay_report", "T21 W13 A21 Q23", "quartile:i n_stations:i n:i share_censored median_delay km_median", c.with_(DELAY) + """,
-    st AS (SELECT station, count(*) AS n, quantile_cont(delay, 0.5) AS med, round(avg(delay), 9) AS lvl FROM dl GROUP BY 1),
-    e AS (SELECT quantile_cont(lvl, [0.25, 0.5, 0.75]) AS e FROM st),
-    q AS (SELECT st.*, km_median, len(list_filter(list_transform(e, lambda v: round(v, 9)), lambda v: v < lvl)) AS quartile FROM st JOIN km USING (station), e)
-    SELECT quartile, count(DISTINCT q.station) AS n_stations, count(*) AS n, avg(censored::INT) AS share_censored, quantile_cont(delay, 0.5) AS median_delay,
-           (SELECT CASE WHEN count(*) = count(km_median) THEN quantile_cont(km_median, 0.5) END FROM q x WHERE x.quartile = q.quartile) AS km_median
-    FROM q JOIN dl USING (station) GROUP BY quartile""")
+# Evenings count as hot from HOT degrees at sunset; a station-night needs BINS quarter hours, a station NIGHTS of them.
+HOT, THRESHOLDS, LEAST_BINS, LEAST_NIGHTS = 45.0, (2.0, 5.0, 10.0), 3, 2
+_HOT = f"""hb AS (SELECT station, night_date, round_even(hss * 4, 0)::DOUBLE / 4 AS hbin, min(value) AS v, avg(value) AS mean FROM since WHERE hss BETWEEN -0.375 AND 9.5 GROUP BY 1, 2, 3),
+    hot AS (SELECT night_date FROM since WHERE round_even(hss * 4, 0) / 4 BETWEEN -0.25 AND 0.25 GROUP BY 1 HAVING avg(value) >= {HOT}),
+    dl AS (SELECT threshold, station, night_date, coalesce(min(hbin) FILTER (v < threshold), max(hbin)) AS delay, min(hbin) FILTER (v < threshold) IS NULL AS censored
+           FROM hb SEMI JOIN hot USING (night_date), (VALUES {', '.join(f'({x}::DOUBLE)' for x in THRESHOLDS)}) r(threshold) WHERE hbin >= 0 GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST_BINS}),
+    st AS (SELECT threshold, station, quantile_cont(delay, 0.5) AS med, avg(censored::INT) AS cens, count(*) AS n FROM dl GROUP BY 1, 2 HAVING count(*) >= {LEAST_NIGHTS}),
+    tr AS (SELECT 'S' || s_suppkey % 20 AS station, round(avg(s_acctbal), 9) AS trait FROM supplier GROUP BY 1),
+    e AS (SELECT threshold, list_transform(quantile_cont(trait, [0.25, 0.5, 0.75]), lambda v: round(v, 9)) AS e FROM st JOIN tr USING (station) GROUP BY 1),
+    q AS (SELECT st.*, trait, len(list_filter(e, lambda v: v < trait)) AS quartile FROM st JOIN tr USING (station) JOIN e USING (threshold)),
+    ct AS (SELECT threshold, station, delay, count(*) AS n_at, count(*) FILTER (NOT censored) AS ev FROM dl GROUP BY 1, 2, 3),
+    rk AS (SELECT *, sum(n_at) OVER (PARTITION BY threshold, station ORDER BY delay ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM ct),
+    sv AS (SELECT *, CASE WHEN min(CASE WHEN ev = risk THEN 0 ELSE 1 END) OVER w = 0 THEN 0 ELSE exp(sum(CASE WHEN ev < risk THEN ln(1 - ev::DOUBLE / risk) ELSE 0 END) OVER w) END AS s
+           FROM rk WINDOW w AS (PARTITION BY threshold, station ORDER BY delay)),
+    km AS (SELECT threshold, station, min(delay) FILTER (s <= 0.5 + 1e-12) AS km_median FROM sv GROUP BY 1, 2)"""
+
+
+def hot_delays(t: Tables) -> DataFrame:
+    """threshold, station, night_date, delay, censored on evenings that are hot at sunset."""
+    s = since_sunset(t).withColumn("hbin", tp.snap("hss"))
+    s = settled(s.where(F.col("hss").between(-0.375, 9.5)).select("station", "night_date", "hbin", "value"))
+    hot = s.where(F.col("hbin").between(-0.25, 0.25)).groupBy("night_date").agg(F.avg("value").alias("v")).where(F.col("v") >= HOT).select("night_date")
+    bins = s.where("hbin >= 0").join(hot, "night_date", "left_semi").groupBy("station", "night_date", "hbin").agg(F.min("value").alias("v"))
+    firsts = [F.min(F.when(F.col("v") < x, F.col("hbin"))).alias(f"f{i}") for i, x in enumerate(THRESHOLDS)]
+    each = bins.groupBy("station", "night_date").agg(F.max("hbin").alias("last"), F.count("*").alias("k"), *firsts).where(F.col("k") >= LEAST_BINS)
+    rows = F.array(*[F.struct(F.lit(x).alias("threshold"), F.col(f"f{i}").alias("first")) for i, x in enumerate(THRESHOLDS)])
+    long = each.select("station", "night_date", "last", F.inline(rows))
+    return long.select("threshold", "station", "night_date", F.coalesce("first", "last").alias("delay"), F.col("first").isNull().alias("censored"))
+
+
+def station_trait(t: Tables) -> DataFrame:
+    """An outside trait of every station."""
+    return t.supplier.groupBy(F.concat(F.lit("S"), (F.col("s_suppkey") % 20).cast("string")).alias("station")).agg(F.round(F.avg("s_acctbal"), 9).alias("trait"))
+
+
+@query("cooling_delay_report", "T21 W13 A21 Q23", "threshold n_station_nights:i n_stations:i km_undefined:i share_censored median_delay p10 p90 rho_trait low_quartile high_quartile km_low km_high",
+       c.with_(DUSK, _HOT) + f""",
+    d AS (SELECT dl.*, quartile FROM dl JOIN q USING (threshold, station)), j AS (SELECT q.*, km_median FROM q JOIN km USING (threshold, station)),
+    r AS (SELECT threshold, corr(a, b) AS rho FROM (SELECT threshold, {c.rank_avg('trait', 'threshold')} a, {c.rank_avg('med', 'threshold')} b FROM q) GROUP BY 1)
+    SELECT threshold, (SELECT count(*) FROM d WHERE d.threshold = j.threshold) AS n_station_nights, count(*) AS n_stations, count(*) - count(km_median) AS km_undefined,
+           (SELECT avg(censored::INT) FROM d WHERE d.threshold = j.threshold) AS share_censored, (SELECT quantile_cont(delay, 0.5) FROM d WHERE d.threshold = j.threshold) AS median_delay,
+           quantile_cont(med, 0.1) AS p10, quantile_cont(med, 0.9) AS p90, (SELECT rho FROM r WHERE r.threshold = j.threshold) AS rho_trait,
+           quantile_cont(med, 0.5) FILTER (quartile = 0) AS low_quartile, quantile_cont(med, 0.5) FILTER (quartile = 3) AS high_quartile,
+           CASE WHEN count(*) FILTER (quartile = 0 AND km_median IS NULL) = 0 THEN quantile_cont(km_median, 0.5) FILTER (quartile = 0) END AS km_low,
+           CASE WHEN count(*) FILTER (quartile = 3 AND km_median IS NULL) = 0 THEN quantile_cont(km_median, 0.5) FILTER (quartile = 3) END AS km_high
+    FROM j GROUP BY threshold""")
 def cooling_delay_report(t: Tables) -> DataFrame:
-    d = settled(cooling_delays(t))
-    st = d.groupBy("station").agg(F.round(F.avg("delay"), 9).alias("lvl"))
-    st = ranks.qcut(st, "lvl", 4, out="quartile").join(survival.km_median(d, "station", "delay", "censored").select("station", "km_median"), "station")
-    km = st.groupBy("quartile").agg(
-        F.count("*").alias("n_stations"),
-        F.when(F.count("*") == F.count("km_median"), F.percentile("km_median", F.lit(0.5))).alias("km_median"))
-    rows = d.join(st.select("station", "quartile"), "station").groupBy("quartile").agg(
-        F.count("*").alias("n"), F.avg(F.col("censored").cast("double")).alias("share_censored"), F.percentile("delay", F.lit(0.5)).alias("median_delay"))
-    return rows.join(km, "quartile")
+    from duskline.operators.association import spearman
+
+    d = settled(hot_delays(t))
+    st = d.groupBy("threshold", "station").agg(F.percentile("delay", F.lit(0.5)).alias("med"), F.count("*").alias("n")).where(F.col("n") >= LEAST_NIGHTS)
+    st = ranks.qcut(settled(st.join(station_trait(t), "station")), "trait", 4, ["threshold"], out="quartile")
+    km = survival.km_median(d, ["threshold", "station"], "delay", "censored").select("threshold", "station", "km_median")
+    st = settled(st.join(km, ["threshold", "station"]))
+    mid = lambda col, q: F.percentile(F.when(F.col("quartile") == q, F.col(col)), F.lit(0.5))
+    whole = lambda q: F.when(F.count_if((F.col("quartile") == q) & F.col("km_median").isNull()) == 0, mid("km_median", q))
+    main = st.groupBy("threshold").agg(
+        F.count("*").alias("n_stations"), F.count_if(F.col("km_median").isNull()).alias("km_undefined"), F.percentile("med", F.lit(0.1)).alias("p10"), F.percentile("med", F.lit(0.9)).alias("p90"),
+        mid("med", 0).alias("low_quartile"), mid("med", 3).alias("high_quartile"), whole(0).alias("km_low"), whole(3).alias("km_high"))
+    rows = d.join(st.select("threshold", "station"), ["threshold", "station"], "left_semi").groupBy("threshold").agg(
+        F.count("*").alias("n_station_nights"), F.avg(F.col("censored").cast("double")).alias("share_censored"), F.percentile("delay", F.lit(0.5)).alias("median_delay"))
+    rho = spearman(st, "trait", "med", ["threshold"]).select("threshold", F.col("rho").alias("rho_trait"))
+    return main.join(rows, "threshold").join(rho, "threshold", "left")
 
 
 def _relaxation_sql(src: str, levels: int = 5, points: int = 60) -> str:
@@ -457,3 +557,60 @@ def dusk_variants(t: Tables) -> DataFrame:
     s = since_sunset(t).where(F.col("hss").between(-0.5, 1.5)).select("station", "night_date", "value", "rc", F.inline(rows)).where("ok")
     d = panel.binned_dispersion(s, "h", 0.0, 1.0, 2, 2, by=["night_date", "variant"])
     return ag.pivot_fill(d, "night_date", "variant", ("midpoint_all", "endpoint_all", "midpoint_no_rc", "endpoint_no_rc"), F.max("dusk_sd"), fill=None)
+
+
+# Fixed station sets by coverage of the nights; the dynamic set has no members of its own.
+# A bin of a fixed set needs COMPLETE of its stations.
+CORES, COMPLETE = (0.5, 0.8, 0.95), 0.1
+_SET_SQL = f"""cov AS (SELECT station, count(DISTINCT night_date)::DOUBLE / (SELECT count(DISTINCT night_date) FROM since) AS coverage FROM since GROUP BY 1),
+    sets AS (SELECT station, 'dynamic_all' AS station_set FROM cov UNION ALL SELECT station, 'fixed_core_' || CAST(round(100 * core) AS INT) FROM cov, (VALUES {', '.join(f'({x}::DOUBLE)' for x in CORES)}) r(core) WHERE coverage >= core),
+    least AS (SELECT station_set, CASE WHEN station_set = 'dynamic_all' THEN 2 ELSE greatest(2, ceil({COMPLETE} * count(*))) END AS need FROM sets GROUP BY 1),
+    rows AS (SELECT 'published' AS policy, 'midpoint' AS convention, station, night_date, hss AS h, value FROM since
+      UNION ALL SELECT 'published', 'endpoint', station, night_date, hss_end, value FROM since UNION ALL SELECT 'corrected_excluded', 'midpoint', station, night_date, hss, value FROM since WHERE rc = 0),
+    cell AS (SELECT station_set, policy, convention, night_date, round_even(h * 4, 0)::DOUBLE / 4 AS hbin, station, avg(value) AS value FROM rows JOIN sets USING (station)
+      WHERE h BETWEEN 0 AND 1 AND (station_set = 'dynamic_all' OR (policy = 'published' AND convention = 'midpoint')) GROUP BY ALL),
+    bins AS (SELECT station_set, policy, convention, night_date, hbin, stddev_samp(value) AS sd, count(*) AS n FROM cell GROUP BY ALL),
+    dsk AS (SELECT station_set, policy, convention, night_date, round(avg(sd), 9) AS dusk_sd FROM bins JOIN least USING (station_set) WHERE n >= need GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def dusk_by_station_set(t: Tables) -> DataFrame:
+    """station_set, policy, convention, night_date, dusk_sd: the dusk metric of fixed and dynamic station sets from one pass over the evening readings."""
+    s = settled(since_sunset(t).select("station", "night_date", "value", "rc", "hss", "hss_end"))
+    total = s.select("night_date").distinct().agg(F.count("*")).scalar()
+    cov = s.groupBy("station").agg((F.countDistinct("night_date") / total).alias("coverage"))
+    named = F.array(F.lit("dynamic_all"), *[F.when(F.col("coverage") >= x, F.lit(f"fixed_core_{round(100 * x)}")) for x in CORES])
+    sets = settled(cov.select("station", F.explode(F.filter(named, lambda v: v.isNotNull())).alias("station_set")))
+    size = F.when(F.col("station_set") == "dynamic_all", 2).otherwise(F.greatest(F.lit(2), F.ceil(COMPLETE * F.count("*"))))
+    least = sets.groupBy("station_set").agg(size.alias("need"))
+    ways = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(k).alias("convention"), F.col(h).alias("h"), ok.alias("ok")) for p, k, h, ok in (
+        ("published", "midpoint", "hss", F.lit(True)), ("published", "endpoint", "hss_end", F.lit(True)), ("corrected_excluded", "midpoint", "hss", F.col("rc") == 0))])
+    rows = s.where(F.col("hss").between(-0.5, 1.5)).select("station", "night_date", "value", F.inline(ways)).where(F.col("ok") & F.col("h").between(0.0, 1.0))
+    rows = rows.join(sets, "station").where((F.col("station_set") == "dynamic_all") | ((F.col("policy") == "published") & (F.col("convention") == "midpoint")))
+    by = ["station_set", "policy", "convention", "night_date"]
+    cell = rows.groupBy(*by, tp.snap("h").alias("hbin"), "station").agg(F.avg("value").alias("value"))
+    bins = cell.groupBy(*by, "hbin").agg(F.stddev_samp("value").alias("sd"), F.count("*").alias("n")).join(least, "station_set").where("n >= need")
+    return bins.groupBy(*by).agg(F.round(F.avg("sd"), 9).alias("dusk_sd"), F.count("*").alias("k")).where("k >= 2").drop("k")
+
+
+@query("dusk_station_sets", "Q15 A10 J4", "station_set:s policy:s convention:s night_date:d dusk_sd", c.with_(DUSK, _SET_SQL) + "SELECT * FROM dsk")
+def dusk_station_sets(t: Tables) -> DataFrame:
+    return dusk_by_station_set(t)
+
+
+@query("dusk_station_set_summary", "Q15 A8", "station_set:s policy:s convention:s n_nights:i mean_sd", c.with_(DUSK, _SET_SQL) + """
+    SELECT station_set, policy, convention, count(*) AS n_nights, avg(dusk_sd) AS mean_sd FROM dsk GROUP BY ALL""")
+def dusk_station_set_summary(t: Tables) -> DataFrame:
+    return dusk_by_station_set(t).groupBy("station_set", "policy", "convention").agg(F.count("*").alias("n_nights"), F.avg("dusk_sd").alias("mean_sd"))
+
+
+@query("correction_share_by_night_and_scope", "Q15 A3 A11", "scope:s value:s n_nights:i n_records:i n_flagged:i n_nights_flagged:i share", c.with_(DUSK) + """,
+    nt AS (SELECT night_date, month(night_date) AS month, dayofweek(night_date) IN (0, 6) AS weekend, count(*) AS n, count(*) FILTER (rc = 1) AS k FROM since WHERE hss BETWEEN 0 AND 1 GROUP BY 1)
+    SELECT scope, value, count(*) AS n_nights, sum(n) AS n_records, sum(k) AS n_flagged, count(*) FILTER (k > 0) AS n_nights_flagged, sum(k)::DOUBLE / sum(n) AS share FROM (
+      SELECT *, unnest(['all', 'by_month', 'by_weekend', 'by_night']) AS scope, unnest(['all', CAST(month AS VARCHAR), CAST(weekend AS VARCHAR), CAST(night_date AS VARCHAR)]) AS value FROM nt) GROUP BY 1, 2""")
+def correction_share_by_night_and_scope(t: Tables) -> DataFrame:
+    s = since_sunset(t).where(F.col("hss").between(0.0, 1.0)).groupBy("night_date").agg(F.count("*").alias("n"), F.count_if(F.col("rc") == 1).alias("k"))
+    weekend = F.dayofweek("night_date").isin(1, 7)
+    scopes = F.array(*[F.struct(F.lit(a).alias("scope"), b.cast("string").alias("value")) for a, b in (
+        ("all", F.lit("all")), ("by_month", F.month("night_date")), ("by_weekend", weekend), ("by_night", F.col("night_date")))])
+    return s.select("n", "k", F.inline(scopes)).groupBy("scope", "value").agg(
+        F.count("*").alias("n_nights"), F.sum("n").alias("n_records"), F.sum("k").alias("n_flagged"), F.count_if(F.col("k") > 0).alias("n_nights_flagged"), (F.sum("k") / F.sum("n")).alias("share"))

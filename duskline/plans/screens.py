@@ -219,6 +219,30 @@ def tier_report(t: Tables) -> DataFrame:
     return rep.join(med, "tier")
 
 
+_DECIRC = tuple(0.0 if n == "cooling" else w for n, w in zip(sl.COMPONENTS, sl.BASE_WEIGHTS["baseline"], strict=True))
+DECIRC = tuple(v / sum(_DECIRC) for v in _DECIRC)
+
+
+@query("tiers_without_cooling", "X15 W8 Q21", "specification:s tier:s tier_order:i n_cells:i residents:f2 median_refuge:f2", c.with_(RANKED) + f""",
+    sc AS (SELECT cell_id, unnest(['with_cooling', 'without_cooling']) AS specification,
+           unnest([round(100.0 * (heat_gp * 0.4::DOUBLE + qmargin * 0.3::DOUBLE + cooling * 0.2::DOUBLE + intensity * 0.1::DOUBLE), 9),
+                   round(100.0 * (heat_gp * {DECIRC[0]!r}::DOUBLE + qmargin * {DECIRC[1]!r}::DOUBLE + cooling * {DECIRC[2]!r}::DOUBLE + intensity * {DECIRC[3]!r}::DOUBLE), 9)]) AS s FROM rk),
+    tq AS (SELECT specification, round(quantile_cont(s, 0.5), 9) a, round(quantile_cont(s, 0.75), 9) b, round(quantile_cont(s, 0.9), 9) c FROM sc GROUP BY 1),
+    tt AS (SELECT cell_id, specification, CASE WHEN s >= c THEN 'highest_priority' WHEN s >= b THEN 'high_priority' WHEN s >= a THEN 'elevated_monitoring' ELSE 'baseline_monitoring' END AS tier FROM sc JOIN tq USING (specification))
+    SELECT specification, tier, CASE tier WHEN 'highest_priority' THEN 0 WHEN 'high_priority' THEN 1 WHEN 'elevated_monitoring' THEN 2 ELSE 3 END AS tier_order, count(*) AS n_cells,
+           round(sum(residents), 2) AS residents, round(quantile_cont(refuge_m, 0.5), 2) AS median_refuge FROM tt JOIN cells USING (cell_id) GROUP BY ALL""")
+def tiers_without_cooling(t: Tables) -> DataFrame:
+    """Refuge distance by tier of the score, and of the score without the component that overlaps with it."""
+    r, cells, parts = ranked_cells(t), m.screen_cells(t), []
+    for name, w in (("with_cooling", W["baseline"]), ("without_cooling", DECIRC)):
+        tier = ranks.tiers(settled(r.select("cell_id", sl.score("heat_gp", "qmargin", "cooling", "intensity", w).alias("s"))), "s")
+        df = settled(tier.join(cells, "cell_id"))
+        med = ranks.exact_quantiles(df, "tier", "refuge_m", (0.5,)).select("tier", F.round("quantile", 2).alias("median_refuge"))
+        rep = sl.tier_report(df, "tier", {"residents": "residents"}, {}, ranks.TIERS[::-1])
+        parts.append(rep.join(med, "tier").withColumn("specification", F.lit(name)))
+    return joins.union_all(*parts)
+
+
 @query("tier_transitions", "A13 Q26", "tier:s highest_priority:i high_priority:i elevated_monitoring:i baseline_monitoring:i", c.with_(_TIER) + """
     SELECT tier, count(*) FILTER (tier2 = 'highest_priority') AS highest_priority, count(*) FILTER (tier2 = 'high_priority') AS high_priority,
            count(*) FILTER (tier2 = 'elevated_monitoring') AS elevated_monitoring, count(*) FILTER (tier2 = 'baseline_monitoring') AS baseline_monitoring FROM tt GROUP BY 1""")

@@ -160,15 +160,22 @@ def finite_value_guard(t: Tables) -> DataFrame:
     return checks.not_finite(m.city_nights(t), ["warmth", "sd_cool_rate", "sd_cool_total"])
 
 
-@query("metric_cross_check", "S17", "n:i max_abs_diff n_beyond:i n_null_mismatch:i",
-       c.with_(c.PANEL) + "SELECT count(*) AS n, 0.0 AS max_abs_diff, 0 AS n_beyond, 0 AS n_null_mismatch FROM city")
+@query("metric_cross_check", "S17", "comparison:s n:i max_abs_diff n_beyond:i n_null_mismatch:i", c.with_(c.PANEL) + """,
+    mean AS (SELECT night_date, sum(night_min) / count(night_min) AS mu FROM sn GROUP BY 1),
+    two AS (SELECT night_date, sqrt(sum((night_min - mu) * (night_min - mu)) / nullif(count(night_min) - 1, 0)) AS sd2 FROM sn JOIN mean USING (night_date) GROUP BY 1),
+    l AS (SELECT 'two_passes' AS comparison, sd_tmin AS a, sd2 AS b FROM city JOIN two USING (night_date)
+          UNION ALL SELECT 'altered', sd_tmin, CASE WHEN day(night_date) % 7 = 0 THEN sd2 + 0.01 WHEN day(night_date) <> 13 THEN sd2 END FROM city JOIN two USING (night_date))
+    SELECT comparison, count(*) AS n, max(abs(a - b)) AS max_abs_diff, count(*) FILTER (abs(a - b) > 1e-8) AS n_beyond, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS n_null_mismatch FROM l GROUP BY 1""")
 def metric_cross_check(t: Tables) -> DataFrame:
-    sn = m.station_nights(t)
-    two_pass = sn.groupBy("night_date").agg(
-        F.count("*").alias("n"),
-        F.sqrt(F.greatest(F.lit(0.0), F.var_samp("night_min"))).alias("sd2")).where("n >= 3")
-    return checks.disagreement(m.city_nights(t), two_pass, "night_date", "sd_tmin", "sd2", 1e-8).withColumn(
-        "max_abs_diff", F.when(F.col("max_abs_diff") < 1e-8, 0.0).otherwise(F.col("max_abs_diff")))
+    """The panel's dispersion against a second computation, sums of squared distances from a joined mean; and against altered values, which must be found."""
+    sn, city = settled(m.station_nights(t).select("night_date", "night_min")), m.city_nights(t)
+    mean = sn.groupBy("night_date").agg((F.sum("night_min") / F.count("night_min")).alias("mu"))
+    d = F.col("night_min") - F.col("mu")
+    two = sn.join(mean, "night_date").groupBy("night_date").agg(F.sqrt(F.sum(d * d) / F.nullif(F.count("night_min") - 1, F.lit(0))).alias("sd2"))
+    day = F.dayofmonth("night_date")
+    altered = two.withColumn("sd2", F.when(day % 7 == 0, F.col("sd2") + 0.01).when(day != 13, F.col("sd2")))
+    parts = [checks.disagreement(city, other, "night_date", "sd_tmin", "sd2", 1e-8).withColumn("comparison", F.lit(name)) for name, other in (("two_passes", two), ("altered", altered))]
+    return union_all(*parts)
 
 
 @query("metric_register", "S18 D15 Q25", "category:s metric:s numeric_value units:s", c.with_(c.NIGHTS) + """,
