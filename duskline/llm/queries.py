@@ -58,16 +58,20 @@ def _op3_sql() -> str:
         parts = phrase.split()
         test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         places.append(f"SELECT k, '{label}' AS label, unnest(list_filter(range(1, len(w) - {len(parts) - 2}), lambda i: {test})) - 1 AS spot FROM docs")
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])" for label, text in license_join.TEMPLATES.items())
+    quoted = lambda words: f"CAST([{', '.join(repr(w) for w in words)}] AS VARCHAR[])"
+    templates = ", ".join(f"('{t.label}', {quoted(t.words)}, {quoted(t.must)}, {t.need}, {t.step})" for t in license_join.prepared(license_join.TEMPLATES, license_join.THRESHOLD))
     return f"""
     WITH raw AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{license_join.UPPER}', '{license_join.LOWER}') AS t FROM documents),
     docs AS (SELECT k, doc_id, t, {_sql_words('t')} AS w FROM raw),
     places AS ({' UNION ALL '.join(places)}),
     base AS (SELECT k, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY k),
-    templates(label, whole) AS (VALUES {templates}),
-    lines AS (SELECT k, {_sql_words('line')} AS w FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM raw)),
-    parts AS (SELECT k, label, len(list_intersect(whole, w)) / len(whole) AS part, len(list_intersect(whole, w)) AS n, len(whole) AS size FROM lines, templates),
-    more AS (SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM parts WHERE n >= ceil({license_join.THRESHOLD} * size - 1e-9) GROUP BY k)
+    templates(label, whole, must, need, step) AS (VALUES {templates}),
+    blocks AS (SELECT k, step, start, list_slice(w, start * step + 1, start * step + 2 * step) AS w
+               FROM (SELECT k, w, step, unnest(range(len(w) // step + 1)) AS start FROM docs, (SELECT DISTINCT step FROM templates))),
+    parts AS (SELECT k, step, start, label, len(list_intersect(whole, w)) / len(whole) AS part, len(list_intersect(whole, w)) AS n, need FROM blocks JOIN templates USING (step)
+              WHERE list_has_all(w, must)),
+    won AS (SELECT *, rank() OVER (PARTITION BY k, step, start ORDER BY part DESC, n DESC) AS best FROM parts WHERE n >= need),
+    more AS (SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM won WHERE best = 1 GROUP BY k)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
            coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
