@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.functions.numeric import normal_two_sided_p, safe_div, student_two_sided_p
+from duskline.session import settled
 
 
 def _list(x) -> list[str]:
@@ -336,12 +337,16 @@ def relaxation(df: DataFrame, by, t: str, y: str, bounds=(0.3, 30.0), min_points
 
 
 def pred_metrics(df: DataFrame, obs: str, pred: str, by=(), sd: str | None = None, target_se: str | None = None) -> DataFrame:
-    """R2, RMSE, MAE, rank correlation, and interval coverage and width with and without the target's own error."""
-    from duskline.operators.association import spearman
+    """R2, RMSE, MAE, rank correlation, and interval coverage and width with and without the target's own error.
+
+    Groups of any size: ranks come from value ranges, not from one sorted group.
+    """
+    from duskline.operators.ranks import spread_rank
 
     by = _list(by)
     d = F.col(obs) - F.col(pred)
     ok = df.where(F.col(obs).isNotNull() & F.col(pred).isNotNull())
+    ok = settled(ok.select(*by, obs, pred, *[c for c in (sd, target_se) if c]))
     aggs = [F.count("*").alias("n"), (1 - safe_div(F.avg(d * d), F.var_pop(obs))).alias("r2"),
             F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae")]
     if sd:
@@ -351,7 +356,9 @@ def pred_metrics(df: DataFrame, obs: str, pred: str, by=(), sd: str | None = Non
             s2 = F.sqrt(F.col(sd) * F.col(sd) + F.col(target_se) * F.col(target_se))
             aggs += [inside(s2).alias("coverage_target"), F.avg(3.92 * s2).alias("width_target")]
     main = ok.groupBy(*by).agg(*aggs)
-    rho = spearman(ok, obs, pred, by).drop("n")
+    ranked = spread_rank(spread_rank(ok.select(*by, obs, pred), obs, by, "__ro"), pred, by, "__rp")
+    r = F.corr("__ro", "__rp")
+    rho = ranked.groupBy(*by).agg(F.when(~F.isnan(r), r).alias("rho"))
     return main.join(rho, by) if by else main.withColumn("rho", rho.select("rho").scalar())
 
 

@@ -142,7 +142,14 @@ def hac_model_drivers(t: Tables) -> DataFrame:
     return rg.hac_ols(z, "sd_tmin", [f"z_{v}" for v in ("warmth", "day_rad", "clearness", "wind", "rh")], "night_date", lags=7)
 
 
-@query("rank_hac_model", "T9 Q16", "regime:s term:s beta se p n:i")
+_RANKED = ", ".join(f"{c.rank_avg(v, 'regime')} AS {v}" for v in ("sd_tmin", "warmth", "day_rad", "wind"))
+_STANDARD = ", ".join(f"({v} - avg({v}) OVER w) / stddev_pop({v}) OVER w AS {v}" for v in ("sd_tmin", "warmth", "day_rad", "wind"))
+
+
+@query("rank_hac_model", "T9 Q16", "regime:s term:s beta se p n:i", c.with_(c.NIGHTS, f"""
+    rk AS (SELECT regime, night_date, {_RANKED} FROM nights WHERE sd_tmin IS NOT NULL AND warmth IS NOT NULL AND day_rad IS NOT NULL AND wind IS NOT NULL),
+    rz AS MATERIALIZED (SELECT regime, night_date, {_STANDARD} FROM rk WINDOW w AS (PARTITION BY regime))""",
+       c.hac_terms_sql("h", "rz", "regime", "sd_tmin", ["warmth", "day_rad", "wind"], 14)) + "SELECT * FROM h")
 def rank_hac_model(t: Tables) -> DataFrame:
     return rg.hac_ols(m.nights(t), "sd_tmin", ["warmth", "day_rad", "wind"], "night_date", ["regime"], 14, rank=True)
 
@@ -367,6 +374,8 @@ def retention_association(t: Tables) -> DataFrame:
     return at.spearman(k, "ratio", "level")
 
 
-@query("paired_partial_residuals", "T29 P22", "night_date:d y_resid x_resid")
+@query("paired_partial_residuals", "T29 P22", "night_date:d y_resid x_resid", c.with_(c.NIGHTS, """
+    k AS (SELECT night_date, sd_tmin, warmth, day_rad, wind, rh FROM nights WHERE sd_tmin IS NOT NULL AND warmth IS NOT NULL AND day_rad IS NOT NULL AND wind IS NOT NULL AND rh IS NOT NULL)""",
+       c.linear_resid_sql("r", "k", ["sd_tmin", "warmth"], ["day_rad", "wind", "rh"], keep="night_date")) + "SELECT night_date, sd_tmin AS y_resid, warmth AS x_resid FROM r")
 def paired_partial_residuals(t: Tables) -> DataFrame:
     return rg.partial_residuals(fixed_nights(t), "sd_tmin", "warmth", ["day_rad", "wind", "rh"])

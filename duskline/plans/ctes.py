@@ -168,6 +168,44 @@ def resid_sql(name: str, src: str, by: str, covs, keep: str, use: dict[str, str]
     return ", ".join(out)
 
 
+def linear_resid_sql(name: str, src: str, targets, covs, by: str = "", keep: str = "") -> str:
+    """CTEs ending in `name`: targets with the covariates' least-squares part taken off, one covariate after another, in each group."""
+    head = ", ".join(x for x in (by, keep) if x)
+    head = head + ", " if head else ""
+    w = f"OVER (PARTITION BY {by})" if by else "OVER ()"
+    left = [*targets, *covs]
+    out = [f"{name}_0 AS MATERIALIZED (SELECT {head}{', '.join(f'CAST({v} AS DOUBLE) - avg(CAST({v} AS DOUBLE)) {w} AS {v}' for v in left)} FROM {src})"]
+    for i, z in enumerate(covs):
+        left = [v for v in left if v != z]
+        cols = [f"{v} - CASE WHEN var_pop({z}) {w} > 1e-12 THEN covar_pop({v}, {z}) {w} / var_pop({z}) {w} ELSE 0 END * {z} AS {v}" for v in left]
+        out.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT {head}{', '.join(cols)} FROM {name}_{i})")
+    out.append(f"{name} AS (SELECT * FROM {name}_{len(covs)})")
+    return ", ".join(out)
+
+
+def hac_terms_sql(name: str, src: str, by: str, y: str, xs, lags: int, order="night_date") -> str:
+    """CTEs ending in `name`({by}, term, beta, se, p, n): several-regressor Newey-West fit, each coefficient from its regressor's residual on the others."""
+    xs, out, union = list(xs), [], []
+    on = " AND ".join(f"a.{b} = b.{b}" for b in by.split(", "))
+    out.append(linear_resid_sql(f"{name}_e", src, [y], xs, by, order))
+    for i, x in enumerate(xs):
+        others = [v for v in xs if v != x]
+        out.append(linear_resid_sql(f"{name}_x{i}", src, [x, y], others, by, order))
+        out.append(f"""{name}_z{i} AS MATERIALIZED (SELECT r.{by.replace(', ', ', r.')}, r.{order}, r.{x} AS xr, r.{y} AS yr, r.{x} * e.{y} AS z, row_number() OVER (PARTITION BY {by} ORDER BY r.{order}) AS p
+          FROM {name}_x{i} r JOIN {name}_e e USING ({by}, {order}))""")
+        out.append(f"""{name}_m{i} AS (SELECT a.{by.replace(', ', ', a.')}, sum(CASE WHEN a.p = b.p THEN a.z * a.z ELSE 2 * (1 - (a.p - b.p) / {lags + 1}.0::DOUBLE) * a.z * b.z END) AS meat
+          FROM {name}_z{i} a JOIN {name}_z{i} b ON {on} AND a.p - b.p BETWEEN 0 AND {lags} GROUP BY ALL)""")
+        union.append(f"""SELECT {by}, '{x}' AS term, beta, se, {normal_p('beta / se')} AS p, n FROM (
+          SELECT {by}, sum(xr * yr) / sum(xr * xr) AS beta, sqrt(greatest(0, any_value(meat))) / sum(xr * xr) AS se, count(*) AS n FROM {name}_z{i} JOIN {name}_m{i} USING ({by}) GROUP BY {by})""")
+    # with regressors centred in the group, the constant's own residual is one
+    out.append(f"{name}_zc AS MATERIALIZED (SELECT e.{by.replace(', ', ', e.')}, e.{y} AS z, s.{y} AS yr, row_number() OVER (PARTITION BY {by} ORDER BY e.{order}) AS p FROM {name}_e e JOIN {src} s USING ({by}, {order}))")
+    out.append(f"""{name}_mc AS (SELECT a.{by.replace(', ', ', a.')}, sum(CASE WHEN a.p = b.p THEN a.z * a.z ELSE 2 * (1 - (a.p - b.p) / {lags + 1}.0::DOUBLE) * a.z * b.z END) AS meat
+      FROM {name}_zc a JOIN {name}_zc b ON {on} AND a.p - b.p BETWEEN 0 AND {lags} GROUP BY ALL)""")
+    union.append(f"""SELECT {by}, 'intercept' AS term, beta, se, {normal_p('beta / se')} AS p, n FROM (
+      SELECT {by}, round(avg(yr), 12) AS beta, sqrt(greatest(0, any_value(meat))) / count(*) AS se, count(*) AS n FROM {name}_zc JOIN {name}_mc USING ({by}) GROUP BY {by})""")
+    return ", ".join(out) + f", {name} AS ({' UNION ALL '.join(union)})"
+
+
 def shift_sql(name: str, src: str, by: str, strata: int, x="rx", y="ry", order="night_date", group="year") -> str:
     """CTEs of the exact stratified shift p with a fixed number of strata per test."""
     half = strata // 2

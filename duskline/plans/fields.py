@@ -371,7 +371,12 @@ def prediction_metrics(t: Tables) -> DataFrame:
     return rg.pred_metrics(j, "field_a", "idw", ["region"], "sd")
 
 
-@query("field_comparison", "T28 X13 T1", "scale:s pearson_r rmse mae bias n:i")
+@query("field_comparison", "T28 X13 T1", "scale:s pearson_r rmse mae bias n:i", c.with_(c.STATIONS, c.GRID, _IDW, """
+    zz AS (SELECT idw, field_a, zx AS e, zy AS n, zx * zx AS ee, zy * zy AS nn, zx * zy AS en FROM (
+      SELECT *, (cx - avg(cx) OVER ()) / stddev_pop(cx) OVER () AS zx, (cy - avg(cy) OVER ()) / stddev_pop(cy) OVER () AS zy FROM grid JOIN iw USING (cell_id)))""",
+       c.linear_resid_sql("det", "zz", ["idw", "field_a"], ["e", "n", "ee", "nn", "en"])) + """
+    SELECT 'raw' AS scale, corr(idw, field_a) AS pearson_r, sqrt(avg((idw - field_a) ** 2)) AS rmse, avg(abs(idw - field_a)) AS mae, avg(idw - field_a) AS bias, count(*) AS n FROM zz
+    UNION ALL SELECT 'coordinate_detrended', corr(idw, field_a), NULL, NULL, NULL, count(*) FROM det""")
 def field_comparison(t: Tables) -> DataFrame:
     j = settled(m.grid_cells(t).join(idw_field(t), "cell_id"))
     z = scalars.zscore(j, ["cx", "cy"], ddof=0)

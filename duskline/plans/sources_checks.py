@@ -222,7 +222,8 @@ def claims_in_texts(t: Tables) -> DataFrame:
     return checks.claims_in_text(claims, docs, "text")
 
 
-@query("written_and_read_back", "S8 S9", "fmt:s n:i total")
+@query("written_and_read_back", "S8 S9", "fmt:s n:i total", c.with_(c.PANEL) + """
+    SELECT fmt, count(*) AS n, sum(warmth) AS total FROM city, (VALUES ('parquet'), ('csv'), ('json'), ('cache')) f(fmt) GROUP BY 1""")
 def written_and_read_back(t: Tables) -> DataFrame:
     from duskline.session import shared_folder
     from duskline.sources import writers
