@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,10 +130,11 @@ def _literals(words) -> Column:
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def _blocks_with(rare: Column, step: int) -> Column:
-    """Numbers of the blocks of `words` that hold one of the rare words."""
+def _blocks_with(rare: Column, step: int, own: Column) -> Column:
+    """Blocks of `words` that hold one of the rare words, as structs (step, start, held); held: their words of `own`, in its order."""
     hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), F.floor(i / step).cast("int"))), lambda i: i.isNotNull())
-    return F.filter(F.array_distinct(F.flatten(F.transform(F.array_distinct(hits), lambda i: F.array(i - 1, i)))), lambda i: i >= 0)
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(F.array_distinct(hits), lambda i: F.array(i - 1, i)))), lambda i: i >= 0)
+    return F.transform(starts, lambda i: F.struct(F.lit(step).alias("step"), i.alias("start"), F.array_intersect(own, F.slice("words", i * step + 1, F.lit(2 * step))).alias("held")))
 
 
 def template_matches(docs: DataFrame, templates: dict[str, list[tuple[str, str]]], threshold: float) -> DataFrame:
@@ -151,12 +151,10 @@ def template_matches(docs: DataFrame, templates: dict[str, list[tuple[str, str]]
     worded = there.select("_lj_key", words_of(F.col("_lj_low")).alias("words"))
     blocks = []
     for step in sorted({t.step for t in known}):
-        rare = _literals(sorted({w for t, p in zip(known, first, strict=True) if t.step == step for w in p}))
-        cut = worded.withColumn("start", F.explode(_blocks_with(rare, step)))
+        rare = _literals(sorted({w for t, p in zip(known, first, strict=True) if t.step == step for w in p if w in counts}))
         own = _literals([w for w in order if any(t.step == step and w in t.words for t in known)])
-        held = F.array_intersect(own, F.slice("words", F.col("start") * step + 1, 2 * step))
-        blocks.append(cut.select("_lj_key", F.lit(step).alias("step"), "start", held.alias("held")))
-    every = reduce(DataFrame.unionByName, blocks).withColumn("size", F.size("held"))
+        blocks.append(_blocks_with(rare, step, own))
+    every = worded.select("_lj_key", F.explode(F.concat(*blocks)).alias("b")).select("_lj_key", "b.*").withColumn("size", F.size("held"))
     spread = every.where(F.col("size") >= min(t.need for t in known)).select("_lj_key", "step", "start", "held", "size", F.posexplode("held").alias("at", "w"))
     rows = [(t.label, list(t.words), list(t.must), len(t.words), t.need, t.step, i, w) for t, p in zip(known, first, strict=True) for i, w in enumerate(p)]
     few = docs.sparkSession.createDataFrame(rows, "label string, whole array<string>, must array<string>, t_size int, need int, step int, t_at int, w string")
