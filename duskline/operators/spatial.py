@@ -27,73 +27,67 @@ def _list(x) -> list[str]:
 HIT = 1e-18
 
 
-def _tiled(df: DataFrame, key: str, cols: dict[str, Column], per_tile: int) -> tuple[DataFrame, int]:
-    """Rows packed into arrays of about per_tile, dealt by a hash of their key, and the number of tiles."""
-    g = max(1, math.ceil(df.count() / per_tile))
-    item = F.struct(F.col(key).alias("id"), *[c.alias(n) for n, c in cols.items()])
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(g)).cast("int").alias("tile")).agg(F.collect_list(item).alias("items")), g
+#: Stations of one block; distances held at once.
+STATION_BLOCK, HELD = 1 << 16, 1 << 17
 
 
-def _fields(items, *names):
-    """Flat numpy columns of one list of structs."""
-    return [np.asarray(items.field(n).to_numpy(zero_copy_only=False), float) for n in names]
+def _dealt(df: DataFrame, key: str, block: str, per_block: int, least: int = 1) -> tuple[DataFrame, int]:
+    """Rows with the number of their block, dealt by a hash of their key, and the number of blocks."""
+    n = df.count()
+    many = max(1, math.ceil(n / per_block), min(least, n // 512))
+    return df.withColumn(block, F.pmod(F.xxhash64(key), F.lit(many)).cast("int")), many
 
 
-def _partial_sums(power: float):
-    """(cell tile with its cells, station tile) rows -> sums per cell; consecutive rows of a cell tile are folded."""
-
-    def run(batches):
-        tile, cells, w, wv, hits, kind = None, None, None, None, {}, None
+def _floats(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(table[n].to_numpy(), float) for n in names]
 
-        def out():
-            ids = cells.field("id")
-            hit = pa.array([hits.get(i) for i in range(len(ids))], kind)
-            return pa.RecordBatch.from_arrays([ids, pa.array(w), pa.array(wv), hit], names=["id", "w", "wv", "hit"])
 
-        for b in batches:
-            kind = pa.struct([("id", b["stations"].type.value_type.field("id").type), ("v", pa.float64())])
-            for i in range(b.num_rows):
-                now = b["tile"][i].as_py()
-                if now != tile:
-                    if tile is not None:
-                        yield out()
-                    tile, cells, hits = now, b["cells"][i].values, {}
-                    w, wv = np.zeros(len(cells)), np.zeros(len(cells))
-                    cx, cy = _fields(cells, "x", "y")
-                stations = b["stations"][i].values
-                x, y, v = _fields(stations, "x", "y", "v")
-                d2 = (cx[:, None] - x) ** 2 + (cy[:, None] - y) ** 2
-                for c, s in zip(*np.nonzero(d2 <= HIT), strict=True):
-                    found = {"id": stations.field("id")[int(s)].as_py(), "v": float(v[s])}
-                    hits[int(c)] = min(hits.get(int(c), found), found, key=lambda h: h["id"])
-                near = np.maximum(d2, HIT)
-                weight = 1 / near if power == 2.0 else near ** (-power / 2)
-                w += weight.sum(1)
-                wv += weight @ v
-        if tile is not None:
-            yield out()
+def _partial_sums(power: float):
+    """Sums of one block of cells over one block of stations, a strip of cells at a time."""
+
+    def run(cells: pa.Table, stations: pa.Table) -> pa.Table:
+        stations = stations.sort_by("id")
+        cx, cy = _floats(cells, "x", "y")
+        x, y, v = _floats(stations, "x", "y", "v")
+        w, wv, hit = np.zeros(len(cx)), np.zeros(len(cx)), np.full(len(cx), -1)
+        step = max(1, HELD // max(1, len(x)))
+        for lo in range(0, len(cx) if len(x) else 0, step):
+            cut = slice(lo, lo + step)
+            d2 = (x - cx[cut, None]) ** 2
+            d2 += (y - cy[cut, None]) ** 2
+            at = np.flatnonzero(d2.min(axis=1) <= HIT)
+            hit[lo + at] = (d2[at] <= HIT).argmax(axis=1)  # of the lowest key
+            np.maximum(d2, HIT, out=d2)
+            weight = np.reciprocal(d2, out=d2) if power == 2.0 else d2 ** (-power / 2)
+            w[cut], wv[cut] = weight.sum(axis=1), weight @ v
+        none = pa.array(np.maximum(hit, 0), mask=hit < 0)
+        found = [stations[n].combine_chunks().take(none) for n in ("id", "v")]
+        return pa.table([cells["id"], pa.array(w), pa.array(wv), *found], names=["id", "w", "wv", "hit_id", "hit_v"])
 
     return run
 
 
-def idw(cells: DataFrame, key: str, cell_xy, stations: DataFrame, station_key: str, station_xy, value: str, power: float = 2.0, per_tile: int = 1024) -> DataFrame:
+def idw(cells: DataFrame, key: str, cell_xy, stations: DataFrame, station_key: str, station_xy, value: str, power: float = 2.0, per_tile: int = 8192) -> DataFrame:
     """Inverse-distance weighting from all stations; an exact hit takes the value of the station with the lowest key.
 
-    Cells and stations are packed into tiles; every pair of tiles is one row of
-    the join, and a cell's sums over a station tile come from one matrix. Rows
-    shuffled are tiles by tiles, and a cell leaves with a row per run of its tile.
+    Cells are dealt into blocks of per_tile, stations into blocks of STATION_BLOCK. One task meets one
+    block of each, so what it holds does not grow with the tables; a station is copied once per block of
+    cells, a cell once per block of stations, and a cell leaves with a row per block of stations.
     Cells without coordinates get NULL; stations without coordinates or value take no part.
     """
     x, y = (F.col(c).cast("double") for c in cell_xy)
     sx, sy = (F.col(c).cast("double") for c in station_xy)
-    c, many = _tiled(cells.where(x.isNotNull() & y.isNotNull()), key, {"x": x, "y": y}, per_tile)
-    s, _ = _tiled(stations.where(sx.isNotNull() & sy.isNotNull() & F.col(value).isNotNull()), station_key, {"x": sx, "y": sy, "v": F.col(value).cast("double")}, per_tile)
-    pairs = s.select(F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("tile"), F.col("items").alias("stations")).join(c.withColumnRenamed("items", "cells"), "tile")
-    hit = T.StructType([T.StructField("id", stations.schema[station_key].dataType), T.StructField("v", T.DoubleType())])
+    c, many = _dealt(cells.where(x.isNotNull() & y.isNotNull()).select(F.col(key).alias("id"), x.alias("x"), y.alias("y")), "id", "cb", per_tile, cells.sparkSession.sparkContext.defaultParallelism)
+    known = stations.where(sx.isNotNull() & sy.isNotNull() & F.col(value).isNotNull())
+    s, parts = _dealt(known.select(F.col(station_key).alias("id"), sx.alias("x"), sy.alias("y"), F.col(value).cast("double").alias("v")), "id", "sb", STATION_BLOCK)
+    c = c.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    s = s.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     dbl = T.DoubleType()
-    schema = T.StructType([T.StructField("id", cells.schema[key].dataType), T.StructField("w", dbl), T.StructField("wv", dbl), T.StructField("hit", hit)])
-    part = pairs.select("tile", "cells", "stations").mapInArrow(_partial_sums(power), schema)
-    total = part.groupBy(F.col("id").alias(key)).agg(F.coalesce(F.min("hit")["v"], F.sum("wv") / F.sum("w")).alias("idw"))
+    schema = T.StructType([T.StructField("id", cells.schema[key].dataType), T.StructField("w", dbl), T.StructField("wv", dbl),
+                           T.StructField("hit_id", stations.schema[station_key].dataType), T.StructField("hit_v", dbl)])
+    part = c.groupBy("cb", "sb").cogroup(s.groupBy("cb", "sb")).applyInArrow(_partial_sums(power), schema)
+    hit = F.min(F.when(F.col("hit_id").isNotNull(), F.struct("hit_id", "hit_v")))["hit_v"]
+    total = part.groupBy(F.col("id").alias(key)).agg(F.coalesce(hit, F.sum("wv") / F.sum("w")).alias("idw"))
     return cells.select(F.col(key).alias(key)).join(total, key, "left")
 
 

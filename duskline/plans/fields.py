@@ -60,7 +60,7 @@ _IDW = f"""iw AS (SELECT cell_id, coalesce(min(target) FILTER (d <= 1e-9), sum(t
 
 
 def idw_field(t: Tables) -> DataFrame:
-    return sp.idw(m.grid_cells(t), "cell_id", ("cx", "cy"), m.stations(t), "station_id", ("x", "y"), "target", per_tile=200)
+    return sp.idw(m.grid_cells(t), "cell_id", ("cx", "cy"), m.stations(t), "station_id", ("x", "y"), "target")
 
 
 @query("inverse_distance_field", "X4 J11", "cell_id:i idw", c.with_(c.STATIONS, c.GRID, _IDW) + "SELECT * FROM iw")
@@ -71,7 +71,7 @@ def inverse_distance_field(t: Tables) -> DataFrame:
 @query("inverse_distance_exact_hit", "X4", "station_id:i idw", c.with_(c.STATIONS) + "SELECT station_id, target AS idw FROM stations")
 def inverse_distance_exact_hit(t: Tables) -> DataFrame:
     s = m.stations(t)
-    return sp.idw(s, "station_id", ("x", "y"), s.withColumnRenamed("station_id", "sid"), "sid", ("x", "y"), "target", per_tile=200)
+    return sp.idw(s, "station_id", ("x", "y"), s.withColumnRenamed("station_id", "sid"), "sid", ("x", "y"), "target")
 
 
 @query("partition_signatures", "X10", "repeat:i signature:s n:i", c.with_(c.STATIONS) + """,
