@@ -44,7 +44,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more), the document with the smallest id stays."""
+    """Of every group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more, candidates by SimHash and Golay keys
+    and completed from bands), the document with the smallest id stays."""
     return shingle_join.near_groups(docs).where("_sj_first").select(*docs.columns)
 
 

@@ -1,15 +1,21 @@
-"""Near-duplicate documents by the exact Jaccard similarity of word shingles.
+"""Near-duplicate documents by SimHash, Golay keys and the exact Jaccard similarity of word shingles.
 
 Documents are sets of SHINGLE-word shingles (64-bit hashes). Two sets link if
 their Jaccard similarity is at least LIKE = 4 / 5; groups are the components of
-the links. Candidates share a band: BANDS bands of ROWS min-hashes each. A pair
-at 0.8 shares none with probability (1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair
-with less. Every candidate pair is verified on the whole sets, so no pair below
+the links. Every candidate pair is verified on the whole sets, so no pair below
 the threshold links.
 
-Equal sets are folded first, so copies never make pairs. Of each bucket (band
-and its value) every set is first compared with the smallest one only. Sets of
-buckets that still hold several groups are then joined exactly: shingles are
+Equal sets are folded first, so copies never make pairs. Candidates come first
+from `simhash_golay`: majority fingerprints of the shingles, joined by their Golay
+keys, at most three bits apart. Of each fingerprint all sets meet the smallest, and
+the smallest ones of linked fingerprints meet.
+
+Three bits are far from all pairs at 0.8, which differ in some ten bits of 64, and no
+bound on the bits is certain. So what is still in different groups is completed:
+such candidates share a band, BANDS bands of ROWS min-hashes each. A pair at 0.8
+shares none with probability (1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair with less.
+Of each bucket (band and its value) every set is first compared with the smallest
+one of another group only. Sets of buckets that still hold several groups are then joined exactly: shingles are
 ordered by how many of these sets have them, rarest first; two sets that are alike share a
 shingle of their first fifths, and the places of the first one bound what they can share. Pairs
 within a group are not formed: of each such shingle, sets outside its largest
@@ -32,6 +38,8 @@ from pyspark.sql import types as T
 
 from duskline.llm.common import mix64
 from duskline.llm.graph import components
+from duskline.llm.simhash_golay import links as near_prints
+from duskline.llm.simhash_golay import majority
 from duskline.session import release, settled, settled_scope
 
 SHINGLE = 5
@@ -80,8 +88,9 @@ def _marks(text_col: str):
         for b in batches:
             sets = [shingles((t or "").encode()) for t in b[text_col].to_pylist()]
             names = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(list(map(len, sets)), pa.int32()), _lists([band_keys(s) for s in sets])],
-                                             names=[*b.schema.names, "_sj_set", "_sj_n", "_sj_bands"])
+            prints = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(list(map(len, sets)), pa.int32()), prints, _lists([band_keys(s) for s in sets])],
+                                             names=[*b.schema.names, "_sj_set", "_sj_n", "_sj_fp", "_sj_bands"])
 
     return run
 
@@ -99,6 +108,21 @@ def _alike(both, n, m):
     return (LIKE[0] + LIKE[1]) * both >= LIKE[0] * (n + m)
 
 
+def _sized(n, m):
+    """Sets of these sizes can be alike."""
+    return _alike(F.least(n, m), n, m)
+
+
+def _golay_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs u < v of different sets (s, n, fp): all of a fingerprint with its smallest, and the smallest ones of linked fingerprints."""
+    least = sets.groupBy("fp").agg(F.min(F.struct("s", "n")).alias("c"))
+    same = sets.join(least, "fp").where(F.col("s") != F.col("c.s")).select(F.struct("s", "n").alias("a"), F.col("c").alias("b"))
+    u, v = (least.select(F.col("fp").alias(end), F.col("c").alias(c)) for end, c in (("u", "a"), ("v", "b")))
+    linked = near_prints(least.select(F.col("fp").alias("_sg_fp"))).join(u, "u").join(v, "v").select("a", "b")
+    both = same.unionByName(linked).where(_sized(F.col("a.n"), F.col("b.n")))
+    return both.select(F.least("a.s", "b.s").alias("u"), F.greatest("a.s", "b.s").alias("v")).distinct()
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sets are alike."""
     a, b = sets.select(F.col("s").alias("u"), F.col("held").alias("x")), sets.select(F.col("s").alias("v"), F.col("held").alias("y"))
@@ -151,22 +175,24 @@ def _near_groups(docs: DataFrame, text_col: str, id_col: str, keep: list[str] |
     names = list(dict.fromkeys([*keep, id_col, text_col]))
     picked = docs.select(*[f"`{c}`" for c in names])
     schema = T.StructType([*picked.schema.fields, T.StructField("_sj_set", T.LongType()), T.StructField("_sj_n", T.IntegerType()),
-                           T.StructField("_sj_bands", T.ArrayType(T.LongType()))])
+                           T.StructField("_sj_fp", T.LongType()), T.StructField("_sj_bands", T.ArrayType(T.LongType()))])
     marked = settled(picked.mapInArrow(_marks(text_col), schema).withColumn("_sj_row", F.monotonically_increasing_id()))
     lowest = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col("_sj_row").alias("row")))
-    prints = settled(marked.groupBy("_sj_set").agg(lowest.alias("low"), F.first("_sj_n").alias("n"), F.first("_sj_bands").alias("bands")))
+    prints = settled(marked.groupBy("_sj_set").agg(lowest.alias("low"), F.first("_sj_n").alias("n"), F.first("_sj_fp").alias("fp"), F.first("_sj_bands").alias("bands")))
+    near = settled(_golay_pairs(prints.where("n > 0").select(F.col("_sj_set").alias("s"), "n", "fp")))
     members = prints.select(F.col("_sj_set").alias("s"), "n", F.explode("bands").alias("k"))
     shared = members.groupBy("k").agg(F.min(F.struct("s", "n")).alias("c"), F.max("s").alias("d")).where("c.s <> d").select("k", "c")
     here = settled(members.join(shared, "k"))
-    rows = here.select("s").distinct().join(prints, F.col("s") == F.col("_sj_set")).select("s", F.col("low.row").alias("_sj_row"))
+    rows = here.select("s").union(near.select("u")).union(near.select("v")).distinct().join(prints, F.col("s") == F.col("_sj_set")).select("s", F.col("low.row").alias("_sj_row"))
     sets = settled(marked.select("_sj_row", f"`{text_col}`").join(rows, "_sj_row").select("s", f"`{text_col}`").mapInArrow(_whole(text_col), "s long, held array<long>"))
 
-    def sized(n, m):
-        return _alike(F.least(n, m), n, m)
-
-    first = here.where((F.col("s") != F.col("c.s")) & sized(F.col("n"), F.col("c.n"))).select(F.col("c.s").alias("u"), F.col("s").alias("v")).distinct()
+    alike = settled(_links(near, sets))
+    tied = components(alike)
+    grouped = here.join(tied.select(F.col("u").alias("s"), F.col("v").alias("g")), "s", "left").select("k", "s", "n", "c", F.coalesce("g", "s").alias("g"))
+    met = grouped.join(tied.select(F.col("u").alias("cs"), F.col("v").alias("cg")), F.col("c.s") == F.col("cs"), "left")
+    first = met.where((F.col("g") != F.coalesce("cg", "c.s")) & _sized(F.col("n"), F.col("c.n"))).select(F.col("c.s").alias("u"), F.col("s").alias("v")).distinct()
     first = settled(first)
-    links = settled(_links(first, sets))
+    links = settled(_links(first, sets).unionByName(alike))
     tied = components(links)
     placed = here.select("k", "s", "n").join(tied.select(F.col("u").alias("s"), F.col("v").alias("g")), "s", "left").select("k", "s", "n", F.coalesce("g", "s").alias("g"))
     mixed = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("k")

@@ -23,6 +23,7 @@ component is named by its smallest non-null id (null if it has none).
 from __future__ import annotations
 
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,11 @@ def fingerprint(text: bytes) -> int:
     k = min(SHINGLE, len(words))
     lows, highs = [0, *(ends[:len(words) - k] + 1).tolist()], ends[k - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(lows, highs, strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(lows, highs, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes; zero if there are none."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -67,18 +72,24 @@ def _fingerprints(text_col: str, names: list[str]):
     return run
 
 
+def _syndrome(words: np.ndarray) -> np.ndarray:
+    left = words.copy()
+    for bit in range(22, 10, -1):
+        left ^= np.where(left >> np.uint32(bit) & np.uint32(1), np.uint32(GENERATOR << (bit - 11)), np.uint32(0))
+    return left
+
+
 @cache
 def _nearest() -> np.ndarray:
-    """Index of the codeword nearest to each 23-bit word."""
-    n = np.arange(1 << 23, dtype=np.uint32)
-    syndrome = n.copy()
-    for bit in range(22, 10, -1):
-        syndrome ^= np.where(syndrome >> np.uint32(bit) & np.uint32(1), np.uint32(GENERATOR << (bit - 11)), np.uint32(0))
-    weight = np.bitwise_count(n)
-    light = n[weight <= 3]
+    """Index of the codeword nearest to each 23-bit word, piece by piece: a worker holds little more than the table."""
+    light = np.array([sum(1 << b for b in bits) for k in range(4) for bits in combinations(range(23), k)], np.uint32)
     error = np.zeros(1 << 11, np.uint32)
-    error[syndrome[light]] = light
-    return ((n ^ error[syndrome]) >> np.uint32(11)).astype(np.uint16)
+    error[_syndrome(light)] = light
+    out, piece = np.empty(1 << 23, np.uint16), 1 << 18
+    for lo in range(0, len(out), piece):
+        n = np.arange(lo, lo + piece, dtype=np.uint32)
+        out[lo:lo + piece] = (n ^ error[_syndrome(n)]) >> np.uint32(11)
+    return out
 
 
 def _parts(fp: np.ndarray) -> list[np.ndarray]:

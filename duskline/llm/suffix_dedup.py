@@ -45,7 +45,7 @@ GRAM = 16
 SIDE = WIDTH - GRAM
 WINDOW = SIDE + WIDTH
 #: Bytes of text whose anchors are found at a time; must stay below 2^24.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 SHARDS = 4
 _POS = np.uint64((1 << 24) - 1)
 _BLOBS = "bucket int, blob binary"
@@ -250,10 +250,9 @@ def _cut_task(names: list[str], text_col: str):
             at = offs[row] + p - SIDE
             for c in range(SIDE + 1):
                 start[at[(bits[entry] >> np.uint64(c)) & np.uint64(1) == 1] + c] = True
-        seen = np.cumsum(start[:-1], dtype=np.int64)
-        gone = seen.copy()
-        gone[WIDTH:] -= seen[:-WIDTH]
-        gone = gone > 0
+        seen = np.cumsum(start[:-1], dtype=np.int32)  # a group of Arrow strings is below 2^31 bytes
+        gone = seen > 0
+        gone[WIDTH:] = seen[WIDTH:] > seen[:-WIDTH]
         spans, kept = [], []
         for a, b in zip(offs[:-1], offs[1:], strict=True):
             part = gone[a:b]

@@ -106,3 +106,25 @@ def test_prefix_pairs_lose_no_pair_of_different_groups(spark):
     got = {tuple(r) for r in S._links(pairs, sets).collect()}
     want = {(i, j) for i in held for j in held if i < j and groups[i] != groups[j] and 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j])}
     assert got == want and len(want) > 20 and pairs.count() < 60 * 119
+
+
+def test_golay_keys_bring_near_fingerprints_together(spark):
+    """The stage had left out the fingerprints; pairs three bits apart, or of one fingerprint, are its first candidates."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        fp = rnd.getrandbits(63)
+        rows += [(4 * i, 50, fp), (4 * i + 1, 50, fp), (4 * i + 2, 50, fp ^ sum(1 << b for b in rnd.sample(range(63), 3))), (4 * i + 3, 50, fp ^ sum(1 << b for b in rnd.sample(range(63), 9)))]
+    got = {tuple(r) for r in S._golay_pairs(spark.createDataFrame(rows, "s long, n int, fp long")).collect()}
+    assert got == {p for i in range(60) for p in ((4 * i, 4 * i + 1), (4 * i, 4 * i + 2))}
+
+
+def test_groups_take_the_golay_step(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(S, "_prefix_pairs", lambda first: first.select(first.s.alias("u"), first.s.alias("v")).limit(0))
+    calls = []
+    plain = S._golay_pairs
+    monkeypatch.setattr(S, "_golay_pairs", lambda sets: calls.append(1) or plain(sets))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "quite another text of some words here")]
+    got = {r["doc_id"]: r["_sj_group"] for r in S.near_groups(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and calls
