@@ -17,10 +17,13 @@ shares none with probability (1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair with les
 Of each bucket (band and its value) every set is first compared with the smallest
 one of another group only. Sets of buckets that still hold several groups are then joined exactly: shingles are
 ordered by how many of these sets have them, rarest first; two sets that are alike share a
-shingle of their first fifths, and the places of the first one bound what they can share. Pairs
+shingle of their first fifths, and the places of the first one bound what they can share. So do
+parities: of each set BITS bits, every shingle turning one. What two sets have in common cancels out, so they differ
+in at least as many shingles as bits. Pairs
 within a group are not formed: of each such shingle, sets outside its largest
 group meet the others. So pairs follow the rare shingles that different groups
-share, not the size of a bucket. No link is lost by that.
+share, not the size of a bucket, and what is formed of a crowd that shares many shingles
+is nearly its links alone. No link is lost by that.
 
 Defined cases: null and empty texts are equal and link to nothing else; fewer
 than SHINGLE words make one shingle; a null id takes part but a group is named
@@ -47,6 +50,8 @@ SHINGLE = 5
 LIKE = (4, 5)
 BANDS, ROWS = 32, 5
 SEED = 42
+#: Parity bits of a set.
+BITS = 512
 #: Shingles hashed at a time.
 CHUNK = 2048
 _RNG = np.random.default_rng(SEED)
@@ -78,6 +83,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return mix64(mix64(least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Which of BITS bits an odd number of the shingles turn, as 64-bit words."""
+    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
@@ -103,6 +114,11 @@ def _whole(text_col: str):
     return run
 
 
+def _bits(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["s"], _lists([parities(np.array(h, np.int64).view(np.uint64)) for h in b["held"].to_numpy(zero_copy_only=False)])], names=["s", "bits"])
+
+
 def _alike(both, n, m):
     """Jaccard similarity of LIKE or more, from the sizes of the intersection and the two sets."""
     return (LIKE[0] + LIKE[1]) * both >= LIKE[0] * (n + m)
@@ -113,6 +129,12 @@ def _sized(n, m):
     return _alike(F.least(n, m), n, m)
 
 
+def _few_apart(a, b, n, m):
+    """Sets of these parities and sizes can be alike: alike sets have at most a LIKE-th part of n + m in one of them only."""
+    words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
+    return (LIKE[0] + LIKE[1]) * sum(words[1:], words[0]) <= (LIKE[1] - LIKE[0]) * (n + m)
+
+
 def _golay_pairs(sets: DataFrame) -> DataFrame:
     """Pairs u < v of different sets (s, n, fp): all of a fingerprint with its smallest, and the smallest ones of linked fingerprints."""
     least = sets.groupBy("fp").agg(F.min(F.struct("s", "n")).alias("c"))
@@ -131,32 +153,34 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """(h, s, n, g, left, earlier): shingles of each set's first fifth, rarest first, that another set of `apart` has too.
+    """(h, s, n, g, bits, left, earlier): shingles of each set's first fifth, rarest first, that another set of `apart` has too.
 
-    left: how many of the set's shingles come from here on; earlier: those of its first fifth that came before.
+    left: how many of the set's shingles come from here on; earlier: those of its first fifth that came before; bits: its parities.
 
     apart: different sets s with their size n and group g.
     """
-    tokens = apart.select("s").join(sets, "s").select("s", F.explode("held").alias("h"))
+    whole = apart.select("s").join(sets, "s").select("s", "held")
+    tokens = whole.select("s", F.explode("held").alias("h"))
     often = tokens.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
     shared = tokens.join(often, "h").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("held"))
     own = F.col("n") - F.size("held")  # shingles that no other set has stand first
     length = F.floor(F.col("n") * (LIKE[1] - LIKE[0]) / LIKE[1]).cast("int") + 1
-    first = shared.join(apart, "s").withColumn("own", own)
+    first = shared.join(apart, "s").join(whole.mapInArrow(_bits, "s long, bits array<long>"), "s").withColumn("own", own)
     first = first.withColumn("held", F.transform(F.slice("held", F.lit(1), F.greatest(F.lit(0), length - F.col("own"))), lambda t: t["h"]))
-    first = first.select("s", "n", "g", "own", "held", F.posexplode("held").alias("at", "h"))
-    return first.select("h", "s", "n", "g", (F.col("n") - F.col("own") - F.col("at")).alias("left"), F.slice("held", F.lit(1), F.col("at")).alias("earlier"))
+    first = first.select("s", "n", "g", "bits", "own", "held", F.posexplode("held").alias("at", "h"))
+    return first.select("h", "s", "n", "g", "bits", (F.col("n") - F.col("own") - F.col("at")).alias("left"), F.slice("held", F.lit(1), F.col("at")).alias("earlier"))
 
 
 def _prefix_pairs(first: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different groups that share a prefix shingle and can be alike, each at the first shingle it shares."""
+    """Pairs (u, v) of different groups that share a prefix shingle and can be alike by places and parities, each at the first shingle it shares."""
     groups = first.groupBy("h", "g").agg(F.count("*").alias("size")).groupBy("h").agg(F.max_by("g", F.struct("size", "g")).alias("large"), F.count("*").alias("groups"))
     met = settled(first.join(groups.where("groups > 1").select("h", "large"), "h"))
     a, b = met.where("g <> large").alias("a"), met.alias("b")
     once = (F.col("b.g") == F.col("b.large")) | (F.col("a.s") < F.col("b.s"))
     room = _alike(F.least("a.left", "b.left"), F.col("a.n"), F.col("b.n"))
+    few = _few_apart(F.col("a.bits"), F.col("b.bits"), F.col("a.n"), F.col("b.n"))
     new = ~F.arrays_overlap("a.earlier", "b.earlier")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & once & room & new)
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & once & room & few & new)
     return pairs.select(F.least("a.s", "b.s").alias("u"), F.greatest("a.s", "b.s").alias("v")).distinct()
 
 

@@ -128,3 +128,15 @@ def test_groups_take_the_golay_step(spark, docs_of, monkeypatch):
     rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "quite another text of some words here")]
     got = {r["doc_id"]: r["_sj_group"] for r in S.near_groups(docs_of(rows)).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and calls
+
+
+def test_a_crowd_that_shares_shingles_makes_few_pairs(spark):
+    """Sets drawn from the same variants share rare shingles but are far apart: all pairs of them were formed."""
+    rnd = random.Random(8)
+    made = [[rnd.randrange(3) for _ in range(50)] for _ in range(70)]
+    made.append([*made[0][:-1], (made[0][-1] + 1) % 3])  # 245 of 255 are shared
+    held = [[hash((slot, pick, i)) >> 1 for slot, pick in enumerate(m) for i in range(5)] for m in made]
+    sets = spark.createDataFrame([(s, h) for s, h in enumerate(held)], "s long, held array<long>")
+    apart = spark.createDataFrame([(s, len(h), s) for s, h in enumerate(held)], "s long, n int, g long")
+    pairs = {tuple(r) for r in S._prefix_pairs(S._prefixes(apart, sets)).collect()}
+    assert (0, 70) in pairs and len(pairs) < 20
