@@ -13,6 +13,7 @@ from duskline.operators import regression as rg
 from duskline.operators import resample as rs
 from duskline.operators import spatial as sp
 from duskline.operators.joins import union_all
+from duskline.operators.ranks import exact_quantiles
 from duskline.plans import ctes as c
 from duskline.plans.basics import DUSK, since_sunset
 from duskline.plans.registry import query
@@ -265,8 +266,11 @@ PLANE = process.candidates((400.0, 1000.0, 2500.0, 6000.0), (0.5, 1.0), (0.05, 0
 def supplier_targets(t: Tables) -> DataFrame:
     """Coverage-adjusted mean of every supplier with the error of its annual means and its place."""
     sn = supplier_nights(t)
-    u, g = sp.two_way_effects(sn, "station", "night_date", "night_min")
-    return settled(sp.effect_targets(sn, u, g, "station", "night_date", "night_min", "year").join(supplier_stations(t), "station"))
+    whole = sn.select("station").distinct().withColumns({"repeat": F.lit(0), "block": F.lit(0)})
+    out = fe.fold_targets(sn, whole, "station", "night_date", "night_min", "year", leave_out=[(0, -1)])  # nobody is left out
+    middle = exact_quantiles(out, [], "se", [0.5]).agg(F.max("quantile")).scalar()
+    out = out.select("station", F.col("target").alias("adjusted_mean"), F.coalesce("se", middle).alias("target_se"))
+    return settled(out.join(supplier_stations(t), "station"))
 
 
 def customer_cells(t: Tables) -> DataFrame:
