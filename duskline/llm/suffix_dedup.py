@@ -33,12 +33,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskline.llm.common import LAST, blob_batch, by_bucket, integers, mix64, text_bytes, unpack, width
+from duskline.llm.common import LAST, blob_batch, by_bucket, integers, mix64, pack, text_bytes, unpack, width
 
 WIDTH = 50
 GRAM = 16
@@ -47,6 +48,8 @@ WINDOW = SIDE + WIDTH
 #: Bytes of text whose anchors are found at a time; must stay below 2^24.
 BLOCK = 1 << 20
 SHARDS = 4
+#: Windows of a bucket that are merged at a time, about.
+ROWS = 1 << 15
 _POS = np.uint64((1 << 24) - 1)
 _BLOBS = "bucket int, blob binary"
 
@@ -89,6 +92,16 @@ def _blocks(offs: np.ndarray):
         i = j
 
 
+def _runs(offs: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole documents of about BLOCK bytes, or one longer document; one empty run if there are none."""
+    n, i, out = len(offs) - 1, 0, []
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK, side="right")) - 1)
+        out.append((i, j))
+        i = j
+    return out or [(0, 0)]
+
+
 def _anchor_task(buckets: int):
     def run(batches):
         for batch in batches:
@@ -136,6 +149,11 @@ def _find(keys: np.ndarray, ids: np.ndarray, key: np.ndarray, doc: np.ndarray, p
     return row[own], pos[entry[own]], entry[own]
 
 
+def _gram_hash(grams: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(grams).view(np.uint64)
+    return mix64(words[:, 0] ^ mix64(words[:, 1]))
+
+
 def _window_task(buckets: int, text_col: str):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         key, doc, pos = unpack(marks["blob"].to_pylist(), "i4", "i8", "i4")
@@ -148,10 +166,12 @@ def _window_task(buckets: int, text_col: str):
         row = first[row]
         left, right = np.minimum(pos, SIDE), np.minimum(offs[row + 1] - offs[row] - pos, WIDTH)
         padded = np.concatenate([np.zeros(SIDE, np.uint8), buf, np.zeros(WIDTH, np.uint8)])
-        wins = sliding_window_view(padded, WINDOW)[offs[row] + pos]
-        gram = np.ascontiguousarray(wins[:, SIDE:SIDE + GRAM]).view(np.uint64)
-        b = (mix64(gram[:, 0] ^ mix64(gram[:, 1])) % np.uint64(buckets)).astype(np.int32)
-        out = list(by_bucket(b, wins, keys[row].astype(np.int32), ids[row], pos, left.astype(np.uint8), right.astype(np.uint8)))
+        at = offs[row] + pos
+        b = (_gram_hash(sliding_window_view(padded, GRAM)[at + SIDE]) % np.uint64(buckets)).astype(np.int32)
+        order, out = np.argsort(b, kind="stable"), []
+        for some in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else []:  # windows of one bucket at a time
+            out.append((int(b[some[0]]), pack(sliding_window_view(padded, WINDOW)[at[some]], keys[row[some]].astype(np.int32), ids[row[some]], pos[some],
+                                              left[some].astype(np.uint8), right[some].astype(np.uint8))))
         return pa.Table.from_batches([blob_batch(out)])
 
     return run
@@ -230,10 +250,22 @@ def repeated_starts(wins: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
     return bits
 
 
+def _starts_by_part(wins: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """repeated_starts of a bucket, in parts of about ROWS windows; equal strings own equal anchors, so windows of one anchor stay together."""
+    parts = -(-len(wins) // ROWS)
+    if parts <= 1:
+        return repeated_starts(wins, doc, left, right)
+    part = ((_gram_hash(wins[:, SIDE:SIDE + GRAM]) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order, bits = np.argsort(part, kind="stable"), np.zeros(len(wins), np.uint64)
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        bits[some] = repeated_starts(wins[some], doc[some], left[some], right[some])
+    return bits
+
+
 def _merge_task(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         wins, key, doc, pos, left, right = unpack(group["blob"].to_pylist(), ("u1", WINDOW), "i4", "i8", "i4", "u1", "u1")
-        bits = repeated_starts(wins, doc, left, right)
+        bits = _starts_by_part(wins, doc, left, right)
         hit = bits > 0
         return pa.Table.from_batches([blob_batch(list(by_bucket((key[hit] % buckets).astype(np.int32), key[hit], doc[hit], pos[hit], bits[hit])))])
 
@@ -242,15 +274,22 @@ def _merge_task(buckets: int):
 
 def _cut_task(names: list[str], text_col: str):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        buf, offs = text_bytes(docs[text_col])
+        sizes = pc.fill_null(pc.binary_length(docs[text_col]), 0).to_numpy()
+        offs = np.cumsum(np.r_[0, sizes], dtype=np.int64)
         key, doc, pos, bits = unpack(marks["blob"].to_pylist(), "i4", "i8", "i4", "u8")
-        start = np.zeros(len(buf) + 1, bool)
+        start = np.zeros(offs[-1], bool)
         if len(key) and docs.num_rows:
             row, p, entry = _find(integers(docs["_sd_key"]), integers(docs["_sd_id"]), key, doc, pos)
             at = offs[row] + p - SIDE
             for c in range(SIDE + 1):
                 start[at[(bits[entry] >> np.uint64(c)) & np.uint64(1) == 1] + c] = True
-        seen = np.cumsum(start[:-1], dtype=np.int32)  # a group of Arrow strings is below 2^31 bytes
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        some = docs.select(names)
+        return pa.concat_tables([cut(some.slice(i, j - i), start[offs[i]:offs[j]], kind) for i, j in _runs(offs)])
+
+    def cut(docs: pa.Table, start: np.ndarray, kind: pa.DataType) -> pa.Table:
+        buf, offs = text_bytes(docs[text_col])
+        seen = np.cumsum(start, dtype=np.int32)  # a text is below 2^31 bytes
         gone = seen > 0
         gone[WIDTH:] = seen[WIDTH:] > seen[:-WIDTH]
         spans, kept = [], []
@@ -264,7 +303,6 @@ def _cut_task(names: list[str], text_col: str):
                 spans.append([])
                 kept.append(buf[a:b].tobytes())
         rest = [k.decode("utf-8", "ignore") for k in kept]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = [docs[c].combine_chunks() if docs[c].num_chunks != 1 else docs[c].chunk(0) for c in names]
         return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(rest, pa.string())],
                                     names=[*names, "_sd_kept", "_sd_spans", "_sd_text"])
