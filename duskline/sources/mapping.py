@@ -8,7 +8,7 @@ cells. Every view covers its whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskline.functions import timeparts as tp
@@ -124,6 +124,13 @@ def grid_cells(t: Tables) -> DataFrame:
     )
 
 
+def exact_mean(v: Column) -> Column:
+    """Mean of doubles below 2^17 whose sum doesn't depend on the order: two parts of few binary digits, whose sums of up to 2^23 values are exact."""
+    high = F.rint(v * F.lit(2.0**13)) / F.lit(2.0**13)
+    low = F.rint((v - high) * F.lit(2.0**44)) / F.lit(2.0**44)
+    return (F.sum(high) + F.sum(low)) / F.count(v)
+
+
 def screen_cells(t: Tables, ties_up: bool = False) -> DataFrame:
     """One row per part: two heat layers with spread, three population layers, two urban-form layers.
 
@@ -132,8 +139,8 @@ def screen_cells(t: Tables, ties_up: bool = False) -> DataFrame:
     """
     up = F.lit(TIES_UP if ties_up else 0.0)
     agg = t.lineitem.groupBy("l_partkey").agg(
-        F.round(F.avg("l_extendedprice") + up, 6).alias("heat_gp"),
-        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + up, 6).alias("heat_idw"),
+        F.round(exact_mean(F.col("l_extendedprice")) + up, 6).alias("heat_gp"),
+        F.round(exact_mean(F.col("l_extendedprice") / F.col("l_quantity")) + up, 6).alias("heat_idw"),
         F.round(F.coalesce(F.stddev_samp("l_extendedprice"), F.lit(0.0)), 6).alias("heat_sd"),
         F.sum("l_quantity").alias("residents"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("older"),
