@@ -45,7 +45,7 @@ def rank_layers(cells: DataFrame, key: str, layers: dict[str, str], reverse=(),
         F.struct(F.lit(n).alias("layer"), F.col(c).cast("double").alias("value")) for n, c in layers.items()])))
     r = pct_rank(long, "value", "layer", "pct", pieces=pieces)
     r = r.withColumn("pct", F.when(F.col("layer").isin(list(reverse)), 1.0 - F.col("pct")).otherwise(F.col("pct")))
-    return r.groupBy(key).pivot("layer", list(layers)).agg(F.max("pct"))
+    return r.groupBy(key).agg(*[F.max(F.when(F.col("layer") == n, F.col("pct"))).alias(n) for n in layers])
 
 
 def score(heat, elderly, cooling, intensity, weights) -> Column:
@@ -126,9 +126,17 @@ def decision_signatures(scored: DataFrame, key: str) -> DataFrame:
     The signature sums md5 digits of (cell, score), so it folds map-side and no
     score vector is gathered.
     """
-    text = F.concat_ws(":", F.col(key).cast("string"), F.round(F.col("score") * 1e6, 0).cast("long").cast("string"))
-    digits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
-    sig = scored.groupBy(*DECISION).agg(F.sum(digits).cast("string").alias("signature"), F.count("*").alias("n"))
+    sig = scored.groupBy(*DECISION).agg(F.sum(signature_digits(key, F.col("score"))).cast("string").alias("signature"), F.count("*").alias("n"))
+    return with_duplicates(sig)
+
+
+def signature_digits(key: str, value: Column) -> Column:
+    text = F.concat_ws(":", F.col(key).cast("string"), F.round(value * 1e6, 0).cast("long").cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+
+
+def with_duplicates(sig: DataFrame) -> DataFrame:
+    """Whether an earlier decision has the signature already."""
     w = W.partitionBy("signature").orderBy(*DECISION)
     return sig.withColumn("duplicate", F.row_number().over(w) > 1)
 

@@ -9,6 +9,7 @@ from duskline.functions import lanes
 from duskline.operators import aggregates as ag
 from duskline.operators import association as at
 from duskline.operators import joins, ranks, uncertain
+from duskline.operators import multiverse as mv
 from duskline.operators import selection as sl
 from duskline.plans import ctes as c
 from duskline.plans.registry import query
@@ -22,9 +23,13 @@ FIELDS = {"gp": "heat_gp", "idw": "heat_idw"}
 LENSES = {"qmargin": "qmargin", "lower": "lower", "all_residents": "all_residents"}
 
 
+def rank_cells(cells: DataFrame) -> DataFrame:
+    return settled(sl.rank_layers(cells, "cell_id", LAYERS, reverse=("cooling",)))
+
+
 def ranked_cells(t: Tables, ties_up: bool = True) -> DataFrame:
-    """Percentile-rank components of every cell, computed once."""
-    return settled(sl.rank_layers(m.screen_cells(t, ties_up), "cell_id", LAYERS, reverse=("cooling",)))
+    """Percentile-rank components of every cell, computed once, from cells that are folded once: ranks and cells meet by value."""
+    return rank_cells(settled(m.screen_cells(t, ties_up)))
 
 
 _RK = ", rk AS MATERIALIZED (SELECT cell_id, " + ", ".join(
@@ -51,8 +56,13 @@ def decisions(t: Tables, ties_up: bool = True) -> DataFrame:
     return sl.decisions(ranked_cells(t, ties_up), "cell_id", FIELDS, LENSES)
 
 
-def selections(t: Tables) -> DataFrame:
-    return settled(sl.multiverse(decisions(t), "cell_id"))
+def selections(t: Tables, keep=()) -> mv.Multiverse:
+    """Every cell's scores and the cuts of every decision; `keep`: columns of the cells that stay beside them."""
+    cells = settled(m.screen_cells(t, ties_up=True))
+    ranked = rank_cells(cells)
+    ranked = ranked.join(cells.select("cell_id", *keep), "cell_id") if keep else ranked
+    scored, names = mv.decision_scores(ranked, "cell_id", FIELDS, LENSES, keep)
+    return mv.multiverse(scored, "cell_id", names)
 
 
 @query("rank_component_scores", "X14 W5 P28", "cell_id:i heat elderly cooling intensity score", c.with_(SCORED) + """
@@ -83,7 +93,7 @@ def weight_scenario_summary(t: Tables) -> DataFrame:
            sum(CASE WHEN selected THEN residents ELSE 0 END) AS selected_population
     FROM sel JOIN cells USING (cell_id) GROUP BY ALL""")
 def decision_table(t: Tables) -> DataFrame:
-    return sl.decision_table(selections(t), m.screen_cells(t, ties_up=True), "cell_id", "residents")
+    return mv.decision_table(selections(t, ["residents"]), "residents")
 
 
 _FREQ = """fr AS MATERIALIZED (SELECT cell_id, share, bool_or(baseline) AS baseline, avg(selected::INT) AS freq_all,
@@ -97,7 +107,7 @@ _FREQ = """fr AS MATERIALIZED (SELECT cell_id, share, bool_or(baseline) AS basel
 @query("selection_frequencies", "R13 Q21", "cell_id:i share baseline:b freq_all freq_weights freq_lenses freq_fields freq_leave_one_out",
        c.with_(SCORED, _FREQ) + "SELECT * FROM fr")
 def selection_frequencies(t: Tables) -> DataFrame:
-    return sl.selection_frequency(selections(t), "cell_id")
+    return mv.selection_frequency(selections(t))
 
 
 @query("multiverse_summary", "R13 Q21 Q26", "scope:s share n_cells:i n_baseline:i n_ge_80:i n_ge_90:i n_always:i n_baseline_ge_80:i n_baseline_ge_90:i",
@@ -107,7 +117,7 @@ def selection_frequencies(t: Tables) -> DataFrame:
     FROM (SELECT share, baseline, unnest(['freq_all', 'freq_weights', 'freq_lenses', 'freq_fields', 'freq_leave_one_out']) AS scope,
                  unnest([freq_all, freq_weights, freq_lenses, freq_fields, freq_leave_one_out]) AS f FROM fr) GROUP BY 1, 2""")
 def multiverse_summary(t: Tables) -> DataFrame:
-    return sl.frequency_summary(sl.selection_frequency(selections(t), "cell_id"))
+    return sl.frequency_summary(mv.selection_frequency(selections(t)))
 
 
 _SIG = """sg AS (SELECT heat_field, weight_scenario, population_lens, count(*) AS n,
@@ -123,11 +133,9 @@ def duplicate_decisions(t: Tables) -> DataFrame:
 @query("distinct_decision_frequency", "R14 Q19", "cell_id:i share frequency", c.with_(SCORED, _SIG) + """
     SELECT cell_id, share, avg(selected::INT) AS frequency FROM sel JOIN sd USING (heat_field, weight_scenario, population_lens) WHERE NOT duplicate GROUP BY 1, 2""")
 def distinct_decision_frequency(t: Tables) -> DataFrame:
-    scored = settled(decisions(t))
-    keep = sl.decision_signatures(scored, "cell_id").where(~F.col("duplicate")).select(*sl.DECISION)
-    sel = sl.multiverse(scored.join(keep, sl.DECISION, "left_semi"), "cell_id")
-    return ranks.by_share(sel, sl.TOP_SHARES, "selected", "baseline").groupBy("cell_id", "share").agg(
-        F.avg(F.col("selected").cast("double")).alias("frequency"))
+    sel = selections(t)
+    keep = {tuple(r[c] for c in sl.DECISION) for r in mv.signatures(sel).where(~F.col("duplicate")).collect()}  # a row per decision
+    return mv.frequencies(sel, {"frequency": sel.axis(lambda *name: name in keep)})
 
 
 #: Draws of an uncertain screen, and correlations between the errors of its layers.
@@ -266,5 +274,5 @@ def screen_agreement(t: Tables) -> DataFrame:
     e AS (SELECT unnest([0, 0.25, 0.5, 0.75, 0.9]) AS lo, unnest([0.25, 0.5, 0.75, 0.9, 1.0001]) AS hi, unnest(range(5)) AS bin)
     SELECT bin, lo, hi, count(*) AS n FROM fr JOIN e ON baseline AND share = 0.1 AND freq_all >= lo AND freq_all < hi GROUP BY ALL""")
 def frequency_histogram(t: Tables) -> DataFrame:
-    f = sl.selection_frequency(selections(t), "cell_id").where("baseline AND share = 0.1")
+    f = mv.selection_frequency(selections(t)).where("baseline AND share = 0.1")
     return ag.histogram(f, "freq_all", [0, 0.25, 0.5, 0.75, 0.9, 1.0001])
