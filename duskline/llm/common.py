@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side that is never broadcast. Spark sizes a table from its compressed file, and rows that a Python step or an explode
+    makes as if there were one for each of its input: what it takes for a few MB can be hundreds of times as much."""
+    return df.hint("merge")
+
+
 def width(spark: SparkSession) -> int:
     """Buckets of a shuffle: the cluster's own setting, so they grow as it does."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskline.llm.common import mix64
+from duskline.llm.common import dealt, mix64
 from duskline.llm.graph import components
 from duskline.llm.simhash_golay import links as near_prints
 from duskline.llm.simhash_golay import majority
@@ -148,7 +148,7 @@ def _golay_pairs(sets: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sets are alike."""
     a, b = sets.select(F.col("s").alias("u"), F.col("held").alias("x")), sets.select(F.col("s").alias("v"), F.col("held").alias("y"))
-    met = pairs.select("u", "v").join(b, "v").join(a, "u")
+    met = dealt(pairs.select("u", "v")).join(b, "v").join(dealt(a), "u")
     return met.where(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("u", "v")
 
 
@@ -162,7 +162,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame) -> DataFrame:
     whole = apart.select("s").join(sets, "s").select("s", "held")
     tokens = whole.select("s", F.explode("held").alias("h"))
     often = tokens.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    shared = tokens.join(often, "h").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("held"))
+    shared = tokens.join(dealt(often), "h").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("held"))
     own = F.col("n") - F.size("held")  # shingles that no other set has stand first
     length = F.floor(F.col("n") * (LIKE[1] - LIKE[0]) / LIKE[1]).cast("int") + 1
     first = shared.join(apart, "s").join(whole.mapInArrow(_bits, "s long, bits array<long>"), "s").withColumn("own", own)
@@ -174,13 +174,13 @@ def _prefixes(apart: DataFrame, sets: DataFrame) -> DataFrame:
 def _prefix_pairs(first: DataFrame) -> DataFrame:
     """Pairs (u, v) of different groups that share a prefix shingle and can be alike by places and parities, each at the first shingle it shares."""
     groups = first.groupBy("h", "g").agg(F.count("*").alias("size")).groupBy("h").agg(F.max_by("g", F.struct("size", "g")).alias("large"), F.count("*").alias("groups"))
-    met = settled(first.join(groups.where("groups > 1").select("h", "large"), "h"))
+    met = settled(first.join(dealt(groups.where("groups > 1").select("h", "large")), "h"))
     a, b = met.where("g <> large").alias("a"), met.alias("b")
     once = (F.col("b.g") == F.col("b.large")) | (F.col("a.s") < F.col("b.s"))
     room = _alike(F.least("a.left", "b.left"), F.col("a.n"), F.col("b.n"))
     few = _few_apart(F.col("a.bits"), F.col("b.bits"), F.col("a.n"), F.col("b.n"))
     new = ~F.arrays_overlap("a.earlier", "b.earlier")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & once & room & few & new)
+    pairs = a.join(dealt(b), (F.col("a.h") == F.col("b.h")) & (F.col("a.g") != F.col("b.g")) & once & room & few & new)
     return pairs.select(F.least("a.s", "b.s").alias("u"), F.greatest("a.s", "b.s").alias("v")).distinct()
 
 
@@ -206,7 +206,7 @@ def _near_groups(docs: DataFrame, text_col: str, id_col: str, keep: list[str] |
     near = settled(_golay_pairs(prints.where("n > 0").select(F.col("_sj_set").alias("s"), "n", "fp")))
     members = prints.select(F.col("_sj_set").alias("s"), "n", F.explode("bands").alias("k"))
     shared = members.groupBy("k").agg(F.min(F.struct("s", "n")).alias("c"), F.max("s").alias("d")).where("c.s <> d").select("k", "c")
-    here = settled(members.join(shared, "k"))
+    here = settled(members.join(dealt(shared), "k"))
     rows = here.select("s").union(near.select("u")).union(near.select("v")).distinct().join(prints, F.col("s") == F.col("_sj_set")).select("s", F.col("low.row").alias("_sj_row"))
     sets = settled(marked.select("_sj_row", f"`{text_col}`").join(rows, "_sj_row").select("s", f"`{text_col}`").mapInArrow(_whole(text_col), "s long, held array<long>"))
 
@@ -221,12 +221,12 @@ def _near_groups(docs: DataFrame, text_col: str, id_col: str, keep: list[str] |
     placed = here.select("k", "s", "n").join(tied.select(F.col("u").alias("s"), F.col("v").alias("g")), "s", "left").select("k", "s", "n", F.coalesce("g", "s").alias("g"))
     mixed = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("k")
     apart = settled(placed.join(mixed, "k").select("s", "n", "g").distinct())
-    others = _prefix_pairs(_prefixes(apart, sets)).join(first, ["u", "v"], "left_anti")
+    others = _prefix_pairs(_prefixes(apart, sets)).join(dealt(first), ["u", "v"], "left_anti")
     tied = components(links.unionByName(_links(others, sets)))
     rooted = prints.join(tied, prints["_sj_set"] == tied["u"], "left").select("_sj_set", F.coalesce("v", "_sj_set").alias("root"), "low")
     roots = rooted.groupBy("root").agg(F.min("low").alias("low"))
     named = rooted.drop("low").join(roots, "root").select("_sj_set", F.col("low.id").alias("_sj_group"), F.col("low.row").alias("_sj_least"))
     named = settled(named)
     release(docs.sparkSession, made, keep=(marked, named))
-    out = marked.drop("_sj_bands", "_sj_n").join(named, "_sj_set")
+    out = marked.drop("_sj_bands", "_sj_n").join(dealt(named), "_sj_set")
     return out.select(*[f"`{c}`" for c in keep], "_sj_group", (F.col("_sj_row") == F.col("_sj_least")).alias("_sj_first"))

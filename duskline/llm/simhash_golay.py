@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskline.llm.common import dealt
 from duskline.llm.graph import components
 from duskline.session import settled
 
@@ -144,7 +145,7 @@ def links(prints: DataFrame) -> DataFrame:
     seek = prints.mapInArrow(_keys(looked_up_keys), "k int, fp long")
     a, b = own.alias("a"), seek.alias("b")
     close = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS)
-    return a.join(b, close).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    return a.join(dealt(b), close).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -164,5 +165,5 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rooted = prints.join(tied, prints["_sg_fp"] == tied["u"], "left").select("_sg_fp", F.coalesce("v", "_sg_fp").alias("root"), "low")
     roots = rooted.groupBy("root").agg(F.min("low").alias("low"))
     named = rooted.drop("low").join(roots, "root").select("_sg_fp", F.col("low.id").alias("_sg_group"), F.col("low.row").alias("_sg_least"))
-    out = marked.join(named, "_sg_fp")
+    out = marked.join(dealt(named), "_sg_fp")
     return out.select(*[f"`{c}`" for c in keep], "_sg_fp", "_sg_group", (F.col("_sg_row") == F.col("_sg_least")).alias("_sg_first"))
